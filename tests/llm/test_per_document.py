@@ -1,0 +1,88 @@
+"""Operators that judge each document alone, held against plain Python."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from parley.llm import pii, quality, queries, token_files
+from tests.conftest import SF
+from tests.llm import brute
+
+LONG = "word " * 40_000
+TEXTS = [
+    None, "", " ", "\n\n", "x", "a@b.co", "a@b.co_x@y.com z@w", "..a@b.c..d@e.f.g", "@a.b %@b-.c.d", "mail ann.lee+x@mail.example.com, or +49 (30) 901820-0 now",
+    "1.2.3.4 and 256.1.1.1 5.6.7.8.9.10.11.12 001.002.003.004 1..2.3.4", "card 4111 1111 1111 1111, 4111-1111-1111-1112 and 41111111111111110", "4111 1111  1111 1111", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0",
+    "+1 2 +1234567 +12345678 +1 (2) 3.4-5 6 7 8 9 0 1 2 3 4 5 6 7", "+1       ", "é ü 漢字 😀 4111111111111111 😀 a@b.de", "9" * 50_000, "1 " * 30_000, "a" * 100_000, "a@" * 20_000, "+" * 5_000, "1." * 20_000, LONG,
+    "x y z w v u t s\n" * 5, "one two three four five six seven eight nine\nq\none two three four five six seven eight nine\n", "#*$%&|<> a|b", "\ta\x0bb\x0cc\r\nd  e ",
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "de", "extra") for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, start string, n_words string").repartition(3)
+
+
+def test_pii_against_python(spark, odd):
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for docs in (odd, real):
+        want = {r.doc_id: brute.op1(r.text) for r in docs.collect()}
+        got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.span_report(docs).collect()}
+        assert got == want
+
+
+def test_pii_extra_kinds_and_mask(spark):
+    docs = spark.createDataFrame([(1, "IBAN: DE89 3704 0044 0532 0130 00."), (2, "DE89 3704 0044 0532 0130 01"), (3, "his ssn 123-45-6789 and 123-45-6789"), (4, "part 123-45-6789"), (5, None), (6, "é a@b.de b")], "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.masked) for r in pii.span_report(docs).join(pii.mask(docs).select("doc_id", "masked"), "doc_id").collect()}
+    assert got[1] == ("iban:6:33", "IBAN: [iban].")
+    assert got[2][0] == "" and got[4][0] == "" and got[5] == ("", None)
+    assert got[3][1].startswith("his ssn [national_id]")
+    assert got[6] == ("email:2:8", "é [email] b")
+
+
+def test_quality_figures_against_python(spark, odd):
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for docs in (odd.select("doc_id", "text"), real):
+        want = {r.doc_id: brute.op8(r.text) for r in docs.collect()}
+        got = {r.doc_id: (r.quality_n_words, r.quality_word_chars, r.quality_n_symbols, r.quality_n_dup_lines, r.quality_n_repeat_words, r.quality_base_failed) for r in quality.judge(docs).collect()}
+        assert got == want
+
+
+def test_quality_verdicts(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality.judge(docs).join(labels, "doc_id").where("not quality_base_failed").groupBy("quality").agg(F.avg(F.col("quality_kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in got}
+    assert kept[1] > 0.97 and kept[0] < 0.5
+    assert quality.judge(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        quality.judge(docs.withColumn("quality_kept", F.lit(1)))
+
+
+def test_fit_recovers_accuracies():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    good, acc = rng.random(20_000) < 0.7, [0.95, 0.8, 0.7]
+    votes = [np.where(rng.random(20_000) < a, 1, -1) * np.where(good, 1, -1) for a in acc]
+    from collections import Counter
+
+    share, found = quality.fit(sorted(Counter(map(tuple, np.array(votes).T.tolist())).items()))
+    assert abs(share - 0.7) < 0.05 and all(abs(x - y) < 0.05 for x, y in zip(found, acc, strict=True))
+
+
+def test_token_files_round_trip(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    more = spark.createDataFrame([(100, "It's <|endoftext|> é  x y ΑΣ ﬁ 12'll"), (-5, "a\x1cb"), (101, None)], "doc_id long, text string")
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    for docs in (odd.select("doc_id", "text").unionByName(more), real):
+        want = brute.op4([(r.doc_id, r.text) for r in docs.collect()], tokenizer)
+        path = f"file://{tmp_path}/{len(want)}"
+        got = token_files.token_index(docs, queries.tokenizer_path(), path)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    sizes = [os.path.getsize(tmp_path / str(len(want)) / f) for f in os.listdir(tmp_path / str(len(want))) if f.endswith(".ids")]
+    assert sum(sizes) == 2 * sum(x[2] for x in want)
+    assert token_files.token_index(docs.limit(0), queries.tokenizer_path()).count() == 0
