@@ -22,7 +22,7 @@ from parley.llm._text import IS_SPACE, prefix_hash, runs, sequence_hash, slices,
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"[#*$%&|<>]"[1:-1])] = True
 REPEAT = 8
-FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_lines", "n_short")
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_lines", "n_short", "n_lettered", "n_marks")
 
 
 def _figures(texts: pa.Array) -> np.ndarray:
@@ -62,9 +62,11 @@ def _figures(texts: pa.Array) -> np.ndarray:
             np.add.at(mark, twice, 1)
             np.add.at(mark, twice + REPEAT, -1)
             out[4, lo:hi] = np.bincount(at[np.cumsum(mark[:-1]) > 0], minlength=hi - lo)
-        # how much of the text is short words, as prose of most languages has them
-        short = (end - start) <= 3
-        out[8, lo:hi] = np.bincount(at[short], minlength=hi - lo)
+        # short words, as prose of most languages has them; words with a letter; characters of words that are neither letter nor digit
+        out[8, lo:hi] = np.bincount(at[(end - start) <= 3], minlength=hi - lo)
+        letter = np.concatenate([[0], np.cumsum(upper | lower | (data >= 0xC0))])
+        out[9, lo:hi] = np.bincount(at[letter[end] > letter[start]], minlength=hi - lo)
+        out[10, lo:hi] = per(inside & (data < 0x80) & ~(upper | lower) & ~((data >= 48) & (data <= 57)))
     return out
 
 
@@ -107,23 +109,27 @@ def figures(docs: DataFrame, text_col: str = "text", prefix: str = "", keep: lis
 
 
 def rules(prefix: str = "") -> dict[str, Column]:
-    """Votes. Bad below or above a strict bound, good within a comfortable one, and no vote between or without evidence."""
+    """Votes. A rule about a defect votes bad where it finds it and abstains elsewhere: its absence says little. A rule about a
+    trait of prose also votes good well within the usual bounds, and abstains between. No evidence, no vote."""
     c = {f: F.col(prefix + f).cast("double") for f in FIGURES}
     words, lines = F.greatest(c["n_words"], F.lit(1.0)), F.greatest(c["n_lines"], F.lit(1.0))
+    some = c["n_words"] >= 20
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+    def vote(bad: Column, good: Column | None = None) -> Column:
+        return F.when(some & bad, -1).when(some & good, 1).otherwise(0) if good is not None else F.when(bad, -1).otherwise(0)
 
     mean, symbols, repeat, dup = c["word_chars"] / words, c["n_symbols"] / words, c["n_repeat_words"] / words, c["n_dup_lines"] / lines
-    upper, short = c["n_upper"] / F.greatest(c["n_letters"], F.lit(1.0)), c["n_short"] / words
+    upper, short, lettered, marks = c["n_upper"] / F.greatest(c["n_letters"], F.lit(1.0)), c["n_short"] / words, c["n_lettered"] / words, c["n_marks"] / F.greatest(c["word_chars"], F.lit(1.0))
     return {
-        "length": vote(c["n_words"] < 20, c["n_words"] >= 40),
-        "word_length": vote((mean < 2.5) | (mean > 12), (mean >= 3.5) & (mean <= 9)),
-        "symbols": vote(symbols > 0.3, symbols < 0.05),
-        "repeats": vote(repeat > 0.3, repeat < 0.1),
-        "lines": vote((dup > 0.3) & (c["n_lines"] >= 3), dup < 0.1),
-        "case": vote((upper > 0.5) & (c["n_letters"] >= 20), upper < 0.2),
-        "short_words": vote((short < 0.03) & (c["n_words"] >= 20), short > 0.1),
+        "length": vote(c["n_words"] < 20),
+        "repeats": vote(repeat > 0.3),
+        "lines": vote((dup > 0.3) & (c["n_lines"] >= 4)),
+        "case": vote((upper > 0.5) & (c["n_letters"] >= 50)),
+        "symbols": vote(symbols > 0.1, symbols < 0.02),
+        "lettered": vote(lettered < 0.8, lettered > 0.9),
+        "marks": vote(marks > 0.25, marks < 0.1),
+        "word_length": vote((mean < 3) | (mean > 10), (mean >= 3.5) & (mean <= 7)),
+        "short_words": vote((short < 0.03) | (short > 0.6), (short > 0.1) & (short < 0.5)),
     }
 
 
