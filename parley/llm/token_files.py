@@ -24,13 +24,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm._store import new_path
-from parley.llm._text import buffers
+from parley.llm._text import prefix_hash, runs, slices, span_hash
 
 #: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 2_000_000
+#: White space at which texts are cut into words: the common part of what all tokenizers call so.
+APART = np.zeros(256, bool)
+APART[[0x20, 0x09, 0x0A, 0x0D]] = True
 PARTS = "part long, file string, n_docs long, n_ids long"
 
 
+def vocabulary_size(tokenizer_path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path).get_vocab_size()
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
@@ -39,58 +48,120 @@ def _filesystem(path: str):
 
 class Encoder:
     """Encodes texts word by word: the vocabulary's pre-tokenizer never joins across white space, so a text's ids are its
-    words' ids one after another, and each different word is encoded once."""
+    words' ids one after another, and a word that was met before is looked up. The words met are kept by 64-bit hash in an
+    open-addressed table of numpy arrays; it starts anew when it holds REMEMBERED words."""
+
+    SLOTS = 1 << 22
+    #: Stands between words that are encoded in one call: one token of its own, and words that hold it are encoded apart.
+    MARK = "\x01"
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.big = self.tokenizer.get_vocab_size() > 1 << 16
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.keys = np.zeros(self.SLOTS, np.uint64)
+        self.at = np.zeros(self.SLOTS, np.int32)
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.n_flat = 0
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.keys[:] = 0
+        self.n, self.n_ids = 0, 0
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.ids = np.zeros(1 << 18, np.uint32 if self.big else np.uint16)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the known words, -1 for others."""
+        out, left, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(left):
+            key = self.keys[slot[left]]
+            hit = key == h[left]
+            out[left[hit]] = self.at[slot[left[hit]]]
+            left = left[~hit & (key != 0)]
+            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
+        return out
+
+    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
+        left, slot = np.arange(len(h)), (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            self.keys[slot[left[free]]] = h[left[free]]
+            won = free & (self.keys[slot[left]] == h[left])
+            self.at[slot[left[won]]] = number[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
+
+    def _learn(self, words: list[str], h: np.ndarray) -> None:
+        if self.n + len(words) > REMEMBERED:
+            self._reset()
+        plain = [i for i, w in enumerate(words) if self.MARK not in w]
+        got: list = [None] * len(words)
+        joined = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for group, e in zip(joined, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join([words[i] for i in g]) for g in joined], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            for i, x in zip(group, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
+                got[i] = x[1:] if i != group[0] else x
+        for i in set(range(len(words))) - set(plain):
+            got[i] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        n, m = self.n + len(words), self.n_ids + int(sizes.sum())
+        while n > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while m > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.starts[self.n : n], self.sizes[self.n : n] = self.n_ids + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.n_ids : m] = np.concatenate(got)
+        self._put(h, np.arange(self.n, n))
+        self.n, self.n_ids = n, m
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and n + 1 offsets."""
-        data, offs = buffers(texts)
-        space = (data == 0x20) | (data == 0x0A) | (data == 0x09) | (data == 0x0D)
-        from parley.llm._text import runs
-
-        start, end, first = runs(~space, offs)
-        n = len(start)
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        ends = np.zeros(n + 1, np.int64)
-        np.cumsum(end - start, out=ends[1:])
-        packed = data[~space]
-        words = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(packed)).dictionary_encode()
-        local = words.dictionary.to_pylist()
-        if len(self.known) + len(local) > REMEMBERED:
-            self._reset()
-        new = [w for w in local if w not in self.known]
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))])
-        which = np.fromiter((self.known[w] for w in local), np.int64, len(local))[words.indices.to_numpy()]
-        sizes = self.sizes[which]
-        at = np.zeros(n + 1, np.int64)
-        np.cumsum(sizes, out=at[1:])
-        take = np.arange(at[-1]) + np.repeat(self.starts[which] - at[:-1], sizes)
-        return self.ids[take], at[first]
+        ids, offs, base = [], [np.zeros(1, np.int64)], 0
+        for _, _, data, o in slices(texts):
+            start, end, first = runs(~APART[data], o)
+            if len(start) > REMEMBERED:  # one enormous text: not by words
+                for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True):
+                    got = self.tokenizer.encode(data[x:y].tobytes().decode(), add_special_tokens=False).ids
+                    ids.append(np.array(got, self.ids.dtype))
+                    base += len(got)
+                    offs.append(np.array([base]))
+                continue
+            h = span_hash(prefix_hash(data), start, end) | np.uint64(1)
+            which = self._find(h)
+            if (which < 0).any():
+                new, where = np.unique(h[which < 0], return_index=True)
+                where = np.flatnonzero(which < 0)[where]
+                raw = data.tobytes()
+                self._learn([raw[s:e].decode() for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)], new)
+                which = self._find(h)
+                if (which < 0).any():  # the table started anew: the slice's words are learned together
+                    new, where = np.unique(h, return_index=True)
+                    self._reset()
+                    self._learn([raw[s:e].decode() for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)], new)
+                    which = self._find(h)
+            sizes = self.sizes[which].astype(np.int64)
+            at = np.zeros(len(h) + 1, np.int64)
+            np.cumsum(sizes, out=at[1:])
+            ids.append(self.ids[np.arange(at[-1]) + np.repeat(self.starts[which] - at[:-1], sizes)])
+            offs.append(base + at[first[1:]])
+            base += int(at[-1])
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint16), np.concatenate(offs)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer_path: str) -> Encoder:
+    """This process's encoder, with the words it has met in earlier tasks."""
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = Encoder(tokenizer_path)
+    return _encoders[tokenizer_path]
 
 
 def with_end(ids: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(offs) - 1
-    out = np.empty(len(ids) + n, np.uint32)
+    out = np.empty(len(ids) + n, ids.dtype)
     new = offs + np.arange(n + 1)
     keep = np.ones(len(out), bool)
     keep[new[1:] - 1] = False
@@ -118,7 +189,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
             for lo in range(0, batch.num_rows, 1000):
                 piece = batch.slice(lo, 1000)
                 if not out:
-                    encoder = Encoder(tokenizer_path)
+                    encoder = encoder_of(tokenizer_path)
                     fs, at = _filesystem(path)
                     fs.create_dir(at, recursive=True)
                     out = [fs.open_output_stream(f"{at}/{name}.{x}") for x in ("ids", "docs", "offs")]
@@ -136,7 +207,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in names], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["part", "file", "n_docs", "n_ids"])
 
     found = sorted(tuple(r) for r in rows.mapInArrow(write, PARTS).collect())  # one short row for each file
-    big = Encoder(tokenizer_path).big
+    big = vocabulary_size(tokenizer_path) > 1 << 16
     base, parts = 0, []
     for part, file, n_docs, n_ids in found:
         parts.append((part, file, base, n_docs, n_ids, "<u4" if big else "<u2"))
