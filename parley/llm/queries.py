@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality, sharding, token_files, urls
+from parley.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_files, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -56,11 +56,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *(F.col("quality_" + c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_sharding, op4_token_files, op5_url_filter, op6_line_dedup, op7_decontamination, op8_quality, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_sharding, op4_token_files, op5_url_filter, op6_line_dedup, op7_decontamination, op8_quality, op9_suffix_dedup, op10_mixing)}
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
