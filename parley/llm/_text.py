@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 U64 = np.uint64
 _R = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _RI = U64(pow(int(_R), -1, 1 << 64))

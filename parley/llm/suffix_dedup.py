@@ -33,7 +33,7 @@ HALF = (LENGTH - K) // 2
 #: Bits of an anchor's sort key that hold its place, the others hold its hash; a Spark string has under 2**31 bytes.
 PLACE_BITS = 31
 #: Bytes of runs that one suffix array is built over, about; more only where a single key has more.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 NULL_ID = -(1 << 63)
 BROADCAST_ROWS = 500_000
 RUN = "fp long, extent long, doc_id long, of long, a int, n int"
