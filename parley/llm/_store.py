@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +26,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Once it is written nothing reads its shuffles again, so Spark is told to drop their files at its end.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,3 +50,12 @@ def drop_table(df: DataFrame) -> None:
     """Drop the files behind a materialised frame."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
         remove(df.sparkSession, path)
+
+
+#: Rows up to which a narrow table goes to every task.
+BROADCAST_ROWS = 500_000
+
+
+def sent(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table, to be sent to every task if a count shows that it is small; else it is shuffled like any other."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids

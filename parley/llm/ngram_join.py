@@ -1,7 +1,7 @@
 """Exact Jaccard self-join on word shingles with a token-group matrix.
 
-Documents with the same shingles are one node. Nodes are put into groups of likely similar ones (by their least shingle under one
-hash; large groups are dealt into blocks of about BLOCK nodes), and each group stores the union of its members' tokens: the
+Documents with the same shingles are one node. Nodes are put into groups of likely similar ones (by their least shingles under three
+hashes; large groups are dealt into blocks of about BLOCK nodes), and each group stores the union of its members' tokens: the
 token-group matrix has one row for a token and a group, however many members hold it. Two groups can only hold a link
 if they share enough of the tokens that come first in a global order, so group pairs are found by joining the matrix with
 itself on tokens, bounded by what they share, and only pairs that pass are opened: their members' whole sets are then
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm._store import materialise
+from parley.llm._store import BROADCAST_ROWS, drop_table, materialise, sent
 from parley.llm._text import IS_SPACE, LOWER, PLACE, mix, prefix_hash, runs, sequence_hash, slices, span_hash
 from parley.llm.graph import components
 
@@ -32,10 +32,12 @@ SHINGLE = 5
 #: Jaccard similarity of a link, as a fraction.
 NUM, DEN = 4, 5
 BLOCK = 256
+#: Least tokens, each under a hash of its own, that the members of a group have in common. One alone would gather what shares a passage.
+LEASTS = 3
+#: Groups that visit a group in one task.
+ROOM = 400
 #: log2 of the sketch's width; the pieces it is summed in; how far over the mean a frequent slot is.
 SKETCH_BITS, PIECES, FREQUENT = 20, 64, 24
-#: Rows up to which a table of ids is sent to every task; a larger one is joined by shuffling.
-BROADCAST_ROWS = 500_000
 NULL_ID = -(1 << 63)
 U64 = np.uint64
 
@@ -101,7 +103,7 @@ def frequent_slots(docs: DataFrame) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's hash), least (its least token under another hash), tokens (the first ones; null where the
+    """doc_id, n, s1, s2 (the set's hash), least (a hash of its least tokens under LEASTS hashes), tokens (the first ones; null where the
     batch already holds the set)."""
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
@@ -116,7 +118,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     continue
                 key = set_key(s)
                 s1.append(key[0]), s2.append(key[1])
-                least.append(int(mix(s ^ PLACE[3]).min().view(np.int64)))
+                least.append(int(sequence_hash(np.array([mix(s ^ PLACE[3 + i]).min() for i in range(LEASTS)]), LEASTS)[0].view(np.int64)))
                 if key in seen:
                     tokens.append(None)
                     continue
@@ -129,8 +131,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _sent(ids: DataFrame) -> DataFrame:
-    """A narrow table, to be sent to every task if a count shows that it is small; else it is shuffled like any other."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    return sent(ids, BROADCAST_ROWS)
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -208,7 +209,10 @@ def across(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         union = np.unique(np.concatenate(y))
         return [i for i, s in enumerate(x) if DEN * int(np.isin(s, union, assume_unique=True).sum()) >= NUM * len(s)]
 
-    out, i, j = np.zeros((len(a), len(b)), bool), may(a, b), may(b, a)
+    out = np.zeros((len(a), len(b)), bool)
+    if not (a and b):
+        return out
+    i, j = may(a, b), may(b, a)
     if i and j:
         out[np.ix_(i, j)] = links([a[x] for x in i], [b[x] for x in j])
     return out
@@ -239,7 +243,7 @@ def _within(table: pa.Table) -> pa.Table:
 
 
 def _opened(table: pa.Table) -> pa.Table:
-    """Of one pair of groups: components that a link across the groups joins."""
+    """Of one group (side 0) and guests of other groups (side 1): components that a link between member and guest joins."""
     sides = table.column("side").to_numpy()
     comp, sets = table.column("comp").to_numpy(), [_as_set(x) for x in table.column("set").to_pylist()]
     i, j = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
@@ -279,8 +283,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(_signatures(rows, frequent_slots(rows)), "shingle-signatures")
-    full = signed.where("n > 0")
+    whole = materialise(_signatures(rows, frequent_slots(rows)), "shingle-signatures")
+    signed = materialise(whole.drop("tokens"), "shingle-documents")
+    full = whole.where("n > 0")
 
     # one node for each different set, named by its smallest document; groups of nodes
     nodes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("tokens", ignorenulls=True).alias("tokens"))
@@ -288,19 +293,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = materialise(large, "shingle-groups")
     block = F.when(F.col("size").isNotNull(), F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))).otherwise(0)
     nodes = nodes.join(_sent(large), "least", "left").select("s1", "s2", "rep", "n", F.xxhash64("least", block).alias("gid"), "tokens")
-    nodes = materialise(nodes, "shingle-nodes")
+    nodes_whole = materialise(nodes, "shingle-nodes")
+    drop_table(whole)
+    full, nodes = signed.where("n > 0"), materialise(nodes_whole.drop("tokens"), "shingle-names")
     groups = nodes.groupBy("gid").agg(F.count("*").alias("members"))
 
     # the matrix's tokens that two groups or more hold, joined with themselves
-    matrix = _matrix(nodes, partitions).withColumn("groups", F.count("*").over(W.partitionBy("token"))).where("groups > 1").drop("groups")
+    matrix = _matrix(nodes_whole, partitions).withColumn("groups", F.count("*").over(W.partitionBy("token"))).where("groups > 1").drop("groups")
     matrix = materialise(matrix, "shingle-matrix")
+    drop_table(nodes_whole)
     x, y = (matrix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "members", "low", "high", "at"))) for s in "ab")
     met = x.join(y, "token").where(f"gid_a < gid_b and {DEN} * high_a >= {NUM} * low_b and {DEN} * high_b >= {NUM} * low_a")
     pairs = met.groupBy("gid_a", "gid_b").agg(F.count("*").alias("common"), *(F.max(f"at_{s}").alias(f"at_{s}") for s in "ab"), *(F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in ("members", "high", "low") for s in "ab"))
+    # Of two sets of m and s <= m tokens, those with less of their prefix left over share at most what their prefixes share and the
+    # 0.8 m tokens after the longer prefix; a link takes 4/9 (m + s), where s is 0.8 m at least. Either group may have the larger set.
+    need = lambda x, y: 20 * F.greatest(0.8 * F.col(f"high_{x}"), F.col(f"low_{y}")) - 16 * F.col(f"high_{x}")
+    enough = 45 * F.col("common") >= F.least(need("a", "b"), need("b", "a")) - 1e-6
     # two lone members share no more than what they share up to the last common token, and what is left of each after it
     lone = F.expr("members_a = 1 and members_b = 1")
     most = F.when(lone, F.col("common") + F.least(F.col("high_a") - F.col("at_a"), F.col("high_b") - F.col("at_b")) - 1).otherwise(F.least("high_a", "high_b"))
-    pairs = materialise(pairs.where((NUM + DEN) * most >= NUM * (F.col("low_a") + F.col("low_b"))).select("gid_a", "gid_b", (~lone).alias("many")), "shingle-pairs")
+    pairs = pairs.where(enough & ((NUM + DEN) * most >= NUM * (F.col("low_a") + F.col("low_b"))))
+    pairs = materialise(pairs.select("gid_a", "gid_b", "members_a", "members_b"), "shingle-pairs")
+    drop_table(matrix)
 
     # whole sets of the groups that have more than one member or stand in a pair
     wanted = groups.where("members > 1").select("gid").unionByName(pairs.select(F.col("gid_a").alias("gid"))).unionByName(pairs.select(F.col("gid_b").alias("gid"))).distinct()
@@ -310,7 +324,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # links within groups, then between the leading members of each pair
     tops = sets.where("members > 1").select("gid", "rep", "set").groupBy("gid").applyInArrow(_within, "gid long, rep long, top long, lead boolean")
     tops = materialise(tops.unionByName(sets.where("members = 1").select("gid", "rep", F.col("rep").alias("top"), F.lit(True).alias("lead"))), "shingle-tops")
-    leads = materialise(sets.select("gid", "rep", "set").join(tops.where("lead").select("gid", "rep").distinct(), ["gid", "rep"]).dropDuplicates(["gid"]), "shingle-leads")
+    led = tops.where("lead").groupBy("gid").agg(F.min("rep").alias("rep"))
+    leads = materialise(sets.where("members > 1").select("gid", "rep", "set").join(led, ["gid", "rep"]), "shingle-leads")
+    leads = leads.unionByName(sets.where("members = 1").select("gid", "rep", "set"))
     a, b = (leads.select(F.col("gid").alias(f"gid_{s}"), F.col("rep").alias(s), F.col("set").alias(f"set_{s}")) for s in "ab")
     led = pairs.join(a, "gid_a").join(b, "gid_b").select("a", "b", "set_a", "set_b").mapInArrow(_alike_rows, "a long, b long")
     # rows of one id with different sets are one place in the graph
@@ -323,9 +339,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = materialise(tops.select("gid", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("comp")), "shingle-places")
     spread = at.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     sides = [spread.select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "lo", "hi"))) for s in "ab"]
-    open_pairs = pairs.where("many").join(sides[0], "gid_a").join(sides[1], "gid_b").where("least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
-    halves = open_pairs.select(F.xxhash64("gid_a", "gid_b").alias("pair"), F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"gid_{s}").alias("gid")) for i, s in enumerate("ab")))).alias("h")).select("pair", "h.side", "h.gid")
-    more = halves.join(at, "gid").join(sets.select("gid", "rep", "set"), ["gid", "rep"]).select("pair", "side", "comp", "set").groupBy("pair").applyInArrow(_opened, "a long, b long")
+    open_pairs = pairs.where("members_a + members_b > 2").join(sides[0], "gid_a").join(sides[1], "gid_b").where("least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
+    # the members of the smaller group go, as guests, to the larger one; many guests of one host are dealt into rooms
+    a_hosts = F.col("members_a") >= F.col("members_b")
+    visits = materialise(open_pairs.select(F.when(a_hosts, F.col("gid_a")).otherwise(F.col("gid_b")).alias("host"), F.when(a_hosts, F.col("gid_b")).otherwise(F.col("gid_a")).alias("gid")), "shingle-visits")
+    rooms = visits.groupBy("host").agg(F.ceil(F.count("*") / ROOM).alias("rooms"))
+    placed = at.join(sets.select("gid", "rep", "set"), ["gid", "rep"])
+    guests = visits.join(rooms, "host").withColumn("room", F.pmod(F.xxhash64("gid"), F.col("rooms"))).join(placed, "gid").select("host", "room", F.lit(1).alias("side"), "comp", "set")
+    hosts = rooms.select(F.col("host"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rooms") - 1)).alias("room")).join(placed.withColumnRenamed("gid", "host"), "host").select("host", "room", F.lit(0).alias("side"), "comp", "set")
+    more = hosts.unionByName(guests).groupBy("host", "room").applyInArrow(_opened, "a long, b long")
     more = materialise(more.where("a <> b"), "shingle-more")
     if not more.isEmpty():
         found = components(edges.unionByName(more))

@@ -39,6 +39,7 @@ def held(spark, rows):
 def test_join_against_brute_force(spark, monkeypatch):
     held(spark, made())
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "ROOM", 3)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     got = held(spark, made(2))
     assert len({c for _, c in got.values()}) < 350
