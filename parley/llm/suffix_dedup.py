@@ -6,7 +6,7 @@ strings meet: each start of a LENGTH-byte string has an anchor, the place of the
 depends on the string alone. The starts that share an anchor are a run; its extent is the bytes its strings cover.
 
 1. Documents that repeat an earlier one byte for byte are set aside: all of their strings start earlier.
-2. One row for each run, dealt and sorted by the hash of the anchor's K bytes, then of the extent. A run whose extent occurred
+2. One row for each run; those that repeat an earlier one of their batch are known at once. The others are dealt and sorted by the hash of the anchor's K bytes, then of the extent. A run whose extent occurred
    earlier is a repeat as a whole; the first of its extent is open if other extents share its anchor, else it is alone.
 3. The open runs' bytes are dealt by 70 bytes around the anchor. In each task a suffix array (difference cover modulo 3: triples,
    names, recursion, merge) is built over them in blocks of whole keys, neighbours are compared over LENGTH bytes, and of each
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm._store import materialise
+from parley.llm._store import BROADCAST_ROWS, materialise, sent
 from parley.llm._text import buffers, prefix_hash, slices, span_hash
 from parley.llm.suffix_array import equal_neighbours, suffix_array
 
@@ -35,8 +35,7 @@ PLACE_BITS = 31
 #: Bytes of runs that one suffix array is built over, about; more only where a single key has more.
 BLOCK_BYTES = 1 << 18
 NULL_ID = -(1 << 63)
-BROADCAST_ROWS = 500_000
-RUN = "fp long, extent long, doc_id long, of long, a int, n int"
+RUN = "fp long, extent long, doc_id long, of long, a int, n int, later boolean"
 RANGE = "doc_id long, of long, a int, n int"
 
 
@@ -71,20 +70,32 @@ def anchors(data: np.ndarray, offs: np.ndarray, p: np.ndarray) -> tuple[np.ndarr
 
 
 def _runs(docs: DataFrame) -> DataFrame:
+    """One row for each run. later: the batch itself holds an earlier run of that extent, so it is a repeat and need not meet others."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, of, got = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
             for lo, _, data, offs in slices(batch.column(2)):
                 p = prefix_hash(data)
                 doc, a, count, at, extent = anchors(data, offs, p)
                 fp = span_hash(p, at + offs[doc], at + offs[doc] + K)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(extent.view(np.int64)), pa.array(ids[lo + doc]), pa.array(of[lo + doc]), pa.array(a.astype(np.int32)), pa.array(count.astype(np.int32))], names=["fp", "extent", "doc_id", "of", "a", "n"])
+                got.append((fp.view(np.int64), extent.view(np.int64), lo + doc, a.astype(np.int32), count.astype(np.int32)))
+            if not got:
+                continue
+            fp, extent, doc, a, count = (np.concatenate(x) for x in zip(*got, strict=True))
+            order = np.lexsort((a, ids[doc], extent, fp))
+            fp, extent, doc, a, count = (x[order] for x in (fp, extent, doc, a, count))
+            fresh = np.ones(len(fp), bool)
+            fresh[1:] = (fp[1:] != fp[:-1]) | (extent[1:] != extent[:-1])
+            own = np.maximum.accumulate(np.where(fresh, np.arange(len(fp)), 0))
+            later = (ids[doc] != ids[doc[own]]) | (a != a[own])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, extent, ids[doc], of[doc], a, count, later)], names=["fp", "extent", "doc_id", "of", "a", "n", "later"])
 
     return docs.select("doc_id", "of", "data").mapInArrow(find, RUN)
 
 
 def _judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by fp, extent, doc_id, a. Keeps repeats (open: false) and first ones of an extent whose anchor others share (open: true)."""
+    """Rows sorted by later, fp, extent, doc_id, a. Keeps repeats (open: false) and first ones of an extent whose anchor others share (open: true)."""
     names = ["doc_id", "of", "a", "n", "open"]
     held: list | None = None  # the first run of the current anchor's first extent, until another extent follows
     last = first = None  # (fp, extent) of the row before, and its first row's (doc_id, a)
@@ -92,6 +103,12 @@ def _judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
+        known = batch.column(6).to_numpy(zero_copy_only=False)
+        if known.any():
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(batch.column(6)) for i in range(2, 6)), pa.array(np.zeros(int(known.sum()), bool))], names=names)
+            batch = batch.filter(pa.array(~known))
+            if not batch.num_rows:
+                continue
         fp, ex, doc, of, a, n = (batch.column(i).to_numpy() for i in range(6))
         new_fp, new_ex = np.ones(len(fp), bool), np.ones(len(fp), bool)
         new_fp[1:] = fp[1:] != fp[:-1]
@@ -243,8 +260,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sent(ids: DataFrame) -> DataFrame:
-    """A narrow table, to be sent to every task if a count shows that it is small; else it is shuffled like any other."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    return sent(ids, BROADCAST_ROWS)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +284,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = named.withColumn("h1", h1).join(sent_copies.withColumn("copy", F.lit(True)).withColumnRenamed("copy_h1", "h1"), ["doc_id", "h1"], "left").drop("h1")
     original = named.where(F.col("copy").isNull() & (F.octet_length("data") >= LENGTH))
 
-    runs = _runs(original).repartition(partitions, "fp").sortWithinPartitions("fp", "extent", "doc_id", "a").mapInArrow(_judge_runs, f"{RANGE}, open boolean")
+    deal = F.when(F.col("later"), F.xxhash64("doc_id", "a")).otherwise(F.col("fp"))
+    runs = _runs(original).repartition(partitions, deal).sortWithinPartitions("later", "fp", "extent", "doc_id", "a").mapInArrow(_judge_runs, f"{RANGE}, open boolean")
     runs = materialise(runs, "suffix-runs")
     opened = runs.where("open").groupBy("doc_id", "of").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     texts = materialise(_texts_of_open(original.join(opened, ["doc_id", "of"]).select("doc_id", "of", "data", "runs")), "suffix-open")
