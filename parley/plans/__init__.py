@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from parley.plans import archive, talk
+
+QUERIES = {**talk.QUERIES, **archive.QUERIES}
+ORACLE_SQL = {**talk.ORACLE_SQL, **archive.ORACLE_SQL}
