@@ -43,7 +43,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     # the level that this source and all with a higher cap per weight would get, were the lower ones at their caps
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     out = out.withColumn("level", level)
-    out = out.withColumn("cut", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole))
+    # the first source that its level does not bring over its cap sets the level for all after it; later levels are lower
+    out = out.withColumn("cut", F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole))
     return out.select("src", "source_size", "w", F.least("cap", F.coalesce(F.col("cut") * F.col("w"), F.col("cap"))).alias("target"))
 
 

@@ -130,7 +130,7 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER f, 0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0::DOUBLE)) AS level
   FROM s WINDOW f AS (ORDER BY cap / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT *, least(cap, coalesce(min(CASE WHEN level * w <= cap THEN level END) OVER () * w, cap)) AS target FROM l
+  SELECT *, least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER () * w, cap)) AS target FROM l
 ), q AS (
   SELECT d.*, source_size, w, target, sum(size) OVER (PARTITION BY d.src ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
   FROM d JOIN t ON d.src IS NOT DISTINCT FROM t.src

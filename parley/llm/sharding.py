@@ -50,8 +50,8 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", **options) -> DataFrame:
-    """Write docs under path, one folder for each shard (a row's id decides), and return shard, depth, shard_bytes, shard_rows."""
+    """Write docs under path, one folder for each shard (named b and its bits; a row's id decides), and return shard, depth, shard_bytes, shard_rows."""
     got = materialise(shards(docs, id_col, **options), "shards-done")
-    where = got.groupBy(F.col(id_col).alias("__id")).agg(F.min("shard").alias("shard"))
+    where = got.groupBy(F.col(id_col).alias("__id")).agg(F.concat(F.lit("b"), F.min("shard")).alias("shard"))
     docs.join(where, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id").write.partitionBy("shard").parquet(path)
     return got.select("shard", "depth", "shard_bytes", "shard_rows").distinct()
