@@ -6,6 +6,8 @@ tens of MB however large an Arrow batch is; a longer document forms a slice of i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +76,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+def give_back() -> None:
+    """Python workers outlive their tasks: hands memory that is free again back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts."""
     data, offs = buffers(texts)
@@ -83,6 +92,8 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.nd
         hi = min(hi, lo + 65536, n)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    if len(data) > 1 << 20:
+        give_back()
 
 
 def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

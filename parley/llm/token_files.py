@@ -27,7 +27,7 @@ from parley.llm._store import new_path
 from parley.llm._text import prefix_hash, runs, slices, span_hash
 
 #: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 #: White space at which texts are cut into words: the common part of what all tokenizers call so.
 APART = np.zeros(256, bool)
 APART[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -51,7 +51,7 @@ class Encoder:
     words' ids one after another, and a word that was met before is looked up. The words met are kept by 64-bit hash in an
     open-addressed table of numpy arrays; it starts anew when it holds REMEMBERED words."""
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
     #: Stands between words that are encoded in one call: one token of its own, and words that hold it are encoded apart.
     MARK = "\x01"
 
@@ -68,7 +68,7 @@ class Encoder:
     def _reset(self) -> None:
         self.keys[:] = 0
         self.n, self.n_ids = 0, 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32 if self.big else np.uint16)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -143,7 +143,7 @@ class Encoder:
             sizes = self.sizes[which].astype(np.int64)
             at = np.zeros(len(h) + 1, np.int64)
             np.cumsum(sizes, out=at[1:])
-            ids.append(self.ids[np.arange(at[-1]) + np.repeat(self.starts[which] - at[:-1], sizes)])
+            ids.append(self.ids[np.arange(at[-1]) + np.repeat(self.starts[which].astype(np.int64) - at[:-1], sizes)])
             offs.append(base + at[first[1:]])
             base += int(at[-1])
         return np.concatenate(ids) if ids else np.zeros(0, np.uint16), np.concatenate(offs)
