@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,10 @@ def _each(text: Column, kind: str) -> Column:
     return F.array_join(F.transform(pieces, lambda x: F.concat(x["gap"], F.coalesce(x["to"], F.lit("")))), "")
 
 
+def _step(kind: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(t.rlike(PATTERNS[kind]), _each(t, kind)).otherwise(t)
+
+
 def mask(text: Column, level: str = "full") -> Column:
     """level full: labels; partial: some characters stay; anything else: the text as it is. A partly masked resident number keeps two last digits."""
     if level not in ("full", "partial"):
@@ -55,11 +61,12 @@ def mask(text: Column, level: str = "full") -> Column:
             text = F.regexp_replace(text, p, "$1-****-****-$4")
         elif kind == "rrn":
             text = F.regexp_replace(text, r"(?<!\d)(\d{6})[-]?([1-4])\d{4}(\d{2})(?!\d)", "$1-$2****$3")
-        else:
-            text = F.when(text.rlike(p), _each(text, kind)).otherwise(text)
+        else:  # within an array of one, so that what came before is worked out once
+            text = F.element_at(F.transform(F.array(text), _step(kind)), 1)
     return text
 
 
 def mask_rows(rows: DataFrame, level: str = "full", column: str = "text") -> DataFrame:
     """rows with column masked, and changed: whether that made a difference."""
-    return rows.withColumn("changed", ~F.col(column).eqNullSafe(mask(F.col(column), level))).withColumn(column, mask(F.col(column), level))
+    both = rows.withColumn("__masked", mask(F.col(column), level))
+    return both.withColumn("changed", ~F.col(column).eqNullSafe(F.col("__masked"))).withColumn(column, F.col("__masked")).drop("__masked")
