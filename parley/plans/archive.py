@@ -296,4 +296,14 @@ SELECT o_orderkey, lpad((s // 3600)::VARCHAR, greatest(2, length((s // 3600)::VA
     "transcripts": r"""
 WITH s AS (SELECT conv_id, turn, role, text, (sum(100 * length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - 100 * length(text))::BIGINT // 1000 AS sec FROM conversations)
 SELECT conv_id AS meeting_id, string_agg('[' || lpad((sec // 60)::VARCHAR, greatest(2, length((sec // 60)::VARCHAR))::INT, '0') || ':' || lpad((sec % 60)::VARCHAR, 2, '0') || '] ' || role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM s GROUP BY 1""",
+    "safe_names": r"""
+SELECT page_id, substr(regexp_replace(trim(regexp_replace(url, '[\\/:*?"<>|\r\n]+', '_', 'g')), '\s+', ' ', 'g'), 1, 80) AS name, regexp_replace(lower(url), '[^a-z0-9._-]', '_', 'g') AS key, substr(sha256(url || '|' || page_id), 1, 16) AS fingerprint,
+  CASE WHEN length(h) > 80 THEN substr(h, 1, 77) || '...' ELSE h END AS head FROM (SELECT *, trim(regexp_replace(coalesce(html, ''), '\s+', ' ', 'g')) AS h FROM pages)""",
+    "search_words": rf"""
+WITH {M}, w AS (SELECT id, list_filter(regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS b FROM d),
+c AS (SELECT id, len(a) + len(b) AS sz, len(list_filter(a || b, lambda x: x = 'thing')) AS tf0, len(list_filter(a || b, lambda x: x = 'and')) AS tf1 FROM w),
+t AS (SELECT *, count(*) OVER () AS N, sum(sz) OVER () AS DD, count(*) FILTER (tf0 > 0) OVER () AS n0, count(*) FILTER (tf1 > 0) OVER () AS n1 FROM c),
+s AS (SELECT id, (tf0 + tf1)::BIGINT AS hits, -(greatest(ln((N - n0 + 0.5) / (n0 + 0.5)), CASE WHEN ln((N - n0 + 0.5) / (n0 + 0.5)) > 0 THEN 0 ELSE 1e-6 END) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * sz * N / DD))
+  + greatest(ln((N - n1 + 0.5) / (n1 + 0.5)), CASE WHEN ln((N - n1 + 0.5) / (n1 + 0.5)) > 0 THEN 0 ELSE 1e-6 END) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * sz * N / DD))) AS sc FROM t WHERE tf0 > 0 AND tf1 > 0)
+SELECT id, round(sc, 6) AS score, hits FROM s ORDER BY sc, id LIMIT 30""",
 }
