@@ -1,17 +1,19 @@
 """Exact Jaccard self-join on word shingles with a token-group matrix.
 
-Documents with the same shingles are one node. Nodes are put into groups of likely similar ones (by their least shingles under three
-hashes; large groups are dealt into blocks of about BLOCK nodes), and each group stores the union of its members' tokens: the
-token-group matrix has one row for a token and a group, however many members hold it. Two groups can only hold a link
-if they share enough of the tokens that come first in a global order, so group pairs are found by joining the matrix with
-itself on tokens, bounded by what they share, and only pairs that pass are opened: their members' whole sets are then
-compared, first each against the other group's union.
+Documents with the same shingles are one node. Nodes are partitioned into groups of similar ones: in each of ROUNDS rounds, nodes that have
+the same least shingles under two hashes are compared, in blocks of about BLOCK, and those that links connect become one group, of
+which only the top goes on to the next round. A group is thus a connected set, and a family of n near copies costs about n comparisons.
+
+Each group stores the union of its members' tokens: the token-group matrix has one row for a token and a group, however many
+members hold it. Two groups can only hold a further link if they share enough of the tokens that come first in a global order, so
+group pairs are found by joining the matrix with itself on tokens, bounded by what they share, and only pairs that pass are
+opened: first their tops are compared, then, where that does not connect them, the members of one against those of the other that
+the other's whole token union lets qualify.
 
 The global order puts frequent tokens last. Frequencies come from a count sketch of fixed width over all documents; any order
 gives right results, the sketch only keeps common passages out of the matrix.
 
-Links are needed for what they connect: within a component that is already connected no further pair is compared, so a group of
-n near copies costs about n comparisons, not n * n.
+Links are needed for what they connect: no pair is compared within a group, or between groups that are connected already.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ SHINGLE = 5
 #: Jaccard similarity of a link, as a fraction.
 NUM, DEN = 4, 5
 BLOCK = 256
-#: Least tokens, each under a hash of its own, that the members of a group have in common. One alone would gather what shares a passage.
-LEASTS = 3
+#: Rounds of grouping, and least tokens, each under a hash of its own, that are equal in one. One alone would gather what shares a passage.
+ROUNDS, LEASTS = 3, 2
 #: Groups that visit a group in one task.
 ROOM = 400
 #: log2 of the sketch's width; the pieces it is summed in; how far over the mean a frequent slot is.
 SKETCH_BITS, PIECES, FREQUENT = 20, 64, 24
+LEAST = [f"least{r}" for r in range(ROUNDS)]
 NULL_ID = -(1 << 63)
 U64 = np.uint64
 
@@ -103,31 +106,32 @@ def frequent_slots(docs: DataFrame) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's hash), least (a hash of its least tokens under LEASTS hashes), tokens (the first ones; null where the
-    batch already holds the set)."""
+    """doc_id, n, s1, s2 (the set's hash), least0 ... (of each round, a hash of its least tokens), tokens (the first ones; null where the batch
+    already holds the set)."""
     packed = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(packed.value).astype(bool)
         for batch in batches:
-            n, s1, s2, least, tokens, seen = [], [], [], [], [], set()
+            n, keys, least, tokens, seen = [], [], [], [], set()
             for s in sets_of(batch.column(1)):
                 n.append(len(s))
                 if not len(s):
-                    s1.append(0), s2.append(0), least.append(0), tokens.append(None)
+                    keys.append((0, 0)), least.append((0,) * ROUNDS), tokens.append(None)
                     continue
-                key = set_key(s)
-                s1.append(key[0]), s2.append(key[1])
-                least.append(int(sequence_hash(np.array([mix(s ^ PLACE[3 + i]).min() for i in range(LEASTS)]), LEASTS)[0].view(np.int64)))
-                if key in seen:
+                keys.append(set_key(s))
+                mins = np.array([mix(s ^ PLACE[3 + i]).min() for i in range(ROUNDS * LEASTS)]).reshape(ROUNDS, LEASTS)
+                least.append(tuple(int(sequence_hash(m, LEASTS)[0].view(np.int64)) for m in mins))
+                if keys[-1] in seen:
                     tokens.append(None)
                     continue
-                seen.add(key)
+                seen.add(keys[-1])
                 late = common[s >> U64(64 - SKETCH_BITS)]
                 tokens.append(np.concatenate([s[~late], s[late]])[: prefix_len(len(s))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in (s1, s2, least)), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "least", "tokens"])
+            longs = [pa.array([x[i] for x in rows], pa.int64()) for rows, k in ((keys, 2), (least, ROUNDS)) for i in range(k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *longs, pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", *LEAST, "tokens"])
 
-    return docs.mapInArrow(sign, "doc_id long, n int, s1 long, s2 long, least long, tokens array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n int, s1 long, s2 long, " + ", ".join(f"{c} long" for c in LEAST) + ", tokens array<long>")
 
 
 def _sent(ids: DataFrame) -> DataFrame:
@@ -140,41 +144,29 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _matrix(nodes: DataFrame, partitions: int) -> DataFrame:
-    """token, gid, members, low, high (sizes of the smallest and the largest member), at (the token's place in a lone member)."""
-
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-
-        def out(rows: list) -> list[np.ndarray]:
-            if len(rows) == 1:
-                t, at = rows[0][2], np.arange(len(rows[0][2]), dtype=np.int32)
-            else:
-                t = np.unique(np.concatenate([r[2] for r in rows]))
-                at = np.full(len(t), -1, np.int32)
-            sizes = [r[1] for r in rows]
-            return [t, np.full(len(t), rows[0][0], np.int64), np.full(len(t), len(rows), np.int32), np.full(len(t), min(sizes), np.int32), np.full(len(t), max(sizes), np.int32), at]
+    """nodes: cl, lone, low, high, tokens. Returns token, cl, lone, low, high, at (the token's place in a lone node): tokens of two groups or more.
 
-        def batch_of(done: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[i] for d in done])) for i in range(6)], names=["token", "gid", "members", "low", "high", "at"])
+    Each batch first unites the tokens of a group's members, so that few rows of a large group are shuffled; a token's rows then meet once.
+    """
 
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done, flat, offs = [], batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
+            flat, offs = batch.column(4).flatten().to_numpy(), batch.column(4).offsets.to_numpy()
             offs = offs - offs[0]
-            for i, (g, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if held and held[0][0] != g:
-                    done.append(out(held))
-                    held = []
-                held.append((g, n, flat[offs[i] : offs[i + 1]].copy()))
-                if len(done) >= 2000:
-                    yield batch_of(done)
-                    done = []
-            if done:
-                yield batch_of(done)
-        if held:
-            yield batch_of([out(held)])
-
-    rows = nodes.select("gid", "n", "tokens").repartition(partitions, "gid").sortWithinPartitions("gid")
-    return rows.mapInArrow(unite, "token long, gid long, members int, low int, high int, at int")
+            at = np.arange(len(flat)) - np.repeat(offs[:-1], np.diff(offs))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+            cl, lone = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            shared = np.flatnonzero(~lone[row])
+            order = shared[np.lexsort((flat[shared], cl[row[shared]]))]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (flat[order][1:] != flat[order][:-1]) | (cl[row[order]][1:] != cl[row[order]][:-1])
+            keep = np.concatenate([np.flatnonzero(lone[row]), order[fresh]])
+            r = row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (flat[keep], cl[r], lone[r], batch.column(2).to_numpy()[r], batch.column(3).to_numpy()[r], at[keep].astype(np.int32))], names=["token", "cl", "lone", "low", "high", "at"])
+
+    rows = nodes.select("cl", "lone", "low", "high", "tokens").mapInArrow(unite, "token long, cl long, lone boolean, low int, high int, at int")
+    one = rows.repartition(partitions, "token").groupBy("token", "cl").agg(*(F.first(c).alias(c) for c in ("lone", "low", "high", "at")))
+    return one.withColumn("groups", F.count("*").over(W.partitionBy("token"))).where("groups > 1").drop("groups")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -234,21 +226,21 @@ def _as_set(raw: bytes) -> np.ndarray:
 
 
 def _within(table: pa.Table) -> pa.Table:
-    """Of one group: each member with the least member that it reaches, and whether the group is led by it."""
-    table = table.sort_by("rep")
-    reps, sets = table.column("rep").to_numpy(), [_as_set(x) for x in table.column("set").to_pylist()]
+    """Of one block of nodes: each that reaches a smaller one by links, with the smallest that it reaches."""
+    table = table.sort_by("node")
+    nodes, sets = table.column("node").to_numpy(), [_as_set(x) for x in table.column("set").to_pylist()]
     part = parts_of(links(sets, sets) | np.eye(len(sets), dtype=bool))
-    lead = np.arange(len(reps)) == np.bincount(part).argmax()
-    return pa.table({"gid": table.column("gid"), "rep": reps, "top": reps[part], "lead": lead})
+    moved = np.flatnonzero(part != np.arange(len(part)))
+    return pa.table({"node": nodes[moved], "top": nodes[part[moved]]})
 
 
 def _opened(table: pa.Table) -> pa.Table:
-    """Of one group (side 0) and guests of other groups (side 1): components that a link between member and guest joins."""
+    """Of a block of one group's members (side 0) and guests of other groups (side 1): groups that a link between member and guest joins."""
     sides = table.column("side").to_numpy()
-    comp, sets = table.column("comp").to_numpy(), [_as_set(x) for x in table.column("set").to_pylist()]
+    cl, sets = table.column("cl").to_numpy(), [_as_set(x) for x in table.column("set").to_pylist()]
     i, j = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     x, y = np.nonzero(across([sets[k] for k in i], [sets[k] for k in j]))
-    pairs = np.unique(np.stack([comp[i[x]], comp[j[y]]], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.stack([cl[i[x]], cl[j[y]]], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -258,18 +250,35 @@ def _alike_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """rows: gid, rep, s1, s2, members, text. Returns gid, rep, members, set of those rows whose set has the hash s1, s2."""
+def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set of nodes (doc_id, node, s2), read from their documents again. Rows of the id with another text are passed over."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 b = batch.slice(lo, 1000)
-                sets = list(sets_of(b.column(5)))
-                ok = pa.array([set_key(s) == k for s, k in zip(sets, zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (b.column(0), b.column(1), b.column(4), pa.array([s.tobytes() for s in sets], pa.binary()))], names=["gid", "rep", "members", "set"])
-
-    return rows.mapInArrow(make, "gid long, rep long, members long, set binary")
+                sets = list(sets_of(b.column(2)))
+                ok = pa.array([set_key(s) == k for s, k in zip(sets, zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), pa.array([s.tobytes() for s in sets], pa.binary()).filter(ok)], names=["node", "set"])
+
+    return rows.join(_sent(nodes.select("doc_id", "node", "s2")), "doc_id").select("node", "s2", "text").mapInArrow(make, "node long, set binary")
+
+
+def _groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, top: the nodes that are not their group's top, over all rounds. nodes: node, least0 ..., those that have a set."""
+    moved = None
+    active = nodes
+    for r in range(ROUNDS):
+        met = active.groupBy(LEAST[r]).agg(F.count("*").alias("k")).where("k > 1")
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / BLOCK))
+        dealt = materialise(active.join(_sent(materialise(met, "shingle-keys")), LEAST[r]).select("node", F.xxhash64(LEAST[r], block).alias("gid")), "shingle-blocks")
+        step = materialise(sets.join(_sent(dealt), "node").groupBy("gid").applyInArrow(_within, "node long, top long").groupBy("node").agg(F.min("top").alias("top")), "shingle-step")
+        active = active.join(_sent(step.select("node")), "node", "left_anti")
+        # what went to a node that now goes on goes on with it
+        on = step.select(F.col("node").alias("top"), F.col("top").alias("next"))
+        moved = step if moved is None else moved.join(_sent(on), "top", "left").select("node", F.coalesce("next", "top").alias("top")).unionByName(step)
+        moved = materialise(moved, "shingle-moved")
+    return moved
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,75 +293,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     whole = materialise(_signatures(rows, frequent_slots(rows)), "shingle-signatures")
-    signed = materialise(whole.drop("tokens"), "shingle-documents")
-    full = whole.where("n > 0")
-
-    # one node for each different set, named by its smallest document; groups of nodes
-    nodes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("tokens", ignorenulls=True).alias("tokens"))
-    large = full.select("least", "s1", "s2").distinct().groupBy("least").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    large = materialise(large, "shingle-groups")
-    block = F.when(F.col("size").isNotNull(), F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))).otherwise(0)
-    nodes = nodes.join(_sent(large), "least", "left").select("s1", "s2", "rep", "n", F.xxhash64("least", block).alias("gid"), "tokens")
-    nodes_whole = materialise(nodes, "shingle-nodes")
+    signed = materialise(whole.select("doc_id", "n", F.col("s1").alias("node"), "s2"), "shingle-documents")
+
+    # one node for each different set, which its smallest document stands for
+    first = [F.first(c).alias(c) for c in ("n", *LEAST)]
+    full = whole.where("n > 0").withColumnRenamed("s1", "node").groupBy("node", "s2").agg(F.min("doc_id").alias("doc_id"), *first, F.first("tokens", ignorenulls=True).alias("tokens"))
+    full = materialise(full, "shingle-nodes")
     drop_table(whole)
-    full, nodes = signed.where("n > 0"), materialise(nodes_whole.drop("tokens"), "shingle-names")
-    groups = nodes.groupBy("gid").agg(F.count("*").alias("members"))
+    nodes = materialise(full.drop("tokens"), "shingle-names")
+
+    # groups
+    keys = nodes.select("node", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.col(c).alias("least")) for r, c in enumerate(LEAST)))).alias("k")).select("node", "k.*")
+    often = materialise(keys.groupBy("r", "least").agg(F.count("*").alias("k")).where("k > 1").select("r", "least"), "shingle-often")
+    near = materialise(keys.join(_sent(often), ["r", "least"], "left_semi").select("node").distinct(), "shingle-near")
+    candidates = materialise(nodes.join(_sent(near), "node", "left_semi"), "shingle-candidates")
+    sets = materialise(_sets(rows, candidates), "shingle-sets")
+    moved = _groups(candidates.select("node", *LEAST), sets)
+    members = moved.unionByName(moved.select(F.col("top").alias("node"), "top").distinct())
+    sizes = members.join(nodes.select("node", "n"), "node").groupBy("top").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    many = materialise(members.join(sizes, "top").withColumnRenamed("top", "cl"), "shingle-members")
 
     # the matrix's tokens that two groups or more hold, joined with themselves
-    matrix = _matrix(nodes_whole, partitions).withColumn("groups", F.count("*").over(W.partitionBy("token"))).where("groups > 1").drop("groups")
-    matrix = materialise(matrix, "shingle-matrix")
-    drop_table(nodes_whole)
-    x, y = (matrix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "members", "low", "high", "at"))) for s in "ab")
-    met = x.join(y, "token").where(f"gid_a < gid_b and {DEN} * high_a >= {NUM} * low_b and {DEN} * high_b >= {NUM} * low_a")
-    pairs = met.groupBy("gid_a", "gid_b").agg(F.count("*").alias("common"), *(F.max(f"at_{s}").alias(f"at_{s}") for s in "ab"), *(F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in ("members", "high", "low") for s in "ab"))
+    placed = full.join(_sent(many), "node", "left").select(F.coalesce("cl", "node").alias("cl"), F.col("cl").isNull().alias("lone"), F.coalesce("low", "n").alias("low"), F.coalesce("high", "n").alias("high"), "tokens")
+    matrix = materialise(_matrix(placed, partitions), "shingle-matrix")
+    drop_table(full)
+    x, y = (matrix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cl", "lone", "low", "high", "at"))) for s in "ab")
+    met = x.join(y, "token").where(f"cl_a < cl_b and {DEN} * high_a >= {NUM} * low_b and {DEN} * high_b >= {NUM} * low_a")
+    pairs = met.groupBy("cl_a", "cl_b").agg(F.count("*").alias("common"), *(F.max(f"at_{s}").alias(f"at_{s}") for s in "ab"), *(F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in ("lone", "high", "low") for s in "ab"))
     # Of two sets of m and s <= m tokens, those with less of their prefix left over share at most what their prefixes share and the
     # 0.8 m tokens after the longer prefix; a link takes 4/9 (m + s), where s is 0.8 m at least. Either group may have the larger set.
     need = lambda x, y: 20 * F.greatest(0.8 * F.col(f"high_{x}"), F.col(f"low_{y}")) - 16 * F.col(f"high_{x}")
     enough = 45 * F.col("common") >= F.least(need("a", "b"), need("b", "a")) - 1e-6
-    # two lone members share no more than what they share up to the last common token, and what is left of each after it
-    lone = F.expr("members_a = 1 and members_b = 1")
+    # two lone nodes share no more than what they share up to the last common token, and what is left of each after it
+    lone = F.col("lone_a") & F.col("lone_b")
     most = F.when(lone, F.col("common") + F.least(F.col("high_a") - F.col("at_a"), F.col("high_b") - F.col("at_b")) - 1).otherwise(F.least("high_a", "high_b"))
     pairs = pairs.where(enough & ((NUM + DEN) * most >= NUM * (F.col("low_a") + F.col("low_b"))))
-    pairs = materialise(pairs.select("gid_a", "gid_b", "members_a", "members_b"), "shingle-pairs")
+    pairs = materialise(pairs.select("cl_a", "cl_b", lone.alias("lone")), "shingle-pairs")
     drop_table(matrix)
 
-    # whole sets of the groups that have more than one member or stand in a pair
-    wanted = groups.where("members > 1").select("gid").unionByName(pairs.select(F.col("gid_a").alias("gid"))).unionByName(pairs.select(F.col("gid_b").alias("gid"))).distinct()
-    chosen = materialise(nodes.select("gid", F.col("rep").alias("doc_id"), "rep", "s1", "s2").join(_sent(materialise(wanted, "shingle-wanted")), "gid").join(groups, "gid"), "shingle-chosen")
-    sets = materialise(_sets(rows.join(_sent(chosen), "doc_id").select("gid", "rep", "s1", "s2", "members", "text")), "shingle-sets")
-
-    # links within groups, then between the leading members of each pair
-    tops = sets.where("members > 1").select("gid", "rep", "set").groupBy("gid").applyInArrow(_within, "gid long, rep long, top long, lead boolean")
-    tops = materialise(tops.unionByName(sets.where("members = 1").select("gid", "rep", F.col("rep").alias("top"), F.lit(True).alias("lead"))), "shingle-tops")
-    led = tops.where("lead").groupBy("gid").agg(F.min("rep").alias("rep"))
-    leads = materialise(sets.where("members > 1").select("gid", "rep", "set").join(led, ["gid", "rep"]), "shingle-leads")
-    leads = leads.unionByName(sets.where("members = 1").select("gid", "rep", "set"))
-    a, b = (leads.select(F.col("gid").alias(f"gid_{s}"), F.col("rep").alias(s), F.col("set").alias(f"set_{s}")) for s in "ab")
-    led = pairs.join(a, "gid_a").join(b, "gid_b").select("a", "b", "set_a", "set_b").mapInArrow(_alike_rows, "a long, b long")
+    # the tops of each pair are compared
+    tops = materialise(pairs.select(F.explode(F.array("cl_a", "cl_b")).alias("node")).distinct(), "shingle-tops")
+    lacking = nodes.join(_sent(tops), "node", "left_semi").join(_sent(near), "node", "left_anti")
+    more_sets = materialise(_sets(rows, materialise(lacking, "shingle-lacking")), "shingle-more-sets")
+    leads = sets.join(_sent(tops), "node", "left_semi").unionByName(more_sets)
+    a, b = (leads.select(F.col("node").alias(f"cl_{s}"), F.col("set").alias(f"set_{s}")) for s in "ab")
+    led = pairs.join(a, "cl_a").join(b, "cl_b").select("cl_a", "cl_b", "set_a", "set_b").mapInArrow(_alike_rows, "a long, b long")
     # rows of one id with different sets are one place in the graph
-    twice = full.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select("doc_id")
-    same = full.join(twice, "doc_id").join(nodes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = materialise(tops.select(F.col("rep").alias("a"), F.col("top").alias("b")).where("a <> b").unionByName(led).unionByName(same), "shingle-edges")
+    group = many.select("node", "cl")
+    twice = signed.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
+    same = signed.where("n > 0").join(twice, "doc_id").join(group, "node", "left").select(F.col("x"), F.coalesce("cl", "node").alias("b")).join(group.withColumnRenamed("node", "x"), "x", "left").select(F.coalesce("cl", "x").alias("a"), "b")
+    edges = materialise(led.unionByName(same), "shingle-edges")
     found = components(edges)
 
-    # pairs with a group of several members that are not all of one component yet are opened whole
-    at = materialise(tops.select("gid", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("comp")), "shingle-places")
-    spread = at.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    sides = [spread.select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "lo", "hi"))) for s in "ab"]
-    open_pairs = pairs.where("members_a + members_b > 2").join(sides[0], "gid_a").join(sides[1], "gid_b").where("least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
-    # the members of the smaller group go, as guests, to the larger one; many guests of one host are dealt into rooms
-    a_hosts = F.col("members_a") >= F.col("members_b")
-    visits = materialise(open_pairs.select(F.when(a_hosts, F.col("gid_a")).otherwise(F.col("gid_b")).alias("host"), F.when(a_hosts, F.col("gid_b")).otherwise(F.col("gid_a")).alias("gid")), "shingle-visits")
-    rooms = visits.groupBy("host").agg(F.ceil(F.count("*") / ROOM).alias("rooms"))
-    placed = at.join(sets.select("gid", "rep", "set"), ["gid", "rep"])
-    guests = visits.join(rooms, "host").withColumn("room", F.pmod(F.xxhash64("gid"), F.col("rooms"))).join(placed, "gid").select("host", "room", F.lit(1).alias("side"), "comp", "set")
-    hosts = rooms.select(F.col("host"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rooms") - 1)).alias("room")).join(placed.withColumnRenamed("gid", "host"), "host").select("host", "room", F.lit(0).alias("side"), "comp", "set")
-    more = hosts.unionByName(guests).groupBy("host", "room").applyInArrow(_opened, "a long, b long")
-    more = materialise(more.where("a <> b"), "shingle-more")
+    # pairs that hold a group of several members and are not connected yet are opened whole: the smaller one's members visit the larger one's
+    label = [found.select(F.col("node").alias(f"cl_{s}"), F.col("component").alias(f"comp_{s}")) for s in "ab"]
+    sized = [sizes.select(F.col("top").alias(f"cl_{s}"), F.col("members").alias(f"members_{s}")) for s in "ab"]
+    unmet = pairs.where("not lone")
+    for part in (*label, *sized):
+        unmet = unmet.join(part, part.columns[0], "left")
+    unmet = unmet.where("coalesce(comp_a, cl_a) <> coalesce(comp_b, cl_b)")
+    a_hosts = F.coalesce("members_a", F.lit(1)) >= F.coalesce("members_b", F.lit(1))
+    visits = unmet.select(F.when(a_hosts, F.col("cl_a")).otherwise(F.col("cl_b")).alias("host"), F.when(a_hosts, F.col("cl_b")).otherwise(F.col("cl_a")).alias("cl"), F.greatest(F.coalesce("members_a", F.lit(1)), F.coalesce("members_b", F.lit(1))).alias("members"))
+    visits = materialise(visits, "shingle-visits")
+    rooms = visits.groupBy("host").agg(F.ceil(F.count("*") / ROOM).alias("rooms"), F.ceil(F.first("members") / BLOCK).alias("blocks"))
+    every = sets.join(group, "node").unionByName(more_sets.withColumn("cl", F.col("node"))).unionByName(sets.withColumn("cl", F.col("node")).join(group.select("node"), "node", "left_anti"))
+    counted = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    guests = visits.join(rooms, "host").withColumn("room", F.pmod(F.xxhash64("cl"), F.col("rooms"))).withColumn("block", counted("blocks")).join(every, "cl").select("host", "room", "block", F.lit(1).alias("side"), "cl", "set")
+    hosts = rooms.join(every.select(F.col("cl").alias("host"), "node", "set"), "host").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("room", counted("rooms")).select("host", "room", "block", F.lit(0).alias("side"), F.col("host").alias("cl"), "set")
+    more = materialise(hosts.unionByName(guests).groupBy("host", "room", "block").applyInArrow(_opened, "a long, b long").distinct(), "shingle-more")
     if not more.isEmpty():
         found = components(edges.unionByName(more))
 
-    out = signed.select("doc_id", "n", "s1", "s2").join(nodes.select("s1", "s2", "rep"), ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
-    out = out.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(back("doc_id").alias(id_col), "n_shingles", back("component_id").alias("component_id"))
+    # of each component the smallest document
+    place = nodes.select("node", "s2", "doc_id").join(group, "node", "left").withColumn("cl", F.coalesce("cl", "node")).join(found.withColumnRenamed("node", "cl"), "cl", "left").select("node", "s2", "doc_id", F.coalesce("component", "cl").alias("comp"))
+    least = place.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = materialise(place.join(least, "comp").select("node", "s2", "component_id"), "shingle-components")
+    out = signed.where("n > 0").join(named, ["node", "s2"]).select("doc_id", "n", "component_id")
+    other = out.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    empty = signed.where("n = 0").select("doc_id", "n").join(other, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+    return out.unionByName(empty).select(back("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), back("component_id"))
