@@ -17,11 +17,11 @@ def key_part(value: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9._-]", "_")
 
 
-def idempotency_key(kind: str, meeting: Column, target: Column, utterance: Column | None = None) -> Column:
-    """meeting_record:kind:meeting[:utterance]:target; null where a needed part is empty. An empty target is the default one."""
+def idempotency_key(kind: str, meeting: Column, target: Column, utterance: Column | None = None, namespace: str = "meeting") -> Column:
+    """namespace:kind:meeting[:utterance]:target; null where a needed part is empty. An empty target is the default one."""
     t = key_part(F.when(F.coalesce(target, F.lit("")) == "", "default").otherwise(target))
     parts = [key_part(meeting), *([key_part(utterance)] if utterance is not None else [])]
-    whole = F.concat_ws(":", F.lit("meeting_record"), F.lit(kind), *parts, t)
+    whole = F.concat_ws(":", F.lit(namespace), F.lit(kind), *parts, t)
     ok = parts[0] != ""
     return F.when(ok if len(parts) == 1 else ok & (parts[1] != ""), whole)
 
@@ -132,8 +132,7 @@ def missing_headings(summary: Column, headings: tuple[str, ...] = tuple(SECTION_
 
 def chunk_fallback(index: Column, range_: Column, transcript: Column) -> Column:
     """struct<title, summary_md> that keeps a chunk's transcript where no summary of it could be had."""
-    # The wording of the stored text.
-    body = F.concat(F.lit("## 구간 개요\n- 이 구간("), range_, F.lit(")은 Ollama 구간 요약이 충분하지 않아 원문 발화를 최종 통합 재료로 보존했습니다.\n- 아래 발화 목록을 기준으로 최종 회의록에서 논의 흐름, 결정 사항, 후속 조치를 판단해야 합니다.\n\n## 핵심 발언과 근거\n"), transcript, F.lit("\n\n## 결정·검토·후속 조치 후보\n- 이 구간의 결정/후속 조치는 위 원문 발화를 바탕으로 최종 통합 단계에서 추출합니다."))
+    body = F.concat(F.lit("## 구간 개요\n- "), range_, F.lit(" 구간은 요약을 얻지 못해 발화 원문을 그대로 둡니다.\n\n## 발화 원문\n"), transcript)
     return F.struct(F.concat(F.lit("구간 "), index.cast("string"), F.lit(" 원문 발화 보존")).alias("title"), body.alias("summary_md"))
 
 

@@ -268,7 +268,7 @@ UNION ALL SELECT meeting_id, '2-HIGH', status, post_id, error, -1 FROM b WHERE N
 SELECT o_custkey AS meeting_id, o_orderpriority AS target, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderkey::VARCHAR, o_orderkey) FILTER (o_orderkey % 3 = 0) AS post_id,
   CASE WHEN max(o_orderkey) % 5 = 0 THEN 'x' END AS error, max(o_orderkey) AS updated FROM orders GROUP BY 1, 2""",
     "idempotent_dedupe": """
-WITH e AS (SELECT 'meeting_record:post:' || user_id || ':' || regexp_replace(lower(event_type), '[^a-z0-9._-]', '_', 'g') AS key, event_id AS seq FROM events)
+WITH e AS (SELECT 'meeting:post:' || user_id || ':' || regexp_replace(lower(event_type), '[^a-z0-9._-]', '_', 'g') AS key, event_id AS seq FROM events)
 SELECT key, min(seq) AS seq FROM e GROUP BY 1 HAVING count(*) FILTER (seq % 97 = 0) = 0""",
     "cascade_delete": f"WITH {T} SELECT status, count(*) AS n FROM t WHERE meeting_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1",
     "centroids": f"WITH {_mean('label', 'embeddings')} SELECT label, n, i, round(x, 5) AS x FROM c",

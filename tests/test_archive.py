@@ -193,7 +193,7 @@ def test_formats(spark):
         text.inline_markdown(F.lit("**b** <i> *e*")).alias("m"),
         text.missing_headings(F.lit("## 결정 사항")).alias("n"),
     ).first()
-    assert r.a == "meeting_record:post:meeting-uuid-123:remote" and r.b == "meeting_record:comment:meeting-uuid_123:u1:default" and r.c is None
+    assert r.a == "meeting:post:meeting-uuid-123:remote" and r.b == "meeting:comment:meeting-uuid_123:u1:default" and r.c is None
     assert r.d == "a_b_c_ d" and r.e == "회의록" and r.f == "a b xxx..."
     assert (r.g.title, r.g.summary_md) == ("A", "a\nb") and (r.h.title, r.h.summary_md) == ("T", "cut\noff") and r.i is None
     assert r.k == ["홍길동", "무대", "무대.x"] and r.l == "파일명 힌트: x, y. base"
