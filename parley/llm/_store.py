@@ -52,6 +52,11 @@ def drop_table(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Drop all intermediate tables and token files that this library left in the shared folder. Frames that read them end with it."""
+    remove(spark, f"{shared_dir(spark)}/parley")
+
+
 #: Rows up to which a narrow table goes to every task.
 BROADCAST_ROWS = 500_000
 

@@ -1,8 +1,8 @@
 """Exact Jaccard self-join on word shingles with a token-group matrix.
 
 Documents with the same shingles are one node. Nodes are partitioned into groups of similar ones: in each of ROUNDS rounds, nodes that have
-the same least shingles under two hashes are compared, in blocks of about BLOCK, and those that links connect become one group, of
-which only the top goes on to the next round. A group is thus a connected set, and a family of n near copies costs about n comparisons.
+the same least shingles under two hashes are compared, in blocks of about BLOCK, and all that links connect, over the rounds, become one
+group. A group is thus a connected set, and a family of n near copies costs about n * BLOCK comparisons.
 
 Each group stores the union of its members' tokens: the token-group matrix has one row for a token and a group, however many
 members hold it. Two groups can only hold a further link if they share enough of the tokens that come first in a global order, so
@@ -10,8 +10,8 @@ group pairs are found by joining the matrix with itself on tokens, bounded by wh
 opened: first their tops are compared, then, where that does not connect them, the members of one against those of the other that
 the other's whole token union lets qualify.
 
-The global order puts frequent tokens last. Frequencies come from a count sketch of fixed width over all documents; any order
-gives right results, the sketch only keeps common passages out of the matrix.
+The global order is by the count of a token's slot in a sketch of fixed width over all documents, rare ones first, then by hash. Any order
+gives right results; this one keeps what common passages consist of out of the matrix.
 
 Links are needed for what they connect: no pair is compared within a group, or between groups that are connected already.
 """
@@ -38,8 +38,8 @@ BLOCK = 256
 ROUNDS, LEASTS = 3, 2
 #: Groups that visit a group in one task.
 ROOM = 400
-#: log2 of the sketch's width; the pieces it is summed in; how far over the mean a frequent slot is.
-SKETCH_BITS, PIECES, FREQUENT = 20, 64, 24
+#: log2 of the sketch's width, and the pieces it is summed in.
+SKETCH_BITS, PIECES = 20, 64
 LEAST = [f"least{r}" for r in range(ROUNDS)]
 NULL_ID = -(1 << 63)
 U64 = np.uint64
@@ -95,23 +95,23 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return parts.groupBy("piece", "salt").applyInArrow(lambda t: add(t.drop(["salt"])), schema).groupBy("piece").applyInArrow(add, schema)
 
 
-def frequent_slots(docs: DataFrame) -> np.ndarray:
-    """A flag for each slot of the sketch: does it hold a frequent token? As many slots whatever the input."""
+def slot_counts(docs: DataFrame) -> np.ndarray:
+    """How many tokens fall into each slot of the sketch, in at most 20 bits. As many slots whatever the input."""
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in _sketch(docs).collect():  # PIECES rows, 4 MB in all
         n = len(total) // PIECES
         total[r["piece"] * n : (r["piece"] + 1) * n] = np.frombuffer(bytes(r["counts"]), "<u4")
-    mean = float(np.median(total))
-    return total > mean + max(FREQUENT, 6 * mean**0.5)
+    shift = max(0, int(np.median(total)).bit_length() - 16)
+    return np.minimum(total >> shift, (1 << 20) - 1).astype(np.uint32)
 
 
-def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def _signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc_id, n, s1, s2 (the set's hash), least0 ... (of each round, a hash of its least tokens), tokens (the first ones; null where the batch
     already holds the set)."""
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 4 MB
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.unpackbits(packed.value).astype(bool)
+        often = shared.value.astype(U64) << U64(44)
         for batch in batches:
             n, keys, least, tokens, seen = [], [], [], [], set()
             for s in sets_of(batch.column(1)):
@@ -126,8 +126,8 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     tokens.append(None)
                     continue
                 seen.add(keys[-1])
-                late = common[s >> U64(64 - SKETCH_BITS)]
-                tokens.append(np.concatenate([s[~late], s[late]])[: prefix_len(len(s))].view(np.int64))
+                order = np.argsort(often[s >> U64(64 - SKETCH_BITS)] | (s >> U64(20)), kind="stable")
+                tokens.append(s[order[: prefix_len(len(s))]].view(np.int64))
             longs = [pa.array([x[i] for x in rows], pa.int64()) for rows, k in ((keys, 2), (least, ROUNDS)) for i in range(k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *longs, pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", *LEAST, "tokens"])
 
@@ -265,20 +265,18 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, top: the nodes that are not their group's top, over all rounds. nodes: node, least0 ..., those that have a set."""
-    moved = None
-    active = nodes
+    """node, top: the nodes of groups of several, but the tops, each with its group's top. nodes: node, least0 ..., those that have a set."""
+    steps = []
     for r in range(ROUNDS):
-        met = active.groupBy(LEAST[r]).agg(F.count("*").alias("k")).where("k > 1")
-        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / BLOCK))
-        dealt = materialise(active.join(_sent(materialise(met, "shingle-keys")), LEAST[r]).select("node", F.xxhash64(LEAST[r], block).alias("gid")), "shingle-blocks")
-        step = materialise(sets.join(_sent(dealt), "node").groupBy("gid").applyInArrow(_within, "node long, top long").groupBy("node").agg(F.min("top").alias("top")), "shingle-step")
-        active = active.join(_sent(step.select("node")), "node", "left_anti")
-        # what went to a node that now goes on goes on with it
-        on = step.select(F.col("node").alias("top"), F.col("top").alias("next"))
-        moved = step if moved is None else moved.join(_sent(on), "top", "left").select("node", F.coalesce("next", "top").alias("top")).unionByName(step)
-        moved = materialise(moved, "shingle-moved")
-    return moved
+        met = nodes.groupBy(LEAST[r]).agg(F.count("*").alias("k")).where("k > 1")
+        # blocks of one key hold other nodes in each round, so that links join them
+        block = F.pmod(F.xxhash64("node", F.lit(r)), F.ceil(F.col("k") / BLOCK))
+        dealt = materialise(nodes.join(_sent(materialise(met, "shingle-keys")), LEAST[r]).select("node", F.xxhash64(LEAST[r], block).alias("gid")), "shingle-blocks")
+        steps.append(materialise(sets.join(_sent(dealt), "node").groupBy("gid").applyInArrow(_within, "node long, top long"), "shingle-step"))
+    links = steps[0]
+    for step in steps[1:]:
+        links = links.unionByName(step)
+    return components(links.select(F.col("node").alias("a"), F.col("top").alias("b"))).where("node <> component").withColumnRenamed("component", "top")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    whole = materialise(_signatures(rows, frequent_slots(rows)), "shingle-signatures")
+    whole = materialise(_signatures(rows, slot_counts(rows)), "shingle-signatures")
     signed = materialise(whole.select("doc_id", "n", F.col("s1").alias("node"), "s2"), "shingle-documents")
 
     # one node for each different set, which its smallest document stands for
@@ -308,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = materialise(keys.join(_sent(often), ["r", "least"], "left_semi").select("node").distinct(), "shingle-near")
     candidates = materialise(nodes.join(_sent(near), "node", "left_semi"), "shingle-candidates")
     sets = materialise(_sets(rows, candidates), "shingle-sets")
-    moved = _groups(candidates.select("node", *LEAST), sets)
+    moved = materialise(_groups(candidates.select("node", *LEAST), sets), "shingle-groups")
     members = moved.unionByName(moved.select(F.col("top").alias("node"), "top").distinct())
     sizes = members.join(nodes.select("node", "n"), "node").groupBy("top").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     many = materialise(members.join(sizes, "top").withColumnRenamed("top", "cl"), "shingle-members")
@@ -318,16 +316,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     matrix = materialise(_matrix(placed, partitions), "shingle-matrix")
     drop_table(full)
     x, y = (matrix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cl", "lone", "low", "high", "at"))) for s in "ab")
-    met = x.join(y, "token").where(f"cl_a < cl_b and {DEN} * high_a >= {NUM} * low_b and {DEN} * high_b >= {NUM} * low_a")
+    # of two lone nodes the smaller set, of n tokens, has a common one among its first n - 8/9 n, as a link takes 8/9 n common ones at least
+    early = lambda s: f"at_{s} <= high_{s} - ({2 * NUM} * high_{s} + {NUM + DEN - 1}) div {NUM + DEN}"
+    lone = F.col("lone_a") & F.col("lone_b")
+    met = x.join(y, "token").where(f"cl_a < cl_b and {DEN} * high_a >= {NUM} * low_b and {DEN} * high_b >= {NUM} * low_a").where(~lone | F.expr(f"if(high_a <= high_b, {early('a')}, {early('b')})"))
     pairs = met.groupBy("cl_a", "cl_b").agg(F.count("*").alias("common"), *(F.max(f"at_{s}").alias(f"at_{s}") for s in "ab"), *(F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in ("lone", "high", "low") for s in "ab"))
-    # Of two sets of m and s <= m tokens, those with less of their prefix left over share at most what their prefixes share and the
+    # Where a group of several is involved: of two sets of m and s <= m tokens, those with less of their prefix left over share at most what their prefixes share and the
     # 0.8 m tokens after the longer prefix; a link takes 4/9 (m + s), where s is 0.8 m at least. Either group may have the larger set.
     need = lambda x, y: 20 * F.greatest(0.8 * F.col(f"high_{x}"), F.col(f"low_{y}")) - 16 * F.col(f"high_{x}")
     enough = 45 * F.col("common") >= F.least(need("a", "b"), need("b", "a")) - 1e-6
     # two lone nodes share no more than what they share up to the last common token, and what is left of each after it
-    lone = F.col("lone_a") & F.col("lone_b")
     most = F.when(lone, F.col("common") + F.least(F.col("high_a") - F.col("at_a"), F.col("high_b") - F.col("at_b")) - 1).otherwise(F.least("high_a", "high_b"))
-    pairs = pairs.where(enough & ((NUM + DEN) * most >= NUM * (F.col("low_a") + F.col("low_b"))))
+    pairs = pairs.where((lone | enough) & ((NUM + DEN) * most >= NUM * (F.col("low_a") + F.col("low_b"))))
     pairs = materialise(pairs.select("cl_a", "cl_b", lone.alias("lone")), "shingle-pairs")
     drop_table(matrix)
 
