@@ -100,7 +100,7 @@ def cluster_windows(windows: DataFrame, speakers: int | None = None, most_rows:
         return pd.DataFrame({"meeting_id": rows.meeting_id, "idx": rows.idx, "label": labels})
 
     found = windows.select("meeting_id", "idx", "from_ms", "to_ms", "embedding").groupBy("meeting_id").applyInPandas(one, "meeting_id long, idx long, label int")
-    return windows.join(found, ["meeting_id", "idx"])
+    return windows.drop("label").join(found, ["meeting_id", "idx"])
 
 
 def diarize(segments: DataFrame, windows: DataFrame, speakers: int | None = None, registry: DataFrame | None = None, threshold: float = 0.65) -> DataFrame:

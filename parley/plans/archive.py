@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import dictionary, masking, text
+from parley.operators import diarize, edits, stats, sync, vectors
 from parley.operators import search as ft
-from parley.operators import sync, vectors
 from parley.sources import export
+from parley.plans.talk import U
 from parley.sources import tables as t
 
 WANTED = ["1-URGENT", "2-HIGH"]
@@ -175,6 +176,22 @@ def cluster_speakers(spark: SparkSession, d: str) -> DataFrame:
     return vectors.cluster_meetings(e.select(F.floor(F.col("vec_id") / 50).alias("meeting_id"), F.col("vec_id").alias("idx"), "embedding"))
 
 
+def diarize_segments(spark: SparkSession, d: str) -> DataFrame:
+    w = _windows(spark, d).join(t.read(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("meeting_id"), F.floor(F.col("vec_id") / 5).alias("idx"), "embedding"), ["meeting_id", "idx"])
+    return diarize.diarize(w.select("meeting_id", "seq").distinct(), w)
+
+
+def rename_speaker(spark: SparkSession, d: str) -> DataFrame:
+    return edits.rename_speaker(t.event_utterances(spark, d).select("meeting_id", "seq", "speaker"), 3, "click", "Kim")[0]
+
+
+def meeting_detail(spark: SparkSession, d: str) -> DataFrame:
+    u = t.event_utterances(spark, d)
+    m = u.select("meeting_id").distinct()
+    got = stats.meeting_detail(m, u, t.order_targets(spark, d), "1-URGENT")
+    return got.select("meeting_id", F.size("utterances").alias("n"), F.get("utterances", F.lit(0))["speaker"].alias("first_speaker"), F.array_join(F.transform("targets", lambda x: x["target"]), ",").alias("targets"))
+
+
 def format_clock(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("o_orderkey") * 7
     return t.read(spark, d, "orders").select("o_orderkey", text.clock(s).alias("clock"), text.minute_clock(s).alias("minutes"), text.duration(s).alias("length"), text.duration_hms(s).alias("hms"))
@@ -199,7 +216,7 @@ def html_transcript(spark: SparkSession, d: str) -> DataFrame:
     return export.html_pages(m, s)
 
 
-QUERIES = {f.__name__: f for f in (search_bm25, search_filtered, search_advanced, search_words, search_snippets, trigram_candidates, list_ids, pii_full, pii_partial, pii_card_partial, dictionary_replace, inline_rules, rollup_status, rollup_utterance_status, unsynced, target_order, refresh_target, upsert_targets, insert_or_ignore, adopt_default, event_log_state, idempotent_dedupe, cascade_delete, centroids, nearest_centroid, min_centroid_distance, majority_label, cluster_durations, nearest_label, cluster_speakers, format_clock, safe_names, html_escape, transcripts, html_transcript)}
+QUERIES = {f.__name__: f for f in (search_bm25, search_filtered, search_advanced, search_words, search_snippets, trigram_candidates, list_ids, pii_full, pii_partial, pii_card_partial, dictionary_replace, inline_rules, rollup_status, rollup_utterance_status, unsynced, target_order, refresh_target, upsert_targets, insert_or_ignore, adopt_default, event_log_state, idempotent_dedupe, cascade_delete, centroids, nearest_centroid, min_centroid_distance, majority_label, cluster_durations, nearest_label, cluster_speakers, diarize_segments, rename_speaker, meeting_detail, format_clock, safe_names, html_escape, transcripts, html_transcript)}
 
 T = """o AS (
   SELECT o_custkey AS meeting_id, o_orderpriority AS target, CASE o_orderstatus WHEN 'F' THEN 'synced' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, o_orderkey AS updated
@@ -306,4 +323,8 @@ t AS (SELECT *, count(*) OVER () AS N, sum(sz) OVER () AS DD, count(*) FILTER (t
 s AS (SELECT id, (tf0 + tf1)::BIGINT AS hits, -(greatest(ln((N - n0 + 0.5) / (n0 + 0.5)), CASE WHEN ln((N - n0 + 0.5) / (n0 + 0.5)) > 0 THEN 0 ELSE 1e-6 END) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * sz * N / DD))
   + greatest(ln((N - n1 + 0.5) / (n1 + 0.5)), CASE WHEN ln((N - n1 + 0.5) / (n1 + 0.5)) > 0 THEN 0 ELSE 1e-6 END) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * sz * N / DD))) AS sc FROM t WHERE tf0 > 0 AND tf1 > 0)
 SELECT id, round(sc, 6) AS score, hits FROM s ORDER BY sc, id LIMIT 30""",
+    "rename_speaker": f"WITH {U} SELECT meeting_id, seq, CASE WHEN meeting_id = 3 AND speaker = 'click' THEN 'Kim' ELSE speaker END AS speaker FROM u",
+    "meeting_detail": f"""
+WITH {U}, {T}, g AS (SELECT meeting_id, string_agg(target, ',' ORDER BY CASE WHEN target = '1-URGENT' THEN 0 ELSE 1 END, updated, target) AS targets FROM t GROUP BY 1)
+SELECT meeting_id, count(*) AS n, arg_min(speaker, seq) AS first_speaker, any_value(targets) AS targets FROM u LEFT JOIN g USING (meeting_id) GROUP BY 1""",
 }
