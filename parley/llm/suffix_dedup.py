@@ -10,7 +10,7 @@ depends on the string alone. The starts that share an anchor are a run; its exte
    earlier is a repeat as a whole; the first of its extent is open if other extents share its anchor, else it is alone.
 3. The open runs' bytes are dealt by 70 bytes around the anchor. In each task a suffix array (difference cover modulo 3: triples,
    names, recursion, merge) is built over them in blocks of whole keys, neighbours are compared over LENGTH bytes, and of each
-   class of equal strings all but the earliest are repeats.
+   class of equal strings all but the earliest are repeats. (The strings of a key with more than HOT_ROWS rows are dealt one by one instead.)
 4. Repeats come back to their documents as ranges, and the covered bytes are cut out.
 """
 
@@ -32,6 +32,8 @@ LENGTH, K = 100, 40
 HALF = (LENGTH - K) // 2
 #: Bits of an anchor's sort key that hold its place, the others hold its hash; a Spark string has under 2**31 bytes.
 PLACE_BITS = 31
+#: Rows of one key that one task takes; the strings of a key with more are dealt one by one.
+HOT_ROWS = 8_000
 #: Bytes of runs that one suffix array is built over, about; more only where a single key has more.
 BLOCK_BYTES = 1 << 18
 NULL_ID = -(1 << 63)
@@ -235,6 +237,15 @@ def _judge_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ranges(pa.concat_tables(held).combine_chunks())
 
 
+def _judge_hot(texts: DataFrame) -> DataFrame:
+    """As _judge_open, for keys with too many rows for one task: each string is a row of its own, and its earliest place is found by aggregation."""
+    string = F.expr(f"substring(bytes, s + 1, {LENGTH})")
+    each = texts.select("doc_id", "of", "a", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    each = materialise(each.select("doc_id", "of", (F.col("a") + F.col("s")).alias("a"), F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(1), string).alias("h2")), "suffix-strings")
+    first = materialise(each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"), "suffix-first")
+    return each.join(first, ["h1", "h2"]).where("doc_id <> first.doc_id or a <> first.a").select("doc_id", "of", "a", F.lit(1).alias("n"))
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, of, data, copy, ranges: n_bytes, n_removed, n_spans, kept."""
     for batch in batches:
@@ -276,6 +287,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashed = materialise(rows.select("doc_id", F.xxhash64("data").alias("h1"), F.xxhash64(F.lit(1), "data").alias("h2")), "suffix-documents")
     # documents that repeat an earlier one; ids that several different rows share
     firsts = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    firsts = materialise(firsts, "suffix-firsts")
     copies = materialise(hashed.join(firsts, ["h1", "h2"]).where("doc_id > first").select("doc_id", F.col("h1").alias("copy_h1")).distinct(), "suffix-copies")
     shared = materialise(hashed.groupBy("doc_id").agg(F.countDistinct("h1", "h2").alias("k")).where("k > 1").select("doc_id", F.lit(True).alias("shared")), "suffix-shared")
     h1 = F.xxhash64("data")
@@ -289,7 +301,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = materialise(runs, "suffix-runs")
     opened = runs.where("open").groupBy("doc_id", "of").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     texts = materialise(_texts_of_open(original.join(opened, ["doc_id", "of"]).select("doc_id", "of", "data", "runs")), "suffix-open")
-    found = texts.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_judge_open, RANGE)
+    hot = materialise(texts.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"), "suffix-hot")
+    found = texts.join(_sent(hot), "key", "left_anti").repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_judge_open, RANGE)
+    if not hot.isEmpty():
+        found = found.unionByName(_judge_hot(texts.join(_sent(hot), "key", "left_semi")))
     ranges = materialise(runs.where("not open").select("doc_id", "of", "a", "n").unionByName(found), "suffix-ranges")
     by_doc = ranges.groupBy("doc_id", "of").agg(F.collect_list(F.struct("a", "n")).alias("ranges"))
     out = named.join(by_doc, ["doc_id", "of"], "left").select("doc_id", "data", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges")

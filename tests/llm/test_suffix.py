@@ -46,6 +46,7 @@ def test_removal_against_brute_force(spark, monkeypatch):
         assert got == brute.op9(rows)
         monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
         monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 10)
 
 
 def test_removal_on_real_rows(spark):
