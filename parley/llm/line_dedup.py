@@ -114,7 +114,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         batch = lines.select("key", "doc_id")
         batch = batch if lo is None else batch.where(F.col("doc_id") > lo)
         store.add(batch if hi is None else batch.where(F.col("doc_id") <= hi))
-    over = store.keys().where(F.col("n_docs") >= min_docs).select("key", "keeper")
+    # a table of its own, so that Spark can split the join where one line is in very many documents
+    over = materialise(store.keys().where(F.col("n_docs") >= min_docs).select("key", "keeper"), "lines-over")
     drop = lines.join(over, "key").where(F.col("doc_id") < F.col("keeper")).groupBy("doc_id", "of").agg(F.array_sort(F.collect_set("at")).alias("gone"))
     out = docs.select(F.col(id_col).alias("__id"), ident.alias("doc_id"), F.xxhash64(text).alias("of"), text.alias("__text")).join(drop, ["doc_id", "of"], "left")
     # the stretches between the lines that go; the arrays of one hold what the lambda reads, so that it is made once
