@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm._store import new_path
-from parley.llm._text import prefix_hash, runs, slices, span_hash
+from parley.llm._text import give_back, prefix_hash, runs, slices, span_hash
 
 #: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_400_000
 #: White space at which texts are cut into words: the common part of what all tokenizers call so.
 APART = np.zeros(256, bool)
 APART[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -159,6 +159,12 @@ def encoder_of(tokenizer_path: str) -> Encoder:
     return _encoders[tokenizer_path]
 
 
+def forget_words() -> None:
+    """Drops this process's encoders: once the files are written, their words are of no more use, and the worker lives on."""
+    _encoders.clear()
+    give_back()
+
+
 def with_end(ids: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(offs) - 1
     out = np.empty(len(ids) + n, ids.dtype)
@@ -237,6 +243,7 @@ def read_token_files(spark: SparkSession, path: str, parts: DataFrame | None = N
     files = parts.count()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for batch in batches:
             for r in batch.to_pylist():
                 ids, docs, offs = open_part(path, r["file"], r["dtype"])
