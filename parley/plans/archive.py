@@ -88,9 +88,18 @@ def unsynced(spark: SparkSession, d: str) -> DataFrame:
     return sync.unsynced(_states(spark, d), t.order_targets(spark, d), WANTED)
 
 
-def target_order(spark: SparkSession, d: str) -> DataFrame:
+def _default_first(targets: DataFrame) -> DataFrame:
     first = F.when(F.col("target") == "1-URGENT", 0).otherwise(1)
-    return t.order_targets(spark, d).where("meeting_id % 7 = 0").select("meeting_id", "target", "status", first.alias("later"), "updated").orderBy("meeting_id", "later", "updated", "target")
+    return targets.select("meeting_id", "target", "status", first.alias("later"), "updated").orderBy("meeting_id", "later", "updated", "target")
+
+
+def target_order(spark: SparkSession, d: str) -> DataFrame:
+    """A part, as its SQL has it; target_order_all is the whole."""
+    return _default_first(t.order_targets(spark, d).where("meeting_id % 7 = 0"))
+
+
+def target_order_all(spark: SparkSession, d: str) -> DataFrame:
+    return _default_first(t.order_targets(spark, d))
 
 
 def refresh_target(spark: SparkSession, d: str) -> DataFrame:
@@ -100,9 +109,13 @@ def refresh_target(spark: SparkSession, d: str) -> DataFrame:
     return sync.refresh_targets(targets, lines, states)
 
 
+def _changed(targets: DataFrame) -> DataFrame:
+    return targets.withColumns({"status": F.lit("partial"), "post_id": F.when(F.col("meeting_id") % 4 == 0, F.lit("new")), "error": F.lit(None).cast("string")})
+
+
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = t.order_targets(spark, d)
-    return s.where("meeting_id % 3 <> 0"), s.where("meeting_id % 2 = 0").withColumns({"status": F.lit("partial"), "post_id": F.when(F.col("meeting_id") % 4 == 0, F.lit("new")), "error": F.lit(None).cast("string")})
+    return s.where("meeting_id % 3 <> 0"), _changed(s.where("meeting_id % 2 = 0"))
 
 
 def upsert_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +126,18 @@ def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
     return sync.insert_missing(*_halves(spark, d), ["meeting_id", "target"])
 
 
+def upsert_targets_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table as the state; upsert_targets leaves out what is in neither of its parts."""
+    s = t.order_targets(spark, d)
+    return sync.upsert(s, _changed(s.where("meeting_id % 2 = 0")), ["meeting_id", "target"])
+
+
+def insert_or_ignore_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table as the new rows; insert_or_ignore leaves out what is in neither of its parts."""
+    s = t.order_targets(spark, d)
+    return sync.insert_missing(s.where("meeting_id % 3 <> 0"), _changed(s), ["meeting_id", "target"])
+
+
 def adopt_default(spark: SparkSession, d: str) -> DataFrame:
     s = t.order_targets(spark, d).withColumn("target", F.when(F.col("target") == "1-URGENT", sync.DEFAULT).otherwise(F.col("target")))
     return sync.adopt_default(s, "2-HIGH", F.lit(-1))
@@ -216,7 +241,7 @@ def html_transcript(spark: SparkSession, d: str) -> DataFrame:
     return export.html_pages(m, s)
 
 
-QUERIES = {f.__name__: f for f in (search_bm25, search_filtered, search_advanced, search_words, search_snippets, trigram_candidates, list_ids, pii_full, pii_partial, pii_card_partial, dictionary_replace, inline_rules, rollup_status, rollup_utterance_status, unsynced, target_order, refresh_target, upsert_targets, insert_or_ignore, adopt_default, event_log_state, idempotent_dedupe, cascade_delete, centroids, nearest_centroid, min_centroid_distance, majority_label, cluster_durations, nearest_label, cluster_speakers, diarize_segments, rename_speaker, meeting_detail, format_clock, safe_names, html_escape, transcripts, html_transcript)}
+QUERIES = {f.__name__: f for f in (search_bm25, search_filtered, search_advanced, search_words, search_snippets, trigram_candidates, list_ids, pii_full, pii_partial, pii_card_partial, dictionary_replace, inline_rules, rollup_status, rollup_utterance_status, unsynced, target_order, target_order_all, refresh_target, upsert_targets, upsert_targets_all, insert_or_ignore, insert_or_ignore_all, adopt_default, event_log_state, idempotent_dedupe, cascade_delete, centroids, nearest_centroid, min_centroid_distance, majority_label, cluster_durations, nearest_label, cluster_speakers, diarize_segments, rename_speaker, meeting_detail, format_clock, safe_names, html_escape, transcripts, html_transcript)}
 
 T = """o AS (
   SELECT o_custkey AS meeting_id, o_orderpriority AS target, CASE o_orderstatus WHEN 'F' THEN 'synced' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, o_orderkey AS updated
