@@ -113,6 +113,13 @@ def positional_zip(spark: SparkSession, d: str) -> DataFrame:
     return intervals.positional_zip(u.where("seq < 50").select("meeting_id", F.col("seq").alias("a")), u.where("seq >= 10 and seq < 60").select("meeting_id", F.col("seq").alias("b")), "meeting_id", "a", "b")
 
 
+def positional_zip_all(spark: SparkSession, d: str) -> DataFrame:
+    """All utterances in the order of their beginning against all in the order of their end; positional_zip, as its SQL has it, pairs a part."""
+    u = t.event_utterances(spark, d)
+    got = intervals.positional_zip(u.select("meeting_id", F.col("seq").alias("a")), u.select("meeting_id", F.struct("end_ms", "seq").alias("b")), "meeting_id", "a", "b")
+    return got.withColumn("b", F.col("b.seq"))
+
+
 def top_keywords(spark: SparkSession, d: str) -> DataFrame:
     texts = t.read(spark, d, "documents").select("text", F.col("doc_id").alias("seq"))
     return keywords.top_keywords(texts, None, 50, 2, ["the"], WORD, True)
@@ -144,7 +151,7 @@ def retry_rules(spark: SparkSession, d: str) -> DataFrame:
     return totals.select("meeting_id", quality.retry_without_vad(totals).alias("retry"))
 
 
-QUERIES = {f.__name__: f for f in (speaker_stats, time_distribution, timeline, speaker_trend, keyword_trend, latest_meetings, speaker_samples, segment_totals, utterance_bounds, distinct_speakers, merge_consecutive, remap_speakers, forward_fill, duplicate_ratio, adjacent_repeats, segment_windows, expand_from_longest, chunk_utterances, overlap_assign, positional_zip, top_keywords, compare_two, quality_metrics, quality_issues, retry_rules)}
+QUERIES = {f.__name__: f for f in (speaker_stats, time_distribution, timeline, speaker_trend, keyword_trend, latest_meetings, speaker_samples, segment_totals, utterance_bounds, distinct_speakers, merge_consecutive, remap_speakers, forward_fill, duplicate_ratio, adjacent_repeats, segment_windows, expand_from_longest, chunk_utterances, overlap_assign, positional_zip, positional_zip_all, top_keywords, compare_two, quality_metrics, quality_issues, retry_rules)}
 
 NORM = "regexp_replace(lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')), '[^0-9a-z가-힣]', '', 'g')"
 STRIP = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"

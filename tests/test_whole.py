@@ -13,3 +13,12 @@ def test_targets_are_whole(spark):
         got = QUERIES[name](spark, SF).select("meeting_id", "target", "status", "post_id", "error", "updated").collect()
         want = [(m, t, "partial", ("new" if m % 4 == 0 else p if name == "upsert_targets_all" else None), None, u) if is_new(m) else (m, t, s, p, e, u) for m, t, s, p, e, u in rows]
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_zip_is_whole(spark):
+    by = {}
+    for r in tables.event_utterances(spark, SF).select("meeting_id", "seq", "end_ms").collect():
+        by.setdefault(r.meeting_id, []).append((r.seq, r.end_ms))
+    want = {(m, i + 1, a, b) for m, x in by.items() for i, (a, b) in enumerate(zip(sorted(s for s, _ in x), [s for s, _ in sorted(x, key=lambda y: (y[1], y[0]))], strict=True))}
+    got = [(r.meeting_id, r.pos, r.a, r.b) for r in QUERIES["positional_zip_all"](spark, SF).collect()]
+    assert len(got) == len(want) == sum(map(len, by.values())) and set(got) == want and max(p for _, p, _, _ in got) > 60
