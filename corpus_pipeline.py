@@ -18,15 +18,21 @@ from parley.llm.queries import table, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs as it is, with __id: its id, a null one as the least number."""
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(ngram_join.NULL_ID)))
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with __row: for each row a number of its own, as ids may be null or repeated. It is the same whenever docs is read: the place of
+    the row's file among all, and the row's in it. What is not simply read from files is written first."""
+    spark = docs.sparkSession
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = materialise(docs, "pipeline-rows")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    names = sorted(r[0] for r in placed.select("__file").distinct().collect())  # one for each file
+    files = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "__file string, __place long")
+    return placed.join(F.broadcast(files), "__file").select(*docs.columns, F.expr("shiftleft(__place, 40) + __at").alias("__row"))
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs semi- or anti-joined with a table of ids (column doc_id), nulls matching nulls."""
-    key = ids.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(ngram_join.NULL_ID)).alias("__id")).distinct()
-    return _keyed(docs).join(sent(materialise(key, "pipeline-ids")), "__id", how).drop("__id")
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows but those whose __row is in gone."""
+    return rows.join(sent(materialise(gone.select("__row"), "pipeline-rows-gone")), "__row", "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,25 +41,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays. Rows that share that id all stay."""
-    got = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    gone = got.where("not doc_id <=> component_id").select("doc_id")
-    return _with_ids(docs, gone, "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one row stays: of the smallest id (a null counts as the smallest), of those that share it the first."""
+    rows = _rows(docs)
+    got = ngram_join.near_duplicates(rows.select("__row", "text"), "__row").select("__row", "component_id")
+    moved = materialise(got.where("__row <> component_id"), "pipeline-moved")
+    members = moved.unionByName(moved.select(F.col("component_id").alias("__row"), "component_id").distinct())
+    ids = rows.select("__row", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(ngram_join.NULL_ID)).alias("__id"))
+    members = materialise(ids.join(sent(materialise(members, "pipeline-members")), "__row"), "pipeline-member-ids")
+    stay = members.groupBy("component_id").agg(F.min(F.struct("__id", "__row"))["__row"].alias("__row"))
+    return _without(rows, members.join(stay.select("__row"), "__row", "left_anti")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go. Rows that share an id go together."""
-    got = decontaminate.contamination_report(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    gone = got.where("contaminated").select("doc_id")
-    return _with_ids(docs, gone, "left_anti").select(*docs.columns)
+    """Contaminated documents go, each row by its own text."""
+    rows = _rows(docs)
+    got = decontaminate.contamination_report(rows.select("__row", "text"), table(spark, sf_dir, "benchmark"), id_col="__row")
+    return _without(rows, got.where("contaminated").select(F.col("doc_id").alias("__row"))).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stays as often as the mix takes it: not at all, once, or up to three times as rows of its own."""
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0")
-    # rows that share an id and a size cannot be told apart here: the most often taken decides for them
-    times = taken.groupBy(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(ngram_join.NULL_ID)).alias("__id"), F.col("size").alias("__size")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    rows = _keyed(docs).withColumn("__size", mixing.word_count(F.col("text"))).join(sent(materialise(times, "pipeline-times")), ["__id", "__size"])
+    rows = _rows(docs)
+    taken = mixing.mix(rows.select("__row", "doc_id", "text", "source"), row_col="__row").where("taken > 0")
+    times = taken.select("__row", F.expr("cast(taken div size as int)").alias("__times"))
+    rows = rows.join(sent(materialise(times, "pipeline-times")), "__row")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 

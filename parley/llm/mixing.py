@@ -48,16 +48,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     return out.select("src", "source_size", "w", F.least("cap", F.coalesce(F.col("cut") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, row_col: str | None = None) -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target, taken (words that the mix takes, repeats counted).
 
     A null text has size 0 and is never taken; a null source is a source, the last; a null id is shuffled as an empty one. Rows
-    that share an id are queued apart, equal ones in any order. Nothing is random: a rerun gives the same rows. No words at
+    that share an id are queued apart, equal ones in any order, or by row_col if it is given: a number of each row's own, then returned too. Nothing is random: a rerun gives the same rows. No words at
     all: every target is 0.
     """
     spark = docs.sparkSession
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "mix-sizes")
+    row = [F.col(row_col).alias("row")] if row_col else []
+    own = ["row"] if row_col else []
+    rows = materialise(docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "mix-sizes")
     n = rows.count()
     targets = materialise(source_targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), weights, epochs), "mix-targets").withColumnRenamed("src", "src_t")
     same = F.col("src").eqNullSafe(F.col("src_t"))
@@ -67,9 +69,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = rows.groupBy("src", "rng").agg(F.sum("size").alias("rng_size"))
     before = W.partitionBy("src").orderBy("rng").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("rng_size").over(before), F.lit(0))).join(targets, same).select(F.col("src").alias("src_r"), F.col("rng").alias("rng_r"), "base", "source_size", "w", "target")
-    within = W.partitionBy("src", "rng").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = W.partitionBy("src", "rng").orderBy("key", "id", "size", *own).rowsBetween(W.unboundedPreceding, W.currentRow)
     queued = rows.withColumn("upto", F.sum("size").over(within)).join(sums, F.col("src").eqNullSafe(F.col("src_r")) & (F.col("rng") == F.col("rng_r")))
-    queued = materialise(queued.select("id", "src", "size", "key", (F.col("upto") + F.col("base")).alias("upto"), "source_size", "w", "target"), "mix-queue")
+    queued = materialise(queued.select(*own, "id", "src", "size", "key", (F.col("upto") + F.col("base")).alias("upto"), "source_size", "w", "target"), "mix-queue")
     finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("upto")).cast("double") / F.col("w")
     entries = F.explode(F.array(*(F.struct(F.lit(e).alias("epoch"), finish(e).alias("finish")) for e in range(epochs))))
     served = queued.where("size > 0").select("id", "src", "size", "key", entries.alias("e")).select("id", "src", "size", "key", "e.epoch", "e.finish")
@@ -94,4 +96,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         for f in fits[1:]:
             times = times + f
         taken = queued.select("*", F.when(F.col("size") > 0, times).otherwise(0).alias("times"))
-    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return taken.select(*(F.col(c).alias(row_col) for c in own), F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))

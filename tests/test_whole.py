@@ -1,5 +1,6 @@
 """Queries and operators on whole inputs, where a part was left out once."""
 
+import corpus_pipeline
 from parley.plans import QUERIES
 from parley.sources import tables
 from tests.conftest import SF
@@ -22,3 +23,25 @@ def test_zip_is_whole(spark):
     want = {(m, i + 1, a, b) for m, x in by.items() for i, (a, b) in enumerate(zip(sorted(s for s, _ in x), [s for s, _ in sorted(x, key=lambda y: (y[1], y[0]))], strict=True))}
     got = [(r.meeting_id, r.pos, r.a, r.b) for r in QUERIES["positional_zip_all"](spark, SF).collect()]
     assert len(got) == len(want) == sum(map(len, by.values())) and set(got) == want and max(p for _, p, _, _ in got) > 60
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r.text or "").split()) >= 20)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in [(None, item), (None, plain("b")), (7, item), (7, plain("c")), (8, plain("d"))]], schema)
+    left = corpus_pipeline.decontamination(spark, docs, SF).collect()
+    assert sorted(r.text for r in left) == [plain("b"), plain("c"), plain("d")]
+    # 3 has a near copy under 1, but the other text under 3 has none; exact copies share 5, and null ids
+    rows = [(3, plain("x")), (3, plain("y")), (1, plain("x")), (5, plain("z")), (5, plain("z")), (None, plain("n")), (None, plain("n")), (None, plain("m")), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], schema)
+    left = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    want = [(1, plain("x")), (3, plain("y")), (5, plain("z")), (None, plain("n")), (None, plain("m")), (4, None), (4, None)]
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted(want, key=repr)
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None if i % 3 else 1, " ".join([f"w{i}"] * 10), "en", "ab"[i % 4 == 0], i) for i in range(80)]
+    out = [r.n_chars for r in corpus_pipeline.source_mix(spark, spark.createDataFrame(rows, schema).repartition(3), SF).collect()]
+    assert 80 - 2 <= len(out) <= 80  # as many words as there are, but for what no longer fits
