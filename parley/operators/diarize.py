@@ -80,22 +80,20 @@ def merge_cautiously(v: np.ndarray, labels: np.ndarray, ms: np.ndarray) -> np.nd
     return merge_short(v, labels, ms, SHORT_MS[k]) if SHORT_MS[k] else labels
 
 
-def cluster_windows(windows: DataFrame, speakers: int | None = None, most_rows: int = 20_000) -> DataFrame:
+def cluster_windows(windows: DataFrame, speakers: int | None = None, most_rows: int = vectors.MATRIX_ROWS) -> DataFrame:
     """windows (meeting_id, seq, idx, from_ms, to_ms, embedding) with label. Without a number of speakers, that is estimated and clusters are merged cautiously.
 
-    One task clusters one meeting; meetings of over most_rows windows are refused, not cut.
+    One task clusters one meeting; of over most_rows windows no matrix of distances is held.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most_rows:
-            raise ValueError(f"a meeting of {len(rows)} windows; at most {most_rows} can be clustered together")
         rows = rows.sort_values("idx")
         v = np.stack(rows.embedding.to_numpy()).astype(float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         if speakers is not None:
-            labels = vectors.average_linkage(np.clip(1 - v @ v.T, 0, 2), max(1, min(speakers, len(v))))
+            labels = vectors.linked(v, max(1, min(speakers, len(v))), most_rows)
         else:
-            labels = vectors.estimate_speakers(v) if len(v) > 2 else np.zeros(len(v), int)
+            labels = vectors.estimate_speakers(v, most_rows=most_rows) if len(v) > 2 else np.zeros(len(v), int)
             labels = merge_cautiously(v, labels, (rows.to_ms - rows.from_ms).to_numpy().astype(float))
         return pd.DataFrame({"meeting_id": rows.meeting_id, "idx": rows.idx, "label": labels})
 

@@ -36,22 +36,25 @@ def centroids(vectors: DataFrame, key: list[str], column: str = "embedding") ->
     return by.select(*key, "n", unit(F.col("v")).alias("centroid"))
 
 
-#: Reference vectors up to this many go to every task; more are dealt in blocks of this size, one join for each.
+#: Reference vectors in one block. Each block goes to every task, and a vector carries its best from block to block.
 REFERENCES = 10_000
 
 
 def match(vectors: DataFrame, references: DataFrame, threshold: float | None = None, column: str = "embedding", among: str = "ref") -> DataFrame:
-    """vectors with the nearest reference: among, similarity. references: among, centroid (a registry, small by nature: its size is checked).
+    """vectors with the nearest reference: among, similarity. references: among, centroid, in as many blocks as they take.
 
     The smaller among wins ties. With a threshold, a best similarity under it gives null.
     """
-    if references.limit(REFERENCES + 1).count() > REFERENCES:
-        raise ValueError(f"more than {REFERENCES} references; match block by block")
-    registry = F.broadcast(references.agg(F.collect_list(F.struct(F.col(among).alias("ref"), F.col("centroid").alias("c"))).alias("registry")))
-    scored = vectors.crossJoin(registry)  # one row: the registry as an array
-    v = F.col(column)
-    best = F.aggregate(F.transform("registry", lambda r: F.struct(cosine(v, r["c"]).alias("s"), r["ref"].alias("ref"))), F.struct(F.lit(-2.0).alias("s"), F.lit(None).cast(references.schema[among].dataType).alias("ref")), lambda a, x: F.when((x["s"] > a["s"]) | ((x["s"] == a["s"]) & (x["ref"] < a["ref"])), x).otherwise(a))
-    out = scored.withColumn("best", best).drop("registry")
+    v, kind = F.col(column), references.schema[among].dataType
+    none = F.struct(F.lit(-2.0).alias("s"), F.lit(None).cast(kind).alias("ref"))
+    blocks = max(1, -(-references.count() // REFERENCES))
+    out = vectors.withColumn("best", none)
+    for k in range(blocks):
+        block = references.where(F.pmod(F.xxhash64(among, "centroid"), F.lit(blocks)) == k) if blocks > 1 else references
+        registry = F.broadcast(block.agg(F.collect_list(F.struct(F.col(among).alias("ref"), F.col("centroid").alias("c"))).alias("registry")))
+        scored = out.crossJoin(registry)  # one row: the block as an array
+        best = F.aggregate(F.transform("registry", lambda r: F.struct(cosine(v, r["c"]).alias("s"), r["ref"].alias("ref"))), F.col("best"), lambda a, x: F.when((x["s"] > a["s"]) | ((x["s"] == a["s"]) & (x["ref"] < a["ref"])), x).otherwise(a))
+        out = scored.withColumn("best", best).drop("registry")
     ok = F.col("best.s") >= threshold if threshold is not None else F.lit(True)
     return out.withColumns({among: F.when(ok, F.col("best.ref")), "similarity": F.when(F.col("best.s") > -2, F.col("best.s"))}).drop("best")
 
@@ -105,30 +108,85 @@ def average_linkage(d: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def chained_linkage(u: np.ndarray) -> list[tuple[float, int, int]]:
+    """All merges (distance, i, j) of average linkage over vectors of length 1, lowest first, by chains of nearest neighbours. The mean distance
+    of two clusters is 1 less the product of their sums over their sizes, so memory grows with the vectors and no matrix is held."""
+    n = len(u)
+    total, size, dead = u.astype(float).copy(), np.ones(n), np.zeros(n, bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(np.argmin(dead))]
+        a = chain[-1]
+        d = 1 - (total @ total[a]) / (size * size[a])
+        d[dead] = np.inf
+        d[a] = np.inf
+        b = int(np.argmin(d))
+        if len(chain) > 1 and d[chain[-2]] <= d[b] + 1e-12:  # so far a chain's distances fall, which rounding must not undo
+            i, j = sorted(chain[-2:])
+            merges.append((float(d[chain[-2]]), i, j))
+            total[i] += total[j]
+            size[i] += size[j]
+            dead[j] = True
+            del chain[-2:]
+        else:
+            chain.append(b)
+    return sorted(merges, key=lambda m: m[0])
+
+
+def cut(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
+    """Labels of k clusters after the lowest merges."""
+    up = np.arange(n)
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for _, i, j in merges[: n - k]:
+        i, j = sorted((top(i), top(j)))
+        up[j] = i
+    return np.unique([top(x) for x in range(n)], return_inverse=True)[1]
+
+
+#: Rows up to which a matrix of distances is held; more are clustered by chains.
+MATRIX_ROWS = 2_000
+
+
+def linked(u: np.ndarray, k: int, most_rows: int = MATRIX_ROWS) -> np.ndarray:
+    """Labels of k clusters of vectors of length 1 by average linkage of cosine distance."""
+    return average_linkage(np.clip(1 - u @ u.T, 0, 2), k) if len(u) <= most_rows else cut(chained_linkage(u), len(u), k)
+
+
 def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
-    k = labels.max() + 1
-    member = np.eye(k)[labels]
-    count = member.sum(0)
-    total = d @ member
+    return _silhouette(d @ np.eye(labels.max() + 1)[labels], labels)
+
+
+def _silhouette(total: np.ndarray, labels: np.ndarray) -> float:
+    """total: of each row the sum of its distances to each label's rows."""
+    count = np.bincount(labels)
     own = count[labels]
-    a = total[np.arange(len(d)), labels] / np.maximum(own - 1, 1)
+    a = total[np.arange(len(labels)), labels] / np.maximum(own - 1, 1)
     other = total / count
-    other[np.arange(len(d)), labels] = np.inf
+    other[np.arange(len(labels)), labels] = np.inf
     b = other.min(1)
     s = np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0)
     return float(s.mean())
 
 
-def estimate_speakers(vectors: np.ndarray, most: int = 8) -> np.ndarray:
+def estimate_speakers(vectors: np.ndarray, most: int = 8, most_rows: int = MATRIX_ROWS) -> np.ndarray:
     """Labels for an unknown number of speakers: of the numbers whose clustering is clean, the largest that scores near the best; else one."""
     n = len(vectors)
     v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    d = np.clip(1 - v @ v.T, 0, 2)
+    whole = n <= most_rows
+    d, merges = (np.clip(1 - v @ v.T, 0, 2), []) if whole else (None, chained_linkage(v))
     good: list[tuple[int, float, np.ndarray]] = []
     for k in range(2, min(most, n - 1) + 1):
-        labels = average_linkage(d, k)
-        score = silhouette(d, labels)
+        labels = average_linkage(d, k) if whole else cut(merges, n, k)
         counts = np.bincount(labels)
+        score = silhouette(d, labels) if whole else _silhouette(counts - v @ np.stack([v[labels == i].sum(0) for i in range(k)]).T, labels)
         c = np.stack([v[labels == i].mean(0) for i in range(k)])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         apart = (1 - c @ c.T)[np.triu_indices(k, 1)].min()
@@ -141,22 +199,19 @@ def estimate_speakers(vectors: np.ndarray, most: int = 8) -> np.ndarray:
     return max((g for g in good if g[1] >= best - near), key=lambda g: g[0])[2]
 
 
-def cluster_meetings(vectors: DataFrame, speakers: int | None = None, column: str = "embedding", most_rows: int = 20_000) -> DataFrame:
+def cluster_meetings(vectors: DataFrame, speakers: int | None = None, column: str = "embedding", most_rows: int = MATRIX_ROWS) -> DataFrame:
     """meeting_id, idx, label: the windows of each meeting clustered by average linkage of cosine distance, into speakers clusters or an estimated number.
 
-    One task clusters one meeting, whose matrix is quadratic in its windows: meetings of over most_rows are refused, not cut.
+    One task clusters one meeting, in time quadratic in its windows: up to most_rows over a matrix, beyond by chains in memory linear in them.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most_rows:
-            raise ValueError(f"a meeting of {len(rows)} windows; at most {most_rows} can be clustered together")
         rows = rows.sort_values("idx")
         v = np.stack(rows[column].to_numpy()).astype(float)
         if speakers is not None:
-            u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            labels = average_linkage(np.clip(1 - u @ u.T, 0, 2), min(speakers, len(v)))
+            labels = linked(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), min(speakers, len(v)), most_rows)
         else:
-            labels = estimate_speakers(v) if len(v) > 2 else np.zeros(len(v), int)
+            labels = estimate_speakers(v, most_rows=most_rows) if len(v) > 2 else np.zeros(len(v), int)
         first = {x: i for i, x in enumerate(dict.fromkeys(labels.tolist()))}
         return pd.DataFrame({"meeting_id": rows.meeting_id, "idx": rows.idx, "label": [first[x] for x in labels.tolist()]})
 

@@ -1,6 +1,9 @@
 """Queries and operators on whole inputs, where a part was left out once."""
 
+import numpy as np
+
 import corpus_pipeline
+from parley.operators import diarize, vectors
 from parley.plans import QUERIES
 from parley.sources import tables
 from tests.conftest import SF
@@ -45,3 +48,23 @@ def test_mix_of_rows_that_share_an_id(spark):
     rows = [(None if i % 3 else 1, " ".join([f"w{i}"] * 10), "en", "ab"[i % 4 == 0], i) for i in range(80)]
     out = [r.n_chars for r in corpus_pipeline.source_mix(spark, spark.createDataFrame(rows, schema).repartition(3), SF).collect()]
     assert 80 - 2 <= len(out) <= 80  # as many words as there are, but for what no longer fits
+
+
+def test_no_meeting_and_no_registry_is_too_large(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    u = rng.normal(size=(150, 6))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for k in (1, 2, 5, 40):
+        assert vectors.linked(u, k, 10).tolist() == vectors.linked(u, k).tolist()
+    base = np.eye(4)
+    rows = [(1, i, i * 1000, i * 1000 + 900, i, (base[i % 3] + rng.normal(0, 0.05, 4)).tolist()) for i in range(60)]
+    w = spark.createDataFrame(rows, "meeting_id long, idx long, from_ms long, to_ms long, seq long, embedding array<double>")
+    for f in (vectors.cluster_meetings, diarize.cluster_windows):
+        for speakers in (None, 3):
+            got = [sorted((r.idx, r.label) for r in f(w, speakers, most_rows=n).collect()) for n in (10, 100)]
+            assert got[0] == got[1] and len({x for _, x in got[0]}) == 3
+    refs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)] + [(99, [1.0, 0.0, 0.0, 0.0]), (98, [1.0, 0.0, 0.0, 0.0])], "ref long, centroid array<double>")
+    find = lambda: sorted((r.idx, r.ref, r.similarity) for r in vectors.match(w, refs, 0.2).collect())
+    want = find()
+    monkeypatch.setattr(vectors, "REFERENCES", 5)
+    assert find() == want
