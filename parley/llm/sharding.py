@@ -24,13 +24,14 @@ def hash_bits(key: Column, n: int) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n // 4)), lambda i: F.lpad(F.conv(F.substring(hexes, i, F.lit(1)), 16, 2), 4, "0")), "")
 
 
-def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, start_bits: int = START_BITS) -> DataFrame:
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, start_bits: int = START_BITS, carry: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, shard (its bits), depth, shard_bytes, shard_rows.
 
     A null text has 0 bytes; a null id is hashed as an empty string. Rows that share an id share a shard unless that shard would
-    pass the limit. No shard of more than one row passes it, up to ALL_BITS bits.
+    pass the limit. No shard of more than one row passes it, up to ALL_BITS bits. With carry, docs has the row's own place as __place, which is returned too.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col(id_col), KEY_BITS).alias("bits"), F.monotonically_increasing_id().alias("place"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col(id_col), KEY_BITS).alias("bits"), (F.col("__place") if carry else F.monotonically_increasing_id()).alias("place"))
+    own = [F.col("place").alias("__place")] if carry else []
     left = materialise(rows, "shards-rows")
     done = None
     for depth in range(start_bits, ALL_BITS + 1):
@@ -41,7 +42,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         fits = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) if depth < ALL_BITS else F.lit(True)
         dealt = left.join(sizes.withColumn("fits", fits), "shard")
         dealt = materialise(dealt, "shards-level")
-        level = dealt.where("fits").select(F.col("id").alias(id_col), "n_bytes", "shard", F.lit(depth).cast("long").alias("depth"), "shard_bytes", "shard_rows")
+        level = dealt.where("fits").select(*own, F.col("id").alias(id_col), "n_bytes", "shard", F.lit(depth).cast("long").alias("depth"), "shard_bytes", "shard_rows")
         done = level if done is None else done.unionByName(level)
         left = dealt.where("not fits").select("id", "n_bytes", "bits", "place")
         if left.isEmpty():
@@ -50,8 +51,10 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", **options) -> DataFrame:
-    """Write docs under path, one folder for each shard (named b and its bits; a row's id decides), and return shard, depth, shard_bytes, shard_rows."""
-    got = materialise(shards(docs, id_col, **options), "shards-done")
-    where = got.groupBy(F.col(id_col).alias("__id")).agg(F.concat(F.lit("b"), F.min("shard")).alias("shard"))
-    docs.join(where, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id").write.partitionBy("shard").parquet(path)
+    """Write docs under path, one folder for each shard (named b and its bits; each row goes to its own), and return shard, depth, shard_bytes, shard_rows."""
+    # written once, so that a row has the same place whenever it is read
+    rows = materialise(docs.withColumn("__place", F.monotonically_increasing_id()), "shards-docs")
+    got = materialise(shards(rows, id_col, carry=True, **options), "shards-done")
+    where = got.select("__place", F.concat(F.lit("b"), "shard").alias("shard"))
+    rows.join(where, "__place").drop("__place").write.partitionBy("shard").parquet(path)
     return got.select("shard", "depth", "shard_bytes", "shard_rows").distinct()

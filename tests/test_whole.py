@@ -1,8 +1,10 @@
 """Queries and operators on whole inputs, where a part was left out once."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from parley.llm import sharding
 from parley.operators import diarize, vectors
 from parley.plans import QUERIES
 from parley.sources import tables
@@ -68,3 +70,11 @@ def test_no_meeting_and_no_registry_is_too_large(spark, monkeypatch):
     want = find()
     monkeypatch.setattr(vectors, "REFERENCES", 5)
     assert find() == want
+
+
+def test_written_shards_of_a_hot_key(spark, tmp_path):
+    docs = spark.createDataFrame([(None if i % 3 else 7, "x" * 100) for i in range(60)], "doc_id long, text string")
+    told = sharding.write_shards(docs, f"file://{tmp_path}/s", limit=1000)
+    files = spark.read.parquet(f"file://{tmp_path}/s").groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes")).collect()
+    assert {(r.shard, r.bytes, r.n) for r in files} == {(f"b{r.shard}", r.shard_bytes, r.shard_rows) for r in told.collect()}
+    assert max(r.bytes for r in files) <= 1000 and sum(r.n for r in files) == 60
