@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -136,18 +136,64 @@ def chunk_fallback(index: Column, range_: Column, transcript: Column) -> Column:
     return F.struct(F.concat(F.lit("구간 "), index.cast("string"), F.lit(" 원문 발화 보존")).alias("title"), body.alias("summary_md"))
 
 
+_ENDS = r"^\s+|\s+$"
+
+
+def _stripped(t: Column) -> Column:
+    return F.regexp_replace(t, _ENDS, "")
+
+
 def json_object(raw: Column) -> Column:
-    """The JSON object in a model's reply: fences off, from the first brace to the last; null if there is none."""
-    t = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?m)^\s*```[A-Za-z]*\s*$", "")
-    return F.regexp_extract(t, r"(?s)\{.*\}", 0)
+    """The JSON object in a model's reply: an enclosing fence off, from the first brace to the last; empty if there is none."""
+    return F.regexp_extract(_unfenced(raw), r"(?s)\{.*\}", 0)
+
+
+def _unfenced(raw: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(_stripped(F.coalesce(raw, F.lit(""))), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+
+
+def _recovered(raw: Column) -> Column:
+    """struct<title, summary_md> of a reply: as JSON where that can be read, else what stands after "summary_md": to the reply's end, quotes
+    inside and all, without a closing quote or brace. Null where there is no brace or no such text."""
+    t = _unfenced(raw)
+    read = F.from_json(F.nullif(json_object(raw), F.lit("")), "title string, summary_md string, broken string", {"columnNameOfCorruptRecord": "broken", "allowSingleQuotes": "false"})
+    whole = read.isNotNull() & read["broken"].isNull()
+    rest = F.regexp_replace(F.regexp_extract(t, r'(?s)"summary_md"\s*:\s*"(.*)', 1), r"\s+$", "")
+    rest = F.when(F.endswith(rest, F.lit('"}')), F.substring(rest, F.lit(1), F.length(rest) - 2)).when(F.endswith(rest, F.lit('"')), F.substring(rest, F.lit(1), F.length(rest) - 1)).otherwise(rest)
+    for a, b in (("\\n", "\n"), ('\\"', '"'), ("\\\\", "\\")):
+        rest = F.replace(rest, F.lit(a), F.lit(b))
+    title = F.regexp_extract(t, r'"title"\s*:\s*"([^"]*)"', 1)
+    found = F.when(whole, F.struct(read["title"].alias("title"), read["summary_md"].alias("summary_md"))).when(t.rlike(r'"summary_md"\s*:\s*"'), F.struct(title.alias("title"), rest.alias("summary_md")))
+    return F.when(F.contains(t, F.lit("{")), found)
 
 
 def summary_reply(raw: Column) -> Column:
-    """struct<title, summary_md> of a reply that holds such an object, also one cut off within summary_md; null where there is none."""
-    whole = F.from_json(F.nullif(json_object(raw), F.lit("")), "title string, summary_md string")
-    part = F.regexp_extract(F.coalesce(raw, F.lit("")), r'(?s)"summary_md"\s*:\s*"((?:[^"\\]|\\.)*)', 1)
-    part = F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
-    title = F.regexp_extract(F.coalesce(raw, F.lit("")), r'"title"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
-    body = F.trim(F.coalesce(F.nullif(whole["summary_md"], F.lit("")), part))
-    name = F.substring(F.trim(F.coalesce(F.nullif(whole["title"], F.lit("")), F.nullif(title, F.lit("")), F.lit("회의록"))), 1, 200)
-    return F.when(body != "", F.struct(name.alias("title"), body.alias("summary_md")))
+    """struct<title, summary_md> of a reply (_recovered), stripped; '회의록' for a missing title; null where there is no summary."""
+    got = _recovered(raw)
+    body = _stripped(F.coalesce(got["summary_md"], F.lit("")))
+    name = _stripped(F.coalesce(F.nullif(got["title"], F.lit("")), F.lit("회의록")))
+    return F.when(body != "", F.struct(F.substring(name, 1, 200).alias("title"), body.alias("summary_md")))
+
+
+def checked_summary(raw: Column, headings: tuple[str, ...] = tuple(SECTION_CHARS), least: Column | int = 2000) -> Column:
+    """struct<title, summary_md, problem>: problem is null for a summary that can be used, else unreadable, empty, headings (some are missing) or short."""
+    got, reply = _recovered(raw), summary_reply(raw)
+    least = F.lit(least) if isinstance(least, int) else least
+    lacks = F.size(missing_headings(reply["summary_md"], headings)) > 0 if headings else F.lit(False)
+    problem = F.when(got.isNull(), "unreadable").when(reply.isNull(), "empty").when(lacks, "headings").when((least > 0) & (F.length(reply["summary_md"]) < least), "short")
+    return F.struct(reply["title"].alias("title"), reply["summary_md"].alias("summary_md"), problem.alias("problem"))
+
+
+def section_reply(raw: Column, heading: str, least: Column | int) -> Column:
+    """struct<summary_md, problem> of a reply for one section: the heading is put before it where it is missing."""
+    got, reply = _recovered(raw), summary_reply(raw)
+    body = F.when(F.contains(reply["summary_md"], F.lit(heading)), reply["summary_md"]).otherwise(F.concat(F.lit(heading + "\n"), reply["summary_md"]))
+    least = F.lit(least) if isinstance(least, int) else least
+    return F.struct(body.alias("summary_md"), F.when(got.isNull(), "unreadable").when(reply.isNull(), "empty").when(F.length(body) < least, "short").alias("problem"))
+
+
+def title_of_chunks(chunks: DataFrame) -> DataFrame:
+    """chunks: meeting_id, chunk, title. Per meeting the first title that says something, '회의록' where none does."""
+    t = _stripped(F.coalesce("title", F.lit("")))
+    told = F.when((t != "") & ~t.isin("회의록", "구간 요약", "회의 요약"), F.substring(t, 1, 200))
+    return chunks.groupBy("meeting_id").agg(F.coalesce(F.min_by(told, F.when(told.isNotNull(), F.col("chunk"))), F.lit("회의록")).alias("title"))

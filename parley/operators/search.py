@@ -106,3 +106,11 @@ def candidates(postings: DataFrame, term: str) -> DataFrame:
     """Ids whose rows hold every gram of term (a superset of the rows that hold term)."""
     grams = sorted({term.lower()[i : i + 3] for i in range(len(term) - 2)})
     return postings.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
+
+
+def candidates_in(rows: DataFrame, columns: list[str], term: str) -> DataFrame:
+    """The same for one search without a stored index: each row is asked for the term's grams, and no posting is made."""
+    grams = sorted({term.lower()[i : i + 3] for i in range(len(term) - 2)})
+    low = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
+    holds = lambda g: reduce(lambda a, b: a | b, [F.contains(t, F.lit(g)) for t in low])
+    return rows.where(reduce(lambda a, b: a & b, [holds(g) for g in grams], F.lit(bool(grams)))).select("id")

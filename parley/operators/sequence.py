@@ -55,6 +55,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")), "[^0-9a-z가-힣]", "")
 
 
+def distinct_texts(rows: DataFrame, key: str, least: int = 8) -> DataFrame:
+    """Per key over normalised texts of least characters or more: texts, distinct_texts."""
+    texts = rows.select(key, normalised(F.col("text")).alias("t")).where(F.length("t") >= least)
+    return texts.groupBy(key).agg(F.count("*").alias("texts"), F.countDistinct("t").alias("distinct_texts"))
+
+
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 

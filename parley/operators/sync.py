@@ -94,20 +94,34 @@ def fold_events(events: DataFrame, key: str = "meeting_id") -> DataFrame:
     return events.groupBy(key, "target").agg(F.max_by("status", "event").alias("status"), F.max_by(F.when(has, F.col("post_id")), F.when(has, F.col("event"))).alias("post_id"), F.max_by(F.struct(F.col("error").alias("e")), "event")["e"].alias("error"), F.max("event").alias("updated"))
 
 
+def mark_failed(meetings: DataFrame, ids: DataFrame) -> DataFrame:
+    """meetings (meeting_id, sync_status, sync_error) in which those of ids (meeting_id, error) have failed as such, where no target is to blame."""
+    return _marked(meetings, ids, "failed")
+
+
+def _marked(meetings: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    hit = ids.groupBy("meeting_id").agg(F.max(F.substring("error", 1, 2000)).alias("told"), F.lit(True).alias("hit"))
+    both = meetings.join(hit, "meeting_id", "left").withColumn("sync_status", F.when(F.col("hit"), status).otherwise(F.col("sync_status")))
+    return (both.withColumn("sync_error", F.when(F.col("hit"), F.col("told")).otherwise(F.col("sync_error"))) if "sync_error" in meetings.columns else both).drop("told", "hit")
+
+
 def block(meetings: DataFrame, targets: DataFrame, ids: DataFrame, wanted: list[str], now: Column) -> tuple[DataFrame, DataFrame]:
     """The states in which the uploads of some meetings (meeting_id, error) are blocked on the wanted targets. No roll-up: meetings are blocked as such."""
-    new = ids.select("meeting_id", F.explode(F.array(*(F.lit(w) for w in wanted or [DEFAULT]))).alias("target"), F.lit("blocked").alias("status"), F.lit(None).cast("string").alias("post_id"), "error", now.alias("updated"))
-    hit = ids.select("meeting_id", F.lit(True).alias("hit"))
-    states = meetings.join(hit, "meeting_id", "left").withColumn("sync_status", F.when(F.col("hit"), "blocked").otherwise(F.col("sync_status"))).drop("hit")
-    return states, upsert(targets, new, ["meeting_id", "target"])
+    new = ids.select("meeting_id", F.explode(F.array(*(F.lit(w) for w in wanted or [DEFAULT]))).alias("target"), F.lit("blocked").alias("status"), F.lit(None).cast("string").alias("post_id"), F.substring("error", 1, 2000).alias("error"), now.alias("updated"))
+    return _marked(meetings, ids, "blocked"), upsert(targets, new, ["meeting_id", "target"])
 
 
 def approve(meetings: DataFrame, targets: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Releases blocked meetings (meeting_id): new meetings, new targets, and the ids for which that changed something."""
+    """Releases blocked meetings (meeting_id): new meetings, new targets, and the ids for which that changed something. What was blocked waits again, without its error."""
     changed = meetings.where(F.col("sync_status") == "blocked").join(ids.select("meeting_id").distinct(), "meeting_id", "left_semi").select("meeting_id")
     hit = changed.withColumn("hit", F.lit(True))
-    pending = lambda df, c: df.join(hit, "meeting_id", "left").withColumn(c, F.when(F.col("hit") & (F.col(c) == "blocked"), "pending").otherwise(F.col(c))).drop("hit")
-    return pending(meetings, "sync_status"), pending(targets, "status"), changed
+
+    def pending(df: DataFrame, status: str, error: str) -> DataFrame:
+        freed = F.coalesce(F.col("hit") & (F.col(status) == "blocked"), F.lit(False))
+        new = {error: F.when(~freed, F.col(error)), status: F.when(freed, "pending").otherwise(F.col(status))}
+        return df.join(hit, "meeting_id", "left").select(*((new[c].alias(c) if c in new else F.col(c)) for c in df.columns))
+
+    return pending(meetings, "sync_status", "sync_error"), pending(targets, "status", "error"), changed
 
 
 def dedupe_by_key(rows: DataFrame, seen: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:

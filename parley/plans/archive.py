@@ -41,7 +41,7 @@ def search_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trigram_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return ft.candidates(ft.trigram_postings(t.documents_as_meetings(spark, d), ["body"]), "Apache License").orderBy("id")
+    return ft.candidates_in(t.documents_as_meetings(spark, d), ["title", "body"], "Apache License").orderBy("id")
 
 
 def list_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ def rollup_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rollup_utterance_status(spark: SparkSession, d: str) -> DataFrame:
-    return sync.rollup(t.order_targets(spark, d).withColumnRenamed("meeting_id", "utterance_id"), "utterance_id", True).drop("error")
+    return sync.rollup(t.order_targets(spark, d).withColumnRenamed("meeting_id", "utterance_id"), "utterance_id", True)
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
@@ -94,11 +94,6 @@ def _default_first(targets: DataFrame) -> DataFrame:
 
 
 def target_order(spark: SparkSession, d: str) -> DataFrame:
-    """A part, as its SQL has it; target_order_all is the whole."""
-    return _default_first(t.order_targets(spark, d).where("meeting_id % 7 = 0"))
-
-
-def target_order_all(spark: SparkSession, d: str) -> DataFrame:
     return _default_first(t.order_targets(spark, d))
 
 
@@ -113,27 +108,14 @@ def _changed(targets: DataFrame) -> DataFrame:
     return targets.withColumns({"status": F.lit("partial"), "post_id": F.when(F.col("meeting_id") % 4 == 0, F.lit("new")), "error": F.lit(None).cast("string")})
 
 
-def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = t.order_targets(spark, d)
-    return s.where("meeting_id % 3 <> 0"), _changed(s.where("meeting_id % 2 = 0"))
-
-
 def upsert_targets(spark: SparkSession, d: str) -> DataFrame:
-    return sync.upsert(*_halves(spark, d), ["meeting_id", "target"])
-
-
-def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
-    return sync.insert_missing(*_halves(spark, d), ["meeting_id", "target"])
-
-
-def upsert_targets_all(spark: SparkSession, d: str) -> DataFrame:
-    """The whole table as the state; upsert_targets leaves out what is in neither of its parts."""
+    """The whole table is the state; half of its keys come again."""
     s = t.order_targets(spark, d)
     return sync.upsert(s, _changed(s.where("meeting_id % 2 = 0")), ["meeting_id", "target"])
 
 
-def insert_or_ignore_all(spark: SparkSession, d: str) -> DataFrame:
-    """The whole table as the new rows; insert_or_ignore leaves out what is in neither of its parts."""
+def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table comes as new rows; the state holds two thirds of its keys."""
     s = t.order_targets(spark, d)
     return sync.insert_missing(s.where("meeting_id % 3 <> 0"), _changed(s), ["meeting_id", "target"])
 
@@ -156,7 +138,9 @@ def idempotent_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     gone = t.read(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("meeting_id"))
-    return t.order_targets(spark, d).join(gone, "meeting_id", "left_anti").groupBy("status").agg(F.count("*").alias("n"))
+    left = edits.delete_meetings(gone, targets=t.order_targets(spark, d), utterances=t.event_utterances(spark, d))
+    count = lambda name, by: left[name].groupBy(F.lit(name).alias("of"), F.col(by).alias("kind")).agg(F.count("*").alias("n"))
+    return count("targets", "status").unionByName(count("utterances", "speaker"))
 
 
 def _micro(c: str) -> F.Column:
@@ -214,7 +198,8 @@ def meeting_detail(spark: SparkSession, d: str) -> DataFrame:
     u = t.event_utterances(spark, d)
     m = u.select("meeting_id").distinct()
     got = stats.meeting_detail(m, u, t.order_targets(spark, d), "1-URGENT")
-    return got.select("meeting_id", F.size("utterances").alias("n"), F.get("utterances", F.lit(0))["speaker"].alias("first_speaker"), F.array_join(F.transform("targets", lambda x: x["target"]), ",").alias("targets"))
+    lines = F.array_join(F.transform("utterances", lambda u: F.concat_ws(":", *(u[c].cast("string") for c in ("seq", "speaker", "start_ms", "end_ms")))), ",")
+    return got.select("meeting_id", lines.alias("utterances"), F.array_join(F.transform("targets", lambda x: F.concat_ws(":", x["target"], x["status"])), ",").alias("targets"))
 
 
 def format_clock(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +226,7 @@ def html_transcript(spark: SparkSession, d: str) -> DataFrame:
     return export.html_pages(m, s)
 
 
-QUERIES = {f.__name__: f for f in (search_bm25, search_filtered, search_advanced, search_words, search_snippets, trigram_candidates, list_ids, pii_full, pii_partial, pii_card_partial, dictionary_replace, inline_rules, rollup_status, rollup_utterance_status, unsynced, target_order, target_order_all, refresh_target, upsert_targets, upsert_targets_all, insert_or_ignore, insert_or_ignore_all, adopt_default, event_log_state, idempotent_dedupe, cascade_delete, centroids, nearest_centroid, min_centroid_distance, majority_label, cluster_durations, nearest_label, cluster_speakers, diarize_segments, rename_speaker, meeting_detail, format_clock, safe_names, html_escape, transcripts, html_transcript)}
+QUERIES = {f.__name__: f for f in (search_bm25, search_filtered, search_advanced, search_words, search_snippets, trigram_candidates, list_ids, pii_full, pii_partial, pii_card_partial, dictionary_replace, inline_rules, rollup_status, rollup_utterance_status, unsynced, target_order, refresh_target, upsert_targets, insert_or_ignore, adopt_default, event_log_state, idempotent_dedupe, cascade_delete, centroids, nearest_centroid, min_centroid_distance, majority_label, cluster_durations, nearest_label, cluster_speakers, diarize_segments, rename_speaker, meeting_detail, format_clock, safe_names, html_escape, transcripts, html_transcript)}
 
 T = """o AS (
   SELECT o_custkey AS meeting_id, o_orderpriority AS target, CASE o_orderstatus WHEN 'F' THEN 'synced' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, o_orderkey AS updated
@@ -275,7 +260,7 @@ ORACLE_SQL = {
     "search_bm25": _bm25(["thing", "ent"], "tf0 > 0 AND tf1 > 0", 50),
     "search_filtered": _bm25(["that"], "tf0 > 0", 20, "title = 'src3'"),
     "search_advanced": _bm25(["thing", "the", "Apache License"], "(tf0 > 0 AND tf1 > 0) OR tf2 > 0", 30),
-    "trigram_candidates": f"WITH {M} SELECT id FROM d WHERE " + " AND ".join(f"contains(lower(body), '{g}')" for g in sorted({"apache license"[i : i + 3] for i in range(12)})) + " ORDER BY id",
+    "trigram_candidates": f"WITH {M} SELECT id FROM d WHERE " + " AND ".join(f"(contains(lower(title), '{g}') OR contains(lower(body), '{g}'))" for g in sorted({"apache license"[i : i + 3] for i in range(12)})) + " ORDER BY id",
     "list_ids": "SELECT doc_id AS id FROM documents ORDER BY 1",
     "dictionary_replace": r"SELECT conv_id, turn, regexp_replace(regexp_replace(replace(text, 'th', 'Th'), '(\w+)ing\b', '\1ING', 'g'), 'e\$?', 'E$', 'g') AS text FROM conversations",
     "inline_rules": "SELECT conv_id, turn, replace(replace(text, 'the', 'THE'), 'and', '&') AS text FROM conversations",
@@ -284,11 +269,11 @@ WITH {T} SELECT meeting_id, CASE WHEN bool_and(status = 'synced') THEN 'synced'
   arg_min(post_id, (CASE WHEN target = 'default' THEN 0 ELSE 1 END, updated, target)) FILTER (post_id IS NOT NULL) AS post_id, substr(string_agg(target || ': ' || error, '; ' ORDER BY target, error) FILTER (error IS NOT NULL), 1, 2000) AS error FROM t GROUP BY 1""",
     "rollup_utterance_status": f"""
 WITH {T} SELECT meeting_id AS utterance_id, CASE WHEN bool_and(status = 'synced') THEN 'synced' WHEN bool_or(status = 'synced') THEN 'partial' WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'pending' END AS status,
-  arg_min(post_id, (updated, target)) FILTER (post_id IS NOT NULL) AS post_id FROM t GROUP BY 1""",
+  arg_min(post_id, (updated, target)) FILTER (post_id IS NOT NULL) AS post_id, substr(string_agg(target || ': ' || error, '; ' ORDER BY target, error) FILTER (error IS NOT NULL), 1, 2000) AS error FROM t GROUP BY 1""",
     "unsynced": f"""
 WITH {T}, m AS (SELECT c_custkey AS meeting_id, CASE WHEN c_custkey % 10 = 0 THEN 'blocked' ELSE 'pending' END AS sync_status FROM customer)
 SELECT meeting_id, sync_status FROM m WHERE sync_status <> 'blocked' AND EXISTS (SELECT 1 FROM (VALUES ('1-URGENT'), ('2-HIGH')) w(x) LEFT JOIN t ON t.meeting_id = m.meeting_id AND t.target = w.x WHERE coalesce(t.status, 'pending') IN ('pending', 'partial', 'failed'))""",
-    "target_order": f"WITH {T} SELECT meeting_id, target, status, CASE WHEN target = '1-URGENT' THEN 0 ELSE 1 END AS later, updated FROM t WHERE meeting_id % 7 = 0 ORDER BY 1, 4, 5, 2",
+    "target_order": f"WITH {T} SELECT meeting_id, target, status, CASE WHEN target = '1-URGENT' THEN 0 ELSE 1 END AS later, updated FROM t ORDER BY 1, 4, 5, 2",
     "refresh_target": f"""
 WITH {T}, l AS (SELECT l_suppkey % 50 AS meeting_id, l_orderkey * 10 + l_linenumber AS u, l_linenumber AS seq FROM lineitem),
 s AS (SELECT u, '2-HIGH' AS target, CASE WHEN u % 4 = 0 THEN 'failed' ELSE 'synced' END AS status FROM l WHERE u % 3 <> 0),
@@ -296,10 +281,10 @@ j AS (SELECT t.meeting_id, t.target, l.u, s.status FROM t LEFT JOIN l ON l.meeti
 g AS (SELECT meeting_id, target, count(*) FILTER (u IS NOT NULL AND coalesce(status, '') <> 'synced') AS pending FROM j GROUP BY 1, 2)
 SELECT meeting_id, target, CASE WHEN pending > 0 THEN 'partial' ELSE 'synced' END AS status, CASE WHEN pending > 0 THEN pending || ' comments pending' END AS error, pending FROM g""",
     "upsert_targets": f"""
-WITH {T}, a AS (SELECT * FROM t WHERE meeting_id % 3 <> 0), n AS (SELECT meeting_id, target, 'partial' AS status, CASE WHEN meeting_id % 4 = 0 THEN 'new' END AS post_id, NULL::VARCHAR AS error, updated FROM t WHERE meeting_id % 2 = 0)
+WITH {T}, a AS (SELECT * FROM t), n AS (SELECT meeting_id, target, 'partial' AS status, CASE WHEN meeting_id % 4 = 0 THEN 'new' END AS post_id, NULL::VARCHAR AS error, updated FROM t WHERE meeting_id % 2 = 0)
 SELECT meeting_id, target, coalesce(n.status, a.status) AS status, coalesce(n.post_id, a.post_id) AS post_id, CASE WHEN n.status IS NULL THEN a.error END AS error, coalesce(n.updated, a.updated) AS updated FROM a FULL JOIN n USING (meeting_id, target)""",
     "insert_or_ignore": f"""
-WITH {T}, a AS (SELECT * FROM t WHERE meeting_id % 3 <> 0), n AS (SELECT meeting_id, target, 'partial' AS status, CASE WHEN meeting_id % 4 = 0 THEN 'new' END AS post_id, NULL::VARCHAR AS error, updated FROM t WHERE meeting_id % 2 = 0)
+WITH {T}, a AS (SELECT * FROM t WHERE meeting_id % 3 <> 0), n AS (SELECT meeting_id, target, 'partial' AS status, CASE WHEN meeting_id % 4 = 0 THEN 'new' END AS post_id, NULL::VARCHAR AS error, updated FROM t)
 SELECT * FROM a UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.meeting_id = n.meeting_id AND a.target = n.target)""",
     "adopt_default": f"""
 WITH {T}, s AS (SELECT meeting_id, CASE WHEN target = '1-URGENT' THEN 'default' ELSE target END AS target, status, post_id, error, updated FROM t), b AS (SELECT * FROM s WHERE target = 'default' AND post_id IS NOT NULL)
@@ -312,7 +297,9 @@ SELECT o_custkey AS meeting_id, o_orderpriority AS target, arg_max(o_orderstatus
     "idempotent_dedupe": """
 WITH e AS (SELECT 'meeting:post:' || user_id || ':' || regexp_replace(lower(event_type), '[^a-z0-9._-]', '_', 'g') AS key, event_id AS seq FROM events)
 SELECT key, min(seq) AS seq FROM e GROUP BY 1 HAVING count(*) FILTER (seq % 97 = 0) = 0""",
-    "cascade_delete": f"WITH {T} SELECT status, count(*) AS n FROM t WHERE meeting_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1",
+    "cascade_delete": f"""
+WITH {T}, {U}, g AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+SELECT 'targets' AS "of", status AS kind, count(*) AS n FROM t WHERE meeting_id NOT IN (FROM g) GROUP BY ALL UNION ALL SELECT 'utterances', speaker, count(*) FROM u WHERE meeting_id NOT IN (FROM g) GROUP BY ALL""",
     "centroids": f"WITH {_mean('label', 'embeddings')} SELECT label, n, i, round(x, 5) AS x FROM c",
     "nearest_centroid": f"""
 WITH {_mean("label", "embeddings")}, v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1),
@@ -350,6 +337,6 @@ s AS (SELECT id, (tf0 + tf1)::BIGINT AS hits, -(greatest(ln((N - n0 + 0.5) / (n0
 SELECT id, round(sc, 6) AS score, hits FROM s ORDER BY sc, id LIMIT 30""",
     "rename_speaker": f"WITH {U} SELECT meeting_id, seq, CASE WHEN meeting_id = 3 AND speaker = 'click' THEN 'Kim' ELSE speaker END AS speaker FROM u",
     "meeting_detail": f"""
-WITH {U}, {T}, g AS (SELECT meeting_id, string_agg(target, ',' ORDER BY CASE WHEN target = '1-URGENT' THEN 0 ELSE 1 END, updated, target) AS targets FROM t GROUP BY 1)
-SELECT meeting_id, count(*) AS n, arg_min(speaker, seq) AS first_speaker, any_value(targets) AS targets FROM u LEFT JOIN g USING (meeting_id) GROUP BY 1""",
+WITH {U}, {T}, g AS (SELECT meeting_id, string_agg(target || ':' || status, ',' ORDER BY CASE WHEN target = '1-URGENT' THEN 0 ELSE 1 END, updated, target) AS targets FROM t GROUP BY 1)
+SELECT meeting_id, string_agg(concat_ws(':', seq, speaker, start_ms, end_ms), ',' ORDER BY seq) AS utterances, any_value(targets) AS targets FROM u LEFT JOIN g USING (meeting_id) GROUP BY 1""",
 }

@@ -81,8 +81,7 @@ def forward_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_ratio(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.read(spark, d, "documents").select(F.coalesce("source", F.lit("?")).alias("source"), sequence.normalised(F.col("text")).alias("x")).where(F.length("x") >= 8)
-    return rows.groupBy("source").agg(F.count("*").alias("texts"), F.countDistinct("x").alias("distinct_texts"))
+    return sequence.distinct_texts(t.read(spark, d, "documents").select(F.coalesce("source", F.lit("?")).alias("source"), "text"), "source")
 
 
 def adjacent_repeats(spark: SparkSession, d: str) -> DataFrame:
@@ -109,12 +108,7 @@ def overlap_assign(spark: SparkSession, d: str) -> DataFrame:
 
 
 def positional_zip(spark: SparkSession, d: str) -> DataFrame:
-    u = t.event_utterances(spark, d)
-    return intervals.positional_zip(u.where("seq < 50").select("meeting_id", F.col("seq").alias("a")), u.where("seq >= 10 and seq < 60").select("meeting_id", F.col("seq").alias("b")), "meeting_id", "a", "b")
-
-
-def positional_zip_all(spark: SparkSession, d: str) -> DataFrame:
-    """All utterances in the order of their beginning against all in the order of their end; positional_zip, as its SQL has it, pairs a part."""
+    """All utterances of a meeting in the order of their beginning against all in the order of their end."""
     u = t.event_utterances(spark, d)
     got = intervals.positional_zip(u.select("meeting_id", F.col("seq").alias("a")), u.select("meeting_id", F.struct("end_ms", "seq").alias("b")), "meeting_id", "a", "b")
     return got.withColumn("b", F.col("b.seq"))
@@ -137,7 +131,7 @@ def _measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def quality_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.metrics(*_measured(spark, d)).drop("near_pairs", "logprob_avg")
+    return quality.metrics(*_measured(spark, d)).drop("near_pairs").withColumn("logprob_avg", F.round("logprob_avg", 6))
 
 
 def quality_issues(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +145,7 @@ def retry_rules(spark: SparkSession, d: str) -> DataFrame:
     return totals.select("meeting_id", quality.retry_without_vad(totals).alias("retry"))
 
 
-QUERIES = {f.__name__: f for f in (speaker_stats, time_distribution, timeline, speaker_trend, keyword_trend, latest_meetings, speaker_samples, segment_totals, utterance_bounds, distinct_speakers, merge_consecutive, remap_speakers, forward_fill, duplicate_ratio, adjacent_repeats, segment_windows, expand_from_longest, chunk_utterances, overlap_assign, positional_zip, positional_zip_all, top_keywords, compare_two, quality_metrics, quality_issues, retry_rules)}
+QUERIES = {f.__name__: f for f in (speaker_stats, time_distribution, timeline, speaker_trend, keyword_trend, latest_meetings, speaker_samples, segment_totals, utterance_bounds, distinct_speakers, merge_consecutive, remap_speakers, forward_fill, duplicate_ratio, adjacent_repeats, segment_windows, expand_from_longest, chunk_utterances, overlap_assign, positional_zip, top_keywords, compare_two, quality_metrics, quality_issues, retry_rules)}
 
 NORM = "regexp_replace(lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')), '[^0-9a-z가-힣]', '', 'g')"
 STRIP = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
@@ -203,9 +197,8 @@ WITH {U}, p AS (SELECT a.meeting_id, a.seq, b.speaker, least(a.start_ms + 720000
 r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY meeting_id, seq ORDER BY o DESC, t) = 1)
 SELECT meeting_id, seq, r.speaker AS assigned, coalesce(o, 0) AS overlap_ms FROM u LEFT JOIN r USING (meeting_id, seq)""",
     "positional_zip": f"""
-WITH {U}, a AS (SELECT meeting_id, seq AS a, row_number() OVER w AS pos, count(*) OVER (PARTITION BY meeting_id) AS n FROM u WHERE seq < 50 WINDOW w AS (PARTITION BY meeting_id ORDER BY seq)),
-b AS (SELECT meeting_id, seq AS b, row_number() OVER w AS pos, count(*) OVER (PARTITION BY meeting_id) AS n FROM u WHERE seq >= 10 AND seq < 60 WINDOW w AS (PARTITION BY meeting_id ORDER BY seq))
-SELECT meeting_id, pos, a, b FROM a JOIN b USING (meeting_id, pos, n)""",
+WITH {U}, a AS (SELECT meeting_id, seq AS a, row_number() OVER (PARTITION BY meeting_id ORDER BY seq) AS pos FROM u), b AS (SELECT meeting_id, seq AS b, row_number() OVER (PARTITION BY meeting_id ORDER BY end_ms, seq) AS pos FROM u)
+SELECT meeting_id, pos, a, b FROM a JOIN b USING (meeting_id, pos)""",
     "top_keywords": f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS ws FROM documents), x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
 c AS (SELECT word, count(*) AS n, min((doc_id, i)) AS p FROM x WHERE word <> 'the' GROUP BY 1)
@@ -223,10 +216,10 @@ WITH {S}, d AS (SELECT meeting_id, max(end_ms) * 4 AS duration_ms FROM s GROUP B
 q AS (SELECT *, length({STRIP}) AS c, nullif(trim(speaker), '') AS who, {NORM} AS x FROM s WHERE length({STRIP}) > 0),
 w AS (SELECT meeting_id, who, sum(ms) AS t FROM q WHERE who IS NOT NULL GROUP BY 1, 2), top AS (SELECT meeting_id, max(t)::BIGINT AS top_ms FROM w GROUP BY 1),
 x AS (SELECT meeting_id, count(*) AS texts, count(DISTINCT x) AS dt FROM q WHERE length(x) >= 8 GROUP BY 1),
-a AS (SELECT meeting_id, count(*) AS n, sum(ms)::BIGINT AS speech_ms, sum(c)::BIGINT AS chars, count(DISTINCT who) AS speakers, count(*) AS logprob_n, count(*) FILTER (-(seq % 4) / 2.0 - 0.2 < -1.1) AS logprob_low,
+a AS (SELECT meeting_id, count(*) AS n, sum(ms)::BIGINT AS speech_ms, sum(c)::BIGINT AS chars, count(DISTINCT who) AS speakers, count(*) AS logprob_n, avg(-(seq % 4) / 2.0 - 0.2) AS la, count(*) FILTER (-(seq % 4) / 2.0 - 0.2 < -1.1) AS logprob_low,
   count(*) AS silence_n, count(*) FILTER ((seq % 3) / 3.0 >= 0.65) AS silence_high, count(*) FILTER (seq > 0) AS packed_n, count(*) FILTER (seq > 0 AND 2.0 + (seq % 2) >= 2.4) AS packed_high FROM q GROUP BY 1)
 SELECT meeting_id, duration_ms, coalesce(n, 0) AS n, coalesce(speech_ms, 0) AS speech_ms, coalesce(chars, 0) AS chars, coalesce(speakers, 0) AS speakers, coalesce(top_ms, 0) AS top_ms, coalesce(logprob_n, 0) AS logprob_n,
-  coalesce(logprob_low, 0) AS logprob_low, coalesce(silence_n, 0) AS silence_n, coalesce(silence_high, 0) AS silence_high, coalesce(packed_n, 0) AS packed_n, coalesce(packed_high, 0) AS packed_high,
+  coalesce(logprob_low, 0) AS logprob_low, round(la, 6) AS logprob_avg, coalesce(silence_n, 0) AS silence_n, coalesce(silence_high, 0) AS silence_high, coalesce(packed_n, 0) AS packed_n, coalesce(packed_high, 0) AS packed_high,
   coalesce(texts, 0) AS texts, coalesce(CASE WHEN texts < 6 THEN texts ELSE dt END, 0) AS distinct_texts
 FROM d LEFT JOIN a USING (meeting_id) LEFT JOIN top USING (meeting_id) LEFT JOIN x USING (meeting_id)""",
     "retry_rules": f"""

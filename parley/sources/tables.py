@@ -87,8 +87,18 @@ def read_segments_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("start double, end double, speaker string, text string, avg_logprob double, no_speech_prob double, compression_ratio double").option("multiLine", True).json(path)
 
 
+def write_segments_json(segments: DataFrame, path: str) -> None:
+    """The cache that read_segments_json reads: start, end, speaker, text and the measures that are there; one array in each file, in order of the start."""
+    names = [c for c in ("start", "end", "speaker", "text", "avg_logprob", "no_speech_prob", "compression_ratio") if c in segments.columns]
+    by = segments.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))  # a meeting's segments are one file
+    by.select("meeting_id", F.to_json("rows").alias("value")).repartition("meeting_id").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("meeting_id").text(path)
+
+
+def audio_glob() -> str:
+    return "*.{" + ",".join([*AUDIO_SUFFIXES, *(s.upper() for s in AUDIO_SUFFIXES)]) + "}"
+
+
 def audio_files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """Audio files of a folder, by suffix: path, modificationTime, length."""
-    glob = "*.{" + ",".join([*AUDIO_SUFFIXES, *(s.upper() for s in AUDIO_SUFFIXES)]) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", audio_glob()).load(path)
     return files if content else files.drop("content")

@@ -1,8 +1,10 @@
 """Search, masking, corrections, publication state, vectors, formats, export and ingestion."""
 
+import os
 import random
 import re
 import sqlite3
+import time
 
 import numpy as np
 import pytest
@@ -126,6 +128,9 @@ def test_unsynced_block_approve_adopt(spark):
     m2, t2, changed = sync.approve(m, t, m.select("meeting_id"))
     assert ids(changed) == {2} and ids(sync.unsynced(m2, t2, ["default"])) == {2, 3}
     assert ids(sync.approve(m2, t2, m.select("meeting_id"))[2]) == set()
+    assert t2.where("meeting_id = 2").first().error is None and t2.columns == t.columns
+    failed = sync.mark_failed(m.withColumn("sync_error", F.lit(None).cast("string")), spark.createDataFrame([(1, "e" * 3000)], "meeting_id long, error string"))
+    assert {(r.meeting_id, r.sync_status, len(r.sync_error or "")) for r in failed.collect()} == {(1, "failed", 2000), (2, "blocked", 0), (3, "failed", 0)}
     m3, t3 = sync.block(m2, t2, spark.createDataFrame([(1, "e")], "meeting_id long, error string"), ["default", "b"], F.lit(9).cast("long"))
     assert {(r.target, r.status, r.post_id) for r in t3.where("meeting_id = 1").collect()} == {("default", "blocked", "p"), ("b", "blocked", None)}
     assert m3.where("meeting_id = 1").first().sync_status == "blocked"
@@ -215,13 +220,82 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     inbox.mkdir()
     seen: list[str] = []
     take = lambda batch, number: seen.extend(r.path.rsplit("/", 1)[1] for r in batch.select("path").collect())
-    for names in (["a.mp3", "b.txt", "empty.wav"], ["c.M4A"], []):
+    for names in (["a.mp3", "b.txt"], ["c.M4A"], []):
         for n in names:
-            (inbox / n).write_bytes(b"" if n.startswith("empty") else b"x")
+            (inbox / n).write_bytes(b"x")
         ingest.drain(ingest.audio_stream(spark, str(inbox)), state, take)
     assert sorted(seen) == ["a.mp3", "c.M4A"]
 
 
+def test_incomplete_files_come_later(spark, tmp_path):
+    inbox, state = tmp_path / "in", str(tmp_path / "state")
+    inbox.mkdir()
+    old = time.time() - 3600
+    seen: list[tuple[int, str]] = []
+    take = lambda batch, number: seen.extend((number, r.path.rsplit("/", 1)[1]) for r in batch.collect())
+    drain = lambda: ingest.drain_complete(spark, str(inbox), state, take, stable_s=600)
+    (inbox / "young.mp3").write_bytes(b"x")
+    (inbox / "empty.wav").write_bytes(b"")
+    (inbox / "old.mp3").write_bytes(b"x")
+    for n in ("empty.wav", "old.mp3"):
+        os.utime(inbox / n, (old, old))
+    assert drain() == 1 and seen == [(1, "old.mp3")]
+    assert drain() == 1 and len(seen) == 1  # nothing is handed on twice
+    os.utime(inbox / "young.mp3", (old, old))
+    (inbox / "empty.wav").write_bytes(b"now")
+    os.utime(inbox / "empty.wav", (old, old))
+
+    def breaks(batch, number):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        ingest.drain_complete(spark, str(inbox), state, breaks, stable_s=600)
+    assert drain() == 0 and sorted(seen) == [(1, "old.mp3"), (2, "empty.wav"), (2, "young.mp3")]
+
+
+def test_remote_actions(spark):
+    def connect():
+        tries: dict[str, int] = {}
+
+        def client(verb, payload):
+            tries[verb] = tries.get(verb, 0) + 1
+            if payload.get("bad") or tries[verb] < payload.get("from", 1):
+                raise OSError("refused")
+            return {"id": payload["n"]}
+
+        return client
+
+    rows = [(1, "create_post", '{"n": 5}'), (2, "update_post", '{"n": 6, "from": 3}'), (3, "create_comment", '{"n": 7, "from": 2}'), (4, "list_comments", '{"bad": true}'), (5, "burn", None)]
+    got = ingest.perform(spark.createDataFrame(rows, "id long, verb string, payload string").coalesce(1), connect, backoff_s=0).collect()
+    assert [tuple(r) for r in sorted(got)] == [(1, True, 1, '{"id": 5}'), (2, True, 3, '{"id": 6}'), (3, False, 1, "refused"), (4, False, 3, "refused"), (5, False, 0, "unknown verb burn")]
+
+
+def test_replies(spark):
+    cases = [
+        ('{"title": "T", "summary_md": "본문"}', ("T", "본문")),
+        ('```json\n{"title": "T", "summary_md": "본문"}\n```', ("T", "본문")),
+        ('{"title": "회의", "summary_md": "## 개요\\n이어지다 잘림', ("회의", "## 개요\n이어지다 잘림")),
+        ('{"title": "A", "summary_md": "He said "hi" and left.\\nThen \\\\ more."}', ("A", 'He said "hi" and left.\nThen \\ more.')),
+        ('{"summary_md": "only a section', ("회의록", "only a section")),
+        ('so: {"title": 5, "summary_md": " x "} done', ("5", "x")),
+        ("{'title': 'single', 'summary_md': 'quotes'}", None),
+        ("그냥 텍스트", None),
+        ('"summary_md": "no brace"', None),
+        ('{"title": "A", "summary_md": ""}', None),
+        (None, None),
+    ]
+    t = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i long, r string")
+    got = {r.i: r.x and (r.x.title, r.x.summary_md) for r in t.select("i", text.summary_reply(F.col("r")).alias("x")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)}
+    check = lambda r, **o: spark.createDataFrame([(r,)], "r string").select(text.checked_summary(F.col("r"), **o).alias("x")).first().x.problem
+    assert check("none") == "unreadable" and check('{"summary_md": " "}') == "empty" and check(cases[0][0]) == "headings"
+    assert check(cases[0][0], headings=()) == "short" and check(cases[0][0], headings=(), least=2) is None
+    part = t.select("i", text.section_reply(F.col("r"), "## H", 5).alias("x")).orderBy("i").collect()
+    assert part[0].x.summary_md == "## H\n본문" and part[0].x.problem is None and part[7].x.problem == "unreadable"
+    chunks = spark.createDataFrame([(1, 0, "구간 요약"), (1, 1, " Plan "), (1, 2, "Z"), (2, 0, None)], "meeting_id long, chunk long, title string")
+    assert {r.meeting_id: r.title for r in text.title_of_chunks(chunks).collect()} == {1: "Plan", 2: "회의록"}
+
+
 def test_keyed_sink_is_idempotent(spark, tmp_path):
     sent: list[str] = []
     sink = ingest.keyed_sink(str(tmp_path / "out"), send=lambda df: sent.extend(r.key for r in df.collect()))

@@ -1,10 +1,8 @@
-"""Queries and operators on whole inputs, where a part was left out once."""
+"""Queries and operators on whole inputs."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from parley.llm import sharding
 from parley.operators import diarize, vectors
 from parley.plans import QUERIES
 from parley.sources import tables
@@ -14,10 +12,10 @@ from tests.conftest import SF
 def test_targets_are_whole(spark):
     rows = [tuple(r) for r in tables.order_targets(spark, SF).select("meeting_id", "target", "status", "post_id", "error", "updated").collect()]
     want = sorted(((m, t, s, int(t != "1-URGENT"), u) for m, t, s, _, _, u in rows), key=lambda r: (r[0], r[3], r[4], r[1]))
-    assert [tuple(r) for r in QUERIES["target_order_all"](spark, SF).collect()] == want
-    for name, is_new in (("upsert_targets_all", lambda m: m % 2 == 0), ("insert_or_ignore_all", lambda m: m % 3 == 0)):
+    assert [tuple(r) for r in QUERIES["target_order"](spark, SF).collect()] == want
+    for name, is_new in (("upsert_targets", lambda m: m % 2 == 0), ("insert_or_ignore", lambda m: m % 3 == 0)):
         got = QUERIES[name](spark, SF).select("meeting_id", "target", "status", "post_id", "error", "updated").collect()
-        want = [(m, t, "partial", ("new" if m % 4 == 0 else p if name == "upsert_targets_all" else None), None, u) if is_new(m) else (m, t, s, p, e, u) for m, t, s, p, e, u in rows]
+        want = [(m, t, "partial", ("new" if m % 4 == 0 else p if name == "upsert_targets" else None), None, u) if is_new(m) else (m, t, s, p, e, u) for m, t, s, p, e, u in rows]
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
@@ -26,32 +24,10 @@ def test_zip_is_whole(spark):
     for r in tables.event_utterances(spark, SF).select("meeting_id", "seq", "end_ms").collect():
         by.setdefault(r.meeting_id, []).append((r.seq, r.end_ms))
     want = {(m, i + 1, a, b) for m, x in by.items() for i, (a, b) in enumerate(zip(sorted(s for s, _ in x), [s for s, _ in sorted(x, key=lambda y: (y[1], y[0]))], strict=True))}
-    got = [(r.meeting_id, r.pos, r.a, r.b) for r in QUERIES["positional_zip_all"](spark, SF).collect()]
+    got = [(r.meeting_id, r.pos, r.a, r.b) for r in QUERIES["positional_zip"](spark, SF).collect()]
     assert len(got) == len(want) == sum(map(len, by.values())) and set(got) == want and max(p for _, p, _, _ in got) > 60
 
 
-def test_pipeline_judges_rows_not_ids(spark):
-    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r.text or "").split()) >= 20)
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    plain = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
-    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in [(None, item), (None, plain("b")), (7, item), (7, plain("c")), (8, plain("d"))]], schema)
-    left = corpus_pipeline.decontamination(spark, docs, SF).collect()
-    assert sorted(r.text for r in left) == [plain("b"), plain("c"), plain("d")]
-    # 3 has a near copy under 1, but the other text under 3 has none; exact copies share 5, and null ids
-    rows = [(3, plain("x")), (3, plain("y")), (1, plain("x")), (5, plain("z")), (5, plain("z")), (None, plain("n")), (None, plain("n")), (None, plain("m")), (4, None), (4, None)]
-    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], schema)
-    left = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
-    want = [(1, plain("x")), (3, plain("y")), (5, plain("z")), (None, plain("n")), (None, plain("m")), (4, None), (4, None)]
-    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted(want, key=repr)
-
-
-def test_mix_of_rows_that_share_an_id(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(None if i % 3 else 1, " ".join([f"w{i}"] * 10), "en", "ab"[i % 4 == 0], i) for i in range(80)]
-    out = [r.n_chars for r in corpus_pipeline.source_mix(spark, spark.createDataFrame(rows, schema).repartition(3), SF).collect()]
-    assert 80 - 2 <= len(out) <= 80  # as many words as there are, but for what no longer fits
-
-
 def test_no_meeting_and_no_registry_is_too_large(spark, monkeypatch):
     rng = np.random.default_rng(5)
     u = rng.normal(size=(150, 6))
@@ -70,11 +46,3 @@ def test_no_meeting_and_no_registry_is_too_large(spark, monkeypatch):
     want = find()
     monkeypatch.setattr(vectors, "REFERENCES", 5)
     assert find() == want
-
-
-def test_written_shards_of_a_hot_key(spark, tmp_path):
-    docs = spark.createDataFrame([(None if i % 3 else 7, "x" * 100) for i in range(60)], "doc_id long, text string")
-    told = sharding.write_shards(docs, f"file://{tmp_path}/s", limit=1000)
-    files = spark.read.parquet(f"file://{tmp_path}/s").groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes")).collect()
-    assert {(r.shard, r.bytes, r.n) for r in files} == {(f"b{r.shard}", r.shard_bytes, r.shard_rows) for r in told.collect()}
-    assert max(r.bytes for r in files) <= 1000 and sum(r.n for r in files) == 60
