@@ -1,10 +1,10 @@
-"""Personal data in text. DataFrame functions only.
+"""Personal data and secrets in text. DataFrame functions only.
 
-Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for IBANs), and for the kinds that have no
-checksum of their own the words just before a span adjust its score: it starts at the kind's base score, a context word
-adds CONTEXT, and it stays if it reaches THRESHOLD.
+Regular expressions propose spans, validators check them (Luhn for cards, mod 97 for IBANs, length and variety of characters for secrets), and
+the words just before a span adjust its score: it starts at the kind's base score, a passed check adds CONFIRMED where the kind has a checksum, a word
+that speaks for it adds CONTEXT, one that speaks against it (an example, an order number) takes CONTEXT off, and it stays if it reaches THRESHOLD.
 
-The four base kinds (email, ip, card, phone) follow fixed patterns. In the expressions below repetitions are possessive and
+The four base kinds (email, ip, card, phone) follow fixed patterns and always stay. In the expressions below repetitions are possessive and
 each starts only where a run of its characters starts (or where the last match ended), which finds the same matches in
 time linear in the text: the characters that follow a run decide alike for each start within it.
 """
@@ -24,14 +24,21 @@ BASE_PATTERNS = {
 }
 #: Without one of these in a text, the kind has no match.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Kinds beyond the base: pattern, base score, context words (lower case) that may stand in the CONTEXT_CHARS before.
+_NUMBERS = ("order", "invoice", "serial", "part no", "article", "isbn", "version")
+_MADE_UP = ("example", "sample", "dummy", "placeholder")
+#: Kinds beyond the base: pattern, base score, whether a checksum confirms it, and the words (lower case) in the CONTEXT_CHARS before it that speak for it and
+#: against it. A key stands out by its issuer's prefix and its length, a secret is any long run of letters and digits.
 EXTRA = {
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", 0.6, ("iban", "account", "konto", "compte", "cuenta")),
-    "short_card": (r"(?<![0-9])(?<![0-9][\x20.-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![0-9])(?![\x20.-][0-9])", 0.3, ("card", "visa", "amex", "karte", "carte", "tarjeta")),
-    "national_id": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, ("ssn", "social security", "tax id", "national id")),
-    "local_phone": (r"(?<![0-9+().-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9]|[.-][0-9])", 0.3, ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone")),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", 0.3, True, ("iban", "account", "konto", "compte", "cuenta"), _MADE_UP),
+    "short_card": (r"(?<![0-9])(?<![0-9][\x20.-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![0-9])(?![\x20.-][0-9])", 0.1, True, ("card", "visa", "amex", "karte", "carte", "tarjeta"), (*_MADE_UP, *_NUMBERS)),
+    "national_id": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, False, ("ssn", "social security", "tax id", "national id"), (*_MADE_UP, *_NUMBERS)),
+    "local_phone": (r"(?<![0-9+().-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9]|[.-][0-9])", 0.3, False, ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"), (*_MADE_UP, *_NUMBERS)),
+    "key": (r"(?<![A-Za-z0-9_-])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,}+|sk-[A-Za-z0-9_-]{32,}+|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]*PRIVATE KEY-----", 0.8, False, (), _MADE_UP),
+    "secret": (r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+", 0.3, False, ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "access_key", "bearer", "credential"), (*_MADE_UP, "commit", "checksum", "sha1", "sha256", "md5", "digest")),
 }
-CONTEXT, THRESHOLD, CONTEXT_CHARS = 0.3, 0.5, 40
+CONTEXT, CONFIRMED, THRESHOLD, CONTEXT_CHARS = 0.3, 0.3, 0.5, 40
+#: Different characters that a secret has at least.
+VARIETY = 10
 _PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 
@@ -62,6 +69,8 @@ def _valid(kind: str, x: Column) -> Column:
         return F.length(_digits(x)).between(8, 15)
     if kind == "iban":
         return mod97(x) & F.length(F.regexp_replace(x, " ", "")).between(15, 34)
+    if kind == "secret":
+        return x.rlike("[0-9]") & x.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(x, ""))) >= VARIETY)
     return F.lit(True)
 
 
@@ -81,33 +90,42 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, step, lambda a: a["out"])
 
 
+SPAN = "array<struct<kind:string,start:int,end:int,found:string,score:double>>"
+
+
+def _said(before: Column, words: tuple[str, ...]) -> Column:
+    return before.rlike(r"(?<![a-z])(?:" + "|".join(words) + ")") if words else F.lit(False)
+
+
 def _kind(text: Column, kind: str, pattern: str, needs: str) -> Column:
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,found:string,score:double>>")
-    score = F.lit(1.0)
-    if kind in EXTRA:
-        _, base, words = EXTRA[kind]
-    got = _matches(text, pattern)
-    if kind in EXTRA:
-        near = lambda x: F.when(x["before"].rlike(r"(?<![a-z])(?:" + "|".join(words) + ")"), CONTEXT).otherwise(0.0)
-        scored = F.transform(got, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), (F.lit(base) + near(x)).alias("score")))
-    else:
-        scored = F.transform(got, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), score.alias("score")))
-    return F.when(text.rlike(needs), F.filter(scored, lambda x: (x["score"] >= THRESHOLD) & _valid(kind, x["found"]))).otherwise(none)
+    def score(x: Column) -> Column:
+        if kind not in EXTRA:
+            return F.lit(1.0)
+        _, base, checked, pro, con = EXTRA[kind]
+        moved = F.when(_said(x["before"], pro), CONTEXT).otherwise(0.0) - F.when(_said(x["before"], con), CONTEXT).otherwise(0.0)
+        return F.round(F.lit(base + (CONFIRMED if checked else 0.0)) + moved, 2)
+
+    scored = F.transform(_matches(text, pattern), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), score(x).alias("score")))
+    return F.when(text.rlike(needs), F.filter(scored, lambda x: (x["score"] >= THRESHOLD) & _valid(kind, x["found"]))).otherwise(F.array().cast(SPAN))
 
 
 def find(docs: DataFrame, text_col: str = "text", into: str = "pii") -> DataFrame:
     """docs with a column into: array<struct<kind, start, end, found, score>> in order of kind (base kinds, then EXTRA), then start.
 
-    Starts and ends are code points, ends exclusive. A null or empty text has none. Spans of an extra kind that overlap one of a base
-    kind are left out; spans of different base kinds may overlap. Copies are found in each row anew.
+    Starts and ends are code points, ends exclusive. A null or empty text has none; ids play no part. Spans of an extra kind that overlap one of a
+    base kind are left out, and of two extra ones that overlap the one with the lower score (of equal scores the later kind); spans of different base kinds
+    may overlap. Copies are found in each row anew.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(*(_kind(text, k, p, NEEDS[k]) for k, p in BASE_PATTERNS.items()))
-    extra = F.concat(*(_kind(text, k, p, p) for k, (p, _, _) in EXTRA.items()))
-    # only texts with a digit or an @ are looked at further
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,found:string,score:double>>")
-    both = F.transform(F.array(F.struct(base.alias("base"), extra.alias("extra"))), lambda x: F.concat(x["base"], F.filter(x["extra"], lambda e: ~F.exists(x["base"], lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))))
-    return docs.withColumn(into, F.when(text.rlike("[0-9@]"), F.element_at(both, 1)).otherwise(none))
+    extra = F.concat(*(_kind(text, k, v[0], v[0]) for k, v in EXTRA.items()))
+    place = lambda k: F.array_position(F.array(*(F.lit(x) for x in EXTRA)), k)
+    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    beats = lambda o, e: meet(o, e) & ((o["score"] > e["score"]) | ((o["score"] == e["score"]) & (place(o["kind"]) < place(e["kind"]))))
+    # the array of one holds what the lambda reads, so that it is made once
+    both = F.transform(F.array(F.struct(base.alias("base"), extra.alias("extra"))), lambda x: F.concat(x["base"], F.filter(x["extra"], lambda e: ~F.exists(x["base"], lambda b: meet(b, e)) & ~F.exists(x["extra"], lambda o: beats(o, e)))))
+    # only texts with a digit, an @ or what keys begin with are looked at further
+    return docs.withColumn(into, F.when(text.rlike("[0-9@]|-----BEGIN |AKIA|gh[pousr]_|xox|sk-|eyJ"), F.element_at(both, 1)).otherwise(F.array().cast(SPAN)))
 
 
 def mask(docs: DataFrame, text_col: str = "text", into: str = "masked") -> DataFrame:
@@ -121,9 +139,10 @@ def mask(docs: DataFrame, text_col: str = "text", into: str = "masked") -> DataF
 
 
 def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """find() in figures: id_col, n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end, comma-joined)."""
+    """find() in figures: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined), n_secret (secrets and keys) and n_spans (of all
+    kinds). One row per row of docs: ids may be null or repeated, and an empty table gives none."""
     got = find(docs.select(id_col, text_col), text_col, "pii").drop(text_col)
     said = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     count = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE_PATTERNS))
-    return got.select(id_col, *(count(k).alias(f"n_{k}") for k in BASE_PATTERNS), F.sha2(F.array_join(F.transform(base, said), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("pii", said), ",").alias("spans"))
+    return got.select(id_col, *(count(k).alias(f"n_{k}") for k in BASE_PATTERNS), F.sha2(F.array_join(F.transform(base, said), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("pii", said), ",").alias("spans"), (count("secret") + count("key")).alias("n_secret"), F.size("pii").cast("long").alias("n_spans"))
