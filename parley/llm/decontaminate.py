@@ -1,10 +1,13 @@
 """Benchmark decontamination by winnowing.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. Every benchmark item gives its windows of
-WINDOW words (a shorter item is one window). Both sides are winnowed: of the hashes of K words in a row, the least in every
-span of WINDOW - K + 1 is kept, so two texts that share a window share a kept hash. The items' kept hashes, in blocks of
-bounded size, are joined inside the tasks with those of each document; a document with a hit is then extended: its
-windows are compared word by word with those of the items, and every word within a window that occurs is marked.
+WINDOW words (a shorter item is one window). A window's fingerprint is the least of the hashes of its K-word sequences (of a short item the hash of all
+words), so two texts that share a window share its fingerprint, and a text has few different ones.
+
+Documents and items are fingerprinted alike, and the windows of documents whose fingerprint an item has are found by an equi-join. The hits are then
+extended: such a window is compared with the items' windows word by word, and all words within windows that occur are marked.
+
+Before the join a Bloom filter of the items' fingerprints, of fixed size at most, tells the tasks what cannot match; what it lets through by mistake, the join drops.
 """
 
 from __future__ import annotations
@@ -16,162 +19,165 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm._text import LOWER, prefix_hash, runs, sequence_hash, slices, span_hash
+from parley.llm._store import BROADCAST_ROWS, materialise
+from parley.llm._text import LOWER, give_back, mix, prefix_hash, runs, sequence_hash, slices, span_hash
 
 WINDOW, K = 13, 8
-#: Bytes of benchmark text that one pass over the documents holds; a larger benchmark takes more passes.
-BLOCK_BYTES = 8 << 20
+#: Bits of the Bloom filter for one fingerprint, log2 of its bits at least and at most (16 MB), and places tested.
+BLOOM_BITS, BLOOM_LEAST, BLOOM_MOST, PROBES = 24, 13, 27, 4
+#: Parts that the filter is put together in.
+PARTS = 16
+U64 = np.uint64
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 256)]] = True
-SPANS = "doc_id long, row long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+WINDOWS = "fp long, n int, words binary, item string"
+NEAR = pa.list_(pa.struct([("fp", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())]))
+
+
+def fingerprints(h: np.ndarray, window: int, k: int) -> np.ndarray:
+    """For each window of words, given by their hashes, the least hash of its k-word sequences."""
+    g = sequence_hash(h, k)
+    w = window - k + 1
+    n = len(g) - w + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    least = g[:n].copy()
+    for i in range(1, w):
+        np.minimum(least, g[i : i + n], out=least)
+    return least
 
 
-def words_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-    raw = data.tobytes()
+def words_of(raw: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
     return [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def kept_hashes(h: np.ndarray, w: int) -> np.ndarray:
-    """Places of the least hash in each span of w (all of equal ones): alike in any two sequences that share the span."""
-    if len(h) <= w:
-        return np.flatnonzero(h == h.min()) if len(h) else np.zeros(0, np.int64)
-    n = len(h) - w + 1
-    least = h[:n].copy()
-    for i in range(1, w):
-        np.minimum(least, h[i : i + n], out=least)
-    keep = np.zeros(len(h), bool)
-    for i in range(w):
-        keep[i : i + n] |= h[i : i + n] == least
-    return np.flatnonzero(keep)
-
-
-class Block:
-    """What the tasks need of some items: their windows, and the hashes that lead to them."""
-
-    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW, k: int = K):
-        self.window, self.k = window, k
-        self.windows: dict[tuple[bytes, ...], set[str | None]] = {}
-        kept, short = [], {}
-        for name, text in items:
-            for _, _, data, offs in slices(pa.array([text], pa.large_string())):
+def _item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
+    """items: item, text. A row for each window: fp, n (words), words (joined by spaces), item."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for lo, _, data, offs in slices(batch.column(1)):
+                data = LOWER[data]
+                start, end, first = runs(IS_WORD[data], offs)
+                h, raw = span_hash(prefix_hash(data), start, end), data.tobytes()
+                for d in range(len(offs) - 1):
+                    s, e = int(first[d]), int(first[d + 1])
+                    n = min(e - s, window)
+                    if not n:
+                        continue
+                    fp = fingerprints(h[s:e], window, k) if n == window else sequence_hash(h[s:e], n)
+                    words = words_of(raw, start[s:e], end[s:e])
+                    for at in range(0, len(fp), 10_000):
+                        part = range(at, min(at + 10_000, len(fp)))
+                        yield pa.RecordBatch.from_arrays([pa.array(fp[at : at + 10_000].view(np.int64)), pa.array([n] * len(part), pa.int32()), pa.array([b" ".join(words[i : i + n]) for i in part], pa.binary()), pa.array([names[lo + d]] * len(part), pa.string())], names=["fp", "n", "words", "item"])
+
+    return items.mapInArrow(make, WINDOWS)
+
+
+def _places(fp: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix(fp + U64(0x9E3779B97F4A7C15) * U64(i + 1)) >> U64(64 - bits)).astype(np.int64) for i in range(PROBES)]
+
+
+def bloom(prints: DataFrame, rows: int) -> np.ndarray:
+    """prints: fp. A bit set as bytes of 8, filled in tasks part by part; at most 2 ** BLOOM_MOST bits come to the driver."""
+    bits = int(np.clip(int(rows * BLOOM_BITS).bit_length(), BLOOM_LEAST, BLOOM_MOST))
+    size = (1 << bits) // 8 // PARTS
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy().view(U64), bits):
+                own[at] = True
+        packed = np.packbits(own).reshape(PARTS, size)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary())], names=["part", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        out = np.zeros(size, np.uint8)
+        for c in table.column("bits"):
+            out |= np.frombuffer(c.as_buffer(), np.uint8)
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros((PARTS, size), np.uint8)
+    few = prints.repartition(max(1, min(64, rows // 1_000_000)))  # each task makes a whole set
+    for r in few.mapInArrow(fill, "part int, bits binary").groupBy("part").applyInArrow(join, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def _among(fp: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places in fp that hold a fingerprint which may be known."""
+    bits = len(known).bit_length() + 2
+    at = np.arange(len(fp))
+    for i in range(PROBES):
+        slot = mix(fp[at] + U64(0x9E3779B97F4A7C15) * U64(i + 1)) >> U64(64 - bits)
+        at = at[(known[(slot >> U64(3)).astype(np.int64)] >> (U64(7) - (slot & U64(7))).astype(np.uint8)) & 1 > 0]
+    return at
+
+
+def _candidates(rows: DataFrame, known: np.ndarray, lengths: list[int], window: int, k: int) -> DataFrame:
+    """rows: doc_id, row, text. doc_id, row, n_words, near: the windows whose fingerprint may be an item's."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)  # 2 ** BLOOM_MOST bits at most
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words = np.zeros(batch.num_rows, np.int64)
+            near: list[list] = [[] for _ in range(batch.num_rows)]
+            for lo, hi, data, offs in slices(batch.column(2)):
                 data = LOWER[data]
-                start, end, _ = runs(IS_WORD[data], offs)
-                words, n = words_of(data, start, end), min(len(start), window)
-                if not n:
-                    continue
-                for i in range(len(words) - n + 1):
-                    self.windows.setdefault(tuple(words[i : i + n]), set()).add(name)
-                h = span_hash(prefix_hash(data), start, end)
-                if n < window:
-                    short.setdefault(n, []).append(sequence_hash(h, n))
-                else:
-                    g = sequence_hash(h, k)
-                    kept.append(g[kept_hashes(g, window - k + 1)])
-        none = [np.zeros(0, np.uint64)]
-        self.kept = np.unique(np.concatenate(kept or none))
-        self.short = {n: np.unique(np.concatenate(x)) for n, x in short.items()}
-        self.lengths = sorted({len(x) for x in self.windows})
-        self.seen = {n: self._bits(x) for n, x in [(k, self.kept), *((-n, x) for n, x in self.short.items())]}
-
-    def _bits(self, hashes: np.ndarray) -> np.ndarray:
-        bits = np.zeros(1 << 20, bool)
-        bits[hashes & np.uint64((1 << 20) - 1)] = True
-        return bits
-
-    def _among(self, h: np.ndarray, key: int, known: np.ndarray) -> np.ndarray:
-        """Places in h that hold a known hash."""
-        at = np.flatnonzero(self.seen[key][h & np.uint64((1 << 20) - 1)])
-        return at[np.isin(h[at], known)] if len(at) else at
-
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """Places in h, the words' hashes, where a window may stand near: both sides' kept hashes meet."""
-        out = []
-        if len(self.kept):
-            g = sequence_hash(h, self.k)
-            at = kept_hashes(g, self.window - self.k + 1)
-            out.append(at[self._among(g[at], self.k, self.kept)])
-        out += [self._among(sequence_hash(h, n), -n, x) for n, x in self.short.items()]
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-    def extend(self, words: list[bytes], near: np.ndarray) -> tuple[list[tuple[int, int]], set[str | None]]:
-        """Merged word spans of occurring windows, and the items they belong to. near: places that a window may reach."""
-        spans: list[tuple[int, int]] = []
-        items: set[str | None] = set()
-        tried = -1
-        for p in sorted(set(near.tolist())):
-            for i in range(max(tried + 1, p - self.window + 1), p + 1):
-                for n in self.lengths:
-                    if (found := self.windows.get(tuple(words[i : i + n]))) is not None and i + n <= len(words):
-                        items |= found
-                        spans.append((i, i + n))
-            tried = max(tried, p)
-        return merged(spans), items
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
-
-
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str]]]:
-    """The items in blocks of at most limit bytes (or one item): read one by one, never the whole table at once."""
-    block, held = [], 0
-    for r in benchmark.select(F.col(item_col).cast("string"), text_col).toLocalIterator():
-        n = len((r[1] or "").encode())
-        if block and held + n > limit:
-            yield block
-            block, held = [], 0
-        block.append((r[0], r[1] or ""))
-        held += n
-    yield block
+                start, end, first = runs(IS_WORD[data], offs)
+                n_words[lo:hi] = np.diff(first)
+                h, raw = span_hash(prefix_hash(data), start, end), None
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))
+                for n in lengths:
+                    fp = fingerprints(h, window, k) if n == window else sequence_hash(h, n)
+                    at = _among(fp, shared.value)
+                    at = at[doc[at] == doc[at + n - 1]] if len(at) else at  # whole windows of one text
+                    if len(at) and raw is None:
+                        raw = data.tobytes()
+                    for i, d, f in zip(at.tolist(), doc[at].tolist(), fp[at].view(np.int64).tolist(), strict=True):
+                        near[lo + d].append((f, i - int(first[d]), n, b" ".join(words_of(raw, start[i : i + n], end[i : i + n]))))
+            flat = [x for xs in near for x in xs]
+            kinds = [pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in near])]), pa.int32()), pa.StructArray.from_arrays(kinds, names=["fp", "start", "n", "words"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(n_words), lists.cast(NEAR)], names=["doc_id", "row", "n_words", "near"])
+        give_back()
+
+    return rows.mapInArrow(look, "doc_id long, row long, n_words long, near array<struct<fp:long,start:int,n:int,words:binary>>")
+
+
+def _small(table: DataFrame, weight: str = "1", rows: int | None = None) -> DataFrame:
+    """table, to be sent to every task if the sum of weight over its rows shows that it is small; else it is shuffled like any other."""
+    most = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(table) if (table.agg(F.sum(F.expr(weight)).alias("w")).first()["w"] or 0) <= most else table
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """One row per row of docs: doc_id, n_words, spans (merged word spans, end exclusive) and items (ids, sorted as strings).
 
-    Null texts have no words; items without words never occur. A null item id hits words but is not listed. Rows that share
-    a document id are judged apart. Other columns of either table are ignored.
+    Null texts have no words; items without words never occur. A null item id hits words but is not listed; a null document id is returned
+    as null. Rows that share a document id are judged apart. Other columns of either table are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-
-    def against(b: Block) -> DataFrame:
-        shared = spark.sparkContext.broadcast(b)  # at most BLOCK_BYTES of text
-
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own: Block = shared.value
-            for batch in batches:
-                n_words = np.zeros(batch.num_rows, np.int64)
-                spans: list[list] = [[] for _ in range(batch.num_rows)]
-                items: list[list] = [[] for _ in range(batch.num_rows)]
-                for lo, hi, data, offs in slices(batch.column(2)):
-                    data = LOWER[data]
-                    start, end, first = runs(IS_WORD[data], offs)
-                    n_words[lo:hi] = np.diff(first)
-                    near = own.hits(span_hash(prefix_hash(data), start, end))
-                    for d in np.unique(np.searchsorted(first, near, "right") - 1).tolist():
-                        s, e = first[d], first[d + 1]
-                        got, names = own.extend(words_of(data, start[s:e], end[s:e]), near[(near >= s) & (near < e)] - s)
-                        spans[lo + d] = [{"start": x, "end": y} for x, y in got]
-                        items[lo + d] = sorted(x for x in names if x is not None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "row", "n_words", "spans", "items"])
-
-        return rows.mapInArrow(judge, SPANS)
-
-    parts = [against(Block(b, window, k)) for b in blocks(benchmark, item_col, item_text_col)]
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        step = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-        out = out.withColumn("spans", F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), step))
-    return out.select("doc_id", "n_words", "spans", "items")
+    items = materialise(_item_windows(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")), window, k), "bench-windows")
+    prints = materialise(items.select("fp").distinct(), "bench-prints")
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # window at most
+    known = bloom(prints, prints.count())
+    windows = materialise(items.groupBy("words").agg(F.collect_set("item").alias("items")), "bench-by-window")
+
+    # the table holds each row's own number, so that it is the same wherever it is read
+    numbered = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    rows = materialise(_candidates(numbered, known, lengths, window, k), "bench-candidates")
+    near = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
+    met = near.join(_small(prints), "fp", "left_semi")
+    hits = met.join(_small(windows, "1 + size(items)"), "words").select("row", F.struct("start", (F.col("start") + F.col("n")).alias("end")).alias("span"), "items")
+    # windows in a row mostly belong to the same items
+    by_items = hits.groupBy("row", "items").agg(F.collect_set("span").alias("spans"))
+    by_row = by_items.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
+    spans = F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), step)
+    found = materialise(by_row.select("row", spans.alias("spans"), "items"), "bench-hits")
+    out = rows.select("row", "doc_id", "n_words").join(_small(found, "1 + size(spans) + size(items)"), "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
