@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.llm._store import materialise
 from parley.llm._text import IS_SPACE, prefix_hash, runs, sequence_hash, slices, span_hash
 
 SYMBOLS = np.zeros(256, bool)
@@ -165,11 +166,10 @@ def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, prefi
     """
     if clash := {c.lower() for c in docs.columns} & {prefix + x for x in (*FIGURES, "posterior", "base_failed", "kept")}:
         raise ValueError(f"columns {sorted(clash)} are taken; give another prefix")
-    seen = figures(docs, text_col, prefix, keep)
+    seen = materialise(figures(docs, text_col, prefix, keep), "quality-figures")  # taken once: EM reads them, and so does the verdict
     votes = rules(prefix)
     names = [f"v{i}" for i in range(len(votes))]
-    narrow = figures(docs, text_col, prefix, []).select(*(v.alias(n) for n, v in zip(names, votes.values(), strict=True)))
-    counted = narrow.groupBy(*names).count().collect()  # at most 3 ** len(votes) rows
+    counted = seen.select(*(v.alias(n) for n, v in zip(names, votes.values(), strict=True))).groupBy(*names).count().collect()  # at most 3 ** len(votes) rows
     share, acc = fit(sorted((tuple(r)[:-1], r["count"]) for r in counted))
     acc = acc or [0.8] * len(names)
     logit = F.lit(math.log(share / (1 - share)))
