@@ -45,6 +45,8 @@ def test_shards_fit(spark):
         assert not any(o != s and o.startswith(s) for o in by)  # a prefix code: each hash has one shard
         if len(s) > sharding.START_BITS:  # split only where it was needed
             assert sum(r.n_bytes for r in got if r.shard.startswith(s[:-1])) > 1500
+    again = sharding.shards(docs_of(spark, rows).coalesce(1).sortWithinPartitions("doc_id"), limit=1500).select("doc_id", "shard").where("length(shard) <= 48")
+    assert Counter(map(tuple, again.collect())) == Counter((r.doc_id, r.shard) for r in got if len(r.shard) <= 48)  # the keys' own bits do not depend on places
     assert sharding.shards(docs_of(spark, rows).limit(0)).count() == 0
 
 
@@ -136,7 +138,7 @@ def test_decontamination(spark, monkeypatch):
     rng = random.Random(6)
     base = [f"w{i}" for i in range(60)]
     items = [(10, " ".join(base[:30])), (9, "Über, short item!"), (2, ""), (3, None), (4, "one"), (5, " ".join(base[5:18])), (5, " ".join(base[40:60])), (None, "x1 x2 x3")]
-    rows = [(1, None), (2, ""), (3, "one"), (4, "xx one, yy"), (5, " ".join(base[:12])), (6, " ".join(base[:13])), (7, "a " + " ".join(base[3:50]).upper() + "."), (8, "über short; ITEM one"), (9, "x1 x2 x3"), (9, " ".join(base[5:18]) + " q " * 500)]
+    rows = [(1, None), (2, ""), (3, "one"), (4, "xx one, yy"), (5, " ".join(base[:12])), (6, " ".join(base[:13])), (7, "a " + " ".join(base[3:50]).upper() + "."), (8, "über short; ITEM one"), (None, "x1 x2 x3"), (9, "x1 x2 x3"), (9, " ".join(base[5:18]) + " q " * 500)]
     rows += [(100 + i, " ".join(rng.choice(base) for _ in range(rng.randrange(40))) + " " + " ".join(base[(s := rng.randrange(45)) : s + rng.randrange(20)])) for i in range(80)]
     docs = docs_of(spark, [(*r, "i") for r in rows], "doc_id long, text string, items string")
     bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, row int")
@@ -145,7 +147,9 @@ def test_decontamination(spark, monkeypatch):
         n, h, names = plain_hits(t, items)
         want[i, n, h, len(names), brute.sha(",".join(sorted(map(str, names)))), h > 0 and 20 * h >= n] += 1
     assert Counter(map(tuple, decontaminate.contamination_report(docs, bench).collect())) == want
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (20,))  # several passes over the documents
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BLOOM_MOST", 7)  # lets nearly all through
+    monkeypatch.setattr(decontaminate, "BLOOM_LEAST", 7)
     assert Counter(map(tuple, decontaminate.contamination_report(docs, bench).collect())) == want
     assert decontaminate.contamination_report(docs.limit(0), bench).count() == 0
     assert {r.n_hit for r in decontaminate.contamination_report(docs, bench.limit(0)).collect()} == {0}
@@ -195,5 +199,4 @@ def test_components(spark):
 
 
 def test_md5_bits(spark):
-    bits = spark.range(1).select(sharding.hash_bits(F.lit(5), 48).alias("b")).first().b
-    assert bits == f"{int(hashlib.md5(b'5').hexdigest()[:12], 16):048b}"
+    assert spark.range(1).select(sharding.hash_number(F.lit(5)).alias("b")).first().b == int(hashlib.md5(b"5").hexdigest()[:12], 16)
