@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The patterns, in the order in which they are applied, and the labels. Digits and spaces are those of ASCII.
+from parley.functions.text import once
+
+# The patterns, in the order in which they are applied, and the labels.
 PATTERNS = {
     "card": r"(?<!\d)(\d{4})[-.\s]?(\d{4})[-.\s]?(\d{4})[-.\s]?(\d{4})(?!\d)",
     "rrn": r"(?<!\d)(\d{6})[-]?([1-4]\d{6})(?!\d)",
@@ -16,6 +18,10 @@ PATTERNS = {
     "account": r"(?<!\d)(\d{3,6})[-](\d{2,4})[-](\d{4,7})(?!\d)",
     "email": r"\b([A-Za-z0-9._%+-]+)@([A-Za-z0-9.-]+\.[A-Za-z]{2,})\b",
 }
+#: The same for Java, where digits, spaces and word boundaries are those of Unicode only on demand.
+UNICODE = {k: f"(?U){p}" for k, p in PATTERNS.items()}
+#: What every match holds; other texts stay as they are.
+NEEDS = r"(?U)\d{4}|@"
 LABELS = {"card": "[카드번호]", "rrn": "[주민번호]", "mobile": "[휴대폰]", "phone": "[전화번호]", "account": "[계좌번호]", "email": "[이메일]"}
 
 
@@ -25,12 +31,12 @@ def _stars(n: Column) -> Column:
 
 def _partial(kind: str, m: Column) -> Column:
     """What a match becomes. Patterns are anchored here, as the match stands alone."""
-    g = lambda i: F.regexp_extract(m, PATTERNS[kind], i)
+    g = lambda i: F.regexp_extract(m, UNICODE[kind], i)
     if kind == "mobile":
         return F.concat(g(1), F.lit("-"), _stars(F.length(g(2))), F.lit("-**"), F.substring(g(3), 3, 2))
     if kind == "phone":
         n = F.length(m)
-        return F.concat(F.regexp_replace(F.substring(m, F.lit(1), n - 4), r"\d", "*"), F.substring(m, n - 3, F.lit(4)))
+        return F.concat(F.regexp_replace(F.substring(m, F.lit(1), n - 4), r"(?U)\d", "*"), F.substring(m, n - 3, F.lit(4)))
     if kind == "account":
         return F.concat(g(1), F.lit("-"), _stars(F.length(g(2))), F.lit("-"), F.substring(g(3), 1, 2), _stars(F.length(g(3)) - 2))
     local = g(1)
@@ -41,29 +47,30 @@ def _partial(kind: str, m: Column) -> Column:
 
 def _each(text: Column, kind: str) -> Column:
     """text with each match replaced: the pieces between matches, and what the matches become, put together in turn."""
-    p = PATTERNS[kind]
+    p = UNICODE[kind]
     pieces = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: _partial(kind, m)).alias("to"))
     return F.array_join(F.transform(pieces, lambda x: F.concat(x["gap"], F.coalesce(x["to"], F.lit("")))), "")
 
 
 def _step(kind: str) -> Callable[[Column], Column]:
-    return lambda t: F.when(t.rlike(PATTERNS[kind]), _each(t, kind)).otherwise(t)
+    return lambda t: F.when(t.rlike(UNICODE[kind]), _each(t, kind)).otherwise(t)
 
 
 def mask(text: Column, level: str = "full") -> Column:
     """level full: labels; partial: some characters stay; anything else: the text as it is. A partly masked resident number keeps two last digits."""
     if level not in ("full", "partial"):
         return text
-    for kind, p in PATTERNS.items():
+    whole = text
+    for kind, p in UNICODE.items():
         if level == "full":
             text = F.regexp_replace(text, p, LABELS[kind])
         elif kind == "card":
             text = F.regexp_replace(text, p, "$1-****-****-$4")
         elif kind == "rrn":
-            text = F.regexp_replace(text, r"(?<!\d)(\d{6})[-]?([1-4])\d{4}(\d{2})(?!\d)", "$1-$2****$3")
+            text = F.regexp_replace(text, r"(?U)(?<!\d)(\d{6})[-]?([1-4])\d{4}(\d{2})(?!\d)", "$1-$2****$3")
         else:  # within an array of one, so that what came before is worked out once
-            text = F.element_at(F.transform(F.array(text), _step(kind)), 1)
-    return text
+            text = once(text, _step(kind))
+    return F.when(whole.rlike(NEEDS), text).otherwise(whole)
 
 
 def mask_rows(rows: DataFrame, level: str = "full", column: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,53 +145,82 @@ def _stripped(t: Column) -> Column:
     return F.regexp_replace(t, _ENDS, "")
 
 
-def json_object(raw: Column) -> Column:
-    """The JSON object in a model's reply: an enclosing fence off, from the first brace to the last; empty if there is none."""
-    return F.regexp_extract(_unfenced(raw), r"(?s)\{.*\}", 0)
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f reads it: it stands in an array of one."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _unfenced(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_stripped(F.coalesce(raw, F.lit(""))), r"^```(?:json)?\s*", ""), r"\s*```$", "")
 
 
-def _recovered(raw: Column) -> Column:
-    """struct<title, summary_md> of a reply: as JSON where that can be read, else what stands after "summary_md": to the reply's end, quotes
-    inside and all, without a closing quote or brace. Null where there is no brace or no such text."""
-    t = _unfenced(raw)
-    read = F.from_json(F.nullif(json_object(raw), F.lit("")), "title string, summary_md string, broken string", {"columnNameOfCorruptRecord": "broken", "allowSingleQuotes": "false"})
-    whole = read.isNotNull() & read["broken"].isNull()
-    rest = F.regexp_replace(F.regexp_extract(t, r'(?s)"summary_md"\s*:\s*"(.*)', 1), r"\s+$", "")
-    rest = F.when(F.endswith(rest, F.lit('"}')), F.substring(rest, F.lit(1), F.length(rest) - 2)).when(F.endswith(rest, F.lit('"')), F.substring(rest, F.lit(1), F.length(rest) - 1)).otherwise(rest)
+def json_object(raw: Column) -> Column:
+    """The JSON object in a model's reply: an enclosing fence off, from the first brace to the last; empty if there is none."""
+    return F.regexp_extract(_unfenced(raw), r"(?s)\{.*\}", 0)
+
+
+def _cut_off(t: Column) -> Column:
+    """What stands after "summary_md" to the reply's end, quotes inside and all, without a closing quote or brace, unescaped."""
+    rest = F.regexp_replace(F.regexp_extract(t, r'(?s)"summary_md"\s*:\s*"(.*)', 1), r'\s+$', "")
+    rest = F.regexp_replace(rest, r'"\}?$', "")
     for a, b in (("\\n", "\n"), ('\\"', '"'), ("\\\\", "\\")):
         rest = F.replace(rest, F.lit(a), F.lit(b))
-    title = F.regexp_extract(t, r'"title"\s*:\s*"([^"]*)"', 1)
-    found = F.when(whole, F.struct(read["title"].alias("title"), read["summary_md"].alias("summary_md"))).when(t.rlike(r'"summary_md"\s*:\s*"'), F.struct(title.alias("title"), rest.alias("summary_md")))
-    return F.when(F.contains(t, F.lit("{")), found)
+    return rest
+
+
+def _recovered(raw: Column) -> Column:
+    """struct<title, summary_md> of a reply: as JSON where that can be read, else its title and what _cut_off makes of it. Null where there is no brace
+    or no such text."""
+
+    def read(t: Column) -> Column:
+        found = F.regexp_extract(t, r"(?s)\{.*\}", 0)
+        return F.from_json(F.nullif(found, F.lit("")), "title string, summary_md string, broken string", {"columnNameOfCorruptRecord": "broken", "allowSingleQuotes": "false"})
+
+    def choose(x: Column) -> Column:
+        t, j = x["t"], x["j"]
+        part = F.struct(F.regexp_extract(t, r'"title"\s*:\s*"([^"]*)"', 1).alias("title"), _cut_off(t).alias("summary_md"))
+        whole = F.struct(j["title"].alias("title"), j["summary_md"].alias("summary_md"))
+        return F.when(F.contains(t, F.lit("{")), F.when(j.isNotNull() & j["broken"].isNull(), whole).when(t.rlike(r'"summary_md"\s*:\s*"'), part))
+
+    return once(_unfenced(raw), lambda t: once(F.struct(t.alias("t"), read(t).alias("j")), choose))
+
+
+def _tidy(got: Column) -> Column:
+    name = F.substring(_stripped(F.coalesce(F.nullif(got["title"], F.lit("")), F.lit("회의록"))), 1, 200)
+    return once(_stripped(F.coalesce(got["summary_md"], F.lit(""))), lambda body: F.when(body != "", F.struct(name.alias("title"), body.alias("summary_md"))))
 
 
 def summary_reply(raw: Column) -> Column:
     """struct<title, summary_md> of a reply (_recovered), stripped; '회의록' for a missing title; null where there is no summary."""
-    got = _recovered(raw)
-    body = _stripped(F.coalesce(got["summary_md"], F.lit("")))
-    name = _stripped(F.coalesce(F.nullif(got["title"], F.lit("")), F.lit("회의록")))
-    return F.when(body != "", F.struct(F.substring(name, 1, 200).alias("title"), body.alias("summary_md")))
+    return once(_recovered(raw), _tidy)
+
+
+def _read_reply(raw: Column, judge: Callable[[Column, Column], Column]) -> Column:
+    """judge(what was recovered, the same tidied)."""
+    return once(_recovered(raw), lambda got: once(_tidy(got), lambda reply: judge(got, reply)))
 
 
 def checked_summary(raw: Column, headings: tuple[str, ...] = tuple(SECTION_CHARS), least: Column | int = 2000) -> Column:
     """struct<title, summary_md, problem>: problem is null for a summary that can be used, else unreadable, empty, headings (some are missing) or short."""
-    got, reply = _recovered(raw), summary_reply(raw)
-    least = F.lit(least) if isinstance(least, int) else least
-    lacks = F.size(missing_headings(reply["summary_md"], headings)) > 0 if headings else F.lit(False)
-    problem = F.when(got.isNull(), "unreadable").when(reply.isNull(), "empty").when(lacks, "headings").when((least > 0) & (F.length(reply["summary_md"]) < least), "short")
-    return F.struct(reply["title"].alias("title"), reply["summary_md"].alias("summary_md"), problem.alias("problem"))
+    at_least = F.lit(least) if isinstance(least, int) else least
+
+    def judge(got: Column, reply: Column) -> Column:
+        lacks = F.size(missing_headings(reply["summary_md"], headings)) > 0 if headings else F.lit(False)
+        problem = F.when(got.isNull(), "unreadable").when(reply.isNull(), "empty").when(lacks, "headings").when((at_least > 0) & (F.length(reply["summary_md"]) < at_least), "short")
+        return F.struct(reply["title"].alias("title"), reply["summary_md"].alias("summary_md"), problem.alias("problem"))
+
+    return _read_reply(raw, judge)
 
 
 def section_reply(raw: Column, heading: str, least: Column | int) -> Column:
     """struct<summary_md, problem> of a reply for one section: the heading is put before it where it is missing."""
-    got, reply = _recovered(raw), summary_reply(raw)
-    body = F.when(F.contains(reply["summary_md"], F.lit(heading)), reply["summary_md"]).otherwise(F.concat(F.lit(heading + "\n"), reply["summary_md"]))
-    least = F.lit(least) if isinstance(least, int) else least
-    return F.struct(body.alias("summary_md"), F.when(got.isNull(), "unreadable").when(reply.isNull(), "empty").when(F.length(body) < least, "short").alias("problem"))
+    at_least = F.lit(least) if isinstance(least, int) else least
+
+    def judge(got: Column, reply: Column) -> Column:
+        body = F.when(F.contains(reply["summary_md"], F.lit(heading)), reply["summary_md"]).otherwise(F.concat(F.lit(heading + "\n"), reply["summary_md"]))
+        return F.struct(body.alias("summary_md"), F.when(got.isNull(), "unreadable").when(reply.isNull(), "empty").when(F.length(body) < at_least, "short").alias("problem"))
+
+    return _read_reply(raw, judge)
 
 
 def title_of_chunks(chunks: DataFrame) -> DataFrame:

@@ -19,10 +19,15 @@ STOP_WORDS = (
 ).split()
 
 
-def words(texts: DataFrame, key: list[str], pattern: str = HANGUL, lower: bool = False) -> DataFrame:
-    """texts: key columns, seq, text. One row for each match of pattern: key columns, word, place (seq, then position)."""
+def words(texts: DataFrame, key: list[str], pattern: str = HANGUL, lower: bool = False, without: set[str] | None = None) -> DataFrame:
+    """texts: key columns, seq (a whole number), text. One row for each match of pattern that is not in without: key columns, word, place (ordered as seq, then
+    position; one number, so that its least is kept in a hash table)."""
     text = F.coalesce(F.lower("text") if lower else F.col("text"), F.lit(""))
-    return texts.select(*key, "seq", F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("at", "word")).select(*key, "word", F.struct("seq", "at").alias("place"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    if without:
+        found = F.filter(found, lambda x: ~x["word"].isin(*without))
+    place = F.col("seq").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("x.at")
+    return texts.select(*key, "seq", F.explode(found).alias("x")).select(*key, "x.word", place.alias("place"))
 
 
 def top_keywords(texts: DataFrame, key: list[str] | None = None, top: int = 30, least: int = 2, exclude: list[str] | None = None, pattern: str = HANGUL, lower: bool = False) -> DataFrame:
@@ -31,8 +36,7 @@ def top_keywords(texts: DataFrame, key: list[str] | None = None, top: int = 30,
     The cut to top comes before the test of least. exclude: words left out beside STOP_WORDS.
     """
     key = key or []
-    w = words(texts, key, pattern, lower)
-    counted = w.where(~F.col("word").isin(*{*STOP_WORDS, *(exclude or [])})).groupBy(*key, "word").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    counted = words(texts, key, pattern, lower, {*STOP_WORDS, *(exclude or [])}).groupBy(*key, "word").agg(F.count("*").alias("n"), F.min("place").alias("place"))
     if not key:  # a top list over all: sorted as such, no window over everything
         counted = counted.orderBy(F.desc("n"), "place", "word").limit(top)
         ranked = counted.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "place", "word")))
@@ -57,6 +61,12 @@ def compare_two(texts: DataFrame, a: int, b: int, kind: str = "word", top: int =
     return paired.withColumns({"side": side, "count": count}).withColumn("rank", rank.cast("long")).where(F.col("rank") <= show).select("kind", "side", "item", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"), "rank")
 
 
+def compare_totals(utterances: DataFrame, a: int, b: int) -> DataFrame:
+    """The other half of the comparison: duration_ms, speakers and utterances of each of the two."""
+    both = utterances.where(F.col("meeting_id").isin(a, b))
+    return both.groupBy("meeting_id").agg((F.max("end_ms") - F.min("start_ms")).alias("duration_ms"), F.countDistinct("speaker").alias("speakers"), F.count("*").alias("utterances"))
+
+
 def contains_any(text: Column, parts: list[str]) -> Column:
     """Case-sensitive: does text hold one of parts?"""
     out = F.lit(False)

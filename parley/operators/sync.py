@@ -36,6 +36,11 @@ def rollup(targets: DataFrame, key: str = "meeting_id", utterances: bool = False
     return by.select(key, status.alias("status"), "post_id", error.alias("error"))
 
 
+def lookup(states: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """The states of the wanted keys."""
+    return states.join(keys.select(*key).distinct(), key, "left_semi")
+
+
 def unsynced(meetings: DataFrame, targets: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """Meetings (meeting_id, sync_status) with work to do. With wanted targets: those not blocked of which one is missing or retryable."""
     if not wanted:

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from parley.plans import archive, talk
+from parley.plans import archive, records, talk
 
-QUERIES = {**talk.QUERIES, **archive.QUERIES}
-ORACLE_SQL = {**talk.ORACLE_SQL, **archive.ORACLE_SQL}
+QUERIES = {**talk.QUERIES, **archive.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**talk.ORACLE_SQL, **archive.ORACLE_SQL, **records.ORACLE_SQL}

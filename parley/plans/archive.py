@@ -49,7 +49,7 @@ def list_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pii_full(spark: SparkSession, d: str) -> DataFrame:
-    return masking.mask_rows(t.read(spark, d, "documents").select("doc_id", "text"), "full").select("doc_id", "changed", F.length("text").alias("chars"))
+    return masking.mask_rows(t.read(spark, d, "documents").select("doc_id", "text"), "full").select("doc_id", "changed", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def pii_partial(spark: SparkSession, d: str) -> DataFrame:
@@ -57,8 +57,8 @@ def pii_partial(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pii_card_partial(spark: SparkSession, d: str) -> DataFrame:
-    card = masking.PATTERNS["card"]
-    masked = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(card), F.lit(0)), lambda m: F.regexp_replace(m, card, "$1-****-****-$4"))
+    card = masking.UNICODE["card"]
+    masked = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(card), F.lit(0)), lambda m: masking.mask(m, "partial"))
     return t.read(spark, d, "documents").select("doc_id", F.explode(masked).alias("card"))
 
 
@@ -251,6 +251,60 @@ w AS (SELECT *, count(*) OVER () AS N, sum(sz) OVER () AS DD, {n} FROM c)
 SELECT id, round(-({score}), 6) AS score, ({hits})::BIGINT AS hits FROM w WHERE ({match}) AND {where} ORDER BY -({score}), id LIMIT {limit}"""
 
 
+# Digit runs are put between two control characters, so that what may not stand before or behind a match needs no look around.
+def _mark(x: str) -> str:
+    return f"regexp_replace({x}, '(\\d+)', chr(1) || '\\1' || chr(2), 'g')"
+
+
+def _bare(x: str) -> str:
+    return f"replace(replace({x}, chr(1), ''), chr(2), '')"
+
+
+def _runs(p: str) -> str:
+    """A pattern over marked text: ~ is an optional separator between groups of digits, < and > begin and end a run."""
+    return p.replace("~", "(?:\\x02[-.\\s]\\x01)?").replace("<", "\\x01").replace(">", "\\x02")
+
+
+_KINDS = {
+    "card": "<(\\d{4})~(\\d{4})~(\\d{4})~(\\d{4})>",
+    "rrn": "<(\\d{6})(?:\\x02-\\x01)?([1-4]\\d{6})>",
+    "mobile": "<(01[016-9])~(\\d{3,4})~(\\d{4})>",
+    "phone": "<(?:0[2-6][0-9]?~\\d{3,4}~\\d{4}|1[5-9]\\d{2}~\\d{4})>",
+    "account": "<(\\d{3,6})>-<(\\d{2,4})>-<(\\d{4,7})>",
+}
+_MAIL = "\\b([A-Za-z0-9._%+-]+)@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})\\b"
+
+
+def _partly(kind: str) -> str:
+    g = lambda i: f"regexp_extract(m, '{_runs(_KINDS[kind]) if kind in _KINDS else _MAIL}', {i})"
+    if kind == "card":
+        return f"{g(1)} || '-****-****-' || {g(4)}"
+    if kind == "rrn":
+        return f"{g(1)} || '-' || left({g(2)}, 1) || '****' || right({g(2)}, 2)"
+    if kind == "mobile":
+        return f"{g(1)} || '-' || repeat('*', length({g(2)})) || '-**' || right({g(3)}, 2)"
+    if kind == "phone":
+        return f"regexp_replace(left({_bare('m')}, length({_bare('m')}) - 4), '\\d', '*', 'g') || right({_bare('m')}, 4)"
+    if kind == "account":
+        return f"{g(1)} || '-' || repeat('*', length({g(2)})) || '-' || left({g(3)}, 2) || repeat('*', length({g(3)}) - 2)"
+    return f"CASE WHEN length({g(1)}) <= 2 THEN repeat('*', length({g(1)})) ELSE left({g(1)}, 1) || repeat('*', length({g(1)}) - 2) || right({g(1)}, 1) END || '@' || {g(2)}"
+
+
+def _masked(level: str) -> str:
+    """CTEs s0 .. s6 over documents, the last with every kind masked in column x."""
+    out = ["s0 AS (SELECT doc_id, text AS x FROM documents)"]
+    for n, kind in enumerate(masking.PATTERNS):
+        p = _runs(_KINDS[kind]) if kind in _KINDS else _MAIL
+        t = _mark("x") if kind in _KINDS else "x"
+        to = f"'{masking.LABELS[kind]}'" if level == "full" else _partly(kind)
+        if level == "full":
+            new = _bare(f"regexp_replace({t}, '{p}', {to}, 'g')")
+        else:
+            new = _bare(f"array_to_string(list_transform(list_zip(string_split_regex({t}, '{p}'), list_transform(regexp_extract_all({t}, '{p}'), lambda m: {to})), lambda z: z[1] || coalesce(z[2], '')), '')")
+        out.append(f"s{n + 1} AS (SELECT doc_id, {new} AS x FROM s{n})")
+    return ", ".join(out)
+
+
 def _mean(keys: str, source: str) -> str:
     return f"""e AS (SELECT {keys}, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM {source}),
 m AS (SELECT {keys}, i, avg(x) AS m, count(*) AS n FROM e GROUP BY ALL), c AS (SELECT *, m / sqrt(sum(m * m) OVER (PARTITION BY {keys})) AS x FROM m)"""
@@ -261,6 +315,16 @@ ORACLE_SQL = {
     "search_filtered": _bm25(["that"], "tf0 > 0", 20, "title = 'src3'"),
     "search_advanced": _bm25(["thing", "the", "Apache License"], "(tf0 > 0 AND tf1 > 0) OR tf2 > 0", 30),
     "trigram_candidates": f"WITH {M} SELECT id FROM d WHERE " + " AND ".join(f"(contains(lower(title), '{g}') OR contains(lower(body), '{g}'))" for g in sorted({"apache license"[i : i + 3] for i in range(12)})) + " ORDER BY id",
+    "pii_full": f"WITH {_masked('full')} SELECT doc_id, d.text IS DISTINCT FROM x AS changed, md5(x) AS digest FROM s6 JOIN documents d USING (doc_id)",
+    "pii_partial": f"WITH {_masked('partial')} SELECT doc_id, md5(x) AS digest FROM s6 JOIN documents d USING (doc_id) WHERE d.text IS DISTINCT FROM x",
+    "pii_card_partial": f"WITH c AS (SELECT doc_id, unnest(regexp_extract_all({_mark('text')}, '{_runs(_KINDS['card'])}')) AS m FROM documents) SELECT doc_id, {_partly('card')} AS card FROM c",
+    "html_transcript": """
+WITH s AS (SELECT conv_id, turn, role, text, (sum(100 * coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS e FROM conversations),
+r AS (SELECT *, (e - 100 * coalesce(length(text), 0)) // 1000 AS sec, replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS x FROM s),
+m AS (SELECT conv_id, max(e) / 1000.0 AS dur, count(DISTINCT role) AS speakers, string_agg('<tr><td class="ts">' || lpad((sec // 3600)::VARCHAR, 2, '0') || ':' || lpad((sec % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((sec % 60)::VARCHAR, 2, '0') || '</td><td class="speaker">' || role || '</td><td>' || x || '</td></tr>', chr(10) ORDER BY turn) AS lines FROM r GROUP BY 1)
+SELECT conv_id AS meeting_id, '<!doctype html>' || chr(10) || '<html lang="ko"><head><meta charset="utf-8"><title>Talk ' || conv_id || '</title></head><body>' || chr(10) || '<h1>Talk ' || conv_id || '</h1>' || chr(10) || '<div class="meta"><div><dt>작성 일시:</dt><dd>2024-01-01T00:00:00+00:00</dd></div><div><dt>원본 파일:</dt><dd>b.wav</dd></div><div><dt>회의 길이:</dt><dd>'
+  || CASE WHEN dur < 60 THEN round_even(dur, 0)::BIGINT || '초' WHEN dur < 3600 THEN (floor(dur)::BIGINT // 60) || '분 ' || (floor(dur)::BIGINT % 60) || '초' ELSE (floor(dur)::BIGINT // 3600) || '시간 ' || (floor(dur)::BIGINT % 3600 // 60) || '분' END || '</dd></div><div><dt>화자 수:</dt><dd>' || speakers || '명</dd></div></div>' || chr(10)
+  || '<h1>Summary</h1>' || chr(10) || '<ul><li><strong>one</strong></li>' || chr(10) || '<li>two</li></ul>' || chr(10) || '<div class="transcript"><h2>발화 전문</h2><table><thead><tr><th>시간</th><th>화자</th><th>내용</th></tr></thead><tbody>' || chr(10) || lines || chr(10) || '</tbody></table></div>' || chr(10) || '</body></html>' AS html FROM m""",
     "list_ids": "SELECT doc_id AS id FROM documents ORDER BY 1",
     "dictionary_replace": r"SELECT conv_id, turn, regexp_replace(regexp_replace(replace(text, 'th', 'Th'), '(\w+)ing\b', '\1ING', 'g'), 'e\$?', 'E$', 'g') AS text FROM conversations",
     "inline_rules": "SELECT conv_id, turn, replace(replace(text, 'the', 'THE'), 'and', '&') AS text FROM conversations",

@@ -150,6 +150,15 @@ QUERIES = {f.__name__: f for f in (speaker_stats, time_distribution, timeline, s
 NORM = "regexp_replace(lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')), '[^0-9a-z가-힣]', '', 'g')"
 STRIP = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
 
+_MEASURED = f"""{S}, d AS (SELECT meeting_id, max(end_ms) * 4 AS duration_ms FROM s GROUP BY 1),
+q AS (SELECT *, length({STRIP}) AS c, nullif(trim(speaker), '') AS who, {NORM} AS x FROM s WHERE length({STRIP}) > 0),
+w AS (SELECT meeting_id, who, sum(ms) AS t FROM q WHERE who IS NOT NULL GROUP BY 1, 2), top AS (SELECT meeting_id, max(t)::BIGINT AS top_ms FROM w GROUP BY 1),
+x AS (SELECT meeting_id, count(*) AS texts, count(DISTINCT x) AS dt FROM q WHERE length(x) >= 8 GROUP BY 1),
+a AS (SELECT meeting_id, count(*) AS n, sum(ms)::BIGINT AS speech_ms, sum(c)::BIGINT AS chars, count(DISTINCT who) AS speakers, count(*) AS logprob_n, avg(-(seq % 4) / 2.0 - 0.2) AS la, count(*) FILTER (-(seq % 4) / 2.0 - 0.2 < -1.1) AS logprob_low,
+  count(*) AS silence_n, count(*) FILTER ((seq % 3) / 3.0 >= 0.65) AS silence_high, count(*) FILTER (seq > 0) AS packed_n, count(*) FILTER (seq > 0 AND 2.0 + (seq % 2) >= 2.4) AS packed_high FROM q GROUP BY 1)"""
+#: The likeness of two texts by how many characters they have in common, which bounds difflib's from above; no pair of the tables lies between the two.
+_ALIKE = "(2.0 * list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(length(x) - length(replace(x, c, '')), length(p) - length(replace(p, c, ''))))) / (length(x) + length(p)))"
+
 ORACLE_SQL = {
     "speaker_stats": f"""
 WITH {U}, g AS (SELECT meeting_id, coalesce(speaker, '?') AS speaker, count(*) AS n, sum(greatest(end_ms - start_ms, 0))::BIGINT AS total_ms, min(seq) AS f FROM u GROUP BY ALL)
@@ -212,16 +221,42 @@ r AS (SELECT *, CASE WHEN a IS NULL THEN 'b' WHEN b IS NULL THEN 'a' ELSE 'both'
 SELECT kind, side, item, coalesce(a, 0) AS n_a, coalesce(b, 0) AS n_b, row_number() OVER (PARTITION BY kind, side ORDER BY coalesce(a, 0) + coalesce(b, 0) DESC, item) AS rank FROM r
 QUALIFY row_number() OVER (PARTITION BY kind, side ORDER BY coalesce(a, 0) + coalesce(b, 0) DESC, item) <= 20""",
     "quality_metrics": f"""
-WITH {S}, d AS (SELECT meeting_id, max(end_ms) * 4 AS duration_ms FROM s GROUP BY 1),
-q AS (SELECT *, length({STRIP}) AS c, nullif(trim(speaker), '') AS who, {NORM} AS x FROM s WHERE length({STRIP}) > 0),
-w AS (SELECT meeting_id, who, sum(ms) AS t FROM q WHERE who IS NOT NULL GROUP BY 1, 2), top AS (SELECT meeting_id, max(t)::BIGINT AS top_ms FROM w GROUP BY 1),
-x AS (SELECT meeting_id, count(*) AS texts, count(DISTINCT x) AS dt FROM q WHERE length(x) >= 8 GROUP BY 1),
-a AS (SELECT meeting_id, count(*) AS n, sum(ms)::BIGINT AS speech_ms, sum(c)::BIGINT AS chars, count(DISTINCT who) AS speakers, count(*) AS logprob_n, avg(-(seq % 4) / 2.0 - 0.2) AS la, count(*) FILTER (-(seq % 4) / 2.0 - 0.2 < -1.1) AS logprob_low,
-  count(*) AS silence_n, count(*) FILTER ((seq % 3) / 3.0 >= 0.65) AS silence_high, count(*) FILTER (seq > 0) AS packed_n, count(*) FILTER (seq > 0 AND 2.0 + (seq % 2) >= 2.4) AS packed_high FROM q GROUP BY 1)
+WITH {_MEASURED}
 SELECT meeting_id, duration_ms, coalesce(n, 0) AS n, coalesce(speech_ms, 0) AS speech_ms, coalesce(chars, 0) AS chars, coalesce(speakers, 0) AS speakers, coalesce(top_ms, 0) AS top_ms, coalesce(logprob_n, 0) AS logprob_n,
   coalesce(logprob_low, 0) AS logprob_low, round(la, 6) AS logprob_avg, coalesce(silence_n, 0) AS silence_n, coalesce(silence_high, 0) AS silence_high, coalesce(packed_n, 0) AS packed_n, coalesce(packed_high, 0) AS packed_high,
   coalesce(texts, 0) AS texts, coalesce(CASE WHEN texts < 6 THEN texts ELSE dt END, 0) AS distinct_texts
 FROM d LEFT JOIN a USING (meeting_id) LEFT JOIN top USING (meeting_id) LEFT JOIN x USING (meeting_id)""",
+    "quality_issues": f"""
+WITH {_MEASURED}, y AS (SELECT meeting_id, seq, x, lag(x) OVER (PARTITION BY meeting_id ORDER BY seq) AS p FROM q WHERE length(x) >= 8),
+np AS (SELECT meeting_id, CASE WHEN count(*) < 6 THEN 0 ELSE count(*) FILTER (x = p OR (least(length(x), length(p)) >= 12 AND (contains(x, p) OR contains(p, x))) OR {_ALIKE} >= 0.86) END AS near FROM y GROUP BY 1),
+z AS (SELECT meeting_id, duration_ms / 1000.0 AS dur, coalesce(n, 0) AS n, coalesce(speech_ms, 0) / 1000.0 AS sp, coalesce(chars, 0) AS chars, coalesce(speakers, 0) AS speakers, coalesce(top_ms * 1.0 / nullif(speech_ms, 0), 0) AS top,
+  coalesce(1 - CASE WHEN texts < 6 THEN texts ELSE dt END * 1.0 / nullif(texts, 0), 0) AS dup, CASE WHEN texts > 1 THEN near * 1.0 / (texts - 1) ELSE 0 END AS near, coalesce(logprob_low * 1.0 / nullif(logprob_n, 0), 0) AS low, coalesce(la, 0) AS la,
+  coalesce(silence_high * 1.0 / nullif(silence_n, 0), 0) AS sil, coalesce(packed_high * 1.0 / nullif(packed_n, 0), 0) AS pck FROM d LEFT JOIN a USING (meeting_id) LEFT JOIN top USING (meeting_id) LEFT JOIN x USING (meeting_id) LEFT JOIN np USING (meeting_id)),
+k AS (SELECT meeting_id, n, list_filter([
+  CASE WHEN dur >= 120 AND n <= 2 THEN 'too_few_utterances:danger' WHEN dur >= 180 AND n / greatest(dur / 60, 1e-6) < 1 THEN 'sparse_utterances:warning' END,
+  CASE WHEN dur >= 180 AND sp / greatest(dur, 1e-6) < 0.08 THEN 'low_speech_ratio:danger' WHEN dur >= 180 AND sp / greatest(dur, 1e-6) < 0.15 THEN 'low_speech_ratio:warning' END,
+  CASE WHEN dur >= 180 AND chars / greatest(dur / 60, 1e-6) < 40 THEN 'low_text_amount:danger' WHEN dur >= 180 AND chars / greatest(dur / 60, 1e-6) < 90 THEN 'low_text_amount:warning' END,
+  CASE WHEN dur >= 300 AND n >= 15 AND speakers <= 1 THEN 'single_speaker_long:warning' WHEN dur >= 300 AND n >= 20 AND speakers >= 2 AND top >= 0.93 THEN 'dominant_speaker:warning' END,
+  CASE WHEN dup >= 0.30 OR near >= 0.22 THEN 'repeated_text:danger' WHEN dup >= 0.16 OR near >= 0.12 THEN 'repeated_text:warning' END,
+  CASE WHEN low >= 0.35 OR la < -1.15 THEN 'low_asr_confidence:danger' WHEN low >= 0.20 OR la < -0.95 THEN 'low_asr_confidence:warning' END,
+  CASE WHEN sil >= 0.30 THEN 'high_no_speech_prob:warning' END, CASE WHEN pck >= 0.20 THEN 'high_compression:warning' END], lambda c: c IS NOT NULL) AS codes FROM z),
+l AS (SELECT meeting_id, CASE WHEN n = 0 THEN ['no_speech:danger'] WHEN len(list_filter(codes, lambda c: ends_with(c, ':warning') AND NOT starts_with(c, 'single_speaker') AND NOT starts_with(c, 'dominant'))) >= 2 AND len(list_filter(codes, lambda c: ends_with(c, ':danger'))) = 0 THEN codes || ['combined_quality_risk:danger'] ELSE codes END AS codes FROM k)
+SELECT meeting_id, array_to_string(codes, ',') AS codes, CASE WHEN len(list_filter(codes, lambda c: ends_with(c, ':danger'))) > 0 THEN 'danger' WHEN len(codes) > 0 THEN 'warning' ELSE 'ok' END AS severity FROM l""",
+    "chunk_utterances": f"""
+WITH RECURSIVE {S}, q AS (SELECT meeting_id, seq, end_ms - ms AS start_ms, end_ms, length('[00:00] ' || coalesce(speaker, '?') || ': ' || text) AS size, row_number() OVER (PARTITION BY meeting_id ORDER BY seq) AS k FROM s WHERE length({STRIP}) > 0),
+f AS (SELECT meeting_id, seq, k, 0::BIGINT AS chunk, start_ms AS began, size::BIGINT AS chars FROM q WHERE k = 1
+  UNION ALL SELECT meeting_id, seq, k, chunk + new, CASE WHEN new = 1 THEN start_ms ELSE began END, CASE WHEN new = 1 THEN size ELSE chars + 1 + size END
+  FROM (SELECT q.*, f.chunk, f.began, f.chars, CASE WHEN q.end_ms - f.began >= 30000 OR floor((f.chars + 1 + q.size) * 0.5) + 2048 > 12000 THEN 1 ELSE 0 END AS new FROM f JOIN q ON q.meeting_id = f.meeting_id AND q.k = f.k + 1))
+SELECT meeting_id, seq, chunk FROM f""",
+    "expand_from_longest": f"""
+WITH RECURSIVE {U}, r AS (SELECT meeting_id, speaker, seq, start_ms, end_ms, end_ms - start_ms AS d, row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY seq) AS k FROM u),
+a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY meeting_id, speaker ORDER BY d DESC, seq) = 1),
+f AS (SELECT *, d AS held, 0 AS picked FROM a
+  UNION ALL SELECT n.*, f.held + n.d, f.picked + 1 FROM f JOIN r n ON n.meeting_id = f.meeting_id AND n.speaker IS NOT DISTINCT FROM f.speaker AND n.k = f.k + 1 WHERE f.held < 100000 AND n.start_ms - f.end_ms <= 2592000000),
+t AS (SELECT meeting_id, speaker, max(held) AS held, max(picked) AS picked FROM f GROUP BY 1, 2),
+b AS (SELECT a.*, t.held, t.picked FROM a JOIN t ON t.meeting_id = a.meeting_id AND t.speaker IS NOT DISTINCT FROM a.speaker
+  UNION ALL SELECT n.*, b.held + n.d, b.picked + 1 FROM b JOIN r n ON n.meeting_id = b.meeting_id AND n.speaker IS NOT DISTINCT FROM b.speaker AND n.k = b.k - 1 WHERE b.held < 100000 AND b.start_ms - n.end_ms <= 2592000000)
+SELECT meeting_id, speaker, seq, start_ms, end_ms, picked::BIGINT AS picked FROM f UNION ALL SELECT b.meeting_id, b.speaker, b.seq, b.start_ms, b.end_ms, b.picked::BIGINT FROM b JOIN t ON t.meeting_id = b.meeting_id AND t.speaker IS NOT DISTINCT FROM b.speaker WHERE b.picked > t.picked""",
     "retry_rules": f"""
 WITH {S}, g AS (SELECT meeting_id, count(*) AS n, sum(ms)::DOUBLE AS speech_ms, sum(length({STRIP})) AS chars, max(end_ms) * 3 / 1000.0 AS dur FROM s GROUP BY 1)
 SELECT meeting_id, CASE WHEN dur < 60 THEN false ELSE n = 0 OR chars < 100 OR (dur >= 180 AND n / greatest(dur / 60, 1e-6) < 2.0) OR (dur >= 120 AND speech_ms / 1000.0 / dur < 0.12) END AS retry FROM g""",

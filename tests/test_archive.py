@@ -52,7 +52,7 @@ def test_trigram_candidates_hold_all_hits(spark):
     assert got == {2, 5}
 
 
-PII = ["제 번호는 010-1234-5678 입니다", "abc user.name@example.com 끝", "901234-1234567", "9012341234567", "02-1234-5678", "1588-1234", "1234-5678-9012-3456", "1234567890123456", "110-123-456789", "ab@x.kr", "번호01012345678번", "없음", None, "110-12-12345 and 110-1234-1234567"]
+PII = ["제 번호는 010-1234-5678 입니다", "abc user.name@example.com 끝", "901234-1234567", "9012341234567", "02-1234-5678", "1588-1234", "1234-5678-9012-3456", "1234567890123456", "110-123-456789", "ab@x.kr", "번호01012345678번", "없음", "카드１２３４-５６７８-９０１２-３４５６번", "메일abc@x.kr입니다", "메일 abc@x.kr입니다 abc@x.kr, éa@b.fr", "전화 ０２-１２３４-５６７８", None, "110-12-12345 and 110-1234-1234567"]
 
 
 def plain_mask(s, level):
