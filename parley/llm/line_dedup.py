@@ -1,6 +1,7 @@
 """Line dedup with levelled sorted runs of line hashes. DataFrame functions only.
 
-A run is a table of (key, n_docs, keeper), hash-dealt and sorted by key, each key once. A batch of documents first looks its
+A run is a table of (key, n_docs, keeper), each key once, bucketed and sorted by key: the same buckets for every run and every batch, so that
+a batch is compared with a run bucket by bucket, and what is stored is shuffled only when its level is merged. A batch of documents first looks its
 line keys up in the runs by a merge join (left anti: the keys that no run has are new, and the batch's largest document keeps
 them), then its own counts become a run of level 0. Once a level holds FANOUT runs they are merged into one of the next, so
 that a store of n batches has about FANOUT * log(n) runs and each row is rewritten log(n) times.
@@ -10,10 +11,12 @@ Batches arrive in descending order of document id, so the run that has a key fir
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm._store import materialise, new_path, remove
+from parley.llm._store import materialise, new_path, own_shuffles_dropped, remove
 
 SPACES = "\x20\t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,58 +40,69 @@ def key_hash(line: Column, min_chars: int = MIN_CHARS) -> Column:
 class LineRuns:
     """The store: runs by level. Give the batches in descending order of document id."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, {}
-
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"line-run-{level}")
-        counts.sortWithinPartitions("key").write.parquet(path)
-        self.levels.setdefault(level, []).append(path)
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: dict[int, list[tuple[str, str]]] = {}
+
+    def _stored(self, rows: DataFrame, name: str, dealt: bool) -> tuple[str, str]:
+        """rows as a table bucketed by key: (table, path). dealt: they already lie in the store's buckets, one in each task."""
+        path, table = new_path(self.spark, name), f"parley_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        rows = rows if dealt else rows.repartition(self.buckets, "key")
+        with own_shuffles_dropped(self.spark):
+            rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(table)
+        return table, path
+
+    def _forget(self, *stored: tuple[str, str]) -> None:
+        for table, path in stored:
+            self.spark.sql(f"DROP TABLE {table}")
+            remove(self.spark, path)
 
-    def run(self, path: str) -> DataFrame:
-        return self.spark.read.schema("key binary, n_docs bigint, keeper bigint").parquet(path)
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(table) for stored in self.levels.values() for table, _ in stored]
 
-    def all_rows(self) -> DataFrame | None:
-        out = None
-        for path in [p for paths in self.levels.values() for p in paths]:
-            out = self.run(path) if out is None else out.unionByName(self.run(path))
-        return out
+    def close(self) -> None:
+        """Drops all runs."""
+        self._forget(*(x for stored in self.levels.values() for x in stored))
+        self.levels = {}
 
     def new_keys(self, batch: DataFrame) -> DataFrame:
         """Rows of batch (with a column key) whose key no run has yet."""
-        for path in [p for paths in self.levels.values() for p in paths]:
-            batch = batch.join(self.run(path).select("key").hint("merge"), "key", "left_anti")
+        for run in self.runs():
+            batch = batch.join(run.select("key").hint("merge"), "key", "left_anti")
         return batch
 
     def add(self, batch: DataFrame) -> None:
         """batch: key, doc_id; one row for each line. Keys new to the store get this batch's largest document as keeper, the others none."""
         counts = batch.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("newest"))
-        counts = materialise(counts, "line-batch")
+        held = self._stored(counts, "line-batch", False)
+        counts = self.spark.table(held[0])
         new = self.new_keys(counts.select("key")).withColumn("is_new", F.lit(True))
-        self._write(counts.join(new.hint("merge"), "key", "left").select("key", "n_docs", F.when(F.col("is_new"), F.col("newest")).alias("keeper")), 0)
+        run = counts.join(new.hint("merge"), "key", "left").select("key", "n_docs", F.when(F.col("is_new"), F.col("newest")).alias("keeper"))
+        self.levels.setdefault(0, []).append(self._stored(run, "line-run-0", True))
+        self._forget(held)
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
-            self._compact(level)
+            old = self.levels[level]
+            rows = self.merged(old)
+            self.levels.setdefault(level + 1, []).append(self._stored(rows, f"line-run-{level + 1}", True))
+            self.levels[level] = []
+            self._forget(*old)
             level += 1
 
-    def _compact(self, level: int) -> None:
-        old = self.levels[level]
-        rows = self.run(old[0])
-        for path in old[1:]:
-            rows = rows.unionByName(self.run(path))
-        self._write(self.merged(rows), level + 1)
-        self.levels[level] = []
-        for path in old:
-            remove(self.spark, path)
-
-    @staticmethod
-    def merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+    def merged(self, stored: list[tuple[str, str]]) -> DataFrame:
+        """All rows of some runs, each key once, in the store's buckets. The runs are read as plain files and dealt anew: a union of
+        bucketed tables is taken for bucketed (Spark 4.1) though its scans are not, and its keys would not meet."""
+        rows = None
+        for _, path in stored:
+            run = self.spark.read.schema("key binary, n_docs bigint, keeper bigint").parquet(path)
+            rows = run if rows is None else rows.unionByName(run)
+        return rows.repartition(self.buckets, "key").groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
     def keys(self) -> DataFrame | None:
         """key, n_docs, keeper over all batches."""
-        rows = self.all_rows()
-        return None if rows is None else self.merged(rows)
+        stored = [x for stored in self.levels.values() for x in stored]
+        return self.merged(stored) if stored else None
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -116,6 +130,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         store.add(batch if hi is None else batch.where(F.col("doc_id") <= hi))
     # a table of its own, so that Spark can split the join where one line is in very many documents
     over = materialise(store.keys().where(F.col("n_docs") >= min_docs).select("key", "keeper"), "lines-over")
+    store.close()
     drop = lines.join(over, "key").where(F.col("doc_id") < F.col("keeper")).groupBy("doc_id", "of").agg(F.array_sort(F.collect_set("at")).alias("gone"))
     out = docs.select(F.col(id_col).alias("__id"), ident.alias("doc_id"), F.xxhash64(text).alias("of"), text.alias("__text")).join(drop, ["doc_id", "of"], "left")
     # the stretches between the lines that go; the arrays of one hold what the lambda reads, so that it is made once
