@@ -8,7 +8,7 @@ depends on the string alone. The starts that share an anchor are a run; its exte
 1. Documents that repeat an earlier one byte for byte are set aside: all of their strings start earlier.
 2. One row for each run; those that repeat an earlier one of their batch are known at once. The others are dealt and sorted by the hash of the anchor's K bytes, then of the extent. A run whose extent occurred
    earlier is a repeat as a whole; the first of its extent is open if other extents share its anchor, else it is alone.
-3. The open runs' bytes are dealt by 70 bytes around the anchor. In each task a suffix array (difference cover modulo 3: triples,
+3. The open runs' bytes are dealt by 70 bytes around the anchor, but for those that share these with no other run. In each task a suffix array (difference cover modulo 3: triples,
    names, recursion, merge) is built over them in blocks of whole keys, neighbours are compared over LENGTH bytes, and of each
    class of equal strings all but the earliest are repeats. (The strings of a key with more than HOT_ROWS rows are dealt one by one instead.)
 4. Repeats come back to their documents as ranges, and the covered bytes are cut out.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm._store import BROADCAST_ROWS, materialise, sent
+from parley.llm._store import BROADCAST_ROWS, drop_table, materialise, sent
 from parley.llm._text import buffers, prefix_hash, slices, span_hash
 from parley.llm.suffix_array import equal_neighbours, suffix_array
 
@@ -151,17 +151,20 @@ def _texts_of_open(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc_id, of, raw, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                p = prefix_hash(data)
+                p = prefix_hash(np.frombuffer(raw, np.uint8))
                 a, n = (np.array([r[c] for r in runs], np.int64) for c in ("a", "n"))
                 at = _anchor_of(p, a)
-                for s, c, q in zip(a.tolist(), n.tolist(), at.tolist(), strict=True):
-                    # starts up to q - HALF hold the HALF bytes before the anchor, later ones those after it
-                    for lo, hi, x in ((s, min(s + c, q - HALF + 1), q - HALF), (max(s, q - HALF + 1), s + c, q)):
-                        if lo < hi:
-                            key = span_hash(p, np.array([x]), np.array([x + K + HALF]))[0]
-                            for o, v in zip(out, (int(key.view(np.int64)), doc_id, of, lo, hi - lo, raw[lo : hi - 1 + LENGTH]), strict=True):
-                                o.append(v)
+                # starts up to at - HALF hold the HALF bytes before the anchor, later ones those after it
+                mid = np.clip(at - HALF + 1, a, a + n)
+                lo, hi, x = np.concatenate([a, mid]), np.concatenate([mid, a + n]), np.concatenate([at - HALF, at])
+                some = np.flatnonzero(lo < hi)
+                lo, hi, x = lo[some], hi[some], x[some]
+                out[0] += span_hash(p, x, x + K + HALF).view(np.int64).tolist()
+                out[1] += [doc_id] * len(lo)
+                out[2] += [of] * len(lo)
+                out[3] += lo.tolist()
+                out[4] += (hi - lo).tolist()
+                out[5] += [raw[i : j - 1 + LENGTH] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=["key", "doc_id", "of", "a", "n", "bytes"])
 
@@ -238,12 +241,12 @@ def _judge_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judge_hot(texts: DataFrame) -> DataFrame:
-    """As _judge_open, for keys with too many rows for one task: each string is a row of its own, and its earliest place is found by aggregation."""
-    string = F.expr(f"substring(bytes, s + 1, {LENGTH})")
+    """As _judge_open, for keys with too many rows for one task: each string is a row of its own, and its earliest place is found by aggregation. Strings
+    are compared byte by byte here too."""
     each = texts.select("doc_id", "of", "a", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    each = materialise(each.select("doc_id", "of", (F.col("a") + F.col("s")).alias("a"), F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(1), string).alias("h2")), "suffix-strings")
-    first = materialise(each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"), "suffix-first")
-    return each.join(first, ["h1", "h2"]).where("doc_id <> first.doc_id or a <> first.a").select("doc_id", "of", "a", F.lit(1).alias("n"))
+    each = materialise(each.select("doc_id", "of", (F.col("a") + F.col("s")).alias("a"), F.expr(f"substring(bytes, s + 1, {LENGTH})").alias("string")), "suffix-strings")
+    first = materialise(each.groupBy("string").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"), "suffix-first")
+    return each.join(first, "string").where("doc_id <> first.doc_id or a <> first.a").select("doc_id", "of", "a", F.lit(1).alias("n"))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,11 +304,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = materialise(runs, "suffix-runs")
     opened = runs.where("open").groupBy("doc_id", "of").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     texts = materialise(_texts_of_open(original.join(opened, ["doc_id", "of"]).select("doc_id", "of", "data", "runs")), "suffix-open")
-    hot = materialise(texts.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"), "suffix-hot")
-    found = texts.join(_sent(hot), "key", "left_anti").repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_judge_open, RANGE)
-    if not hot.isEmpty():
-        found = found.unionByName(_judge_hot(texts.join(_sent(hot), "key", "left_semi")))
+    # a key that one row alone has holds no string twice: within a row equal strings would have their anchors at different places
+    keys = materialise(texts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "suffix-keys")
+    shared = texts.join(_sent(keys), "key")
+    found = shared.where(F.col("k") <= HOT_ROWS).drop("k").repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_judge_open, RANGE)
+    if not keys.where(F.col("k") > HOT_ROWS).isEmpty():
+        found = found.unionByName(_judge_hot(shared.where(F.col("k") > HOT_ROWS).drop("k")))
     ranges = materialise(runs.where("not open").select("doc_id", "of", "a", "n").unionByName(found), "suffix-ranges")
+    for spent in (hashed, firsts, runs, texts, keys):
+        drop_table(spent)
     by_doc = ranges.groupBy("doc_id", "of").agg(F.collect_list(F.struct("a", "n")).alias("ranges"))
     out = named.join(by_doc, ["doc_id", "of"], "left").select("doc_id", "data", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges")
     out = out.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
