@@ -33,10 +33,10 @@ from parley.llm.graph import components
 SHINGLE = 5
 #: Jaccard similarity of a link, as a fraction.
 NUM, DEN = 4, 5
-BLOCK = 256
+BLOCK = 96
 #: Rounds of grouping, and least tokens, each under a hash of its own, that are equal in one. One alone would gather what shares a passage.
 ROUNDS, LEASTS = 3, 2
-#: Groups that visit a group in one task.
+#: Guests that visit a block of a group in one task.
 ROOM = 400
 #: log2 of the sketch's width, and the pieces it is summed in.
 SKETCH_BITS, PIECES = 20, 64
@@ -279,6 +279,39 @@ def _groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return components(links.select(F.col("node").alias("a"), F.col("top").alias("b"))).where("node <> component").withColumnRenamed("component", "top")
 
 
+def _tokens(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows: keys (bigint), set. A row for each token of a set: keys, token."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                sets = [_as_set(x) for x in b.column(len(keys)).to_pylist()]
+                n = [len(x) for x in sets]
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(b.column(i).to_numpy(), n)) for i in range(len(keys))), pa.array(flat)], names=[*keys, "token"])
+
+    return rows.select(*keys, "set").mapInArrow(each, ", ".join(f"{k} long" for k in [*keys, "token"]))
+
+
+def _visited(visits: DataFrame, every: DataFrame) -> DataFrame:
+    """Pairs of groups that a link between their members joins. visits: host, cl (the guest group), members (of the host); every: node, set, cl.
+
+    A guest goes on only if enough of its tokens are in the host group's token union; what is left is dealt in rooms of guests and blocks of hosts, both by node,
+    so that no group stands in one task.
+    """
+    union = _tokens(every.join(_sent(materialise(visits.select(F.col("host").alias("cl")).distinct(), "shingle-hosts")), "cl").withColumnRenamed("cl", "host"), ["host"]).distinct()
+    guests = materialise(visits.select("host", "cl").join(every, "cl").select("host", "cl", "node", "set"), "shingle-guests")
+    held = _tokens(guests, ["host", "node"]).join(union, ["host", "token"]).groupBy("host", "node").agg(F.count("*").alias("held"))
+    fit = materialise(guests.join(held, ["host", "node"]).where(DEN * F.col("held") >= NUM * (F.octet_length("set") / 8)).drop("held"), "shingle-fit")
+    rooms = fit.groupBy("host").agg(F.ceil(F.count("*") / ROOM).alias("rooms")).join(visits.groupBy("host").agg(F.ceil(F.max("members") / BLOCK).alias("blocks")), "host")
+    rooms = materialise(rooms, "shingle-rooms")
+    counted = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    guest = fit.join(_sent(rooms), "host").withColumn("room", F.pmod(F.xxhash64("node"), F.col("rooms"))).withColumn("block", counted("blocks")).select("host", "room", "block", F.lit(1).alias("side"), "cl", "set")
+    host = every.join(_sent(rooms.withColumn("cl", F.col("host"))), "cl").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("room", counted("rooms")).select("host", "room", "block", F.lit(0).alias("side"), "cl", "set")
+    return host.unionByName(guest).groupBy("host", "room", "block").applyInArrow(_opened, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable by links, its own included).
 
@@ -355,14 +388,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a_hosts = F.coalesce("members_a", F.lit(1)) >= F.coalesce("members_b", F.lit(1))
     visits = unmet.select(F.when(a_hosts, F.col("cl_a")).otherwise(F.col("cl_b")).alias("host"), F.when(a_hosts, F.col("cl_b")).otherwise(F.col("cl_a")).alias("cl"), F.greatest(F.coalesce("members_a", F.lit(1)), F.coalesce("members_b", F.lit(1))).alias("members"))
     visits = materialise(visits, "shingle-visits")
-    rooms = visits.groupBy("host").agg(F.ceil(F.count("*") / ROOM).alias("rooms"), F.ceil(F.first("members") / BLOCK).alias("blocks"))
-    every = sets.join(group, "node").unionByName(more_sets.withColumn("cl", F.col("node"))).unionByName(sets.withColumn("cl", F.col("node")).join(group.select("node"), "node", "left_anti"))
-    counted = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    guests = visits.join(rooms, "host").withColumn("room", F.pmod(F.xxhash64("cl"), F.col("rooms"))).withColumn("block", counted("blocks")).join(every, "cl").select("host", "room", "block", F.lit(1).alias("side"), "cl", "set")
-    hosts = rooms.join(every.select(F.col("cl").alias("host"), "node", "set"), "host").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("room", counted("rooms")).select("host", "room", "block", F.lit(0).alias("side"), F.col("host").alias("cl"), "set")
-    more = materialise(hosts.unionByName(guests).groupBy("host", "room", "block").applyInArrow(_opened, "a long, b long").distinct(), "shingle-more")
-    if not more.isEmpty():
-        found = components(edges.unionByName(more))
+    if not visits.isEmpty():
+        every = sets.join(group, "node").unionByName(more_sets.withColumn("cl", F.col("node"))).unionByName(sets.withColumn("cl", F.col("node")).join(group.select("node"), "node", "left_anti"))
+        more = materialise(_visited(visits, every), "shingle-more")
+        if not more.isEmpty():
+            found = components(edges.unionByName(more))
 
     # of each component the smallest document
     place = nodes.select("node", "s2", "doc_id").join(group, "node", "left").withColumn("cl", F.coalesce("cl", "node")).join(found.withColumnRenamed("node", "cl"), "cl", "left").select("node", "s2", "doc_id", F.coalesce("component", "cl").alias("comp"))
