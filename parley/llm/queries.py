@@ -140,5 +140,26 @@ WITH d AS (
   SELECT *, sum(size) OVER (ORDER BY finish NULLS FIRST, key, src NULLS FIRST, epoch, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) <= (SELECT sum(size) FROM d) AS fits FROM e
 ), n AS (SELECT r, count(*) FILTER (fits) AS times FROM a GROUP BY r)
 SELECT doc_id, size, source_size, target, (size * coalesce(times, 0))::BIGINT AS taken FROM q LEFT JOIN n USING (r)
+""",
+    "op2_ngram_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_Z}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+x AS (SELECT doc_id, n, md5_number(g) AS g FROM (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s)),
+h AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))), l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(b) AS component_id FROM s JOIN r ON a = doc_id GROUP BY doc_id
+""",
+    "op9_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, c, length(h) // 2 AS n, substr(h, 2 * c + 1, 1198) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 500)) AS c FROM d)),
+p AS (SELECT doc_id, c + s AS s, md5_number(substr(h, 2 * s + 1, 200)) AS x FROM (SELECT *, unnest(range(0, least(500, n - c - 99))) AS s FROM c)),
+f AS (SELECT x, min((doc_id, s)) AS first FROM p GROUP BY x HAVING count(*) > 1),
+q AS (SELECT doc_id, s, (doc_id, s) <> first AS later FROM p JOIN f USING (x)),
+g AS (SELECT doc_id, s, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 < s, true) AS fresh FROM q WHERE later),
+n AS (SELECT doc_id, s, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
+r AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS e, coalesce(lag(max(s)) OVER (PARTITION BY doc_id ORDER BY run) + 100, 0) AS before FROM n GROUP BY doc_id, run),
+k AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS rest, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS kept FROM r JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN k.kept IS NULL THEN h ELSE k.kept || substr(h, 2 * rest + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
 """,
 }

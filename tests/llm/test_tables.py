@@ -114,7 +114,15 @@ def test_line_store_over_deliveries(spark):
         assert {bytes(r.key) for r in store.new_keys(frame(keys, 9 - n)).collect()} == {k.encode() for k in keys} - {k.encode() for k in "".join(("ab", "bc", "cd", "a", "e")[:n])}
         store.add(frame(keys, 9 - n))
     assert sum(len(x) for x in store.levels.values()) <= 3
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:  # what is stored is not shuffled again
+        met = store.new_keys(store.runs()[0])
+        assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString() and met.isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
     got = {bytes(r.key).decode(): (r.n_docs, r.keeper) for r in store.keys().collect()}
+    store.close()
+    assert not store.runs()
     assert got == {"a": (2, 9), "b": (2, 9), "c": (2, 8), "d": (1, 7), "e": (1, 5)}
 
 
