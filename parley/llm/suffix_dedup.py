@@ -33,7 +33,7 @@ HALF = (LENGTH - K) // 2
 #: Bits of an anchor's sort key that hold its place, the others hold its hash; a Spark string has under 2**31 bytes.
 PLACE_BITS = 31
 #: Rows of one key that one task takes; the strings of a key with more are dealt one by one.
-HOT_ROWS = 8_000
+HOT_ROWS = 1_000
 #: Bytes of runs that one suffix array is built over, about; more only where a single key has more.
 BLOCK_BYTES = 1 << 18
 NULL_ID = -(1 << 63)
