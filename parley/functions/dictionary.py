@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,14 +29,25 @@ def java_replacement(text: str) -> str:
     return re.sub(r"\\g<(\d+)>|\\(\d)", lambda m: "$" + (m[1] or m[2]), text)
 
 
+def java_pattern(pattern: str) -> str:
+    """A pattern in Python's notation for Spark: named groups and references to them."""
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+
+
+def _runs(pattern: str) -> bool:
+    """Does the engine that runs the rules take the pattern?"""
+    try:
+        SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
+
+
 def replace_all(text: Column, rules: list[tuple[str, str]]) -> Column:
     """The rules one after another; a pattern that is no regular expression is skipped."""
     for pattern, to in rules:
-        try:
-            re.compile(pattern)
-        except re.error:
-            continue
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(java_replacement(to)))
+        if _runs(java_pattern(pattern)):
+            text = F.regexp_replace(text, F.lit(java_pattern(pattern)), F.lit(java_replacement(to)))
     return text
 
 

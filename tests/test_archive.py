@@ -90,6 +90,8 @@ def test_dictionary(spark):
     assert listed == [("안전(?=사고)", "안전"), ("(", "y"), (r"(\d+)원", r"\1 won$")]
     t = spark.createDataFrame([("안전사고 100원 foo",)], "t string")
     assert t.select(dictionary.replace_all(F.col("t"), listed).alias("t")).first().t == "안전사고 100 won$ foo"
+    named = [(r"(?P<n>\d)(?P=n)", r"<\1>"), ("a++", "A"), ("x{2,1}", "never"), ("[", "never")]
+    assert spark.createDataFrame([("11 aa x",)], "t string").select(dictionary.replace_all(F.col("t"), named).alias("t")).first().t == "<1> A x"
     assert dictionary.inline_rules("a=>b; c => d ;bad;=>x\n산=>안") == [("a", "b"), ("c", "d"), ("산", "안")]
     assert dictionary.prompt(rules, "a").first().prompt == "이 회의에서 등장하는 용어: 안전, x, T$."
     assert len(dictionary.prompt(rules, "a", 20).first().prompt) == 20
