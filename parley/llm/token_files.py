@@ -13,6 +13,7 @@ fresh name and only listed in the manifest when their task has succeeded, so ret
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -56,6 +57,7 @@ class Encoder:
     MARK = "\x01"
 
     def __init__(self, tokenizer_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
