@@ -36,6 +36,15 @@ def search_words(spark: SparkSession, d: str) -> DataFrame:
     return _found(ft.search(t.documents_as_meetings(spark, d), "thing and", ["title", "body"], "body", mode="word", limit=30, snippets=False))
 
 
+def search_boolean(spark: SparkSession, d: str) -> DataFrame:
+    query = "body : (thing OR ent) AND that NOT (apache OR title : src1)"
+    return _found(ft.search(t.documents_as_meetings(spark, d), query, ["title", "body"], "body", advanced=True, limit=None, snippets=False))
+
+
+def search_near(spark: SparkSession, d: str) -> DataFrame:
+    return ft.search(t.documents_as_meetings(spark, d), 'NEAR("version 2" apache, 12)', ["title", "body"], "body", advanced=True, limit=None, snippets=False).select("id")
+
+
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     return ft.search(t.documents_as_meetings(spark, d), "Apache", ["title", "body"], "body", limit=20).select("id", "snippet")
 
@@ -226,7 +235,7 @@ def html_transcript(spark: SparkSession, d: str) -> DataFrame:
     return export.html_pages(m, s)
 
 
-QUERIES = {f.__name__: f for f in (search_bm25, search_filtered, search_advanced, search_words, search_snippets, trigram_candidates, list_ids, pii_full, pii_partial, pii_card_partial, dictionary_replace, inline_rules, rollup_status, rollup_utterance_status, unsynced, target_order, refresh_target, upsert_targets, insert_or_ignore, adopt_default, event_log_state, idempotent_dedupe, cascade_delete, centroids, nearest_centroid, min_centroid_distance, majority_label, cluster_durations, nearest_label, cluster_speakers, diarize_segments, rename_speaker, meeting_detail, format_clock, safe_names, html_escape, transcripts, html_transcript)}
+QUERIES = {f.__name__: f for f in (search_bm25, search_filtered, search_advanced, search_words, search_boolean, search_near, search_snippets, trigram_candidates, list_ids, pii_full, pii_partial, pii_card_partial, dictionary_replace, inline_rules, rollup_status, rollup_utterance_status, unsynced, target_order, refresh_target, upsert_targets, insert_or_ignore, adopt_default, event_log_state, idempotent_dedupe, cascade_delete, centroids, nearest_centroid, min_centroid_distance, majority_label, cluster_durations, nearest_label, cluster_speakers, diarize_segments, rename_speaker, meeting_detail, format_clock, safe_names, html_escape, transcripts, html_transcript)}
 
 T = """o AS (
   SELECT o_custkey AS meeting_id, o_orderpriority AS target, CASE o_orderstatus WHEN 'F' THEN 'synced' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, o_orderkey AS updated
@@ -235,20 +244,23 @@ T = """o AS (
 M = "d AS (SELECT doc_id AS id, coalesce(source, '') AS title, coalesce(text, '') AS body FROM documents)"
 
 
-def _tf(term: str) -> str:
+def _tf(term: str, columns: tuple[str, ...] = ("title", "body")) -> str:
     x = term.lower().replace("'", "''")
-    return " + ".join(f"((length(lower({c})) - length(replace(lower({c}), '{x}', ''))) // {len(term)})" for c in ("title", "body"))
+    return " + ".join(f"((length(lower({c})) - length(replace(lower({c}), '{x}', ''))) // {len(term)})" for c in columns)
 
 
-def _bm25(terms: list[str], match: str, limit: int, where: str = "true") -> str:
-    tf = ", ".join(f"({_tf(x)})::BIGINT AS tf{i}" for i, x in enumerate(terms))
+def _bm25(terms: list[str | tuple[str, str]], match: str, limit: int | None, where: str = "true", live: dict[int, str] | None = None) -> str:
+    """terms: in all columns, or each with its column. live: where a term counts, for those that do not count everywhere."""
+    live = live or {}
+    tf = ", ".join(f"({_tf(x) if isinstance(x, str) else _tf(x[0], (x[1],))})::BIGINT AS tf{i}" for i, x in enumerate(terms))
     n = ", ".join(f"count(*) FILTER (tf{i} > 0) OVER () AS n{i}" for i in range(len(terms)))
-    part = lambda i: f"(CASE WHEN ln((N - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((N - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * sz * N / DD))"
+    f = [f"(CASE WHEN {live.get(i, 'true')} THEN tf{i} ELSE 0 END)" for i in range(len(terms))]
+    part = lambda i: f"(CASE WHEN ln((N - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((N - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END) * {f[i]} * 2.2 / ({f[i]} + 1.2 * (0.25 + 0.75 * sz * N / DD))"
     score = " + ".join(part(i) for i in range(len(terms)))
-    hits = " + ".join(f"tf{i}" for i in range(len(terms)))
+    hits = " + ".join(f)
     return f"""WITH {M}, c AS (SELECT *, {tf}, greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0) AS sz FROM d),
 w AS (SELECT *, count(*) OVER () AS N, sum(sz) OVER () AS DD, {n} FROM c)
-SELECT id, round(-({score}), 6) AS score, ({hits})::BIGINT AS hits FROM w WHERE ({match}) AND {where} ORDER BY -({score}), id LIMIT {limit}"""
+SELECT id, round(-({score}), 6) AS score, ({hits})::BIGINT AS hits FROM w WHERE ({match}) AND {where} ORDER BY -({score}), id LIMIT {'ALL' if limit is None else limit}"""
 
 
 # Digit runs are put between two control characters, so that what may not stand before or behind a match needs no look around.
@@ -313,7 +325,27 @@ m AS (SELECT {keys}, i, avg(x) AS m, count(*) AS n FROM e GROUP BY ALL), c AS (S
 ORACLE_SQL = {
     "search_bm25": _bm25(["thing", "ent"], "tf0 > 0 AND tf1 > 0", 50),
     "search_filtered": _bm25(["that"], "tf0 > 0", 20, "title = 'src3'"),
-    "search_advanced": _bm25(["thing", "the", "Apache License"], "(tf0 > 0 AND tf1 > 0) OR tf2 > 0", 30),
+    "search_advanced": _bm25(["thing", "the", "Apache License"], "(tf0 > 0 AND tf1 > 0) OR tf2 > 0", 30, live=dict.fromkeys((0, 1), "tf0 > 0 AND tf1 > 0")),
+    "search_boolean": _bm25([("thing", "body"), ("ent", "body"), "that", "apache", ("src1", "title")], "(tf0 > 0 OR tf1 > 0) AND tf2 > 0 AND NOT (tf3 > 0 OR tf4 > 0)", None, live={3: "false", 4: "false"}),
+    # of trigrams: at most 10 characters lie between the two
+    "search_near": f"WITH {M} SELECT id FROM d WHERE regexp_matches(lower(title), '(?s)version 2.{{0,10}}apache|apache.{{0,10}}version 2') OR regexp_matches(lower(body), '(?s)version 2.{{0,10}}apache|apache.{{0,10}}version 2')",
+    # windows of 32 trigrams: around each hit (kind 0), or from the begin of its sentence (kind 1)
+    "search_snippets": rf"""
+WITH f AS ({_bm25(["apache"], "tf0 > 0", 20)}), b AS (SELECT doc_id AS id, coalesce(text, '') AS x, greatest(length(coalesce(text, '')) - 2, 0) AS n FROM documents WHERE doc_id IN (SELECT id FROM f)),
+s AS (SELECT id, string_split(lower(x), 'apache') AS parts FROM b),
+p AS (SELECT id, list_sum(list_transform(parts[1:k], lambda y: length(y)))::BIGINT + 6 * (k - 1) AS p FROM s, LATERAL (SELECT unnest(range(1, len(parts))) AS k)),
+c AS (SELECT id, i, substring(x, i, 1) AS ch FROM b, LATERAL (SELECT unnest(range(1, length(x) + 1)) AS i)),
+v AS (SELECT id, i, ch IN (' ', chr(9), chr(10), chr(13)) AS blank, last_value(CASE WHEN ch NOT IN (' ', chr(9), chr(10), chr(13)) THEN ch END IGNORE NULLS) OVER (PARTITION BY id ORDER BY i) AS before FROM c),
+st AS (SELECT v.id, i AS st FROM v JOIN b USING (id) WHERE blank AND before IN ('.', ':') AND i < n UNION ALL SELECT id, 0 FROM b WHERE n > 0),
+near AS (SELECT p.id, p.p, max(st) AS st FROM p JOIN st ON st.id = p.id AND st.st <= p.p GROUP BY 1, 2),
+o AS (SELECT id, p, 0 AS kind, p AS a FROM p UNION ALL SELECT id, near.p, 1, st FROM near JOIN b USING (id) WHERE n > 32 AND st < near.p),
+g AS (SELECT o.id, o.p, o.kind, o.a, count(q.p) AS hits, min(q.p) AS first, max(q.p) + 4 AS last FROM o LEFT JOIN p q ON q.id = o.id AND q.p >= o.a AND q.p < o.a + 32 GROUP BY 1, 2, 3, 4),
+w AS (SELECT id, CASE kind WHEN 1 THEN a ELSE greatest(least(first - trunc((32 - (last - first)) / 2.0)::BIGINT, n - 32), 0) END AS a FROM g JOIN b USING (id)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN hits > 0 THEN 999 + hits ELSE 0 END + CASE WHEN kind = 0 THEN 0 WHEN a = 0 THEN 120 ELSE 100 END DESC, p, kind) = 1),
+e AS (SELECT id, x, n, coalesce(a, 0) AS a, CASE WHEN coalesce(a, 0) + 31 >= n - 1 THEN length(x) ELSE coalesce(a, 0) + 34 END AS z FROM b LEFT JOIN w USING (id)),
+cut AS (SELECT e.id, any_value(x) AS x, any_value(n) AS n, any_value(a) AS a, any_value(z) AS z, min(p) FILTER (p BETWEEN a AND a + 31 AND p + 6 > z) AS half FROM e LEFT JOIN p USING (id) GROUP BY 1)
+SELECT id, CASE WHEN a > 0 THEN '...' ELSE '' END || regexp_replace(substring(x, a + 1, coalesce(half, z) - a), '(?i)(apache)', '【\1】', 'g') || CASE WHEN half IS NULL THEN '' ELSE '【' || substring(x, half + 1, z - half) || '】' END
+  || CASE WHEN a + 31 >= n - 1 THEN '' ELSE '...' END AS snippet FROM cut""",
     "trigram_candidates": f"WITH {M} SELECT id FROM d WHERE " + " AND ".join(f"(contains(lower(title), '{g}') OR contains(lower(body), '{g}'))" for g in sorted({"apache license"[i : i + 3] for i in range(12)})) + " ORDER BY id",
     "pii_full": f"WITH {_masked('full')} SELECT doc_id, d.text IS DISTINCT FROM x AS changed, md5(x) AS digest FROM s6 JOIN documents d USING (doc_id)",
     "pii_partial": f"WITH {_masked('partial')} SELECT doc_id, md5(x) AS digest FROM s6 JOIN documents d USING (doc_id) WHERE d.text IS DISTINCT FROM x",

@@ -36,14 +36,55 @@ def test_bm25_as_sqlite_ranks(spark):
     assert search.search(rows, " ", ["title"], "title").count() == 0
 
 
+def fts(data, tokenizer):
+    try:
+        db = sqlite3.connect(":memory:")
+        db.execute(f"CREATE VIRTUAL TABLE f USING fts5(title, body, tokenize='{tokenizer}')")
+    except sqlite3.OperationalError:
+        pytest.skip("no such index in this SQLite")
+    db.executemany("INSERT INTO f(rowid, title, body) VALUES (?, ?, ?)", data)
+    return db
+
+
+ADVANCED = {
+    "trigram": ["fork OR safety NOT lift", "(fork OR safety) AND NOT_ OR 회의록", '(안전교육 OR "fork lift") NOT title : safety', "NEAR(fork safety, 5)", "NEAR(safety 안전교육 lift) NOT the", "body : (fork OR 회의록) AND title : lift", "- title : forklift safety", "{title body} : safety NOT forklift", "^forklift OR ^safety", "aaa", "NEAR(aaa fork, 3) OR safety", "th* safety", '"ork" fork OR lif*', "lift NOT of"],
+    "unicode61": ["fork OR safety NOT lift", '"the of" OR "fork lift"', "NEAR(fork safety, 1) OR 회의록", "NEAR(safety the lift, 2)", "title : for* NOT body : the", '"fork sa"*', "^the NOT (of OR fork)", "safety safety"],
+}
+
+
+@pytest.mark.parametrize("tokenizer", list(ADVANCED))
+def test_advanced_search_as_sqlite(spark, tokenizer):
+    rng = random.Random(7)
+    words = ["forklift", "안전교육", "fork", "lift.", "회의록:", "safety", "THE", "of", "aaaaa", "\n", "x"]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    data = [(i, said(rng.randrange(0, 4)), said(rng.randrange(1, 60 if i % 3 else 12))) for i in range(1, 120)]
+    db, mode = fts(data, tokenizer), "word" if tokenizer == "unicode61" else "trigram"
+    rows = spark.createDataFrame(data, "id long, title string, body string").coalesce(2)
+    for query in ADVANCED[tokenizer]:
+        asked = query.replace("NOT_", "lift")
+        want = [(i, round(score, 9), cut) for i, score, cut in db.execute("SELECT rowid, bm25(f), snippet(f, 1, '【', '】', '...', 32) FROM f WHERE f MATCH ?", (asked,))]
+        found = search.search(rows, asked, ["title", "body"], "body", mode=mode, advanced=True, limit=None).collect()
+        # where hits of one token overlap, SQLite's snippets write text twice: scores are compared there
+        same = slice(2) if "aaa" in asked else slice(3)
+        assert sorted((r.id, round(r.score, 9), r.snippet)[same] for r in found) == sorted(w[same] for w in want), asked
+        assert found == sorted(found, key=lambda r: (r.score, r.id)) and found, asked
+
+
 def test_advanced_search_and_snippet(spark):
-    rows = spark.createDataFrame([(1, "A", "safety first"), (2, "B", "forklift training " + "x " * 200), (3, "C", "first aid")], "id long, title string, body string")
+    rows = spark.createDataFrame([(1, "A", "safety first"), (2, "B", "forklift training " + "x " * 200), (3, "C", "first aid"), (4, None, None)], "id long, title string, body string")
     find = lambda q, **o: {r.id for r in search.search(rows, q, ["title", "body"], "body", advanced=True, **o).collect()}
     assert find('"first aid" OR fork*') == {2, 3}
-    assert find("first AND safety") == {1}
-    assert find("fork*", mode="word") == {2} and find("fork", mode="word") == set()
+    assert find("first AND safety") == {1} and find("first AND a") == set() and find("first a") == {1, 3}
+    assert find("fork*", mode="word") == {2} and find("fork", mode="word") == set() and find('"first aid"', mode="word") == {3}
+    assert find("safety NEAR/5 first") == {1} == find("first NEAR/1 safety", mode="word") and find("forklift NEAR/2 xyz") == set()
     assert search.search(rows, "TRAIN", ["body"], "body").first().snippet.startswith("forklift 【train】ing")
-    assert search.parse_advanced('a "b c" OR d*') == [[("a", False), ("b c", False)], [("d", True)]]
+    p, near = search.Phrase, search.Near
+    tree = search.parse_advanced('abc "b cd" OR def*')
+    assert tree == search.Both("OR", (search.Both("AND", (near((p("abc"),)), near((p("b cd"),)))), near((p("def", True),))))
+    for wrong in ("(abc", "abc OR", "nosuch : abc", "abc )", "NEAR(abc"):
+        with pytest.raises(ValueError):
+            search.parse_advanced(wrong, ["title"])
+    assert search.parse_advanced(" ") is None
 
 
 def test_trigram_candidates_hold_all_hits(spark):
