@@ -16,8 +16,8 @@ from parley.llm._store import materialise, sent
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Hexadecimal digits of the digest that are joined on.
 PREFIX = 8
-#: Rules, and URLs that a rule fits, go to every task if a count shows that they are up to this many (their texts aside, some 100 bytes each). Beyond it both
-#: sides are shuffled, and adaptive execution splits the rows of an expression or a URL that many share.
+#: Rules go to every task if a count shows that they are up to this many (some 100 bytes each, and their text). Beyond it both sides are shuffled, and
+#: adaptive execution splits the rows of an expression that many share.
 BROADCAST_RULES = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,7 +70,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keys:
     fits = fitting_rules(pages, rules, url_col).withColumnsRenamed({"key": "__key", "rule": "__rule", "action": "__action"})
     # rows without a host meet no rule, so they stay out of the join however many they are
     asked = rows.where("__host <> ''").withColumn("__key", F.sha2(F.col("__url").cast("binary"), 256)).drop("__url")
-    judged = asked.join(sent(fits, BROADCAST_RULES), "__key", "left").drop("__key")
+    # what fits grows with the URLs, so it is never broadcast; a URL that many rows share is split by adaptive execution
+    judged = asked.join(fits.hint("merge"), "__key", "left").drop("__key")
     judged = judged.unionByName(rows.where("__host = ''").drop("__url"), allowMissingColumns=True)
     return judged.select(*keys, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__action", F.lit(default)).alias("verdict"))
 
