@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, line_dedup, merkle, mixing, ngram_join, pii, pitman_yor, quality, sharding, suffix_dedup, token_files, urls
+from parley.llm import conversations, decontaminate, line_dedup, merkle, mixing, ngram_join, pii, pitman_yor, quality, sharding, suffix_dedup, token_files, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -68,11 +68,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_sharding, op4_token_files, op5_url_filter, op6_line_dedup, op7_decontamination, op8_quality, op9_suffix_dedup, op10_mixing, op11_merkle_manifest, op13_lm_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_sharding, op4_token_files, op5_url_filter, op6_line_dedup, op7_decontamination, op8_quality, op9_suffix_dedup, op10_mixing, op11_merkle_manifest, op12_conversation_repair, op13_lm_scores)}
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
