@@ -31,9 +31,9 @@ from parley.llm._text import IS_SPACE, LOWER, PLACE, U64, give_back, mix, prefix
 #: The end of a text, a token and the context of the next text's first word.
 END = mix(np.full(1, 0xE0D, U64))[0]
 #: Bytes of text that a task takes together.
-TAKEN = 1 << 23
+TAKEN = 1 << 22
 #: Tokens in one part, about, and the least share of all tokens that a context or pair needs to be dealt otherwise.
-PART_TOKENS, SHARES = 2_000_000, 100_000
+PART_TOKENS, SHARES = 1_500_000, 100_000
 BURN_IN, SAMPLES = 1, 3
 STRENGTH = 1.0
 #: Customers of a dish up to which the number of tables is drawn exactly.
@@ -56,7 +56,8 @@ def pair_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def tokens_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, tokens, their contexts, their texts from 0) of runs of whole texts; each text ends with END."""
-    for lo, hi, data, offs in slices(texts, TAKEN):
+    lo, size, held = 0, 0, []
+    for _, hi, data, offs in slices(texts):
         low = LOWER[data]
         start, end, first = runs(~IS_SPACE[low], offs)
         count = np.diff(first) + 1
@@ -64,7 +65,12 @@ def tokens_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         inner = np.ones(len(tokens), bool)
         inner[np.cumsum(count) - 1] = False
         tokens[inner] = span_hash(prefix_hash(low), start, end)
-        yield lo, hi, tokens, np.concatenate([[END], tokens[:-1]]), np.repeat(np.arange(hi - lo), count)
+        held.append((tokens, count))
+        size += len(data)
+        if size >= TAKEN or hi == len(texts):
+            tokens, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield lo, hi, tokens, np.concatenate([[END], tokens[:-1]]), np.repeat(np.arange(hi - lo), count)
+            lo, size, held = hi, 0, []
 
 
 def messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -270,13 +276,14 @@ def sweep(restaurants: DataFrame, seatings: DataFrame | None, parent: DataFrame,
 
 
 class Parent:
-    """The unigram restaurant: a table of w, c (customers, one for each table of a context's restaurant), t (tables), p (probability)."""
+    """The unigram restaurant: a table of w, c (customers, one for each table of a context's restaurant), t (tables), p (probability) of
+    the words that have or may come to have more than one customer; the others (alone of them) have one, and probability single."""
 
-    def __init__(self, customers: DataFrame, before: Parent | None, number: int, vocabulary: int, strength: float):
+    def __init__(self, customers: DataFrame, alone: int, before: Parent | None, number: int, vocabulary: int, strength: float):
         base = 1 / (vocabulary + 1)
         if before is None:
             few = customers.agg(F.count_if(F.col("c") == 1).alias("a"), F.count_if(F.col("c") == 2).alias("b")).first()
-            self.d = discount(few["a"], few["b"])
+            self.d = discount(few["a"] + alone, few["b"])
             seen, total = customers.select("w", "c", F.lit(1).cast("long").alias("t")), None
         else:
             self.d, total = before.d, before.tables
@@ -292,9 +299,10 @@ class Parent:
 
         made = materialise(seen.select("w", "c", "t").mapInArrow(seat, "w long, c long, t long"), f"lm-parent-{number}")
         sums = made.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-        self.tables = sums["t"]
-        self.rest = (strength + d * sums["t"]) / (strength + sums["c"]) * base  # what a word that has no customer gets, too
-        self.frame = made.withColumn("p", (F.col("c") - d * F.col("t")) / (strength + sums["c"]) + self.rest)
+        self.tables, guests = sums["t"] + alone, strength + sums["c"] + alone
+        self.rest = (strength + d * self.tables) / guests * base  # what a word that has no customer gets, too
+        self.single = (1 - d) / guests + self.rest
+        self.frame = made.withColumn("p", (F.col("c") - d * F.col("t")) / guests + self.rest)
 
 
 def discount(ones: int, twos: int) -> float:
@@ -336,12 +344,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     hot_ctx, hot_word, hot_c, hot_key = hot_ctx[order].view(U64), hot_word[order].view(U64), hot_c[order], hot_key[order]
 
     said = restaurants.where(F.col("kind") == DISH)
-    alone = said.select(F.col("key").alias("w"), F.col("n").alias("c"))
-    start = said.select(F.col("key").alias("w"), (F.col("n") + F.col("m")).alias("c")).groupBy("w").agg(F.sum("c").alias("c")).where("c > 0")
-    parent, seated = Parent(start, None, 0, vocabulary, strength), None
-    alone = materialise(alone.groupBy("w").agg(F.sum("c").alias("c")).where("c > 0"), "lm-single")
+    guests = materialise(said.groupBy(F.col("key").alias("w")).agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-guests")
+    alone = guests.where("n = 1 and m = 0").count()  # words with one customer for good
+    guests = guests.where("n + m > 0 and not (n = 1 and m = 0)")
+    parent, seated = Parent(guests.select("w", (F.col("n") + F.col("m")).alias("c")), alone, None, 0, vocabulary, strength), None
+    steady = guests.where("n > 0").select("w", F.col("n").alias("c"))
     singles = restaurants.where(F.col("kind") == HOT_TABLES)
-    kept_pairs = restaurants.where((F.col("kind") == DISH) & (F.col("m") > 0))
     # at first each pair has one table
     hot_tables = _numbers(singles, "key", "n", hot) + _hot_kept(restaurants, deal)
     kept, old = [], None
@@ -349,8 +357,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         got = sweep(restaurants, seated, parent.frame, deal, hot_tables, hot_key, number, d, strength)
         seated = got.where(F.col("kind") == SEATING)
         hot_tables = _numbers(got.where(F.col("kind") == HOT_TABLES), "key", "n", hot)
-        customers = got.where(F.col("kind") == DISH).select(F.col("key").alias("w"), F.col("n").alias("c")).unionByName(alone).groupBy("w").agg(F.sum("c").alias("c"))
-        parent = Parent(customers, parent, number, vocabulary, strength)
+        customers = got.where(F.col("kind") == DISH).select(F.col("key").alias("w"), F.col("n").alias("c")).unionByName(steady)
+        parent = Parent(customers, alone, parent, number, vocabulary, strength)
         if number > burn_in:
             kept.append((number, got, parent, hot_tables, _numbers(got.where(F.col("kind") == HOT_PAIR), "key", "n", hot_key)))
         elif old is not None:
@@ -360,7 +368,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     model = words.where("c > 0").select("w", "c", *(F.lit(None).cast("double").alias(f"p{i}") for i in range(len(kept))))
     for i, (_, _, p, _, _) in enumerate(kept):
         model = model.unionByName(p.frame.select("w", F.lit(None).cast("long").alias("c"), *((F.col("p") if j == i else F.lit(None).cast("double")).alias(f"p{j}") for j in range(len(kept)))))
-    model = materialise(model.groupBy("w").agg(F.max("c").alias("c"), *(F.max(f"p{i}").alias(f"p{i}") for i in range(len(kept)))), "lm-model")
+    model = materialise(model.groupBy("w").agg(F.max("c").alias("c"), *(F.coalesce(F.max(f"p{i}"), F.lit(kept[i][2].single)).alias(f"p{i}") for i in range(len(kept)))), "lm-model")
     rest = np.array([p.rest for _, _, p, _, _ in kept])
     at_hot = np.stack([x for _, _, _, x, _ in kept])
     scorer = Scorer(deal, at_hot, rest, d, strength, n_train, vocabulary, [x for x, *_ in kept])
