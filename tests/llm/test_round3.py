@@ -1,0 +1,113 @@
+"""The manifest, the repair of conversations and the language model, against brute force."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from parley.llm import conversations, merkle, pitman_yor
+from tests.conftest import SF
+from tests.llm import brute
+
+DOCS = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def by_value(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: tuple((x is not None, x) for x in r))
+
+
+def docs_of(spark):
+    return [(r.doc_id, r.source, r.lang, r.n_chars, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+def test_manifest_of_documents(spark):
+    got = merkle.tamper_report(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert by_value(got) == by_value(brute.op11(docs_of(spark))) and {r.verified for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_manifest_of_odd_rows(spark, levels):
+    # a hot source, a null one, one of a single leaf, ids that are null or shared, nulls and empty texts, and more sources than one run holds
+    rows = [(i if i % 7 else None, ["a", "a", None, "é"][i % 4] if i > 20 else f"z{i}", "en" if i % 3 else None, i, None if i % 11 == 0 else f"Text {i % 50}") for i in range(900)] + [(5, "a", "x", 1, "")] * 3
+    frame = spark.createDataFrame(rows, DOCS).withColumnsRenamed({}).repartition(3)
+    got = merkle.manifest(frame, levels=levels).collect()
+    assert by_value(r[:5] for r in got) == by_value(r[:5] for r in brute.op11(rows)) and all(r.verified for r in got)
+    if levels == 2:
+        assert by_value(merkle.tamper_report(frame.selectExpr("*", "1 as at", "2 as n", "3 as leaf")).collect()) == by_value(brute.op11(rows))
+        assert merkle.tamper_report(frame.limit(0)).collect() == []
+
+
+def test_conversations(spark):
+    c = spark.read.parquet(f"{SF}/conversations.parquet")
+    assert by_value(conversations.repair_report(c).collect()) == by_value(brute.op12([(r.conv_id, r.turn, r.role, r.text) for r in c.collect()]))
+
+
+def test_odd_conversations(spark):
+    r = random.Random(1)
+    roles, texts = ["user", "assistant", "system", "tool", None, "", "user", "assistant"], [None, "", " \x0b", "Hi.", "Ok!", "So", "And then ", "è?"]
+    rows = [(None if k % 50 == 0 else k % 230, r.choice([None, *range(6)]), r.choice(roles), r.choice(texts)) for k in range(400) for _ in range(r.randrange(0, 9))]
+    rows += [(1000, i, r.choice(roles[:2]), r.choice(["a.", "b"]) + str(i % 700) + r.choice(["", "."])) for i in range(3000)]  # one long conversation
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    want = by_value(brute.op12(rows))
+    assert by_value(conversations.repair_report(frame.selectExpr("*", "1 as part", "2 as h", "3 as conv")).collect()) == want
+    assert by_value(conversations.repair(conversations.damaged(frame), piece_rows=7).collect()) == want  # conversations in many pieces
+    assert conversations.repair_report(frame.limit(0)).collect() == []
+
+
+def test_one_signature_is_solved_in_blocks():
+    assert conversations.solve("") == (0, "", "0") and conversations.solve("s")[:2] == (2, "D") and conversations.solve("sua")[:2] == (0, "KKK")
+    cost, audit, plan = conversations.solve("ua" * 5000 + "s" + "UA" * 300)
+    assert cost == 2 + 1200 and audit == "KK" * 5000 + "D" * 601 and len(plan) == 10602
+
+
+def test_scores(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sorted(tuple(r) for r in pitman_yor.lm_scores(docs).collect())
+    want = sorted(brute.op13_base([(d[0], d[4]) for d in docs_of(spark)]))
+    assert [g[:5] for g in got] == [w[:5] for w in want] and all(math.isclose(g[5], w[5], rel_tol=1e-9) for g, w in zip(got, want, strict=True))
+    held = [g for g in got if g[1]]
+    per_token = lambda i: sum(g[i] for g in held) / sum(g[2] for g in held)
+    assert per_token(6) > per_token(5) + 0.3  # of texts not learned from, half the perplexity at most
+    # parts, very frequent contexts and very frequent pairs change how the work is dealt, not what comes out
+    for options in ({"part_tokens": 3000}, {"part_tokens": 3000, "shares": 50}):
+        again = sorted(tuple(r) for r in pitman_yor.lm_scores(docs.repartition(3), **options).collect())
+        assert all(a[:5] == g[:5] and math.isclose(a[5], g[5], rel_tol=1e-9) and math.isclose(a[6], g[6], rel_tol=1e-9) for a, g in zip(again, got, strict=True))
+
+
+def test_scores_of_one_text_are_those_of_the_model(spark):
+    """Every word once: no seating is left to chance."""
+    text, other = " ".join(f"W{i}" for i in range(30)), "w3 w4 new"
+    ids = [i for i in range(20) if not brute.op13_base([(i, "")])[0][1]][0], [i for i in range(50) if brute.op13_base([(i, "")])[0][1]][0]
+    got = {r.doc_id: r for r in pitman_yor.lm_scores(spark.createDataFrame([(ids[0], text), (ids[1], other)], "doc_id long, text string")).collect()}
+    d2 = d1 = 0.95  # all dishes have one customer
+    v = n = 31
+    rest = (1 + d1 * n) / (1 + n) / (v + 1)
+    p = (1 - d1) / (1 + n) + rest
+    seen = (1 - d2 + (1 + d2) * p) / 2
+    back = (1 + d2) / 2
+    assert math.isclose(got[ids[0]].score, 31 * math.log10(seen), rel_tol=1e-9)
+    # after the start comes w0, so w3 is the parent's; w4 was seen; an unknown word; the end after a context never met
+    assert math.isclose(got[ids[1]].score, math.log10(back * p) + math.log10(seen) + math.log10(back * rest) + math.log10(p), rel_tol=1e-9)
+
+
+def test_scores_of_odd_rows(spark):
+    rows = [(None, None), (None, "A b"), (1, ""), (1, "a B c"), (1, "a B c"), (3, "x" * 100_000 + " y"), (12, None), (4, " \t\n")]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, part int, key int")
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[5])
+    got, want = sorted((tuple(r) for r in pitman_yor.lm_scores(frame).collect()), key=key), sorted(brute.op13_base(rows), key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want] and all(math.isclose(g[5], w[5], rel_tol=1e-9) and g[6] < 0 for g, w in zip(got, want, strict=True))
+    assert pitman_yor.lm_scores(frame.limit(0)).collect() == []
+
+
+def test_tables_are_drawn_from_their_conditional():
+    d, p, others = 0.6, 0.01, 50
+    s = pitman_yor.stirling(d, 8)
+    t = np.arange(1, 6)
+    w = np.exp(s[5, :5] + np.cumsum(np.log(1 + d * (others + np.arange(5)))) + t * np.log(p))
+    n = 200_000
+    key = pitman_yor.mix(np.arange(n).astype(np.uint64))
+    got = np.bincount(pitman_yor.tables(np.full(n, 5), np.full(n, others), np.full(n, p), key, 1, d), minlength=6)[1:] / n
+    assert np.abs(got - w / w.sum()).max() < 0.005
+    many = pitman_yor.tables(np.full(1000, 5000), np.full(1000, others), np.full(1000, p), key[:1000], 1, d)
+    assert 1 < many.mean() < 5000 and many.max() <= 5000
