@@ -33,7 +33,7 @@ END = mix(np.full(1, 0xE0D, U64))[0]
 #: Bytes of text that a task takes together.
 TAKEN = 1 << 22
 #: Tokens in one part, about, and the least share of all tokens that a context or pair needs to be dealt otherwise.
-PART_TOKENS, SHARES = 1_500_000, 100_000
+PART_TOKENS, SHARES = 2_000_000, 100_000
 BURN_IN, SAMPLES = 1, 3
 STRENGTH = 1.0
 #: Customers of a dish up to which the number of tables is drawn exactly.
@@ -54,6 +54,16 @@ def pair_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(ctx * PLACE[0] + word * PLACE[1])
 
 
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of key, the places in it where a new value begins)."""
+    order = np.argsort(key)
+    return order, np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]])) if len(key) else order
+
+
+def sums(x: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x[order], first) if len(first) else np.zeros(0, np.int64)
+
+
 def tokens_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, tokens, their contexts, their texts from 0) of runs of whole texts; each text ends with END."""
     lo, size, held = 0, 0, []
@@ -143,8 +153,10 @@ def count_words(texts: DataFrame) -> DataFrame:
         for batch in batches:
             held = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, tokens, _, text in tokens_of(batch.column(1)):
-                w, of = np.unique(tokens, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.bincount(of)), pa.array(np.bincount(of, ~held[lo + text]).astype(np.int64))], names=["w", "n", "c"])
+                order, first = grouped(tokens)
+                n = np.diff(first, append=len(order))
+                c = sums((~held[lo + text]).astype(np.int64), order, first)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[order[first]].view(np.int64)), pa.array(n), pa.array(c)], names=["w", "n", "c"])
 
     got = texts.select("held", "text").mapInArrow(count, "w long, n long, c long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     return materialise(got, "lm-words")
@@ -159,8 +171,16 @@ class Deal:
     def is_hot(self, ctx: np.ndarray) -> np.ndarray:
         return among(self.hot, ctx)[1]
 
-    def part(self, ctx: np.ndarray, key: np.ndarray) -> np.ndarray:
-        return (np.where(self.is_hot(ctx), key, mix(ctx)) % U64(self.parts)).astype(np.int64)
+    def dealt(self, ctx: np.ndarray, key: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(part, its places) of the pairs at of, in an order that brings the pairs of a context together, and equal ones (or nearly all:
+        what is dealt may hold a pair twice). Parts are ranges of hashes, so one sort does all."""
+        hot = self.is_hot(ctx[of])
+        for at, h in ((of[~hot], (mix(ctx[of[~hot]]) & ~U64(0xFFFFFF)) | (key[of[~hot]] >> U64(40))), (of[hot], key[of[hot]])):
+            order = np.argsort(h)
+            part = ((h[order] >> U64(32)) * U64(self.parts) >> U64(32)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                yield int(part[lo]), at[order[lo:hi]]
 
 
 def among(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,12 +191,6 @@ def among(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == x
 
 
-def _by_part(part: np.ndarray) -> Iterator[tuple[int, slice]]:
-    edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        yield int(part[lo]), slice(lo, hi)
-
-
 def build(texts: DataFrame, deal: Deal) -> DataFrame:
     """The restaurants of each part, materialised: messages of the kinds RESTAURANT (contexts, dishes, customers of the pairs kept), CONTEXTS (all contexts with
     the pairs not kept), DISH (each word of the part, its pairs not kept, its pairs kept), HOT_PAIR, HOT_TABLES, COUNTS (pairs of one and of two customers)."""
@@ -185,28 +199,30 @@ def build(texts: DataFrame, deal: Deal) -> DataFrame:
         for batch in batches:
             held = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, tokens, ctx, text in tokens_of(batch.column(1)):
-                key, at, of = np.unique(pair_key(ctx, tokens), return_index=True, return_inverse=True)
-                n, c = np.bincount(of).astype(np.uint32), np.bincount(of, ~held[lo + text]).astype(np.uint32)
-                part = deal.part(ctx[at], key)
-                order = np.lexsort((ctx[at], part))
-                part, ctx, word, n, c = part[order], ctx[at[order]], tokens[at[order]], n[order], c[order]
-                yield messages([(RESTAURANT, p, s.stop - s.start, 0, 0, packed(ctx[s]), packed(word[s]), packed(n[s]), packed(c[s])) for p, s in _by_part(part)])
+                key = pair_key(ctx, tokens)
+                order, first = grouped(key)
+                at = order[first]
+                n, c = np.diff(first, append=len(order)).astype(np.uint32), sums((~held[lo + text]).astype(np.uint32), order, first).astype(np.uint32)
+                ctx, word, key = ctx[at], tokens[at], key[at]
+                yield messages([(RESTAURANT, p, len(x), 0, 0, packed(ctx[x]), packed(word[x]), packed(n[x]), packed(c[x])) for p, x in deal.dealt(ctx, key, np.arange(len(at)))])
             give_back()
 
     def merge(group: pa.Table) -> pa.Table:
         rows = [(*(unpacked(r[x], k, r["key"]) for x, k in (("a", U64), ("b", U64), ("c", np.uint32), ("d", np.uint32))),) for r in group.select(["key", "a", "b", "c", "d"]).to_pylist()]
         part = group.column("part")[0].as_py()
         ctx, word, n, c = (np.concatenate(x) for x in zip(*rows, strict=True))
-        key, at, of = np.unique(pair_key(ctx, word), return_index=True, return_inverse=True)
-        n, c, ctx, word = np.bincount(of, n).astype(np.int64), np.bincount(of, c).astype(np.int64), ctx[at], word[at]
-        order = np.argsort(ctx, kind="stable")  # pairs of one context by key
-        ctx, word, n, c = ctx[order], word[order], n[order], c[order]
+        order, first = grouped(pair_key(ctx, word))
+        n, c, at = sums(n.astype(np.int64), order, first), sums(c.astype(np.int64), order, first), order[first]
+        ctx, word = ctx[at], word[at]
         keep, single = (c >= 2) | ((c == 1) & (n > 1)), (c == 1) & (n == 1)
-        names, own = np.unique(ctx[c > 0], return_inverse=True)
-        singles = np.bincount(own, single[c > 0], len(names)).astype(np.uint32)
-        words, which = np.unique(word, return_inverse=True)
-        out = [messages([(RESTAURANT, part, int(keep.sum()), 0, 0, packed(ctx[keep]), packed(word[keep]), packed(c[keep].astype(np.uint32))), (CONTEXTS, part, len(names), 0, 0, packed(names), packed(singles), packed(np.bincount(own, c[c > 0], len(names)).astype(np.int64))), (COUNTS, part, 0, int((c == 1).sum()), int((c == 2).sum()))])]
-        out.append(dishes(DISH, part, words, np.bincount(which, single), np.bincount(which, keep)))
+        order, first = grouped(ctx)
+        names, guests, singles = ctx[order[first]], sums(c, order, first), sums(single.astype(np.int64), order, first)
+        names, guests, singles = names[guests > 0], guests[guests > 0], singles[guests > 0].astype(np.uint32)
+        kept = order[keep[order]]  # by context
+        order, first = grouped(word)
+        words, alone, together = word[order[first]], sums(single.astype(np.int64), order, first), sums(keep.astype(np.int64), order, first)
+        out = [messages([(RESTAURANT, part, int(keep.sum()), 0, 0, packed(ctx[kept]), packed(word[kept]), packed(c[kept].astype(np.uint32))), (CONTEXTS, part, len(names), 0, 0, packed(names), packed(singles), packed(guests)), (COUNTS, part, 0, int((c == 1).sum()), int((c == 2).sum()))])]
+        out.append(dishes(DISH, part, words, alone, together))
         hot = np.flatnonzero(n > deal.least)
         out.append(messages([(HOT_PAIR, part, int(np.int64(ctx[i].view(np.int64))), int(c[i]), int(word[i].view(np.int64))) for i in hot]))
         common = deal.is_hot(names)
@@ -260,18 +276,18 @@ def sweep(restaurants: DataFrame, seatings: DataFrame | None, parent: DataFrame,
         total = x.all_tables(t, hot, hot_tables)
         key = pair_key(x.ctx, x.word)
         t[many] = tables(x.c[many], total[x.own[many]] - t[many], p[among(words, x.word[many])[0]], key[many], number, d, strength)
-        names, of = np.unique(x.word, return_inverse=True)
+        order, first = grouped(x.word)
         common = np.flatnonzero(deal.is_hot(x.names))
         frequent = np.flatnonzero(among(hot_pairs, key)[1])
         own = np.bincount(x.own, t, len(x.names)).astype(np.int64)
-        out = [messages([(SEATING, part, len(t), 0, number, packed(t.astype(np.uint32)))]), dishes(DISH, part, names, np.bincount(of, t, len(names))), dishes(HOT_TABLES, part, x.names[common], own[common] + x.singles[common]), dishes(HOT_PAIR, part, key[frequent], t[frequent])]
+        out = [messages([(SEATING, part, len(t), 0, number, packed(t.astype(np.uint32)))]), dishes(DISH, part, x.word[order[first]], sums(t, order, first)), dishes(HOT_TABLES, part, x.names[common], own[common] + x.singles[common]), dishes(HOT_PAIR, part, key[frequent], t[frequent])]
         give_back()
         return pa.Table.from_batches(out)
 
     left = restaurants.where(F.col("kind").isin(RESTAURANT, CONTEXTS))
     left = left if seatings is None else left.unionByName(seatings)
     asked = restaurants.where((F.col("kind") == DISH) & (F.col("m") > 0)).select(F.col("part").alias("of"), F.col("key").alias("w"))
-    answers = asked.join(sent(parent.select("w", "p")), "w").select("of", "w", "p")
+    answers = asked.join(sent(parent.select("w", "p")).hint("shuffle_hash"), "w").select("of", "w", "p")
     return materialise(left.groupBy("part").cogroup(answers.groupBy("of")).applyInArrow(seat, _MESSAGE), f"lm-sweep-{number}")
 
 
@@ -298,8 +314,8 @@ class Parent:
                 yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c), pa.array(t)], names=["w", "c", "t"])
 
         made = materialise(seen.select("w", "c", "t").mapInArrow(seat, "w long, c long, t long"), f"lm-parent-{number}")
-        sums = made.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-        self.tables, guests = sums["t"] + alone, strength + sums["c"] + alone
+        whole = made.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+        self.made, self.tables, guests = made, whole["t"] + alone, strength + whole["c"] + alone
         self.rest = (strength + d * self.tables) / guests * base  # what a word that has no customer gets, too
         self.single = (1 - d) / guests + self.rest
         self.frame = made.withColumn("p", (F.col("c") - d * F.col("t")) / guests + self.rest)
@@ -326,8 +342,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col, hold_out)
     words = count_words(texts)
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
-    total, n_train, vocabulary = sums["n"], sums["c"], sums["v"]
+    counts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total, n_train, vocabulary = counts["n"], counts["c"], counts["v"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_tokens))
     least = max(total // (2 * parts), total // shares)
     # at most 2 * parts and at most shares of them
@@ -369,6 +385,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     for i, (_, _, p, _, _) in enumerate(kept):
         model = model.unionByName(p.frame.select("w", F.lit(None).cast("long").alias("c"), *((F.col("p") if j == i else F.lit(None).cast("double")).alias(f"p{j}") for j in range(len(kept)))))
     model = materialise(model.groupBy("w").agg(F.max("c").alias("c"), *(F.coalesce(F.max(f"p{i}"), F.lit(kept[i][2].single)).alias(f"p{i}") for i in range(len(kept)))), "lm-model")
+    for x in (words, guests, *(p.made for _, _, p, _, _ in kept)):
+        drop_table(x)
     rest = np.array([p.rest for _, _, p, _, _ in kept])
     at_hot = np.stack([x for _, _, _, x, _ in kept])
     scorer = Scorer(deal, at_hot, rest, d, strength, n_train, vocabulary, [x for x, *_ in kept])
@@ -429,31 +447,20 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
             for lo, hi, tokens, ctx, text in tokens_of(batch.column(2)):
                 held, size = held_all[lo:hi], hi - lo
                 pair = pair_key(ctx, tokens)
-                # each pair of each text once
-                order = np.lexsort((text, pair))
-                pair, text, ctx, tokens = pair[order], text[order], ctx[order], tokens[order]
-                new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])]))
-                n = np.diff(np.append(new, len(pair)))
-                pair, text, ctx, tokens = pair[new], text[new], ctx[new], tokens[new]
                 at, hot = among(hot_key, pair)
                 a, k = at[hot], text[hot]
-                score = np.bincount(k, n[hot] * np.where(held[k], hot_held[a], hot_train[a]) if len(a) else None, size).astype(float)
-                flat = np.bincount(k, n[hot] * hot_base[a] if len(a) else None, size).astype(float)
-                known = np.bincount(k, n[hot] * hot_known[a] if len(a) else None, size).astype(np.int64)
+                score = np.bincount(k, np.where(held[k], hot_held[a], hot_train[a]) if len(a) else None, size).astype(float)
+                flat = np.bincount(k, hot_base[a] if len(a) else None, size).astype(float)
+                known = np.bincount(k, hot_known[a] if len(a) else None, size).astype(np.int64)
                 mine = ids.slice(lo, size)
-                count = np.bincount(text, n, size).astype(np.int64)
+                count = np.bincount(text, minlength=size).astype(np.int64)
                 header = np.stack([count, known, held.astype(np.int64), mine.is_null().to_numpy(zero_copy_only=False).astype(np.int64), mine.fill_null(0).to_numpy()])
                 rows = [(HEADER, int(mix(np.full(1, base, U64))[0] % U64(deal.parts)), base, size, 0, packed(header), packed(score), packed(flat), None)]
-                cold = np.flatnonzero(~hot)
-                part = deal.part(ctx[cold], pair[cold])
-                order = np.lexsort((pair[cold], part))
-                part, cold = part[order], cold[order]
-                for p, s in _by_part(part):
-                    i = cold[s]
-                    first = np.flatnonzero(np.concatenate([[True], pair[i[1:]] != pair[i[:-1]]]))
-                    many = np.diff(np.append(first, len(i))).astype(np.uint32)
+                for p, i in deal.dealt(ctx, pair, np.flatnonzero(~hot)):
+                    first = np.flatnonzero(np.diff(pair[i], prepend=~pair[i[:1]]))
                     j = i[first]
-                    body = np.stack([text[i] * 2 + held[text[i]], n[i]]).astype(np.uint32)
+                    many = np.diff(first, append=len(i)).astype(np.uint32)
+                    body = (text[i] * 2 + held[text[i]]).astype(np.uint32)
                     rows.append((RESTAURANT, p, base, len(j), len(i), packed(ctx[j]), packed(tokens[j]), packed(many), packed(body)))
                 yield messages(rows)
                 base += size
@@ -481,7 +488,7 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
                 out.append((HEADER, 0, r["key"], r["n"], 0, r["a"], r["b"], r["c"], None))
                 continue
             ctx, word, many = unpacked(r["a"], U64, r["n"]), unpacked(r["b"], U64, r["n"]), unpacked(r["c"], np.uint32, r["n"])
-            body = unpacked(r["d"], np.uint32, 2 * r["m"]).reshape(2, -1).astype(np.int64)
+            body = unpacked(r["d"], np.uint32, r["m"]).astype(np.int64)
             at, there = among(words, word)
             pw = np.where(there, p[:, at], scorer.rest[:, None]) if len(words) else np.repeat(scorer.rest[:, None], len(word), 1)
             cw = np.where(there, c_word[at], 0) if len(words) else np.zeros(len(word), np.int64)
@@ -492,14 +499,15 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
             c = np.where(there, c_pair[at], 0) if len(key) else np.zeros(len(ctx), np.int64)
             ts = np.where(there, t[:, at], 0) if len(key) else np.zeros((n_samples, len(ctx)), np.int64)
             # a pair of a text in training has a customer; one that is not kept has no other
-            train = np.log10(scorer.probability(np.maximum(c, 1), np.maximum(ts, 1), tables, guests, pw)) if (body[0] % 2 == 0).any() else np.zeros(len(ctx))
+            train = np.log10(scorer.probability(np.maximum(c, 1), np.maximum(ts, 1), tables, guests, pw)) if (body % 2 == 0).any() else np.zeros(len(ctx))
             held = np.log10(scorer.probability(c, ts, tables, guests, pw))
             of = np.repeat(np.arange(len(ctx)), many)
-            text, n = body[0] // 2, body[1]
-            got = np.where(body[0] % 2 == 1, held[of], train[of]) * n
-            names, which = np.unique(text, return_inverse=True)
-            sums = np.stack([np.bincount(which, got), np.bincount(which, scorer.base(cw)[of] * n)])
-            out.append((RESTAURANT, 0, r["key"], len(names), 0, packed(names.astype(np.uint32)), packed(sums), packed(np.bincount(which, (cw > 0)[of] * n).astype(np.uint32)), None))
+            got, base = np.where(body % 2 == 1, held[of], train[of]), scorer.base(cw)[of]
+            size = int(body.max()) // 2 + 1
+            names = np.flatnonzero(np.bincount(body // 2, minlength=size))
+            both = np.stack([np.bincount(body // 2, x, size)[names] for x in (got, base)])
+            seen = np.bincount(body // 2, (cw > 0)[of], size)[names]
+            out.append((RESTAURANT, 0, r["key"], len(names), 0, packed(names.astype(np.uint32)), packed(both), packed(seen.astype(np.uint32)), None))
         give_back()
         return pa.Table.from_batches([messages(out)])
 
@@ -510,9 +518,9 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
         count, known, held, null, ids = unpacked(head["a"], np.int64, 5 * size).reshape(5, -1)
         known, score, flat = known.copy(), unpacked(head["b"], float, size).copy(), unpacked(head["c"], float, size).copy()
         for r in sorted((r for r in rows if r["kind"] != HEADER), key=lambda r: r["b"]):  # sums of one order
-            at, sums = unpacked(r["a"], np.uint32, r["n"]), unpacked(r["b"], float, 2 * r["n"]).reshape(2, -1)
-            score[at] += sums[0]
-            flat[at] += sums[1]
+            at, both = unpacked(r["a"], np.uint32, r["n"]), unpacked(r["b"], float, 2 * r["n"]).reshape(2, -1)
+            score[at] += both[0]
+            flat[at] += both[1]
             known[at] += unpacked(r["c"], np.uint32, r["n"])
         return pa.table({"id": pa.array(ids, mask=null.astype(bool)), "held": pa.array(held.astype(bool)), "n_tokens": count, "n_known": known, "base_score": flat, "score": score})
 
@@ -521,7 +529,7 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
     right = restaurants.where(F.col("kind").isin(RESTAURANT, CONTEXTS)).select(*fields, *blank)
     for s in seatings:
         right = right.unionByName(s.select(*fields, *blank))
-    answers = said.select("part", F.col("key").alias("w")).join(model, "w")
+    answers = said.select("part", F.col("key").alias("w")).join(model.hint("shuffle_hash"), "w")
     none = {x: F.lit(None).cast("binary").alias(x) for x in "abcd"}
     right = right.unionByName(answers.select(F.lit(DISH).alias("kind"), "part", F.col("w").alias("key"), F.col("c").alias("n"), F.lit(0).cast("long").alias("m"), *none.values(), *(F.col(f"p{i}") for i in range(n_samples))))
     left = texts.mapInArrow(occurrences, _MESSAGE)
