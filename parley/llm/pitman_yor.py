@@ -34,6 +34,8 @@ END = mix(np.full(1, 0xE0D, U64))[0]
 TAKEN = 1 << 22
 #: Tokens in one part, about, and the least share of all tokens that a context or pair needs to be dealt otherwise.
 PART_TOKENS, SHARES = 2_000_000, 100_000
+#: Words that are written by number.
+COMMON = (1 << 16) - 1
 BURN_IN, SAMPLES = 1, 3
 STRENGTH = 1.0
 #: Customers of a dish up to which the number of tables is drawn exactly.
@@ -50,6 +52,27 @@ def unpacked(x: bytes | None, kind: type, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
+class Code:
+    """Hashes of words as bytes: the COMMON most frequent words take two each, before compression, others eight more."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = common  # sorted
+
+    def packed(self, x: np.ndarray) -> bytes:
+        at, there = among(self.common, x)
+        body = np.where(there, at + 1, 0).astype(np.uint16).tobytes() + np.ascontiguousarray(x[~there]).tobytes()
+        return len(body).to_bytes(4, "little") + pa.compress(body, "zstd", asbytes=True)
+
+    def unpacked(self, b: bytes, n: int) -> np.ndarray:
+        if not n:
+            return np.zeros(0, U64)
+        body = pa.decompress(b[4:], int.from_bytes(b[:4], "little"), "zstd", asbytes=True)
+        code = np.frombuffer(body, np.uint16, n).astype(np.int64)
+        out = self.common[np.maximum(code - 1, 0)] if len(self.common) else np.zeros(n, U64)
+        out[code == 0] = np.frombuffer(body, U64, offset=2 * n)
+        return out
+
+
 def pair_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(ctx * PLACE[0] + word * PLACE[1])
 
@@ -165,8 +188,8 @@ def count_words(texts: DataFrame) -> DataFrame:
 class Deal:
     """Where pairs go: the number of parts, and the contexts (sorted) whose pairs are dealt by themselves, with their customers."""
 
-    def __init__(self, parts: int, hot: np.ndarray, customers: np.ndarray, least: int):
-        self.parts, self.hot, self.customers, self.least = parts, hot, customers, least
+    def __init__(self, parts: int, hot: np.ndarray, customers: np.ndarray, least: int, code: Code):
+        self.parts, self.hot, self.customers, self.least, self.code = parts, hot, customers, least, code
 
     def is_hot(self, ctx: np.ndarray) -> np.ndarray:
         return among(self.hot, ctx)[1]
@@ -204,11 +227,11 @@ def build(texts: DataFrame, deal: Deal) -> DataFrame:
                 at = order[first]
                 n, c = np.diff(first, append=len(order)).astype(np.uint32), sums((~held[lo + text]).astype(np.uint32), order, first).astype(np.uint32)
                 ctx, word, key = ctx[at], tokens[at], key[at]
-                yield messages([(RESTAURANT, p, len(x), 0, 0, packed(ctx[x]), packed(word[x]), packed(n[x]), packed(c[x])) for p, x in deal.dealt(ctx, key, np.arange(len(at)))])
+                yield messages([(RESTAURANT, p, len(x), 0, 0, deal.code.packed(ctx[x]), deal.code.packed(word[x]), packed(n[x]), packed(c[x])) for p, x in deal.dealt(ctx, key, np.arange(len(at)))])
             give_back()
 
     def merge(group: pa.Table) -> pa.Table:
-        rows = [(*(unpacked(r[x], k, r["key"]) for x, k in (("a", U64), ("b", U64), ("c", np.uint32), ("d", np.uint32))),) for r in group.select(["key", "a", "b", "c", "d"]).to_pylist()]
+        rows = [(*(deal.code.unpacked(r[x], r["key"]) for x in "ab"), *(unpacked(r[x], np.uint32, r["key"]) for x in "cd")) for r in group.select(["key", *"abcd"]).to_pylist()]
         part = group.column("part")[0].as_py()
         ctx, word, n, c = (np.concatenate(x) for x in zip(*rows, strict=True))
         order, first = grouped(pair_key(ctx, word))
@@ -221,7 +244,7 @@ def build(texts: DataFrame, deal: Deal) -> DataFrame:
         kept = order[keep[order]]  # by context
         order, first = grouped(word)
         words, alone, together = word[order[first]], sums(single.astype(np.int64), order, first), sums(keep.astype(np.int64), order, first)
-        out = [messages([(RESTAURANT, part, int(keep.sum()), 0, 0, packed(ctx[kept]), packed(word[kept]), packed(c[kept].astype(np.uint32))), (CONTEXTS, part, len(names), 0, 0, packed(names), packed(singles), packed(guests)), (COUNTS, part, 0, int((c == 1).sum()), int((c == 2).sum()))])]
+        out = [messages([(RESTAURANT, part, int(keep.sum()), 0, 0, deal.code.packed(ctx[kept]), deal.code.packed(word[kept]), packed(c[kept].astype(np.uint32))), (CONTEXTS, part, len(names), 0, 0, deal.code.packed(names), packed(singles), packed(guests)), (COUNTS, part, 0, int((c == 1).sum()), int((c == 2).sum()))])]
         out.append(dishes(DISH, part, words, alone, together))
         hot = np.flatnonzero(n > deal.least)
         out.append(messages([(HOT_PAIR, part, int(np.int64(ctx[i].view(np.int64))), int(c[i]), int(word[i].view(np.int64))) for i in hot]))
@@ -237,7 +260,7 @@ def build(texts: DataFrame, deal: Deal) -> DataFrame:
 class Part:
     """The restaurants of a part: kept pairs (sorted by context), all contexts, and the tables of each kept pair."""
 
-    def __init__(self, group: pa.Table):
+    def __init__(self, group: pa.Table, code: Code):
         rows = group.filter(pc.is_in(group.column("kind"), pa.array([RESTAURANT, CONTEXTS, SEATING], pa.int32()))).to_pylist()
         self.ctx = self.word = self.names = np.zeros(0, U64)
         self.c = self.singles = self.customers = np.zeros(0, np.int64)
@@ -245,9 +268,9 @@ class Part:
         for r in rows:
             n = r["key"]
             if r["kind"] == RESTAURANT:
-                self.ctx, self.word, self.c = unpacked(r["a"], U64, n), unpacked(r["b"], U64, n), unpacked(r["c"], np.uint32, n).astype(np.int64)
+                self.ctx, self.word, self.c = code.unpacked(r["a"], n), code.unpacked(r["b"], n), unpacked(r["c"], np.uint32, n).astype(np.int64)
             elif r["kind"] == CONTEXTS:
-                self.names, self.singles, self.customers = unpacked(r["a"], U64, n), unpacked(r["b"], np.uint32, n).astype(np.int64), unpacked(r["c"], np.int64, n)
+                self.names, self.singles, self.customers = code.unpacked(r["a"], n), unpacked(r["b"], np.uint32, n).astype(np.int64), unpacked(r["c"], np.int64, n)
             else:
                 self.t[r["m"]] = unpacked(r["a"], np.uint32, n).astype(np.int64)
         self.own = np.searchsorted(self.names, self.ctx)
@@ -267,7 +290,7 @@ def sweep(restaurants: DataFrame, seatings: DataFrame | None, parent: DataFrame,
     def seat(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([messages([])])
-        x, part = Part(left), left.column("part")[0].as_py()
+        x, part = Part(left, deal.code), left.column("part")[0].as_py()
         words, p = right.column("w").to_numpy().view(U64), right.column("p").to_numpy()
         order = np.argsort(words)
         words, p = words[order], p[order]
@@ -349,7 +372,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     # at most 2 * parts and at most shares of them
     frequent = {r["w"]: r["c"] for r in words.where(F.col("n") > least).select("w", "c").collect()}
     hot = np.sort(np.array(list(frequent), np.int64).view(U64))
-    deal = Deal(parts, hot, np.array([frequent[int(x)] for x in hot.view(np.int64)], np.int64), least)
+    common = np.sort(np.array([r["w"] for r in words.orderBy(F.desc("n"), "w").limit(COMMON).select("w").collect()], np.int64).view(U64))
+    deal = Deal(parts, hot, np.array([frequent[int(x)] for x in hot.view(np.int64)], np.int64), least, Code(common))
     restaurants = build(texts, deal)
     few = restaurants.where(F.col("kind") == COUNTS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("a"), F.coalesce(F.sum("m"), F.lit(0)).alias("b")).first()
     d = discount(few["a"], few["b"])
@@ -368,18 +392,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     singles = restaurants.where(F.col("kind") == HOT_TABLES)
     # at first each pair has one table
     hot_tables = _numbers(singles, "key", "n", hot) + _hot_kept(restaurants, deal)
-    kept, old = [], None
+    kept = []
     for number in range(1, burn_in + samples + 1):
         got = sweep(restaurants, seated, parent.frame, deal, hot_tables, hot_key, number, d, strength)
-        seated = got.where(F.col("kind") == SEATING)
+        if seated is not None and number - 1 <= burn_in:
+            drop_table(seated)
+        seated = materialise(got.where(F.col("kind") == SEATING), f"lm-seating-{number}")
         hot_tables = _numbers(got.where(F.col("kind") == HOT_TABLES), "key", "n", hot)
         customers = got.where(F.col("kind") == DISH).select(F.col("key").alias("w"), F.col("n").alias("c")).unionByName(steady)
-        parent = Parent(customers, alone, parent, number, vocabulary, strength)
+        before, parent = parent, Parent(customers, alone, parent, number, vocabulary, strength)
         if number > burn_in:
-            kept.append((number, got, parent, hot_tables, _numbers(got.where(F.col("kind") == HOT_PAIR), "key", "n", hot_key)))
-        elif old is not None:
-            drop_table(old)
-        old = got if number <= burn_in else None
+            kept.append((number, seated, parent, hot_tables, _numbers(got.where(F.col("kind") == HOT_PAIR), "key", "n", hot_key)))
+        if number - 1 <= burn_in:
+            drop_table(before.made)
+        drop_table(got)
 
     model = words.where("c > 0").select("w", "c", *(F.lit(None).cast("double").alias(f"p{i}") for i in range(len(kept))))
     for i, (_, _, p, _, _) in enumerate(kept):
@@ -400,7 +426,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     train = scorer.probability(np.maximum(hot_c, 1), np.where(hot_c > 1, hot_t, 1), at_hot[:, at], deal.customers[at], p) if len(hot_key) else np.zeros(0)
     held = scorer.probability(hot_c, np.where(hot_c > 1, hot_t, np.minimum(hot_c, 1)), at_hot[:, at], deal.customers[at], p) if len(hot_key) else np.zeros(0)
     by_hand = (hot_key, np.log10(train), np.log10(held), scorer.base(c_word), c_word > 0)
-    out = _scored(texts, restaurants, [x.where(F.col("kind") == SEATING) for _, x, *_ in kept], said, model, deal, scorer, by_hand)
+    out = _scored(texts, restaurants, [x for _, x, *_ in kept], said, model, deal, scorer, by_hand)
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -412,7 +438,7 @@ def _hot_kept(restaurants: DataFrame, deal: Deal) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, a in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ctx = unpacked(a.as_py(), U64, n)
+                ctx = deal.code.unpacked(a.as_py(), n)
                 at, there = among(deal.hot, ctx)
                 yield pa.RecordBatch.from_arrays([pa.array(deal.hot.view(np.int64)), pa.array(np.bincount(at[there], minlength=len(deal.hot)))], names=["key", "n"])
 
@@ -461,13 +487,13 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
                     j = i[first]
                     many = np.diff(first, append=len(i)).astype(np.uint32)
                     body = (text[i] * 2 + held[text[i]]).astype(np.uint32)
-                    rows.append((RESTAURANT, p, base, len(j), len(i), packed(ctx[j]), packed(tokens[j]), packed(many), packed(body)))
+                    rows.append((RESTAURANT, p, base, len(j), len(i), deal.code.packed(ctx[j]), deal.code.packed(tokens[j]), packed(many), packed(body)))
                 yield messages(rows)
                 base += size
             give_back()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = Part(right)
+        x = Part(right, deal.code)
         answer = right.filter(pc.equal(right.column("kind"), DISH))
         words, c_word = answer.column("key").to_numpy().view(U64), answer.column("n").to_numpy()
         p = np.stack([answer.column(f"p{i}").to_numpy() for i in range(n_samples)])
@@ -487,7 +513,7 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
             if r["kind"] == HEADER:
                 out.append((HEADER, 0, r["key"], r["n"], 0, r["a"], r["b"], r["c"], None))
                 continue
-            ctx, word, many = unpacked(r["a"], U64, r["n"]), unpacked(r["b"], U64, r["n"]), unpacked(r["c"], np.uint32, r["n"])
+            ctx, word, many = deal.code.unpacked(r["a"], r["n"]), deal.code.unpacked(r["b"], r["n"]), unpacked(r["c"], np.uint32, r["n"])
             body = unpacked(r["d"], np.uint32, r["m"]).astype(np.int64)
             at, there = among(words, word)
             pw = np.where(there, p[:, at], scorer.rest[:, None]) if len(words) else np.repeat(scorer.rest[:, None], len(word), 1)
