@@ -34,8 +34,10 @@ END = mix(np.full(1, 0xE0D, U64))[0]
 TAKEN = 1 << 22
 #: Tokens in one part, about, and the least share of all tokens that a context or pair needs to be dealt otherwise.
 PART_TOKENS, SHARES = 2_000_000, 100_000
-#: Words that are written by number.
-COMMON = (1 << 16) - 1
+#: Words among which those are that are written as slots, and pairs that are scored together.
+COMMON, TOGETHER = 1 << 16, 100_000
+#: Sums of scores are moved as multiples of this.
+UNIT = 2.0**-32
 BURN_IN, SAMPLES = 1, 3
 STRENGTH = 1.0
 #: Customers of a dish up to which the number of tables is drawn exactly.
@@ -53,23 +55,28 @@ def unpacked(x: bytes | None, kind: type, n: int) -> np.ndarray:
 
 
 class Code:
-    """Hashes of words as bytes: the COMMON most frequent words take two each, before compression, others eight more."""
+    """Hashes of words as bytes: frequent words as a slot of 16 bits, before compression, others as their 64. A slot has the most frequent of the words whose hash
+    begins with it."""
 
     def __init__(self, common: np.ndarray):
-        self.common = common  # sorted
+        """common: hashes, the most frequent first."""
+        self.slots = np.zeros(1 << 16, U64)
+        self.slots[(common[::-1] >> U64(48)).astype(np.int64)] = common[::-1]
+        self.slots[0] = 0  # stands for the others
 
     def packed(self, x: np.ndarray) -> bytes:
-        at, there = among(self.common, x)
-        body = np.where(there, at + 1, 0).astype(np.uint16).tobytes() + np.ascontiguousarray(x[~there]).tobytes()
+        slot = (x >> U64(48)).astype(np.uint16)
+        there = (self.slots[slot] == x) & (slot > 0)
+        body = np.where(there, slot, 0).astype(np.uint16).tobytes() + x[~there].tobytes()
         return len(body).to_bytes(4, "little") + pa.compress(body, "zstd", asbytes=True)
 
     def unpacked(self, b: bytes, n: int) -> np.ndarray:
         if not n:
             return np.zeros(0, U64)
         body = pa.decompress(b[4:], int.from_bytes(b[:4], "little"), "zstd", asbytes=True)
-        code = np.frombuffer(body, np.uint16, n).astype(np.int64)
-        out = self.common[np.maximum(code - 1, 0)] if len(self.common) else np.zeros(n, U64)
-        out[code == 0] = np.frombuffer(body, U64, offset=2 * n)
+        slot = np.frombuffer(body, np.uint16, n)
+        out = self.slots[slot]
+        out[slot == 0] = np.frombuffer(body, U64, offset=2 * n)
         return out
 
 
@@ -372,7 +379,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     # at most 2 * parts and at most shares of them
     frequent = {r["w"]: r["c"] for r in words.where(F.col("n") > least).select("w", "c").collect()}
     hot = np.sort(np.array(list(frequent), np.int64).view(U64))
-    common = np.sort(np.array([r["w"] for r in words.orderBy(F.desc("n"), "w").limit(COMMON).select("w").collect()], np.int64).view(U64))
+    common = np.array([r["w"] for r in words.orderBy(F.desc("n"), "w").limit(COMMON).select("w").collect()], np.int64).view(U64)
     deal = Deal(parts, hot, np.array([frequent[int(x)] for x in hot.view(np.int64)], np.int64), least, Code(common))
     restaurants = build(texts, deal)
     few = restaurants.where(F.col("kind") == COUNTS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("a"), F.coalesce(F.sum("m"), F.lit(0)).alias("b")).first()
@@ -507,36 +514,55 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
         key = pair_key(x.ctx, x.word)
         order = np.argsort(key)
         key, c_pair, t = key[order], x.c[order], t[:, order]
-        out = []
+        out, held_rows, size = [], [], 0
         for i in range(left.num_rows):
             r = {k: left.column(k)[i].as_py() for k in ("kind", "key", "n", "m", "a", "b", "c", "d")}
             if r["kind"] == HEADER:
                 out.append((HEADER, 0, r["key"], r["n"], 0, r["a"], r["b"], r["c"], None))
-                continue
-            ctx, word, many = deal.code.unpacked(r["a"], r["n"]), deal.code.unpacked(r["b"], r["n"]), unpacked(r["c"], np.uint32, r["n"])
-            body = unpacked(r["d"], np.uint32, r["m"]).astype(np.int64)
-            at, there = among(words, word)
-            pw = np.where(there, p[:, at], scorer.rest[:, None]) if len(words) else np.repeat(scorer.rest[:, None], len(word), 1)
-            cw = np.where(there, c_word[at], 0) if len(words) else np.zeros(len(word), np.int64)
-            at, there = among(x.names, ctx)
-            tables = np.where(there, total[:, at], 0) if len(x.names) else np.zeros((n_samples, len(ctx)))
-            guests = np.where(there, customers[at], 0) if len(x.names) else np.zeros(len(ctx))
-            at, there = among(key, pair_key(ctx, word))
-            c = np.where(there, c_pair[at], 0) if len(key) else np.zeros(len(ctx), np.int64)
-            ts = np.where(there, t[:, at], 0) if len(key) else np.zeros((n_samples, len(ctx)), np.int64)
-            # a pair of a text in training has a customer; one that is not kept has no other
-            train = np.log10(scorer.probability(np.maximum(c, 1), np.maximum(ts, 1), tables, guests, pw)) if (body % 2 == 0).any() else np.zeros(len(ctx))
-            held = np.log10(scorer.probability(c, ts, tables, guests, pw))
-            of = np.repeat(np.arange(len(ctx)), many)
-            got, base = np.where(body % 2 == 1, held[of], train[of]), scorer.base(cw)[of]
-            size = int(body.max()) // 2 + 1
-            names = np.flatnonzero(np.bincount(body // 2, minlength=size))
-            both = np.stack([np.bincount(body // 2, x, size)[names] for x in (got, base)])
-            seen = np.bincount(body // 2, (cw > 0)[of], size)[names]
-            out.append((RESTAURANT, 0, r["key"], len(names), 0, packed(names.astype(np.uint32)), packed(both), packed(seen.astype(np.uint32)), None))
+            else:
+                held_rows.append(r)
+                size += r["n"]
+            if held_rows and (size >= TOGETHER or i == left.num_rows - 1):
+                out += score_rows(held_rows, x, words, c_word, p, key, c_pair, t, total, customers)
+                held_rows, size = [], 0
+        if held_rows:
+            out += score_rows(held_rows, x, words, c_word, p, key, c_pair, t, total, customers)
         give_back()
         return pa.Table.from_batches([messages(out)])
 
+    def score_rows(rows: list[dict], x: Part, words, c_word, p, key, c_pair, t, total, customers) -> list[tuple]:
+        """The sums of some rows' texts, a row each."""
+        parts = [(deal.code.unpacked(r["a"], r["n"]), deal.code.unpacked(r["b"], r["n"]), unpacked(r["c"], np.uint32, r["n"]), unpacked(r["d"], np.uint32, r["m"])) for r in rows]
+        ctx, word, many, body = (np.concatenate(v) for v in zip(*parts, strict=True))
+        sizes = [int(b.max()) // 2 + 1 for *_, b in parts]  # texts, as far as they occur
+        first = np.cumsum([0, *sizes])
+        text = body.astype(np.int64) // 2 + np.repeat(first[:-1], [len(b) for *_, b in parts])
+        is_held = body % 2 == 1
+        at, there = among(words, word)
+        pw = np.where(there, p[:, at], scorer.rest[:, None]) if len(words) else np.repeat(scorer.rest[:, None], len(word), 1)
+        cw = np.where(there, c_word[at], 0) if len(words) else np.zeros(len(word), np.int64)
+        at, there = among(x.names, ctx)
+        tables = np.where(there, total[:, at], 0) if len(x.names) else np.zeros((n_samples, len(ctx)))
+        guests = np.where(there, customers[at], 0) if len(x.names) else np.zeros(len(ctx))
+        at, there = among(key, pair_key(ctx, word))
+        c = np.where(there, c_pair[at], 0) if len(key) else np.zeros(len(ctx), np.int64)
+        ts = np.where(there, t[:, at], 0) if len(key) else np.zeros((n_samples, len(ctx)), np.int64)
+        of = np.repeat(np.arange(len(ctx)), many)
+        # a pair of a text in training has a customer; one that is not kept has no other
+        train = np.log10(scorer.probability(np.maximum(c, 1), np.maximum(ts, 1), tables, guests, pw)) if not is_held.all() else np.zeros(len(ctx))
+        held = np.zeros(len(ctx))
+        new = np.flatnonzero(np.bincount(of[is_held], minlength=len(ctx)))
+        held[new] = np.log10(scorer.probability(c[new], ts[:, new], tables[:, new], guests[new], pw[:, new]))
+        got = np.where(is_held, held[of], train[of])
+        n, score = np.bincount(text, minlength=first[-1]), np.bincount(text, got, first[-1])
+        flat, seen = np.bincount(text, scorer.base(cw)[of], first[-1]), np.bincount(text, (cw > 0)[of], first[-1])
+        out = []
+        for r, lo, hi in zip(rows, first[:-1], first[1:], strict=True):
+            names = np.flatnonzero(n[lo:hi])
+            both = np.round(np.stack([score[lo:hi][names], flat[lo:hi][names]]) / UNIT).astype(np.int64)
+            out.append((RESTAURANT, 0, r["key"], len(names), 0, packed(names.astype(np.uint32)), packed(both), packed(seen[lo:hi][names].astype(np.uint32)), None))
+        return out
+
     def total(group: pa.Table) -> pa.Table:
         rows = group.select(["kind", "n", "a", "b", "c"]).to_pylist()
         head = next(r for r in rows if r["kind"] == HEADER)
@@ -544,7 +570,7 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
         count, known, held, null, ids = unpacked(head["a"], np.int64, 5 * size).reshape(5, -1)
         known, score, flat = known.copy(), unpacked(head["b"], float, size).copy(), unpacked(head["c"], float, size).copy()
         for r in sorted((r for r in rows if r["kind"] != HEADER), key=lambda r: r["b"]):  # sums of one order
-            at, both = unpacked(r["a"], np.uint32, r["n"]), unpacked(r["b"], float, 2 * r["n"]).reshape(2, -1)
+            at, both = unpacked(r["a"], np.uint32, r["n"]), unpacked(r["b"], np.int64, 2 * r["n"]).reshape(2, -1) * UNIT
             score[at] += both[0]
             flat[at] += both[1]
             known[at] += unpacked(r["c"], np.uint32, r["n"])
