@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+import re._parser as pattern_parser
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators.numbering import numbered
+
 
 def active(rules: DataFrame, scope: str = "global") -> DataFrame:
     """Rules that are enabled and hold for the scope or everywhere."""
@@ -16,10 +21,10 @@ def active(rules: DataFrame, scope: str = "global") -> DataFrame:
 
 
 def rule_list(rules: DataFrame, scope: str = "global", most: int = 10_000) -> list[tuple[str, str]]:
-    """(pattern, replacement) in order of id. Rules are kept by hand: more than most are refused, as each is a step of one expression."""
+    """(pattern, replacement) in order of id, for replace_all: each is a step of one expression, so more than most are refused here; corrected() takes any number."""
     rows = active(rules, scope).where("pattern is not null and pattern <> ''").orderBy("id").select("pattern", F.coalesce("replacement", "term").alias("r")).limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} rules")
+        raise ValueError(f"more than {most} rules for one expression: take corrected()")
     return [(r["pattern"], r["r"]) for r in rows]
 
 
@@ -51,6 +56,97 @@ def replace_all(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
+def needed_text(pattern: str) -> str:
+    """A text that is in whatever the pattern matches, the longest that its top level shows; '' where there is none to be seen."""
+    try:
+        parsed = pattern_parser.parse(pattern)
+    except re.error:
+        return ""
+    if parsed.state.flags & re.IGNORECASE:
+        return ""
+    runs = [""]
+    for op, arg in parsed:
+        if op is pattern_parser.LITERAL:
+            runs[-1] += chr(arg)
+        elif op is not pattern_parser.AT:  # an anchor stands between letters and takes none
+            runs.append("")
+    return max(runs, key=len)
+
+
+class Rules:
+    """Rules (pattern, replacement) in their order, as Python's re understands them, and an automaton over the texts they need: one pass over a text tells which can fire."""
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        import ahocorasick
+
+        self.rules: list[tuple[re.Pattern, str]] = []
+        self.always, need = [], {}
+        for pattern, to in rules:
+            try:
+                found = re.compile(pattern)
+            except re.error:
+                continue
+            text, k = needed_text(pattern), len(self.rules)
+            self.rules.append((found, to))
+            if text:
+                need.setdefault(text, []).append(k)
+            else:
+                self.always.append(k)
+        self.automaton = ahocorasick.Automaton()
+        for text, which in need.items():
+            self.automaton.add_word(text, which)
+        if need:
+            self.automaton.make_automaton()
+        self.any = bool(need)
+
+    def _able(self, text: str, after: int) -> list[int]:
+        found = {k for k in self.always if k > after}
+        if self.any:
+            for _, which in self.automaton.iter(text):
+                found.update(k for k in which if k > after)
+        return sorted(found, reverse=True)
+
+    def apply(self, text: str | None) -> str | None:
+        """The rules one after another. A rule that changes the text may let later ones fire, so what can fire is looked up anew."""
+        if text is None:
+            return None
+        able = self._able(text, -1)
+        while able:
+            k = able.pop()
+            pattern, to = self.rules[k]
+            try:
+                new = pattern.sub(to, text)
+            except (re.error, IndexError):  # a replacement that names a group the pattern lacks
+                continue
+            if new != text:
+                text, able = new, self._able(new, k)
+        return text
+
+
+def corrected(rows: DataFrame, column: str, rules: DataFrame, scope: str = "global", block: int = 50_000) -> DataFrame:
+    """rows with all active rules applied to the text column, in order of id, however many there are. A null text stays null; rules that are no
+    regular expressions are skipped.
+
+    Rules are sent to the tasks in blocks of at most block, which follow one another; on a row only those run whose needed text it holds.
+    """
+    wanted = numbered(active(rules, scope).where("pattern is not null and pattern <> ''").select("id", "pattern", F.coalesce(F.when(F.col("replacement") != "", F.col("replacement")), "term").alias("to")), ["id"], "k")
+    spark, at = rows.sparkSession, rows.columns.index(column)
+
+    def step(rows: DataFrame, sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Rules(sent.value)
+            for batch in batches:
+                new = pa.array([own.apply(x) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)
+                yield batch.set_column(at, batch.schema.field(at), new)
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for k in range(-(-wanted.count() // block)):
+        part = wanted.where((F.col("k") > k * block) & (F.col("k") <= (k + 1) * block)).orderBy("k").select("pattern", "to").collect()  # at most block
+        rows = step(rows, spark.sparkContext.broadcast([(r["pattern"], r["to"] or "") for r in part]))
+    return rows
+
+
 def inline_rules(raw: str) -> list[tuple[str, str]]:
     """'wrong=>right;...' as literal rules; parts without an arrow or a left side are skipped."""
     parts = (p.partition("=>") for p in raw.replace("\n", ";").split(";"))
@@ -77,16 +173,18 @@ def safe_correction(original: Column, corrected: Column) -> Column:
     return F.when((new == "") | (F.length(new) > F.greatest(F.length(original) * 2 + 20, F.lit(40))), original).otherwise(new)
 
 
-def upsert_terms(rules: DataFrame, new: DataFrame) -> DataFrame:
-    """rules with the rows of new (term, pattern, replacement, scope, notes) put in: a rule of the same term, scope and pattern (nulls alike) is
-    replaced and enabled again; others get ids after the highest."""
-    key = lambda p: F.concat_ws("\x1f", F.col(f"{p}.term"), F.coalesce(f"{p}.scope", F.lit("global")), F.coalesce(f"{p}.pattern", F.lit("")))
-    latest = new.dropDuplicates(["term", "scope", "pattern"]).alias("n")
-    both = rules.alias("o").join(latest, key("o") == key("n"), "full_outer")
-    kept = both.where("o.id is not null").select("o.id", *(F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in ("term", "pattern")), F.when(F.col("n.term").isNotNull(), F.col("n.replacement")).otherwise(F.col("o.replacement")).alias("replacement"), F.coalesce("n.scope", "o.scope").alias("scope"), F.when(F.col("n.term").isNotNull(), F.lit(True)).otherwise(F.col("o.enabled")).alias("enabled"))
-    from pyspark.sql import Window as W
-
+def upsert_terms(rules: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """rules with the rows of new (term, pattern, replacement, scope, notes) put in: a rule of the same term, scope and pattern is replaced and enabled
+    again and keeps its id; others get ids after the highest. A null scope is the global one, a null pattern an empty one. Of several new rows of one key the last
+    by the column order counts, without it the greatest by replacement."""
+    scope, pattern = F.coalesce("scope", F.lit("global")), F.coalesce("pattern", F.lit(""))
+    what = F.struct(*([F.col(order).alias("o")] if order else []), F.coalesce("replacement", F.lit("")).alias("r"), "replacement", "pattern")
+    latest = new.select(F.col("term").alias("n_term"), scope.alias("n_scope"), pattern.alias("n_key"), what.alias("x")).groupBy("n_term", "n_scope", "n_key").agg(F.max("x").alias("x"))
+    known = rules.withColumns({"__scope": scope, "__pattern": pattern})
+    both = known.join(latest, F.col("term").eqNullSafe(F.col("n_term")) & (F.col("__scope") == F.col("n_scope")) & (F.col("__pattern") == F.col("n_key")), "full_outer")
+    hit = F.col("x").isNotNull()
+    old = both.where("id is not null").select("id", "term", "pattern", F.when(hit, F.col("x.replacement")).otherwise(F.col("replacement")).alias("replacement"), "scope", F.when(hit, F.lit(True)).otherwise(F.col("enabled")).alias("enabled"))
+    added = both.where("id is null").select(F.col("n_term").alias("term"), F.col("x.pattern").alias("pattern"), F.col("x.replacement").alias("replacement"), F.col("n_scope").alias("scope"))
     top = rules.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    added = both.where("o.id is null").select("n.term", "n.pattern", "n.replacement", F.coalesce("n.scope", F.lit("global")).alias("scope"))
-    added = added.withColumn("k", F.row_number().over(W.orderBy("term", "scope", "pattern"))).crossJoin(F.broadcast(top))
-    return kept.unionByName(added.select((F.col("top") + F.col("k")).cast("long").alias("id"), "term", "pattern", "replacement", "scope", F.lit(True).alias("enabled")))
+    added = numbered(added, ["term", "scope", "pattern"], "k").crossJoin(F.broadcast(top))  # one row: the highest id
+    return old.unionByName(added.select((F.col("top") + F.col("k")).cast("long").alias("id"), "term", "pattern", "replacement", "scope", F.lit(True).alias("enabled")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.operators.numbering import numbered
+
 
 def update(rows: DataFrame, where: Column, **values: Column) -> tuple[DataFrame, DataFrame]:
     """rows with the columns in values set where the condition holds; and one row: changed, how many rows that are."""
@@ -41,9 +43,8 @@ def new_meetings(segments: DataFrame, meetings: DataFrame, now: Column | None =
     """
     top = meetings.agg(F.coalesce(F.max("meeting_id"), F.lit(0)).alias("top"))
     files = segments.groupBy("source_file").agg(F.countDistinct("speaker").alias("speaker_count"), (F.max("end_ms") / 1000).alias("duration_sec"))
-    # one row a file stands in this window
-    numbered = files.withColumn("k", F.row_number().over(W.orderBy("source_file"))).crossJoin(F.broadcast(top))
-    m = numbered.select((F.col("top") + F.col("k")).cast("long").alias("meeting_id"), F.uuid().alias("uuid"), (now if now is not None else F.current_timestamp()).alias("created_at"), "source_file", "duration_sec", "speaker_count", F.lit("pending").alias("sync_status"))
+    ids = numbered(files, ["source_file"], "k").crossJoin(F.broadcast(top))  # one row: the highest id
+    m = ids.select((F.col("top") + F.col("k")).cast("long").alias("meeting_id"), F.uuid().alias("uuid"), (now if now is not None else F.current_timestamp()).alias("created_at"), "source_file", "duration_sec", "speaker_count", F.lit("pending").alias("sync_status"))
     seq = F.row_number().over(W.partitionBy("source_file").orderBy("place")) - 1
     u = segments.join(m.select("source_file", "meeting_id"), "source_file").select("meeting_id", seq.cast("long").alias("seq"), F.uuid().alias("uuid"), "speaker", "start_ms", "end_ms", "text", F.lit("pending").alias("sync_status"))
     return m, u

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from parley.operators.numbering import kept
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,35 +34,122 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
-def centroids(vectors: DataFrame, key: list[str], column: str = "embedding") -> DataFrame:
-    """Per key: n, and the mean vector scaled to length 1. Sums are partial before the shuffle."""
-    e = vectors.select(*key, F.posexplode(column).alias("i", "x"))
-    means = e.groupBy(*key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    by = means.groupBy(*key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
-    return by.select(*key, "n", unit(F.col("v")).alias("centroid"))
-
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """A column of arrays of one length as a matrix; null arrays and elements are zeros."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    if not len(vectors):
+        return np.zeros((0, 0))
+    sizes = np.diff(vectors.offsets.to_numpy()) if not vectors.null_count else np.array([len(x) if x.is_valid else 0 for x in vectors])
+    width = int(sizes.max())
+    if set(sizes.tolist()) - {0, width}:
+        raise ValueError("vectors of different lengths")
+    out = np.zeros((len(vectors), width))
+    out[sizes > 0] = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width) if width else 0
+    return np.nan_to_num(out, copy=False)
 
-#: Reference vectors in one block. Each block goes to every task, and a vector carries its best from block to block.
-REFERENCES = 10_000
 
-
-def match(vectors: DataFrame, references: DataFrame, threshold: float | None = None, column: str = "embedding", among: str = "ref") -> DataFrame:
-    """vectors with the nearest reference: among, similarity. references: among, centroid, in as many blocks as they take.
-
-    The smaller among wins ties. With a threshold, a best similarity under it gives null.
+def centroids(vectors: DataFrame, key: list[str], column: str = "embedding") -> DataFrame:
+    """Per key: n, and the mean vector scaled to length 1. Each batch of rows gives one row of sums for each of its keys, so what is
+    shuffled is vectors of sums, a few for each key and task."""
+    kinds = ", ".join(f"`{k}` {vectors.schema[k].dataType.simpleString()}" for k in key)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = matrix(batch.column(batch.num_columns - 1))
+            t = pa.table({k: batch.column(i) for i, k in enumerate(key)}).append_column("__row", pa.array(np.arange(batch.num_rows)))
+            groups = t.group_by(key).aggregate([("__row", "list"), ("__row", "count")])
+            sums = [m[np.asarray(x)].sum(0) for x in groups.column("__row_list").to_pylist()]
+            cols = [groups.column(k).combine_chunks() for k in key]
+            yield pa.RecordBatch.from_arrays([*cols, groups.column("__row_count").combine_chunks(), pa.array([x.tolist() for x in sums], pa.list_(pa.float64()))], names=[*key, "n", "v"])
+
+    part = vectors.select(*key, column).mapInArrow(add, f"{kinds}, n long, v array<double>")
+    both = part.groupBy(*key).agg(F.sum("n").alias("n"), F.collect_list("v").alias("vs"))  # a vector for each batch that holds the key
+    whole = F.aggregate("vs", F.transform(F.get("vs", F.lit(0)), lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return both.select(*key, "n", unit(whole).alias("centroid"))
+
+
+#: Numbers (references times their length) in one block of references: 64 MB.
+BLOCK_NUMBERS = 8_000_000
+#: Vectors that meet a block in one group, where the references take several.
+GROUP_ROWS = 20_000
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def best_of(v: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of v the first row of refs (both of length 1) with the highest product, and that product. Products that differ by rounding alone are
+    equal. Taken in strips, so that no more than a million products are held."""
+    at, s = np.zeros(len(v), np.int64), np.zeros(len(v))
+    strip = max(1, 1_000_000 // max(1, len(refs)))
+    for lo in range(0, len(v), strip):
+        d = np.clip(v[lo : lo + strip] @ refs.T, -1, 1)
+        at[lo : lo + strip] = (d >= d.max(1, keepdims=True) - 1e-12).argmax(1)
+        s[lo : lo + strip] = d[np.arange(len(d)), at[lo : lo + strip]]
+    return at, s
+
+
+def match(vectors: DataFrame, references: DataFrame, threshold: float | None = None, column: str = "embedding", among: str = "ref", block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
+    """vectors with the nearest reference by cosine: among, similarity. references: among, centroid, as many as there are.
+
+    The smaller among wins ties; a vector without length, or null, has similarity 0 to all. With a threshold, a best similarity under it gives null;
+    without references both are null. Vectors are multiplied with a block of references at a time: references that fit one block are sent to
+    all tasks; more are dealt into blocks, each vector meets each block in a group of its own, and the best of its blocks is taken.
     """
-    v, kind = F.col(column), references.schema[among].dataType
-    none = F.struct(F.lit(-2.0).alias("s"), F.lit(None).cast(kind).alias("ref"))
-    blocks = max(1, -(-references.count() // REFERENCES))
-    out = vectors.withColumn("best", none)
-    for k in range(blocks):
-        block = references.where(F.pmod(F.xxhash64(among, "centroid"), F.lit(blocks)) == k) if blocks > 1 else references
-        registry = F.broadcast(block.agg(F.collect_list(F.struct(F.col(among).alias("ref"), F.col("centroid").alias("c"))).alias("registry")))
-        scored = out.crossJoin(registry)  # one row: the block as an array
-        best = F.aggregate(F.transform("registry", lambda r: F.struct(cosine(v, r["c"]).alias("s"), r["ref"].alias("ref"))), F.col("best"), lambda a, x: F.when((x["s"] > a["s"]) | ((x["s"] == a["s"]) & (x["ref"] < a["ref"])), x).otherwise(a))
-        out = scored.withColumn("best", best).drop("registry")
-    ok = F.col("best.s") >= threshold if threshold is not None else F.lit(True)
-    return out.withColumns({among: F.when(ok, F.col("best.ref")), "similarity": F.when(F.col("best.s") > -2, F.col("best.s"))}).drop("best")
+    kind = references.schema[among].dataType.simpleString()
+    known = references.where(F.col(among).isNotNull() & F.col("centroid").isNotNull()).select(F.col(among).alias("ref"), "centroid")
+    size = known.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("width")).first()
+    if not size["n"]:
+        return vectors.withColumns({among: F.lit(None).cast(kind), "similarity": F.lit(None).cast("double")})
+    blocks = -(-size["n"] * size["width"] // block_numbers)
+    at, schema = vectors.columns.index(column), vectors.schema
+    plain = [c for c in vectors.columns if c not in (among, "similarity")]
+    if blocks == 1:
+        got = known.toArrow().sort_by("ref")  # one block at most
+        sent = vectors.sparkSession.sparkContext.broadcast((got.column("ref").combine_chunks(), unit_rows(matrix(got.column("centroid")))))
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, refs = sent.value
+            for batch in batches:
+                if batch.num_rows:
+                    which, s = best_of(unit_rows(_widened(matrix(batch.column(at)), refs.shape[1])), refs)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, names.take(pa.array(which)), pa.array(s)], names=[*batch.schema.names, "__ref", "__s"])
+
+        out = vectors.mapInArrow(nearest, StructType([*schema.fields, StructField("__ref", references.schema[among].dataType), StructField("__s", DoubleType())]))
+    else:
+        groups = max(1, -(-vectors.count() // GROUP_ROWS))
+        left = vectors.select(F.struct(*vectors.columns).alias("row"), F.monotonically_increasing_id().alias("id"), F.col(column).alias("v"))
+        # the rows wait by their number, given once; their vectors alone go to every block
+        left = kept(left).withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+        moved = left.select("id", "v", "group", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        dealt = known.select("ref", "centroid", F.pmod(F.xxhash64("ref", "centroid"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.table({"id": pa.array([], pa.int64()), "ref": pa.array([], b.schema.field("ref").type), "s": pa.array([], pa.float64())})
+            b = b.sort_by("ref")
+            refs = unit_rows(matrix(b.column("centroid")))
+            which, s = best_of(unit_rows(_widened(matrix(a.column("v")), refs.shape[1])), refs)
+            return pa.table({"id": a.column("id"), "ref": b.column("ref").take(pa.array(which)), "s": pa.array(s)})
+
+        met = moved.groupBy("block", "group").cogroup(dealt.groupBy("block", "group")).applyInArrow(meet, f"id long, ref {kind}, s double")
+        # of equal products the smaller ref: products of several blocks differ by rounding
+        top = met.groupBy("id").agg(F.max("s").alias("top"), F.collect_list(F.struct("ref", "s")).alias("all"))  # one entry for each block
+        best = top.select("id", "top", F.array_min(F.transform(F.filter("all", lambda x: x["s"] >= F.col("top") - 1e-12), lambda x: x["ref"])).alias("__ref"))
+        out = left.select("id", "row").join(best, "id").select("row.*", "__ref", F.col("top").alias("__s"))
+    ok = F.col("__s") >= threshold if threshold is not None else F.lit(True)
+    return out.select(*plain, F.when(ok, F.col("__ref")).alias(among), F.col("__s").alias("similarity"))
+
+
+def _widened(m: np.ndarray, width: int) -> np.ndarray:
+    if m.shape[1] not in (0, width):
+        raise ValueError("vectors and references of different lengths")
+    return m if m.shape[1] else np.zeros((len(m), width))
 
 
 def min_centroid_distance(cents: DataFrame, meeting: str, cluster: str) -> DataFrame:

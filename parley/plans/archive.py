@@ -356,7 +356,7 @@ r AS (SELECT *, (e - 100 * coalesce(length(text), 0)) // 1000 AS sec, replace(re
 m AS (SELECT conv_id, max(e) / 1000.0 AS dur, count(DISTINCT role) AS speakers, string_agg('<tr><td class="ts">' || lpad((sec // 3600)::VARCHAR, 2, '0') || ':' || lpad((sec % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((sec % 60)::VARCHAR, 2, '0') || '</td><td class="speaker">' || role || '</td><td>' || x || '</td></tr>', chr(10) ORDER BY turn) AS lines FROM r GROUP BY 1)
 SELECT conv_id AS meeting_id, '<!doctype html>' || chr(10) || '<html lang="ko"><head><meta charset="utf-8"><title>Talk ' || conv_id || '</title></head><body>' || chr(10) || '<h1>Talk ' || conv_id || '</h1>' || chr(10) || '<div class="meta"><div><dt>작성 일시:</dt><dd>2024-01-01T00:00:00+00:00</dd></div><div><dt>원본 파일:</dt><dd>b.wav</dd></div><div><dt>회의 길이:</dt><dd>'
   || CASE WHEN dur < 60 THEN round_even(dur, 0)::BIGINT || '초' WHEN dur < 3600 THEN (floor(dur)::BIGINT // 60) || '분 ' || (floor(dur)::BIGINT % 60) || '초' ELSE (floor(dur)::BIGINT // 3600) || '시간 ' || (floor(dur)::BIGINT % 3600 // 60) || '분' END || '</dd></div><div><dt>화자 수:</dt><dd>' || speakers || '명</dd></div></div>' || chr(10)
-  || '<h1>Summary</h1>' || chr(10) || '<ul><li><strong>one</strong></li>' || chr(10) || '<li>two</li></ul>' || chr(10) || '<div class="transcript"><h2>발화 전문</h2><table><thead><tr><th>시간</th><th>화자</th><th>내용</th></tr></thead><tbody>' || chr(10) || lines || chr(10) || '</tbody></table></div>' || chr(10) || '</body></html>' AS html FROM m""",
+  || '<h1>Summary</h1>' || chr(10) || '<ul>' || chr(10) || '<li><strong>one</strong></li>' || chr(10) || '<li>two</li>' || chr(10) || '</ul>' || chr(10) || '<div class="transcript"><h2>발화 전문</h2><table><thead><tr><th>시간</th><th>화자</th><th>내용</th></tr></thead><tbody>' || chr(10) || lines || chr(10) || '</tbody></table></div>' || chr(10) || '</body></html>' AS html FROM m""",
     "list_ids": "SELECT doc_id AS id FROM documents ORDER BY 1",
     "dictionary_replace": r"SELECT conv_id, turn, regexp_replace(regexp_replace(replace(text, 'th', 'Th'), '(\w+)ing\b', '\1ING', 'g'), 'e\$?', 'E$', 'g') AS text FROM conversations",
     "inline_rules": "SELECT conv_id, turn, replace(replace(text, 'the', 'THE'), 'and', '&') AS text FROM conversations",

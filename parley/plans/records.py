@@ -263,7 +263,7 @@ SELECT doc_id, CASE WHEN b <> '' THEN 'Doc ' || doc_id END AS title, CASE WHEN b
 SELECT o_orderkey, CASE WHEN s >= 5400 THEN 3000 WHEN s >= 1800 THEN 2000 ELSE 800 END AS summary, CASE WHEN s < 900 THEN 160 ELSE 200 END AS section, 500 AS other, 5 AS missing FROM (SELECT o_orderkey, o_orderkey % 9000 AS s FROM orders)""",
     "chunk_titles": "SELECT conv_id AS meeting_id, coalesce(arg_min(role || turn, turn) FILTER (turn % 3 = 2), '회의록') AS title FROM conversations GROUP BY 1",
     "chunk_fallbacks": "SELECT conv_id, turn, '구간 ' || turn || ' 원문 발화 보존' AS title, md5('## 구간 개요' || chr(10) || '- ' || conv_id || '-' || turn || ' 구간은 요약을 얻지 못해 발화 원문을 그대로 둡니다.' || chr(10) || chr(10) || '## 발화 원문' || chr(10) || coalesce(text, '')) AS digest FROM conversations",
-    "markdown_lines": "SELECT p_partkey, '<h1>&lt;' || p_name || '&gt;</h1>' || chr(10) || '<ul><li><strong>' || p_brand || '</strong> &amp; <em>' || p_type || '</em></li>' || chr(10) || '<li>b</li></ul>' || chr(10) || '<p>end</p>' AS html FROM part",
+    "markdown_lines": "SELECT p_partkey, '<h1>&lt;' || p_name || '&gt;</h1>' || chr(10) || '<ul>' || chr(10) || '<li><strong>' || p_brand || '</strong> &amp; <em>' || p_type || '</em></li>' || chr(10) || '<li>b</li>' || chr(10) || '</ul>' || chr(10) || '<p>end</p>' AS html FROM part",
     "hangul_keywords": """
 WITH w AS (SELECT role, conv_id * 1000 + turn AS seq, regexp_extract_all(translate(coalesce(text, ''), 'aeiourst', '가나다라마바사아'), '[가-힣]{2,12}') AS ws FROM conversations),
 x AS (SELECT role, seq, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w), c AS (SELECT role, word, count(*) AS n, min((seq, i)) AS p FROM x GROUP BY 1, 2)

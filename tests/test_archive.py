@@ -252,7 +252,7 @@ def test_html(spark):
     m = spark.createDataFrame([(1, "<T>", "2024", "x/a.wav", 65_000, 1, "# H\ntext\n- a\n- b")], "meeting_id long, title string, created string, source_file string, duration_ms long, speakers long, summary_md string")
     u = spark.createDataFrame([(1, 1, "A", 61_000, "b & c"), (1, 0, "<x>", 0, "a")], "meeting_id long, seq long, speaker string, start_ms long, text string")
     html = export.html_pages(m, u).first().html
-    assert "<h1>&lt;T&gt;</h1>" in html and "1분 5초" in html and "<ul><li>a</li>\n<li>b</li></ul>" in html and "a.wav" in html
+    assert "<h1>&lt;T&gt;</h1>" in html and "1분 5초" in html and "<ul>\n<li>a</li>\n<li>b</li>\n</ul>" in html and "a.wav" in html
     assert html.index("&lt;x&gt;") < html.index("b &amp; c") and "00:01:01" in html
     assert "발화 전문" not in export.html_pages(m, u, False).first().html
     assert export.transcripts(u.withColumn("end_ms", F.col("start_ms"))).first().transcript == "[00:00] <x>: a\n[01:01] A: b & c"
