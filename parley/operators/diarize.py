@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators import vectors
+from parley.operators import linkage, vectors
+from parley.operators.numbering import kept
 from parley.operators.sequence import forward_fill
 
 # By the number of clusters (4 and more, 3, fewer) the distance under which two are one speaker, and the length up to which
@@ -21,8 +22,13 @@ def _dense(labels: np.ndarray) -> np.ndarray:
     return np.unique(labels, return_inverse=True)[1]
 
 
-def _distances(v: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Cosine distances between the mean vectors of labels 0 .. k-1, infinite on the diagonal."""
+def _distances(v: np.ndarray, labels: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Cosine distances between the mean vectors of labels 0 .. k-1, infinite on the diagonal. With of, v has the sums of groups of windows, of each window's group,
+    and a group's windows share their label."""
+    if of is not None:
+        own = np.zeros(len(v), int)
+        own[of] = labels
+        labels = own
     member = np.eye(labels.max() + 1)[labels]
     c = (member.T @ v) / member.sum(0)[:, None]
     c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
@@ -31,11 +37,11 @@ def _distances(v: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return d
 
 
-def merge_similar(v: np.ndarray, labels: np.ndarray, limit: float) -> np.ndarray:
+def merge_similar(v: np.ndarray, labels: np.ndarray, limit: float, of: np.ndarray | None = None) -> np.ndarray:
     """The two nearest clusters become one, the smaller takes the larger's label, as long as they are nearer than limit."""
     labels = _dense(labels)
     while labels.max() > 0:
-        d = _distances(v, labels)
+        d = _distances(v, labels, of)
         i, j = np.unravel_index(int(np.argmin(d)), d.shape)
         if d[i, j] >= limit:
             break
@@ -55,7 +61,7 @@ def beside(labels: np.ndarray, of: int) -> int | None:
     return int(labels[other[int(np.argmin(gap))]])
 
 
-def merge_short(v: np.ndarray, labels: np.ndarray, ms: np.ndarray, limit_ms: int) -> np.ndarray:
+def merge_short(v: np.ndarray, labels: np.ndarray, ms: np.ndarray, limit_ms: int, of: np.ndarray | None = None) -> np.ndarray:
     """Short clusters (one window, or few) go, the shortest first, to the label beside them; a label beside of 0 counts as none, and then the nearest
     in distance is taken. A cluster of several windows that is far from all others ends it."""
     labels = _dense(labels)
@@ -65,7 +71,7 @@ def merge_short(v: np.ndarray, labels: np.ndarray, ms: np.ndarray, limit_ms: int
         if not short:
             break
         k = min(short)[2]
-        d = _distances(v, labels)[k]
+        d = _distances(v, labels, of)[k]
         near, distance = (int(np.argmin(d)), float(d.min())) if d.min() < 1 else (None, 1.0)
         to = beside(labels, k) or near
         if to is None or (distance > MOVE_DISTANCE and size[k] > 1):
@@ -74,16 +80,17 @@ def merge_short(v: np.ndarray, labels: np.ndarray, ms: np.ndarray, limit_ms: int
     return labels
 
 
-def merge_cautiously(v: np.ndarray, labels: np.ndarray, ms: np.ndarray) -> np.ndarray:
+def merge_cautiously(v: np.ndarray, labels: np.ndarray, ms: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
     k = min(4, max(2, len(set(labels.tolist()))))
-    labels = merge_similar(v, labels, SIMILAR[k])
-    return merge_short(v, labels, ms, SHORT_MS[k]) if SHORT_MS[k] else labels
+    labels = merge_similar(v, labels, SIMILAR[k], of)
+    return merge_short(v, labels, ms, SHORT_MS[k], of) if SHORT_MS[k] else labels
 
 
-def cluster_windows(windows: DataFrame, speakers: int | None = None, most_rows: int = vectors.MATRIX_ROWS) -> DataFrame:
+def cluster_windows(windows: DataFrame, speakers: int | None = None, one_task: int = vectors.ONE_TASK) -> DataFrame:
     """windows (meeting_id, seq, idx, from_ms, to_ms, embedding) with label. Without a number of speakers, that is estimated and clusters are merged cautiously.
 
-    One task clusters one meeting; of over most_rows windows no matrix of distances is held.
+    A meeting of up to one_task windows is one task's; larger ones are merged in rounds by many tasks, and what then comes together for one of them is its
+    windows' labels and lengths, and a vector for each label.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -91,16 +98,36 @@ def cluster_windows(windows: DataFrame, speakers: int | None = None, most_rows:
         v = np.stack(rows.embedding.to_numpy()).astype(float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         if speakers is not None:
-            labels = vectors.linked(v, max(1, min(speakers, len(v))), most_rows)
+            labels = vectors.linked(v, max(1, min(speakers, len(v))))
         else:
-            labels = vectors.estimate_speakers(v, most_rows=most_rows) if len(v) > 2 else np.zeros(len(v), int)
+            labels = vectors.estimate_speakers(v) if len(v) > 2 else np.zeros(len(v), int)
             labels = merge_cautiously(v, labels, (rows.to_ms - rows.from_ms).to_numpy().astype(float))
         return pd.DataFrame({"meeting_id": rows.meeting_id, "idx": rows.idx, "label": labels})
 
-    found = windows.select("meeting_id", "idx", "from_ms", "to_ms", "embedding").groupBy("meeting_id").applyInPandas(one, "meeting_id long, idx long, label int")
+    small, large = vectors.by_size(windows.select("meeting_id", "idx", "from_ms", "to_ms", "embedding"), one_task)
+    found = small.groupBy("meeting_id").applyInPandas(one, "meeting_id long, idx long, label int")
+    if large is not None:
+        got = linkage.clustered(large.select("meeting_id", "idx", vectors.unit(F.col("embedding")).alias("embedding")), speakers, local=one_task)
+        found = found.unionByName((got if speakers is not None else _merged(kept(got), large)).select("meeting_id", "idx", "label"))
     return windows.drop("label").join(found, ["meeting_id", "idx"])
 
 
+def _merged(got: DataFrame, windows: DataFrame) -> DataFrame:
+    """Clusters of large meetings, merged cautiously."""
+    told = linkage.sums(got.select("meeting_id", "embedding", F.array("label").alias("labels"))).select("meeting_id", "label", "s")
+
+    def one(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"meeting_id": [], "idx": [], "label": []})
+        rows, told = rows.sort_values("idx"), told.sort_values("label")
+        of = rows.label.to_numpy()
+        return pd.DataFrame({"meeting_id": rows.meeting_id, "idx": rows.idx, "label": merge_cautiously(np.stack(told.s.to_numpy()), of, rows.ms.to_numpy().astype(float), np.searchsorted(told.label.to_numpy(), of))})
+
+    lengths = windows.select("meeting_id", "idx", (F.col("to_ms") - F.col("from_ms")).alias("ms"))
+    narrow = got.select("meeting_id", "idx", "label").join(lengths, ["meeting_id", "idx"])
+    return narrow.groupBy("meeting_id").cogroup(told.select(F.col("meeting_id").alias("m"), "label", "s").groupBy("m")).applyInPandas(one, "meeting_id long, idx long, label int")
+
+
 def diarize(segments: DataFrame, windows: DataFrame, speakers: int | None = None, registry: DataFrame | None = None, threshold: float = 0.65) -> DataFrame:
     """segments with speaker: the label with most of a segment's window time, as its registered name (registry: ref, centroid) if one is near
     enough, else SPEAKER_nn; a segment without windows takes the last speaker known in the meeting."""

@@ -201,11 +201,11 @@ def average_linkage(d: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def chained_linkage(u: np.ndarray) -> list[tuple[float, int, int]]:
-    """All merges (distance, i, j) of average linkage over vectors of length 1, lowest first, by chains of nearest neighbours. The mean distance
-    of two clusters is 1 less the product of their sums over their sizes, so memory grows with the vectors and no matrix is held."""
+def chained_linkage(u: np.ndarray, sizes: np.ndarray | None = None) -> list[tuple[float, int, int]]:
+    """All merges (distance, i, j) of average linkage over vectors of length 1, or over clusters of sizes with the sums u of such, lowest first, by chains of nearest
+    neighbours. The mean distance of two clusters is 1 less the product of their sums over their sizes, so memory grows with the vectors and no matrix is held."""
     n = len(u)
-    total, size, dead = u.astype(float).copy(), np.ones(n), np.zeros(n, bool)
+    total, size, dead = u.astype(float).copy(), np.ones(n) if sizes is None else sizes.astype(float), np.zeros(n, bool)
     merges: list[tuple[float, int, int]] = []
     chain: list[int] = []
     while len(merges) < n - 1:
@@ -244,13 +244,9 @@ def cut(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
     return np.unique([top(x) for x in range(n)], return_inverse=True)[1]
 
 
-#: Rows up to which a matrix of distances is held; more are clustered by chains.
-MATRIX_ROWS = 2_000
-
-
-def linked(u: np.ndarray, k: int, most_rows: int = MATRIX_ROWS) -> np.ndarray:
+def linked(u: np.ndarray, k: int) -> np.ndarray:
     """Labels of k clusters of vectors of length 1 by average linkage of cosine distance."""
-    return average_linkage(np.clip(1 - u @ u.T, 0, 2), k) if len(u) <= most_rows else cut(chained_linkage(u), len(u), k)
+    return cut(chained_linkage(u), len(u), k)
 
 
 def silhouette(d: np.ndarray, labels: np.ndarray) -> float:
@@ -269,17 +265,17 @@ def _silhouette(total: np.ndarray, labels: np.ndarray) -> float:
     return float(s.mean())
 
 
-def estimate_speakers(vectors: np.ndarray, most: int = 8, most_rows: int = MATRIX_ROWS) -> np.ndarray:
-    """Labels for an unknown number of speakers: of the numbers whose clustering is clean, the largest that scores near the best; else one."""
+def estimate_speakers(vectors: np.ndarray, most: int = 8) -> np.ndarray:
+    """Labels for an unknown number of speakers: of the numbers whose clustering is clean, the largest that scores near the best; else one. The
+    merges are made once and cut at each number."""
     n = len(vectors)
     v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    whole = n <= most_rows
-    d, merges = (np.clip(1 - v @ v.T, 0, 2), []) if whole else (None, chained_linkage(v))
+    merges = chained_linkage(v)
     good: list[tuple[int, float, np.ndarray]] = []
     for k in range(2, min(most, n - 1) + 1):
-        labels = average_linkage(d, k) if whole else cut(merges, n, k)
+        labels = cut(merges, n, k)
         counts = np.bincount(labels)
-        score = silhouette(d, labels) if whole else _silhouette(counts - v @ np.stack([v[labels == i].sum(0) for i in range(k)]).T, labels)
+        score = _silhouette(counts - v @ np.stack([v[labels == i].sum(0) for i in range(k)]).T, labels)
         c = np.stack([v[labels == i].mean(0) for i in range(k)])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         apart = (1 - c @ c.T)[np.triu_indices(k, 1)].min()
@@ -292,23 +288,43 @@ def estimate_speakers(vectors: np.ndarray, most: int = 8, most_rows: int = MATRI
     return max((g for g in good if g[1] >= best - near), key=lambda g: g[0])[2]
 
 
-def cluster_meetings(vectors: DataFrame, speakers: int | None = None, column: str = "embedding", most_rows: int = MATRIX_ROWS) -> DataFrame:
+#: Windows of a meeting that one task clusters; a larger meeting is dealt to many.
+ONE_TASK = 2_000
+
+
+def by_size(vectors: DataFrame, one_task: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of meetings of up to one_task rows, and of larger ones (None if there are none)."""
+    large = vectors.groupBy("meeting_id").agg(F.count("*").alias("n")).where(F.col("n") > one_task).select("meeting_id")
+    if large.isEmpty():
+        return vectors, None
+    return vectors.join(large, "meeting_id", "left_anti"), vectors.join(large, "meeting_id", "left_semi")
+
+
+def cluster_meetings(vectors: DataFrame, speakers: int | None = None, column: str = "embedding", one_task: int = ONE_TASK) -> DataFrame:
     """meeting_id, idx, label: the windows of each meeting clustered by average linkage of cosine distance, into speakers clusters or an estimated number.
 
-    One task clusters one meeting, in time quadratic in its windows: up to most_rows over a matrix, beyond by chains in memory linear in them.
+    A meeting of up to one_task windows is one task's, in time quadratic in its windows and memory linear in them; larger ones are merged in rounds by many
+    tasks. Labels are numbered in the order in which they occur.
     """
+    from parley.operators import linkage
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx")
         v = np.stack(rows[column].to_numpy()).astype(float)
         if speakers is not None:
-            labels = linked(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), min(speakers, len(v)), most_rows)
+            labels = linked(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), min(speakers, len(v)))
         else:
-            labels = estimate_speakers(v, most_rows=most_rows) if len(v) > 2 else np.zeros(len(v), int)
-        first = {x: i for i, x in enumerate(dict.fromkeys(labels.tolist()))}
-        return pd.DataFrame({"meeting_id": rows.meeting_id, "idx": rows.idx, "label": [first[x] for x in labels.tolist()]})
-
-    return vectors.select("meeting_id", "idx", column).groupBy("meeting_id").applyInPandas(one, "meeting_id long, idx long, label int")
+            labels = estimate_speakers(v) if len(v) > 2 else np.zeros(len(v), int)
+        return pd.DataFrame({"meeting_id": rows.meeting_id, "idx": rows.idx, "label": labels})
+
+    small, large = by_size(vectors.select("meeting_id", "idx", column), one_task)
+    got = small.groupBy("meeting_id").applyInPandas(one, "meeting_id long, idx long, label int")
+    if large is not None:
+        got = got.unionByName(linkage.clustered(large.select("meeting_id", "idx", unit(F.col(column)).alias("embedding")), speakers, local=one_task).select("meeting_id", "idx", "label"))
+    # as they occur: a few labels for each meeting
+    first = got.groupBy("meeting_id", "label").agg(F.min("idx").alias("first"))
+    order = first.select("meeting_id", F.col("label").alias("old"), (F.row_number().over(W.partitionBy("meeting_id").orderBy("first")) - 1).cast("int").alias("label"))
+    return got.withColumnRenamed("label", "old").join(order, ["meeting_id", "old"]).select("meeting_id", "idx", "label")
 
 
 def nearest_label(windows: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import dictionary
-from parley.operators import edits, numbering
+from parley.operators import diarize, edits, linkage, numbering, vectors
 from parley.sources import export
 
 
@@ -117,3 +118,72 @@ def test_numbers_are_dense(spark):
     seg = spark.createDataFrame([(f"f{i:03d}", 0, 1000, "A", "x", 0) for i in range(200)], "source_file string, start_ms long, end_ms long, speaker string, text string, place long")
     m, u = edits.new_meetings(seg, spark.createDataFrame([(41,)], "meeting_id long"))
     assert sorted((r.meeting_id, r.source_file) for r in m.collect()) == [(42 + i, f"f{i:03d}") for i in range(200)] and u.count() == 200
+
+
+def test_nearest_of_many_references(spark):
+    rng = np.random.default_rng(4)
+    refs = [(f"r{i:03d}", x.tolist()) for i, x in enumerate(rng.normal(size=(300, 8)))] + [("r999", None), ("a", None), ("r000b", None)]
+    refs[-1] = ("a0", refs[0][1])  # the same vector under a smaller name
+    rows = [(i, x.tolist(), "kept") for i, x in enumerate(rng.normal(size=(500, 8)))] + [(500, refs[0][1], "kept"), (501, [0.0] * 8, "kept"), (502, None, "kept")]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>, similarity string").repartition(3)
+    r = spark.createDataFrame(refs, "ref string, centroid array<double>")
+    unit = lambda x: np.array(x) / max(np.linalg.norm(x), 1e-300)
+    known = sorted((n, unit(c)) for n, c in refs if c)
+    want = {}
+    for i, x, _ in rows:
+        s = [round(float(np.clip(unit(x or [0.0] * 8) @ c, -1, 1)), 9) for _, c in known]
+        want[i] = (known[s.index(max(s))][0], max(s))
+    for block in (10_000, 500):  # one block, and five
+        got = {x.id: (x.ref, round(x.similarity, 9)) for x in vectors.match(v, r, block_numbers=block).collect()}
+        assert got == want and want[500][0] == "a0"
+    assert {x.ref for x in vectors.match(v, r, 2.0, block_numbers=500).collect()} == {None}
+    assert {x.ref for x in vectors.match(v, r.limit(0)).collect()} == {None} and vectors.match(v.limit(0), r, block_numbers=500).collect() == []
+
+
+def windows_of(meetings, sizes, seed=0, width=6, noise=0.25):
+    rng = np.random.default_rng(seed)
+    out = []
+    for m, n in zip(meetings, sizes, strict=True):
+        base = np.eye(width)
+        out += [(m, i, (base[rng.integers(0, 4)] + rng.normal(0, noise, width)).tolist()) for i in range(n)]
+    return out
+
+
+def test_a_large_meeting_is_clustered_by_many_tasks(spark):
+    rows = windows_of([1, 2, 3], [160, 90, 3])
+    w = spark.createDataFrame(rows, "meeting_id long, idx long, embedding array<double>").repartition(5)
+    for speakers in (None, 5):
+        one, many = (sorted(tuple(r) for r in vectors.cluster_meetings(w, speakers, one_task=k).collect()) for k in (10_000, 50))
+        assert one == many and len(one) == 253
+    # against the plain procedure: the two nearest clusters, again and again
+    v = np.array([x for m, _, x in rows if m == 1])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    plain = vectors.average_linkage(1 - v @ v.T, 5)
+    mine = [x for m, _, x in many if m == 1]
+    assert len(set(zip(plain.tolist(), mine, strict=True))) == 5
+    said = w.select("*", F.floor(F.col("idx") / 2).alias("seq"), (F.col("idx") * 100).alias("from_ms"), (F.col("idx") * 100 + 90).alias("to_ms"))
+    one, many = (sorted((r.meeting_id, r.idx, r.label) for r in diarize.cluster_windows(said, one_task=k).collect()) for k in (10_000, 50))
+    groups = lambda rows: {frozenset(i for m, i, x in rows if (m, x) == key) for key in {(m, x) for m, _, x in rows}}
+    assert groups(one) == groups(many)
+
+
+def test_five_thousand_windows(spark):
+    rows = windows_of([9], [5000], seed=1)
+    w = spark.createDataFrame(rows, "meeting_id long, idx long, embedding array<double>").repartition(8)
+    u = w.select("meeting_id", "idx", vectors.unit(F.col("embedding")).alias("embedding"))
+    got = linkage.merges(u, local=1000, block=1500).collect()
+    v = np.array([x for _, _, x in rows])
+    want = vectors.chained_linkage(v / np.linalg.norm(v, axis=1, keepdims=True))
+    assert len(got) == 4999 and np.allclose(sorted(r.d for r in got), [m[0] for m in want], atol=1e-9)
+    mine = [(r.d, r.i, r.j) for r in sorted(got, key=lambda r: r.d)]
+    for k in (2, 5, 8):
+        a, b = vectors.cut(mine, 5000, k), vectors.cut(want, 5000, k)
+        assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == k
+
+
+def test_centroids_of_hot_and_odd_keys(spark):
+    rows = [(None if i % 3 else i % 7, [float(i), 1.0]) for i in range(1000)] + [(50, None), (51, [3.0, None])]
+    got = {r.k: (r.n, [round(x, 9) for x in r.centroid]) for r in vectors.centroids(spark.createDataFrame(rows, "k long, embedding array<float>").repartition(4), ["k"]).collect() if r.k != 50}
+    for k in {r[0] for r in rows} - {50}:
+        m = np.nan_to_num(np.array([x for j, x in rows if j == k], float)).mean(0)
+        assert got[k] == (sum(j == k for j, _ in rows), [round(x, 9) for x in (m / np.linalg.norm(m)).tolist()])

@@ -28,21 +28,19 @@ def test_zip_is_whole(spark):
     assert len(got) == len(want) == sum(map(len, by.values())) and set(got) == want and max(p for _, p, _, _ in got) > 60
 
 
-def test_no_meeting_and_no_registry_is_too_large(spark, monkeypatch):
+def test_no_meeting_and_no_registry_is_too_large(spark):
     rng = np.random.default_rng(5)
     u = rng.normal(size=(150, 6))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     for k in (1, 2, 5, 40):
-        assert vectors.linked(u, k, 10).tolist() == vectors.linked(u, k).tolist()
+        assert vectors.linked(u, k).tolist() == vectors.average_linkage(1 - u @ u.T, k).tolist()
     base = np.eye(4)
     rows = [(1, i, i * 1000, i * 1000 + 900, i, (base[i % 3] + rng.normal(0, 0.05, 4)).tolist()) for i in range(60)]
     w = spark.createDataFrame(rows, "meeting_id long, idx long, from_ms long, to_ms long, seq long, embedding array<double>")
     for f in (vectors.cluster_meetings, diarize.cluster_windows):
         for speakers in (None, 3):
-            got = [sorted((r.idx, r.label) for r in f(w, speakers, most_rows=n).collect()) for n in (10, 100)]
+            got = [sorted((r.idx, r.label) for r in f(w, speakers, one_task=n).collect()) for n in (30, 100)]
             assert got[0] == got[1] and len({x for _, x in got[0]}) == 3
     refs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)] + [(99, [1.0, 0.0, 0.0, 0.0]), (98, [1.0, 0.0, 0.0, 0.0])], "ref long, centroid array<double>")
-    find = lambda: sorted((r.idx, r.ref, r.similarity) for r in vectors.match(w, refs, 0.2).collect())
-    want = find()
-    monkeypatch.setattr(vectors, "REFERENCES", 5)
-    assert find() == want
+    find = lambda **o: sorted((r.idx, r.ref, round(r.similarity, 9)) for r in vectors.match(w, refs, 0.2, **o).collect())
+    assert find() == find(block_numbers=20)
