@@ -36,6 +36,8 @@ TAKEN = 1 << 22
 PART_TOKENS, SHARES = 2_000_000, 100_000
 #: Words among which those are that are written as slots, and pairs that are scored together.
 COMMON, TOGETHER = 1 << 16, 100_000
+#: Logarithms of the parent's probabilities are moved as multiples of this, two in 64 bits.
+LOG_UNIT = 2.0**-26
 #: Sums of scores are moved as multiples of this.
 UNIT = 2.0**-32
 BURN_IN, SAMPLES = 1, 3
@@ -367,7 +369,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     Learns from the rows whose crc32 of the id in decimal leaves another remainder modulo hold_out[0] than hold_out[1]. A null text is
     empty: its end alone is a token. A null id counts as the empty text, and trains. Rows that share an id are scored apart. Nothing to
-    learn from: every probability is that of the base, 1 over the vocabulary and the unknown word. No rows: no result.
+    learn from: every probability is that of the base, 1 over the vocabulary and the unknown word. No rows: no result. The parent's probabilities are
+    rounded to 1 part in 10**8 where they are moved.
     """
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col, hold_out)
@@ -503,7 +506,8 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
         x = Part(right, deal.code)
         answer = right.filter(pc.equal(right.column("kind"), DISH))
         words, c_word = answer.column("key").to_numpy().view(U64), answer.column("n").to_numpy()
-        p = np.stack([answer.column(f"p{i}").to_numpy() for i in range(n_samples)])
+        packs = [answer.column(f"x{i}").to_numpy() for i in range(-(-n_samples // 2))]
+        p = np.exp(-LOG_UNIT * np.stack([packs[i // 2] & 0x7FFFFFFF if i % 2 else packs[i // 2] >> 32 for i in range(n_samples)]))
         order = np.argsort(words)
         words, c_word, p = words[order], c_word[order], p[:, order]
         t = np.stack([x.t[s] if s in x.t else np.ones(len(x.c), np.int64) for s in scorer.samples])
@@ -577,13 +581,16 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
         return pa.table({"id": pa.array(ids, mask=null.astype(bool)), "held": pa.array(held.astype(bool)), "n_tokens": count, "n_known": known, "base_score": flat, "score": score})
 
     fields = [x.split()[0] for x in _MESSAGE.split(", ")]
-    blank = [F.lit(None).cast("double").alias(f"p{i}") for i in range(n_samples)]
+    pairs = range(-(-n_samples // 2))
+    blank = [F.lit(None).cast("long").alias(f"x{i}") for i in pairs]
     right = restaurants.where(F.col("kind").isin(RESTAURANT, CONTEXTS)).select(*fields, *blank)
     for s in seatings:
         right = right.unionByName(s.select(*fields, *blank))
-    answers = said.select("part", F.col("key").alias("w")).join(model.hint("shuffle_hash"), "w")
+    log = lambda i: F.least(F.round(-F.ln(f"p{i}") / LOG_UNIT).cast("long"), F.lit((1 << 31) - 1)) if i < n_samples else F.lit(0).cast("long")
+    short = model.select("w", "c", *(F.shiftleft(log(2 * i), 32).bitwiseOR(log(2 * i + 1)).alias(f"x{i}") for i in pairs))
+    answers = said.select("part", F.col("key").alias("w")).join(short.hint("shuffle_hash"), "w")
     none = {x: F.lit(None).cast("binary").alias(x) for x in "abcd"}
-    right = right.unionByName(answers.select(F.lit(DISH).alias("kind"), "part", F.col("w").alias("key"), F.col("c").alias("n"), F.lit(0).cast("long").alias("m"), *none.values(), *(F.col(f"p{i}") for i in range(n_samples))))
+    right = right.unionByName(answers.select(F.lit(DISH).alias("kind"), "part", F.col("w").alias("key"), F.col("c").alias("n"), F.lit(None).cast("long").alias("m"), *none.values(), *(F.col(f"x{i}") for i in pairs)))
     left = texts.mapInArrow(occurrences, _MESSAGE)
     got = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(score, _MESSAGE)
     return got.groupBy("key").applyInArrow(total, "id long, held boolean, n_tokens long, n_known long, base_score double, score double")

@@ -72,7 +72,7 @@ def test_scores(spark):
     # parts, very frequent contexts and very frequent pairs change how the work is dealt, not what comes out
     for options in ({"part_tokens": 3000}, {"part_tokens": 3000, "shares": 50}):
         again = sorted(tuple(r) for r in pitman_yor.lm_scores(docs.repartition(3), **options).collect())
-        assert all(a[:5] == g[:5] and math.isclose(a[5], g[5], rel_tol=1e-9) and math.isclose(a[6], g[6], rel_tol=1e-9) for a, g in zip(again, got, strict=True))
+        assert all(a[:5] == g[:5] and math.isclose(a[5], g[5], rel_tol=1e-9) and math.isclose(a[6], g[6], rel_tol=1e-8) for a, g in zip(again, got, strict=True))
 
 
 def test_scores_of_one_text_are_those_of_the_model(spark):
@@ -86,9 +86,9 @@ def test_scores_of_one_text_are_those_of_the_model(spark):
     p = (1 - d1) / (1 + n) + rest
     seen = (1 - d2 + (1 + d2) * p) / 2
     back = (1 + d2) / 2
-    assert math.isclose(got[ids[0]].score, 31 * math.log10(seen), rel_tol=1e-9)
+    assert math.isclose(got[ids[0]].score, 31 * math.log10(seen), rel_tol=1e-8)
     # after the start comes w0, so w3 is the parent's; w4 was seen; an unknown word; the end after a context never met
-    assert math.isclose(got[ids[1]].score, math.log10(back * p) + math.log10(seen) + math.log10(back * rest) + math.log10(p), rel_tol=1e-9)
+    assert math.isclose(got[ids[1]].score, math.log10(back * p) + math.log10(seen) + math.log10(back * rest) + math.log10(p), rel_tol=1e-8)
 
 
 def test_scores_of_odd_rows(spark):
