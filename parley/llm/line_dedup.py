@@ -1,12 +1,12 @@
 """Line dedup with levelled sorted runs of line hashes. DataFrame functions only.
 
-A run is a table of (key, n_docs, keeper), each key once, bucketed and sorted by key: the same buckets for every run and every batch, so that
+A run is a table of (key, doc_id), each pair once, bucketed and sorted: the same buckets for every run and every batch, so that
 a batch is compared with a run bucket by bucket, and what is stored is shuffled only when its level is merged. A batch of documents first looks its
-line keys up in the runs by a merge join (left anti: the keys that no run has are new, and the batch's largest document keeps
-them), then its own counts become a run of level 0. Once a level holds FANOUT runs they are merged into one of the next, so
+pairs up in the runs by a merge join (left anti): those that no run has are new, become a run of level 0 and are counted; a document that is delivered
+again, whole or in part, adds nothing. Once a level holds FANOUT runs they are merged into one of the next, so
 that a store of n batches has about FANOUT * log(n) runs and each row is rewritten log(n) times.
 
-Batches arrive in descending order of document id, so the run that has a key first names the document that keeps it.
+Batches may arrive in any order. As pairs are dealt by both columns, a line that is in very many documents lies in all buckets.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def key_hash(line: Column, min_chars: int = MIN_CHARS) -> Column:
 
 
 class LineRuns:
-    """The store: runs by level. Give the batches in descending order of document id."""
+    """The store: runs by level."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
@@ -46,11 +46,11 @@ class LineRuns:
         self.levels: dict[int, list[tuple[str, str]]] = {}
 
     def _stored(self, rows: DataFrame, name: str, dealt: bool) -> tuple[str, str]:
-        """rows as a table bucketed by key: (table, path). dealt: they already lie in the store's buckets, one in each task."""
+        """rows as a table bucketed by both columns: (table, path). dealt: they already lie in the store's buckets, one in each task."""
         path, table = new_path(self.spark, name), f"parley_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-        rows = rows if dealt else rows.repartition(self.buckets, "key")
+        rows = rows if dealt else rows.repartition(self.buckets, "key", "doc_id")
         with own_shuffles_dropped(self.spark):
-            rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(table)
+            rows.write.bucketBy(self.buckets, "key", "doc_id").sortBy("key", "doc_id").option("path", path).saveAsTable(table)
         return table, path
 
     def _forget(self, *stored: tuple[str, str]) -> None:
@@ -66,43 +66,43 @@ class LineRuns:
         self._forget(*(x for stored in self.levels.values() for x in stored))
         self.levels = {}
 
-    def new_keys(self, batch: DataFrame) -> DataFrame:
-        """Rows of batch (with a column key) whose key no run has yet."""
+    def new_pairs(self, batch: DataFrame) -> DataFrame:
+        """Rows of batch (key, doc_id) that no run has yet."""
         for run in self.runs():
-            batch = batch.join(run.select("key").hint("merge"), "key", "left_anti")
+            batch = batch.join(run.hint("merge"), ["key", "doc_id"], "left_anti")
         return batch
 
     def add(self, batch: DataFrame) -> None:
-        """batch: key, doc_id; one row for each line. Keys new to the store get this batch's largest document as keeper, the others none."""
-        counts = batch.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("newest"))
-        held = self._stored(counts, "line-batch", False)
-        counts = self.spark.table(held[0])
-        new = self.new_keys(counts.select("key")).withColumn("is_new", F.lit(True))
-        run = counts.join(new.hint("merge"), "key", "left").select("key", "n_docs", F.when(F.col("is_new"), F.col("newest")).alias("keeper"))
-        self.levels.setdefault(0, []).append(self._stored(run, "line-run-0", True))
-        self._forget(held)
+        """batch: key, doc_id; one row for each line, or more. What the store does not have is added."""
+        batch = batch.select("key", "doc_id").distinct()
+        if self.levels:
+            held = self._stored(batch, "line-batch", False)
+            run = self._stored(self.new_pairs(self.spark.table(held[0])), "line-run-0", True)
+            self._forget(held)
+        else:
+            run = self._stored(batch, "line-run-0", False)
+        self.levels.setdefault(0, []).append(run)
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
             old = self.levels[level]
-            rows = self.merged(old)
-            self.levels.setdefault(level + 1, []).append(self._stored(rows, f"line-run-{level + 1}", True))
+            self.levels.setdefault(level + 1, []).append(self._stored(self.merged(old), f"line-run-{level + 1}", False))
             self.levels[level] = []
             self._forget(*old)
             level += 1
 
     def merged(self, stored: list[tuple[str, str]]) -> DataFrame:
-        """All rows of some runs, each key once, in the store's buckets. The runs are read as plain files and dealt anew: a union of
-        bucketed tables is taken for bucketed (Spark 4.1) though its scans are not, and its keys would not meet."""
+        """All rows of some runs, which share none. The runs are read as plain files: a union of bucketed tables is taken for bucketed (Spark 4.1) though its
+        scans are not."""
         rows = None
         for _, path in stored:
-            run = self.spark.read.schema("key binary, n_docs bigint, keeper bigint").parquet(path)
+            run = self.spark.read.schema("key binary, doc_id bigint").parquet(path)
             rows = run if rows is None else rows.unionByName(run)
-        return rows.repartition(self.buckets, "key").groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        return rows
 
     def keys(self) -> DataFrame | None:
-        """key, n_docs, keeper over all batches."""
+        """key, n_docs, keeper (the largest document) over all batches."""
         stored = [x for stored in self.levels.values() for x in stored]
-        return self.merged(stored) if stored else None
+        return self.merged(stored).groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")) if stored else None
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -120,11 +120,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = F.filter(F.transform(hashes, lambda h, i: F.struct(h.alias("key"), i.alias("at"))), lambda x: x["key"].isNotNull())
     # rows that share an id are told apart by their text
     lines = materialise(docs.select(ident.alias("doc_id"), F.xxhash64(text).alias("of"), F.explode(places).alias("x")).select("doc_id", "of", "x.key", "x.at"), "lines")
-    # batches by ranges of id, the largest ids first
+    # batches by ranges of id
     bounds = sorted(set(lines.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     edges = [None, *(int(b) for b in bounds), None]
     store = LineRuns(spark, fanout)
-    for lo, hi in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         batch = lines.select("key", "doc_id")
         batch = batch if lo is None else batch.where(F.col("doc_id") > lo)
         store.add(batch if hi is None else batch.where(F.col("doc_id") <= hi))

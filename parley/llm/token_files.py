@@ -13,7 +13,9 @@ fresh name and only listed in the manifest when their task has succeeded, so ret
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,18 +44,53 @@ def vocabulary_size(tokenizer_path: str) -> int:
 
 
 def _filesystem(path: str):
-    from pyarrow import fs
+    from parley.sources.files import filesystem
 
-    return fs.FileSystem.from_uri(path)
+    return filesystem(path)
+
+
+#: Steps of a tokenizer that drop white space between pieces, steps that work on one piece at a time, and normalizers that see no further than from one space to the next.
+_DROPS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+_CUTS = {*_DROPS, "Punctuation", "Digits", "ByteLevel"}
+_BETWEEN_SPACES = {"Lowercase", "NFC", "NFD", "NFKC", "NFKD"}
+#: One way to match in a pattern that takes no white space: letters and signs as they are, or a class that has none, once or more.
+_NO_SPACE = re.compile(r"(?:[^\s\\\[\](){}.^$*+?|]|\[(?:\\p\{[LNM]\}|[^\s\\\[\]^-])+\][+*]?|\[\^\\s(?:\\p\{[LNM]\}|[^\s\\\[\]^-])*\][+*]?)+")
+
+
+def _ways(pattern: str) -> list[str]:
+    return re.split(r"\|(?![^\[]*\])", pattern)
+
+
+def _drops_space(step: dict) -> bool:
+    if step.get("type") == "Split" and step.get("behavior") == "Removed" and step.get("invert"):  # what the pattern matches is kept, the rest goes
+        return all(_NO_SPACE.fullmatch(x) for x in _ways(step["pattern"].get("Regex", " ")))
+    return step.get("type") in _DROPS
+
+
+def _between_spaces(step: dict) -> bool:
+    blanks = step.get("type") == "Replace" and step["pattern"].get("Regex") in (r"\s+", r"\s") and re.fullmatch(r"\s+", step.get("content") or "")
+    return step.get("type") in _BETWEEN_SPACES or bool(blanks)
+
+
+def parts_at_space(definition: dict) -> bool:
+    """Does the definition of a tokenizer prove that the ids of a text are those of its words, parted by white space, one after another?"""
+    steps = lambda x, of: [] if x is None else x[of] if x.get("type") == "Sequence" else [x]
+    normal, pre = steps(definition.get("normalizer"), "normalizers"), steps(definition.get("pre_tokenizer"), "pretokenizers")
+    if not all(map(_between_spaces, normal)) or not pre or not _drops_space(pre[0]):
+        return False
+    if any(s.get("type") not in _CUTS or s.get("add_prefix_space") for s in pre[1:]) or definition.get("truncation") or definition.get("padding"):
+        return False
+    # a token of its own may reach over white space
+    return not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in definition.get("added_tokens") or [])
 
 
 class Encoder:
-    """Encodes texts word by word: the vocabulary's pre-tokenizer never joins across white space, so a text's ids are its
-    words' ids one after another, and a word that was met before is looked up. The words met are kept by 64-bit hash in an
-    open-addressed table of numpy arrays; it starts anew when it holds REMEMBERED words."""
+    """The ids of texts. Where the tokenizer's definition shows that no piece reaches over white space, a text is encoded word by word, and a word
+    that was met before is looked up; else whole. The words met are kept by 64-bit hash in an open-addressed table of numpy arrays; it starts
+    anew when it holds REMEMBERED words."""
 
     SLOTS = 1 << 21
-    #: Stands between words that are encoded in one call: one token of its own, and words that hold it are encoded apart.
+    #: Stands between words that are encoded in one call, if it is a token of its own that no other text gives; words that hold it are encoded apart.
     MARK = "\x01"
 
     def __init__(self, tokenizer_path: str):
@@ -62,10 +99,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.big = self.tokenizer.get_vocab_size() > 1 << 16
-        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.keys = np.zeros(self.SLOTS, np.uint64)
-        self.at = np.zeros(self.SLOTS, np.int32)
-        self._reset()
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.by_word = parts_at_space(json.load(f))
+        if self.by_word:
+            got, other = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (self.MARK, "\x02"))
+            self.mark = got[0] if len(got) == 1 and got != other else None
+            self.keys = np.zeros(self.SLOTS, np.uint64)
+            self.at = np.zeros(self.SLOTS, np.int32)
+            self._reset()
 
     def _reset(self) -> None:
         self.keys[:] = 0
@@ -97,7 +138,7 @@ class Encoder:
     def _learn(self, words: list[str], h: np.ndarray) -> None:
         if self.n + len(words) > REMEMBERED:
             self._reset()
-        plain = [i for i, w in enumerate(words) if self.MARK not in w]
+        plain = [i for i, w in enumerate(words) if self.MARK not in w] if self.mark is not None else []
         got: list = [None] * len(words)
         joined = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         for group, e in zip(joined, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join([words[i] for i in g]) for g in joined], add_special_tokens=False), strict=True):
@@ -120,13 +161,23 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and n + 1 offsets."""
         ids, offs, base = [], [np.zeros(1, np.int64)], 0
+        if not self.by_word:
+            for _, _, data, o in slices(texts):
+                raw = data.tobytes()
+                for e in self.tokenizer.encode_batch_fast([raw[x:y].decode() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)], add_special_tokens=False):
+                    ids.append(np.array(e.ids, np.uint32 if self.big else np.uint16))
+                    base += len(e.ids)
+                    offs.append(np.array([base]))
+            return np.concatenate(ids) if ids else np.zeros(0, np.uint16), np.concatenate(offs)
         for _, _, data, o in slices(texts):
             start, end, first = runs(~APART[data], o)
-            if len(start) > REMEMBERED:  # one enormous text: not by words
-                for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True):
-                    got = self.tokenizer.encode(data[x:y].tobytes().decode(), add_special_tokens=False).ids
-                    ids.append(np.array(got, self.ids.dtype))
-                    base += len(got)
+            if len(start) > REMEMBERED:  # one enormous text: some words at a time, without looking them up
+                for k in range(len(o) - 1):
+                    for i in range(first[k], first[k + 1], 100_000):
+                        j = min(i + 100_000, first[k + 1]) - 1
+                        got = self.tokenizer.encode(data[start[i] : end[j]].tobytes().decode(), add_special_tokens=False).ids
+                        ids.append(np.array(got, self.ids.dtype))
+                        base += len(got)
                     offs.append(np.array([base]))
                 continue
             h = span_hash(prefix_hash(data), start, end) | np.uint64(1)
@@ -225,18 +276,29 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
     return manifest
 
 
-def open_part(path: str, file: str, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, document ids, offsets) of a part, memory-mapped where the file system is local."""
+class Stored:
+    """A file of numbers of one kind: x[lo:hi] reads that range, memory-mapped where the file system is local."""
+
+    def __init__(self, fs, name: str, kind: str):
+        self.kind = np.dtype(kind)
+        self.map = np.memmap(name, kind, "r") if fs.type_name == "local" else None
+        self.file = None if self.map is not None else fs.open_input_file(name)
+        self.n = len(self.map) if self.map is not None else self.file.size() // self.kind.itemsize
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.map is not None:
+            return np.asarray(self.map[at])
+        lo, hi, _ = at.indices(self.n)
+        return np.frombuffer(self.file.read_at(max(0, hi - lo) * self.kind.itemsize, lo * self.kind.itemsize), self.kind)
+
+
+def open_part(path: str, file: str, dtype: str) -> tuple[Stored, Stored, Stored]:
+    """(ids, document ids, offsets) of a part."""
     fs, at = _filesystem(path)
-    got = []
-    for kind, t in (("ids", dtype), ("docs", "<i8"), ("offs", "<i8")):
-        name = f"{at}/{file}.{kind}"
-        if fs.type_name == "local":
-            got.append(np.memmap(name, t, "r"))
-        else:
-            with fs.open_input_file(name) as f:
-                got.append(np.frombuffer(f.read(), t))
-    return tuple(got)
+    return tuple(Stored(fs, f"{at}/{file}.{kind}", t) for kind, t in (("ids", dtype), ("docs", "<i8"), ("offs", "<i8")))
 
 
 def read_token_files(spark: SparkSession, path: str, parts: DataFrame | None = None) -> DataFrame:
@@ -250,11 +312,11 @@ def read_token_files(spark: SparkSession, path: str, parts: DataFrame | None = N
             for r in batch.to_pylist():
                 ids, docs, offs = open_part(path, r["file"], r["dtype"])
                 for lo in range(0, len(docs), 10_000):
-                    o = np.asarray(offs[lo : lo + 10_001])
+                    o = offs[lo : lo + 10_001]
                     piece = np.ascontiguousarray(ids[o[0] : o[-1]]).astype("<u4")
                     raw, b = memoryview(piece).cast("B"), (o - o[0]) * 4
                     crc = [zlib.crc32(raw[s:e]) for s, e in zip(b[:-1].tolist(), b[1:].tolist(), strict=True)]
-                    d = pa.array(np.asarray(docs[lo : lo + 10_000]))
+                    d = pa.array(docs[lo : lo + 10_000])
                     yield pa.RecordBatch.from_arrays([pc.if_else(pc.equal(d, -(1 << 63)), None, d), pa.array(o[:-1] + r["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return parts.repartition(max(1, files), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

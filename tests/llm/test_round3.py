@@ -4,9 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from parley.llm import conversations, merkle, pitman_yor
+from parley.llm import conversations, line_dedup, merkle, pitman_yor, token_files
+from parley.llm.queries import tokenizer_path
 from tests.conftest import SF
 from tests.llm import brute
 
@@ -111,3 +113,52 @@ def test_tables_are_drawn_from_their_conditional():
     assert np.abs(got - w / w.sum()).max() < 0.005
     many = pitman_yor.tables(np.full(1000, 5000), np.full(1000, others), np.full(1000, p), key[:1000], 1, d)
     assert 1 < many.mean() < 5000 and many.max() <= 5000
+
+
+def test_tokenizers_whose_pieces_reach_over_white_space(spark, tmp_path, monkeypatch):
+    import json
+
+    from tokenizers import Tokenizer
+
+    texts = ["Hello  world\n\n x", " a\tb ", "", None, "don't  stop", "\x01 \x02\x01 x", "é ü  1234"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        at = tokenizer_path(name)
+        own = Tokenizer.from_file(at)
+        encoder = token_files.Encoder(at)
+        want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for remembered in (1_400_000, 2):  # also where a text has more words than are looked up
+            monkeypatch.setattr(token_files, "REMEMBERED", remembered)
+            ids, offs = encoder.encode(pa.array(texts, pa.string()))
+            assert [ids[x:y].tolist() for x, y in zip(offs[:-1], offs[1:], strict=True)] == want
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = sorted(tuple(r) for r in token_files.token_index(docs, at, f"file://{tmp_path}/{name}").collect())
+        assert got == brute.op4(list(enumerate(texts)), own)
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        plain = json.load(f)
+    assert token_files.parts_at_space(plain) and not token_files.parts_at_space({**plain, "pre_tokenizer": None})
+    reaching = {"id": 0, "content": "<x>", "lstrip": True, "rstrip": False, "single_word": False}
+    assert not token_files.parts_at_space({**plain, "added_tokens": [reaching]}) and not token_files.parts_at_space({**plain, "normalizer": {"type": "Strip"}})
+
+
+def test_files_are_read_by_ranges(tmp_path):
+    from pyarrow import fs
+
+    np.arange(1000, dtype="<i8").tofile(tmp_path / "x")
+    local = token_files.Stored(fs.LocalFileSystem(), str(tmp_path / "x"), "<i8")
+    far = token_files.Stored(fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "x", "<i8")
+    assert local.map is not None and far.map is None and len(far) == len(local) == 1000
+    assert far[10:20].tolist() == local[10:20].tolist() == list(range(10, 20)) and far[990:2000].tolist() == list(range(990, 1000))
+
+
+def test_lines_in_any_order_of_deliveries(spark):
+    """What the look-up in the runs decides: a document that comes again is not counted again, whatever came in between."""
+    docs = {1: "abx", 2: "bx", 3: "abcx", 7: "cx", 9: "ax", 11: "x", 12: "x"}
+    want = {k: (sum(k in x for x in docs.values()), max(d for d, x in docs.items() if k in x)) for k in "abcx"}
+    orders = [[[1], [2], [3], [7], [9, 11], [12]], [[12], [9, 11], [7], [3], [2], [1]], [[3, 9], [1, 3], [12, 9], [2], [1, 2, 7], [11, 3, 9]]]
+    for order in orders:
+        store = line_dedup.LineRuns(spark, fanout=2)
+        for ids in order:
+            store.add(spark.createDataFrame([(k.encode(), d) for d in ids for k in docs[d] * 2], "key binary, doc_id long"))
+        assert {bytes(r.key).decode(): (r.n_docs, r.keeper) for r in store.keys().collect()} == want
+        assert sum(r.count() for r in store.runs()) == sum(len(x) for x in docs.values())
+        store.close()
