@@ -31,7 +31,7 @@ from parley.llm._text import IS_SPACE, LOWER, PLACE, U64, give_back, mix, prefix
 #: The end of a text, a token and the context of the next text's first word.
 END = mix(np.full(1, 0xE0D, U64))[0]
 #: Bytes of text that a task takes together.
-TAKEN = 1 << 22
+TAKEN = 1 << 23
 #: Tokens in one part, about, and the least share of all tokens that a context or pair needs to be dealt otherwise.
 PART_TOKENS, SHARES = 2_000_000, 100_000
 #: Words among which those are that are written as slots, and pairs that are scored together.
@@ -358,6 +358,20 @@ def discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
+def _common(words: DataFrame) -> np.ndarray:
+    """The most frequent words, the most frequent first: those over a number of tokens that COMMON words at most have, by a histogram of a few hundred classes."""
+    kind = F.floor(F.log2("n") * 16).cast("long")
+    classes, over, least = sorted(((r["k"], r["x"]) for r in words.groupBy(kind.alias("k")).agg(F.count("*").alias("x")).collect()), reverse=True), 0, None
+    for k, x in classes:
+        if over + x > COMMON:
+            break
+        over, least = over + x, k
+    if least is None:
+        return np.zeros(0, U64)
+    got = words.where(kind >= least).select("n", "w").toArrow().sort_by([("n", "descending"), ("w", "ascending")])
+    return got.column("w").to_numpy().view(U64)
+
+
 def _numbers(df: DataFrame, key: str, value: str, order: np.ndarray) -> np.ndarray:
     """The sums of value by key, for the keys in order: at most SHARES of them."""
     got = {r[0]: r[1] for r in df.groupBy(key).agg(F.sum(value)).collect()}
@@ -382,7 +396,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     # at most 2 * parts and at most shares of them
     frequent = {r["w"]: r["c"] for r in words.where(F.col("n") > least).select("w", "c").collect()}
     hot = np.sort(np.array(list(frequent), np.int64).view(U64))
-    common = np.array([r["w"] for r in words.orderBy(F.desc("n"), "w").limit(COMMON).select("w").collect()], np.int64).view(U64)
+    common = _common(words)
     deal = Deal(parts, hot, np.array([frequent[int(x)] for x in hot.view(np.int64)], np.int64), least, Code(common))
     restaurants = build(texts, deal)
     few = restaurants.where(F.col("kind") == COUNTS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("a"), F.coalesce(F.sum("m"), F.lit(0)).alias("b")).first()
@@ -504,12 +518,14 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         x = Part(right, deal.code)
-        answer = right.filter(pc.equal(right.column("kind"), DISH))
-        words, c_word = answer.column("key").to_numpy().view(U64), answer.column("n").to_numpy()
-        packs = [answer.column(f"x{i}").to_numpy() for i in range(-(-n_samples // 2))]
-        p = np.exp(-LOG_UNIT * np.stack([packs[i // 2] & 0x7FFFFFFF if i % 2 else packs[i // 2] >> 32 for i in range(n_samples)]))
+        told = [r for r in right.filter(pc.equal(right.column("kind"), DISH)).to_pylist()]
+        words = np.concatenate([unpacked(r["a"], np.int64, r["key"]) for r in told] or [np.zeros(0, np.int64)]).view(U64)
+        c_word = np.concatenate([unpacked(r["b"], np.int64, r["key"]) for r in told] or [np.zeros(0, np.int64)])
+        wide = -(-n_samples // 2)
+        packs = np.concatenate([unpacked(r["c"], np.int64, wide * r["key"]).reshape(wide, -1) for r in told] or [np.zeros((wide, 0), np.int64)], 1)
         order = np.argsort(words)
-        words, c_word, p = words[order], c_word[order], p[:, order]
+        words, c_word, packs = words[order], c_word[order], packs[:, order]
+        p = np.exp(-LOG_UNIT * np.stack([packs[i // 2] & 0x7FFFFFFF if i % 2 else packs[i // 2] >> 32 for i in range(n_samples)]))
         t = np.stack([x.t[s] if s in x.t else np.ones(len(x.c), np.int64) for s in scorer.samples])
         total = np.stack([x.all_tables(t[i], deal.hot, scorer.hot_tables[i]) for i in range(n_samples)])
         customers = x.customers.copy()
@@ -580,17 +596,38 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
             known[at] += unpacked(r["c"], np.uint32, r["n"])
         return pa.table({"id": pa.array(ids, mask=null.astype(bool)), "held": pa.array(held.astype(bool)), "n_tokens": count, "n_known": known, "base_score": flat, "score": score})
 
-    fields = [x.split()[0] for x in _MESSAGE.split(", ")]
     pairs = range(-(-n_samples // 2))
-    blank = [F.lit(None).cast("long").alias(f"x{i}") for i in pairs]
-    right = restaurants.where(F.col("kind").isin(RESTAURANT, CONTEXTS)).select(*fields, *blank)
-    for s in seatings:
-        right = right.unionByName(s.select(*fields, *blank))
     log = lambda i: F.least(F.round(-F.ln(f"p{i}") / LOG_UNIT).cast("long"), F.lit((1 << 31) - 1)) if i < n_samples else F.lit(0).cast("long")
     short = model.select("w", "c", *(F.shiftleft(log(2 * i), 32).bitwiseOR(log(2 * i + 1)).alias(f"x{i}") for i in pairs))
-    answers = said.select("part", F.col("key").alias("w")).join(short.hint("shuffle_hash"), "w")
-    none = {x: F.lit(None).cast("binary").alias(x) for x in "abcd"}
-    right = right.unionByName(answers.select(F.lit(DISH).alias("kind"), "part", F.col("w").alias("key"), F.col("c").alias("n"), F.lit(None).cast("long").alias("m"), *none.values(), *(F.col(f"x{i}") for i in pairs)))
+    answers = said.select("part", F.col("key").alias("w")).join(short.hint("shuffle_hash"), "w").select("part", "w", "c", *(f"x{i}" for i in pairs))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Answers of one part as one message, for each half a million."""
+        held, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3 + len(pairs))]
+            order = np.lexsort((cols[1], cols[0]))
+            cols = [c[order] for c in cols]
+            edges = np.flatnonzero(np.diff(cols[0], prepend=-1, append=-1))
+            rows = []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                rows.append((DISH, int(cols[0][lo]), hi - lo, 0, 0, packed(cols[1][lo:hi]), packed(cols[2][lo:hi]), packed(np.stack([c[lo:hi] for c in cols[3:]])), None))
+            return messages(rows)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 500_000:
+                yield told()
+                held, size = [], 0
+        if size:
+            yield told()
+        give_back()
+
+    right = restaurants.where(F.col("kind").isin(RESTAURANT, CONTEXTS)).unionByName(answers.mapInArrow(together, _MESSAGE))
+    for s in seatings:
+        right = right.unionByName(s)
     left = texts.mapInArrow(occurrences, _MESSAGE)
     got = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(score, _MESSAGE)
     return got.groupBy("key").applyInArrow(total, "id long, held boolean, n_tokens long, n_known long, base_score double, score double")
