@@ -187,3 +187,67 @@ def test_centroids_of_hot_and_odd_keys(spark):
     for k in {r[0] for r in rows} - {50}:
         m = np.nan_to_num(np.array([x for j, x in rows if j == k], float)).mean(0)
         assert got[k] == (sum(j == k for j, _ in rows), [round(x, 9) for x in (m / np.linalg.norm(m)).tolist()])
+
+
+def test_young_files_come_later(spark, tmp_path):
+    import os
+    import time
+
+    from parley.streaming import pending
+
+    folder, state, check = tmp_path / "in", f"file://{tmp_path}/state", str(tmp_path / "check")
+    folder.mkdir()
+    put = lambda name, age, body=b"x": ((folder / name).write_bytes(body), os.utime(folder / name, (time.time() - age,) * 2))
+    seen = []
+
+    def run(more=()):
+        stream = pending.complete_audio_stream(spark, str(folder), state, 30)
+        query = stream.writeStream.foreachBatch(lambda df, n: seen.append(sorted((os.path.basename(r.path), r.length) for r in df.collect()))).option("checkpointLocation", check).start()
+        try:
+            query.processAllAvailable()
+            for step in more:
+                step()
+                query.processAllAvailable()
+                time.sleep(0.5)
+                query.processAllAvailable()
+        finally:
+            query.stop()
+
+    put("old.wav", 100)
+    put("young.mp3", 0)
+    put("empty.wav", 100, b"")
+    put("notes.txt", 100)
+    run([lambda: put("young.mp3", 60)])  # it ripens within one query
+    put("empty.wav", 5000, b"later")  # its time of change lies before what was handed on
+    put("late.MP3", 40)
+    run()  # and over a restart
+    run()
+    flat = [x for batch in seen for x in batch]
+    assert sorted(flat) == [("empty.wav", 5), ("late.MP3", 1), ("old.wav", 1), ("young.mp3", 1)] and seen[0] == [("old.wav", 1)]
+
+
+def test_reruns_of_incomplete_work(spark, tmp_path):
+    from parley.streaming import rerun
+
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    t = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+
+    def deliver(rows):
+        frame = spark.createDataFrame(rows, "meeting_id long, target string, seq long, status string, post_id string, error string, at string").withColumn("at", F.to_timestamp("at"))
+        frame.coalesce(1).write.mode("append").json(src)
+        events = spark.readStream.schema(rerun.EVENTS).json(src)
+        query = rerun.reruns(events, (60, 120), "0 seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted((r.meeting_id, r.target, r.kind, r.status, r.attempts, r.post_id) for r in spark.read.parquet(out).collect())
+
+    first = [(1, "a", 1, "failed", None, "boom", t(0)), (2, "a", 1, "synced", "p2", None, t(0)), (1, "b", 1, "pending", None, None, t(0))]
+    deliver(first)
+    got = deliver([*first, (9, "x", 1, "pending", None, None, t(61))])  # replays change nothing; the clock goes on past the first wait
+    assert [g for g in got if g[0] == 1 and g[1] == "a"] == [(1, "a", "attempt", "failed", 1, None), (1, "a", "state", "failed", 1, None)]
+    deliver([(1, "a", 2, "partial", "p1", "half", t(70))])
+    got = deliver([(9, "x", 2, "pending", None, None, t(200)), (1, "a", 1, "failed", None, "boom", t(200))])
+    assert [g[2:] for g in got if g[:2] == (1, "a")].count(("attempt", "partial", 2, "p1")) == 1
+    got = deliver([(1, "a", 3, "synced", None, None, t(201)), (9, "x", 3, "pending", None, None, t(1000))])
+    mine = [g[2:] for g in got if g[:2] == (1, "a")]
+    assert mine.count(("state", "synced", 0, "p1")) == 1 and sum(m[0] == "attempt" for m in mine) == 2
+    assert [g for g in got if g[0] == 2] == [(2, "a", "state", "synced", 0, "p2")]
