@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import dictionary
-from parley.operators import diarize, edits, linkage, numbering, vectors
+from parley.operators import diarize, edits, linkage, numbering, postings, vectors
 from parley.sources import export
 
 
@@ -251,3 +251,19 @@ def test_reruns_of_incomplete_work(spark, tmp_path):
     mine = [g[2:] for g in got if g[:2] == (1, "a")]
     assert mine.count(("state", "synced", 0, "p1")) == 1 and sum(m[0] == "attempt" for m in mine) == 2
     assert [g for g in got if g[0] == 2] == [(2, "a", "state", "synced", 0, "p2")]
+
+
+def test_stored_postings(spark):
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice("abAé𝄞 ") for _ in range(r.randrange(0, 60))), r.choice([None, "", "ab", "aaaa aaaa"])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, title string, body string")
+    spark.sql("DROP TABLE IF EXISTS postings_test")
+    for part in (frame.where("id < 100"), frame.where("id >= 100")):
+        postings.store(postings.postings(part, ["title", "body"]), "postings_test", 8)
+    for phrase in ("aaa", "AB ", "aaaa", "é𝄞 ", "bbab", "ab", "zzz"):
+        low, count = phrase.lower(), lambda x: sum(x.startswith(low, k) for k in range(len(x)))  # noqa: B023
+        want = {i: n for i, a, b in rows if (n := count((a or "").lower()) + count((b or "").lower()))} if len(phrase) > 2 else {}
+        assert {x.id: x.hits for x in postings.phrase_hits(spark, "postings_test", phrase).collect()} == want
+    plan = postings.phrase_hits(spark, "postings_test", "aaa")._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 8" in plan
+    spark.sql("DROP TABLE postings_test")
