@@ -173,6 +173,34 @@ def safe_correction(original: Column, corrected: Column) -> Column:
     return F.when((new == "") | (F.length(new) > F.greatest(F.length(original) * 2 + 20, F.lit(40))), original).otherwise(new)
 
 
+def correction_batches(utterances: DataFrame, size: int = 30) -> DataFrame:
+    """utterances (meeting_id, seq, text) in batches for a model: meeting_id, batch, seqs, texts, request (JSON: items of i and text). A batch without any text is not
+    sent. seq is dense, so a batch is a division of it, and no meeting is sorted."""
+    row = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))
+    by = utterances.groupBy("meeting_id", F.floor(F.col("seq") / size).alias("batch")).agg(F.array_sort(F.collect_list(row)).alias("rows"))  # size at most
+    texts = F.transform("rows", lambda r: r["text"])
+    items = F.to_json(F.struct(F.transform(texts, lambda x, i: F.struct(i.alias("i"), x.alias("text"))).alias("items")))
+    return by.where(F.exists(texts, lambda x: x.rlike(r"\S"))).select("meeting_id", "batch", F.transform("rows", lambda r: r["seq"]).alias("seqs"), texts.alias("texts"), items.alias("request"))
+
+
+def corrected_items(raw: Column, texts: Column) -> Column:
+    """A model's reply to a batch, {"items": [{"i": ..., "text": ...}, ...]}, as the batch's texts: of an i the last item counts, where it is safe (safe_correction);
+    items of other numbers, or that are no objects, are passed over. Null where the reply has no such list."""
+    from parley.functions.text import json_object, once
+
+    items = F.from_json(F.nullif(json_object(raw), F.lit("")), "items array<string>")["items"]
+    told = F.transform(items, lambda x: F.from_json(x, "i string, text string"))
+
+    def put(known: Column) -> Column:
+        def one(old: Column, i: Column) -> Column:
+            last = F.try_element_at(F.filter(known, lambda x: x["i"].try_cast("double").cast("int") == i), F.lit(-1))
+            return once(F.array(F.struct(last.alias("x")))[0], lambda s: F.when(s["x"].isNull(), old).otherwise(safe_correction(old, s["x"]["text"])))
+
+        return F.transform(texts, one)
+
+    return F.when(items.isNotNull(), once(told, put))
+
+
 def upsert_terms(rules: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """rules with the rows of new (term, pattern, replacement, scope, notes) put in: a rule of the same term, scope and pattern is replaced and enabled
     again and keeps its id; others get ids after the highest. A null scope is the global one, a null pattern an empty one. Of several new rows of one key the last

@@ -223,6 +223,12 @@ def section_reply(raw: Column, heading: str, least: Column | int) -> Column:
     return _read_reply(raw, judge)
 
 
+def title_of_reply(raw: Column) -> Column:
+    """The title of a reply that can be read as JSON, whatever else it lacks; '회의록' where there is none."""
+    j = F.from_json(F.nullif(json_object(raw), F.lit("")), "title string, broken string", {"columnNameOfCorruptRecord": "broken", "allowSingleQuotes": "false"})
+    return F.coalesce(F.when(j["broken"].isNull(), F.nullif(F.substring(_stripped(j["title"]), 1, 200), F.lit(""))), F.lit("회의록"))
+
+
 def title_of_chunks(chunks: DataFrame) -> DataFrame:
     """chunks: meeting_id, chunk, title. Per meeting the first title that says something, '회의록' where none does."""
     t = _stripped(F.coalesce("title", F.lit("")))

@@ -124,6 +124,17 @@ def transcript_tokens(chars: int) -> int:
     return int(chars * 0.5) + 2048
 
 
+def recommended_context(tokens: Column) -> Column:
+    """The context to ask for: the next multiple of 1024 above, from 4096 to 131072."""
+    return F.least(F.lit(131_072), F.greatest(F.lit(4096), (F.floor(tokens / 1024) + 1) * 1024)).cast("long")
+
+
+def context_fit(transcript: Column, context: int = 32_768) -> Column:
+    """struct<tokens, fits, recommended>: does a transcript fit a model's context, and which would do?"""
+    tokens = (F.floor(F.length(F.coalesce(transcript, F.lit(""))) / 2) + 2048).cast("long")
+    return F.struct(tokens.alias("tokens"), (tokens <= context).alias("fits"), recommended_context(tokens).alias("recommended"))
+
+
 def max_chunk_tokens(context: int) -> int:
     return max(4096, min(12_000, max(4096, context - 2048)))
 

@@ -74,8 +74,8 @@ def speaker_trend(utterances: DataFrame, speaker: str) -> DataFrame:
 
 def latest_meetings(meetings: DataFrame, utterances: DataFrame, n: int = 20) -> DataFrame:
     """The n meetings with the highest ids, each with its number of utterances (0 if none)."""
-    counts = utterances.groupBy("meeting_id").agg(F.count("*").alias("utterances"))
     top = meetings.orderBy(F.desc("meeting_id")).limit(n)
+    counts = utterances.join(F.broadcast(top.select("meeting_id")), "meeting_id", "left_semi").groupBy("meeting_id").agg(F.count("*").alias("utterances"))  # n ids
     return top.join(counts, "meeting_id", "left").withColumn("utterances", F.coalesce("utterances", F.lit(0)))
 
 

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions import dictionary
-from parley.operators import postings, vectors
+from parley.functions import dictionary, text
+from parley.operators import intervals, postings, sequence, vectors
 from parley.operators.numbering import kept, numbered
+from parley.plans import talk
 from parley.plans.archive import M
 from parley.sources import export
 from parley.sources import tables as t
@@ -55,10 +56,42 @@ def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
     return t.read(spark, d, "part").select("p_partkey", export.markdown_html(md).alias("html"))
 
 
-QUERIES = {f.__name__: f for f in (posting_phrases, rules_all, nearest_reference, markdown_blocks)}
+def overlap_sweep(spark: SparkSession, d: str) -> DataFrame:
+    s, turns = talk.segments_and_turns(spark, d)
+    return intervals.assign_by_sweep(s, turns, 16).select("meeting_id", "seq", "assigned", "overlap_ms")
+
+
+def context_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Each document, forty times over, as a transcript."""
+    fit = sequence.context_fit(F.repeat(F.col("text"), F.lit(40)), 65_536)
+    return t.read(spark, d, "documents").select("doc_id", fit["tokens"].alias("tokens"), fit["fits"].alias("fits"), fit["recommended"].alias("recommended"))
+
+
+def correction_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of all conversations, and replies to them that reverse short texts, rewrite long ones, and are unreadable for some."""
+    c = t.read(spark, d, "conversations").select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("seq"), "text")
+    b = dictionary.correction_batches(c, 3)
+    item = lambda x, i: F.to_json(F.struct(i.alias("i"), F.when(F.length(x) < 200, F.reverse(x)).otherwise(F.repeat(x, F.lit(3))).alias("text")))
+    reply = F.when(F.col("meeting_id") % 5 == 0, F.lit("no list here {}")).otherwise(F.concat(F.lit('```json\n{"items": [7, {"i": 99, "text": "x"}, '), F.array_join(F.transform("texts", item), ", "), F.lit("]}\n```")))
+    got = b.select("meeting_id", F.explode(F.arrays_zip("seqs", F.coalesce(dictionary.corrected_items(reply, F.col("texts")), F.col("texts")).alias("new"))).alias("z"))
+    return got.select("meeting_id", F.col("z.seqs").alias("seq"), F.md5(F.col("z.new").cast("binary")).alias("digest"))
+
+
+def reply_titles(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey") % 4
+    raw = F.when(n == 0, F.concat(F.lit('{"title": "  '), "p_name", F.lit(' ", "x": 1}'))).when(n == 1, F.lit("broken reply")).when(n == 2, F.lit('{"title": "", "summary_md": "x"}')).otherwise(F.concat(F.lit('{"title": "'), "p_name"))
+    return t.read(spark, d, "part").select("p_partkey", text.title_of_reply(raw).alias("title"))
+
+
+QUERIES = {f.__name__: f for f in (overlap_sweep, context_fit, correction_replies, reply_titles, posting_phrases, rules_all, nearest_reference, markdown_blocks)}
 
 _NL = "chr(10)"
 ORACLE_SQL = {
+    "overlap_sweep": talk.ORACLE_SQL["overlap_assign"],
+    "context_fit": "SELECT doc_id, t AS tokens, t <= 65536 AS fits, least(131072, greatest(4096, (t // 1024 + 1) * 1024)) AS recommended FROM (SELECT doc_id, coalesce(length(text), 0)::BIGINT * 40 // 2 + 2048 AS t FROM documents)",
+    "correction_replies": """
+SELECT conv_id AS meeting_id, turn AS seq, md5(CASE WHEN conv_id % 5 = 0 THEN text WHEN length(text) < 200 AND trim(text) <> '' THEN trim(reverse(text), ' ' || chr(9) || chr(10) || chr(13)) WHEN 3 * length(text) > greatest(2 * length(text) + 20, 40) THEN text ELSE repeat(text, 3) END) AS digest FROM conversations""",
+    "reply_titles": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN trim(p_name) ELSE '회의록' END AS title FROM part",
     "posting_phrases": f"WITH {M}, h AS (SELECT id, (length(lower(title)) - length(replace(lower(title), '{PHRASE.lower()}', '')) + length(lower(body)) - length(replace(lower(body), '{PHRASE.lower()}', ''))) // {len(PHRASE)} AS hits FROM d) SELECT id, hits::BIGINT AS hits FROM h WHERE hits > 0",
     "rules_all": r"""
 WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS w FROM conversations), r AS (SELECT list(w ORDER BY w) AS ws FROM w)

@@ -100,11 +100,15 @@ def chunk_utterances(spark: SparkSession, d: str) -> DataFrame:
     return sequence.chunk_utterances(t.spoken_utterances(spark, d), 30_000)
 
 
-def overlap_assign(spark: SparkSession, d: str) -> DataFrame:
+def segments_and_turns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     u = t.event_utterances(spark, d)
     segments = u.select("meeting_id", "seq", "start_ms", (F.col("start_ms") + 7_200_000).alias("end_ms"))
     turns = u.select("meeting_id", F.col("seq").alias("turn_idx"), (F.col("start_ms") + 3_600_000).alias("start_ms"), (F.col("start_ms") + 14_400_000).alias("end_ms"), "speaker")
-    return intervals.assign_by_overlap(segments, turns, 86_400_000).select("meeting_id", "seq", "assigned", "overlap_ms")
+    return segments, turns
+
+
+def overlap_assign(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.assign_by_overlap(*segments_and_turns(spark, d), 86_400_000).select("meeting_id", "seq", "assigned", "overlap_ms")
 
 
 def positional_zip(spark: SparkSession, d: str) -> DataFrame:

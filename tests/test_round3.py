@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import dictionary
-from parley.operators import diarize, edits, linkage, numbering, postings, vectors
+from parley.operators import diarize, edits, intervals, linkage, numbering, postings, vectors
 from parley.sources import export
 
 
@@ -267,3 +267,36 @@ def test_stored_postings(spark):
     plan = postings.phrase_hits(spark, "postings_test", "aaa")._jdf.queryExecution().executedPlan().toString()
     assert "SelectedBucketsCount: 1 out of 8" in plan
     spark.sql("DROP TABLE postings_test")
+
+
+def test_sweep_is_the_overlap_join(spark):
+    r = random.Random(9)
+    seg = [(m, i, s := r.randrange(0, 2000), s + r.randrange(-5, 60)) for m, n in ((1, 800), (2, 40), (3, 5)) for i in range(n)]
+    turn = [(m, i, s := r.randrange(0, 2000), s + r.choice([0, 10, 40, 3000]), f"s{i % 9}") for m, n in ((1, 300), (2, 20), (4, 3)) for i in range(n)] + [(1, 900 + i, -100, 5000, f"all{i}") for i in range(50)]
+    a = spark.createDataFrame(seg, "meeting_id long, seq long, start_ms long, end_ms long")
+    b = spark.createDataFrame(turn, "meeting_id long, turn_idx long, start_ms long, end_ms long, speaker string")
+    want = {}
+    for m, i, s, e in seg:
+        found = [(min(e, te) - max(s, ts), -k, who) for n, k, ts, te, who in turn if n == m and min(e, te) > max(s, ts)] if e > s else []
+        want[m, i] = (max(found)[2], max(found)[0]) if found else (None, 0)
+    got = {(x.meeting_id, x.seq): (x.assigned, x.overlap_ms) for x in intervals.assign_by_sweep(a, b, 9).collect()}
+    assert got == want
+    assert {x.assigned for x in intervals.assign_by_sweep(a, b.limit(0), 3).collect()} == {None} and intervals.assign_by_sweep(a.limit(0), b, 3).collect() == []
+
+
+def test_small_parity(spark):
+    from parley.functions import text
+    from parley.operators import sequence
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [one(sequence.recommended_context(F.lit(x))) for x in (5000, 100, 10**9)] == [5120, 4096, 131072]
+    big = one(sequence.context_fit(F.repeat(F.lit("가"), F.lit(200_000)), 8192))
+    assert not big.fits and big.tokens == 102_048 and big.recommended > 8192 and one(sequence.context_fit(F.lit("짧은 회의 내용"))).fits
+    assert one(text.title_of_reply(F.lit('{"title":"좋은제목","summary_md":"x"}'))) == "좋은제목" and one(text.title_of_reply(F.lit("깨진 응답"))) == "회의록"
+    texts = ["이번 터론은 집단지선에 필요한 주제들", "짧은 말", "c"]
+    fixed = lambda raw: one(dictionary.corrected_items(F.lit(raw), F.array(*(F.lit(x) for x in texts))))
+    assert fixed('{"items":[{"i":0,"text":"이번 토론은 집단지성에 필요한 주제들"},{"i":"1","text":"' + "x" * 200 + '"},{"i":9,"text":"y"},3,{"text":"z"},{"i":2,"text":"d"},{"i":2,"text":"e"}]}') == ["이번 토론은 집단지성에 필요한 주제들", "짧은 말", "e"]
+    assert fixed('{"items": {"i": 0}}') is None and fixed("nothing") is None and fixed('{"items": []}') == texts
+    u = spark.createDataFrame([(1, i, None if i == 4 else f"t{i}" if i < 5 else " ") for i in range(9)], "meeting_id long, seq long, text string")
+    got = sorted((x.batch, x.seqs, x.texts, x.request) for x in dictionary.correction_batches(u, 3).collect())
+    assert got == [(0, [0, 1, 2], ["t0", "t1", "t2"], '{"items":[{"i":0,"text":"t0"},{"i":1,"text":"t1"},{"i":2,"text":"t2"}]}'), (1, [3, 4, 5], ["t3", "", " "], '{"items":[{"i":0,"text":"t3"},{"i":1,"text":""},{"i":2,"text":" "}]}')]
