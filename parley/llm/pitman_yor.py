@@ -56,6 +56,16 @@ def unpacked(x: bytes | None, kind: type, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
+def packed_small(x: np.ndarray) -> bytes:
+    """Numbers of two bytes where they fit, else of four."""
+    wide = np.uint32 if len(x) and int(x.max()) >= 1 << 16 else np.uint16
+    return bytes([np.dtype(wide).itemsize]) + packed(x.astype(wide))
+
+
+def unpacked_small(x: bytes, n: int) -> np.ndarray:
+    return unpacked(x[1:], np.uint16 if x[0] == 2 else np.uint32, n).astype(np.int64)
+
+
 class Code:
     """Hashes of words as bytes: frequent words as a slot of 16 bits, before compression, others as their 64. A slot has the most frequent of the words whose hash
     begins with it."""
@@ -434,16 +444,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     model = words.where("c > 0").select("w", "c", *(F.lit(None).cast("double").alias(f"p{i}") for i in range(len(kept))))
     for i, (_, _, p, _, _) in enumerate(kept):
         model = model.unionByName(p.frame.select("w", F.lit(None).cast("long").alias("c"), *((F.col("p") if j == i else F.lit(None).cast("double")).alias(f"p{j}") for j in range(len(kept)))))
-    model = materialise(model.groupBy("w").agg(F.max("c").alias("c"), *(F.coalesce(F.max(f"p{i}"), F.lit(kept[i][2].single)).alias(f"p{i}") for i in range(len(kept)))), "lm-model")
+    model = materialise(model.groupBy("w").agg(F.max("c").alias("c"), *(F.max(f"p{i}").alias(f"p{i}") for i in range(len(kept)))), "lm-model")
     for x in (words, guests, *(p.made for _, _, p, _, _ in kept)):
         drop_table(x)
     rest = np.array([p.rest for _, _, p, _, _ in kept])
     at_hot = np.stack([x for _, _, _, x, _ in kept])
-    scorer = Scorer(deal, at_hot, rest, d, strength, n_train, vocabulary, [x for x, *_ in kept])
+    single = np.array([p.single for _, _, p, _, _ in kept])
+    scorer = Scorer(deal, at_hot, rest, single, d, strength, n_train, vocabulary, [x for x, *_ in kept])
     # the very frequent pairs, at most shares of them
     known = {r["w"]: r for r in model.join(F.broadcast(spark.createDataFrame([(int(x),) for x in np.unique(hot_word.view(np.int64))], "w long")), "w").collect()} if len(hot_key) else {}
     found = [known.get(int(x)) for x in hot_word.view(np.int64)]
-    p = np.array([[r[f"p{i}"] if r and r[f"p{i}"] is not None else rest[i] for r in found] for i in range(len(kept))]).reshape(len(kept), -1)
+    p = np.array([[rest[i] if r is None else single[i] if r[f"p{i}"] is None else r[f"p{i}"] for r in found] for i in range(len(kept))]).reshape(len(kept), -1)
     c_word = np.array([r["c"] if r else 0 for r in found], np.int64)
     at = among(hot, hot_ctx)[0]
     hot_t = np.stack([x for *_, x in kept])
@@ -472,8 +483,8 @@ def _hot_kept(restaurants: DataFrame, deal: Deal) -> np.ndarray:
 class Scorer:
     """The predictive probabilities, averaged over the samples."""
 
-    def __init__(self, deal: Deal, hot_tables: np.ndarray, rest: np.ndarray, d: float, strength: float, n_train: int, vocabulary: int, samples: list[int]):
-        self.deal, self.hot_tables, self.rest, self.d, self.strength, self.samples = deal, hot_tables, rest, d, strength, samples
+    def __init__(self, deal: Deal, hot_tables: np.ndarray, rest: np.ndarray, single: np.ndarray, d: float, strength: float, n_train: int, vocabulary: int, samples: list[int]):
+        self.deal, self.hot_tables, self.rest, self.single, self.d, self.strength, self.samples = deal, hot_tables, rest, single, d, strength, samples
         self.n_train, self.vocabulary = n_train, vocabulary
 
     def probability(self, c: np.ndarray, t: np.ndarray, tables: np.ndarray, customers: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -509,9 +520,9 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
                 for p, i in deal.dealt(ctx, pair, np.flatnonzero(~hot)):
                     first = np.flatnonzero(np.diff(pair[i], prepend=~pair[i[:1]]))
                     j = i[first]
-                    many = np.diff(first, append=len(i)).astype(np.uint32)
-                    body = (text[i] * 2 + held[text[i]]).astype(np.uint32)
-                    rows.append((RESTAURANT, p, base, len(j), len(i), deal.code.packed(ctx[j]), deal.code.packed(tokens[j]), packed(many), packed(body)))
+                    many = np.diff(first, append=len(i))
+                    body = text[i] * 2 + held[text[i]]
+                    rows.append((RESTAURANT, p, base, len(j), len(i), deal.code.packed(ctx[j]), deal.code.packed(tokens[j]), packed_small(many), packed_small(body)))
                 yield messages(rows)
                 base += size
             give_back()
@@ -526,6 +537,7 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
         order = np.argsort(words)
         words, c_word, packs = words[order], c_word[order], packs[:, order]
         p = np.exp(-LOG_UNIT * np.stack([packs[i // 2] & 0x7FFFFFFF if i % 2 else packs[i // 2] >> 32 for i in range(n_samples)]))
+        p = np.where(p == 1, scorer.single[:, None], p)
         t = np.stack([x.t[s] if s in x.t else np.ones(len(x.c), np.int64) for s in scorer.samples])
         total = np.stack([x.all_tables(t[i], deal.hot, scorer.hot_tables[i]) for i in range(n_samples)])
         customers = x.customers.copy()
@@ -552,7 +564,7 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
 
     def score_rows(rows: list[dict], x: Part, words, c_word, p, key, c_pair, t, total, customers) -> list[tuple]:
         """The sums of some rows' texts, a row each."""
-        parts = [(deal.code.unpacked(r["a"], r["n"]), deal.code.unpacked(r["b"], r["n"]), unpacked(r["c"], np.uint32, r["n"]), unpacked(r["d"], np.uint32, r["m"])) for r in rows]
+        parts = [(deal.code.unpacked(r["a"], r["n"]), deal.code.unpacked(r["b"], r["n"]), unpacked_small(r["c"], r["n"]), unpacked_small(r["d"], r["m"])) for r in rows]
         ctx, word, many, body = (np.concatenate(v) for v in zip(*parts, strict=True))
         sizes = [int(b.max()) // 2 + 1 for *_, b in parts]  # texts, as far as they occur
         first = np.cumsum([0, *sizes])
@@ -597,7 +609,8 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
         return pa.table({"id": pa.array(ids, mask=null.astype(bool)), "held": pa.array(held.astype(bool)), "n_tokens": count, "n_known": known, "base_score": flat, "score": score})
 
     pairs = range(-(-n_samples // 2))
-    log = lambda i: F.least(F.round(-F.ln(f"p{i}") / LOG_UNIT).cast("long"), F.lit((1 << 31) - 1)) if i < n_samples else F.lit(0).cast("long")
+    # 0 stands for a word with one customer for good
+    log = lambda i: F.when(F.col(f"p{i}").isNull(), 0).otherwise(F.least(F.greatest(F.round(-F.ln(f"p{i}") / LOG_UNIT).cast("long"), F.lit(1)), F.lit((1 << 31) - 1))).cast("long") if i < n_samples else F.lit(0).cast("long")
     short = model.select("w", "c", *(F.shiftleft(log(2 * i), 32).bitwiseOR(log(2 * i + 1)).alias(f"x{i}") for i in pairs))
     answers = said.select("part", F.col("key").alias("w")).join(short.hint("shuffle_hash"), "w").select("part", "w", "c", *(f"x{i}" for i in pairs))
 
