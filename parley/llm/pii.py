@@ -1,8 +1,9 @@
 """Personal data and secrets in text. DataFrame functions only.
 
 Regular expressions propose spans, validators check them (Luhn for cards, mod 97 for IBANs, length and variety of characters for secrets), and
-the words just before a span adjust its score: it starts at the kind's base score, a passed check adds CONFIRMED where the kind has a checksum, a word
-that speaks for it adds CONTEXT, one that speaks against it (an example, an order number) takes CONTEXT off, and it stays if it reaches THRESHOLD.
+the words around a span adjust its score: it starts at the kind's base score, a passed check adds CONFIRMED where the kind has a checksum, a word
+that speaks for it, in the CONTEXT_CHARS before or after it, adds CONTEXT, one before it that speaks against it (an example, an order number) takes CONTEXT off, and it
+stays if it reaches THRESHOLD. Other matches of the kind may stand between a span and its words.
 
 The four base kinds (email, ip, card, phone) follow fixed patterns and always stay. In the expressions below repetitions are possessive and
 each starts only where a run of its characters starts (or where the last match ended), which finds the same matches in
@@ -74,20 +75,54 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+#: Entries of an array that are summed up in one go.
+RUN = 64
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), where value is made once: it stands in an array of one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sums_before(sizes: Column) -> Column:
+    """For each entry the sum of those before it. Arrays grow by copying, so short runs are summed first, then the entries of each run: of n entries
+    about n * RUN / 2 + (n / RUN)**2 / 2 copies."""
+    none = F.array().cast("array<int>")
+    run = lambda x, k: F.slice(x, k * RUN + 1, F.lit(RUN))
+    grow = lambda xs, at: F.aggregate(xs, F.struct(at.alias("at"), none.alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    runs = lambda x: F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / RUN).cast("int"), F.lit(0)))
+
+    def summed(x: Column) -> Column:
+        totals = F.transform(runs(x), lambda k: F.aggregate(run(x, k), F.lit(0), lambda a, n: a + n))
+        return _bound(F.struct(grow(totals, F.lit(0)).alias("at")), lambda s: F.flatten(F.transform(runs(x), lambda k: grow(run(x, k), F.get(s["at"], k)))))
+
+    return _bound(F.struct(sizes.alias("x")), lambda s: summed(s["x"]))
+
+
+def _right(x: Column) -> Column:
+    return F.when(F.length(x) > CONTEXT_CHARS, F.right(x, F.lit(CONTEXT_CHARS))).otherwise(x)
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found, before>> of all matches, in code points; before: up to CONTEXT_CHARS characters."""
+    """array<struct<start, end, found, before, after>> of all matches, in code points; before, after: up to CONTEXT_CHARS characters, lower-cased, over up to two
+    other matches."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.lower(F.substring(g, F.greatest(F.length(g) - CONTEXT_CHARS + 1, F.lit(1)), F.lit(CONTEXT_CHARS))).alias("before"))).alias("gap"), found.alias("found"))
-    none = F.array().cast("array<struct<start:int,end:int,found:string,before:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        at = a["at"] + x["gap"]["n"]
-        end = at + F.length(x["found"])
-        item = F.struct(at.alias("start"), end.alias("end"), x["found"].alias("found"), x["gap"]["before"].alias("before"))
-        return F.when(x["found"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(item)).alias("out")))
+    def placed(p: Column) -> Column:
+        """p: gaps (one more than found), found, at: what stands before each match."""
+        part = lambda name, i: F.coalesce(F.get(p[name], i), F.lit(""))
+
+        def item(x: Column, i: Column) -> Column:
+            before = F.concat(_right(part("gaps", i - 2)), part("found", i - 2), _right(part("gaps", i - 1)), part("found", i - 1), _right(part("gaps", i)))
+            head = lambda g: F.left(g, F.lit(CONTEXT_CHARS))
+            after = F.concat(head(part("gaps", i + 1)), F.when(F.length(part("gaps", i + 1)) < CONTEXT_CHARS, F.concat(part("found", i + 1), head(part("gaps", i + 2)))).otherwise(""))
+            start = F.get(p["at"], i) + F.length(part("gaps", i))
+            return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("found"), F.lower(_right(before)).alias("before"), F.lower(head(after)).alias("after"))
+
+        return F.transform(p["found"], item)
 
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    sizes = lambda p: F.transform(p["gaps"], lambda g, i: F.length(g) + F.coalesce(F.length(F.get(p["found"], i)), F.lit(0)))
+    return _bound(F.struct(gaps.alias("gaps"), found.alias("found")), lambda p: _bound(F.struct(p["gaps"].alias("gaps"), p["found"].alias("found"), _sums_before(sizes(p)).alias("at")), placed))
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,found:string,score:double>>"
@@ -102,13 +137,30 @@ def _kind(text: Column, kind: str, pattern: str, needs: str) -> Column:
         if kind not in EXTRA:
             return F.lit(1.0)
         _, base, checked, pro, con = EXTRA[kind]
-        moved = F.when(_said(x["before"], pro), CONTEXT).otherwise(0.0) - F.when(_said(x["before"], con), CONTEXT).otherwise(0.0)
+        moved = F.when(_said(x["before"], pro) | _said(x["after"], pro), CONTEXT).otherwise(0.0) - F.when(_said(x["before"], con), CONTEXT).otherwise(0.0)
         return F.round(F.lit(base + (CONFIRMED if checked else 0.0)) + moved, 2)
 
     scored = F.transform(_matches(text, pattern), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), score(x).alias("score")))
     return F.when(text.rlike(needs), F.filter(scored, lambda x: (x["score"] >= THRESHOLD) & _valid(kind, x["found"]))).otherwise(F.array().cast(SPAN))
 
 
+def _overlapping(spans: Column, e: Column) -> Column:
+    """Those of spans, which are sorted and do not overlap each other, that overlap e; found by halving."""
+
+    def least(holds) -> Column:
+        """The first place from which on holds(span) is true, or their number."""
+        size = F.size(spans)
+
+        def halve(a: Column, _: Column) -> Column:
+            middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+            return F.when(a["lo"] >= a["hi"], a).otherwise(F.when(holds(F.get(spans, middle)), F.struct(a["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct((middle + 1).alias("lo"), a["hi"].alias("hi"))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(size + 1)).cast("int") + 1), F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda a: a["lo"])
+
+    cut = F.slice(spans, least(lambda s: s["end"] > e["start"]) + 1, F.greatest(least(lambda s: s["start"] >= e["end"]) - least(lambda s: s["end"] > e["start"]), F.lit(0)))
+    return F.when(F.size(spans) == 0, F.array().cast(SPAN)).otherwise(cut)
+
+
 def find(docs: DataFrame, text_col: str = "text", into: str = "pii") -> DataFrame:
     """docs with a column into: array<struct<kind, start, end, found, score>> in order of kind (base kinds, then EXTRA), then start.
 
@@ -117,25 +169,44 @@ def find(docs: DataFrame, text_col: str = "text", into: str = "pii") -> DataFram
     may overlap. Copies are found in each row anew.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(*(_kind(text, k, p, NEEDS[k]) for k, p in BASE_PATTERNS.items()))
-    extra = F.concat(*(_kind(text, k, v[0], v[0]) for k, v in EXTRA.items()))
-    place = lambda k: F.array_position(F.array(*(F.lit(x) for x in EXTRA)), k)
-    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    beats = lambda o, e: meet(o, e) & ((o["score"] > e["score"]) | ((o["score"] == e["score"]) & (place(o["kind"]) < place(e["kind"]))))
-    # the array of one holds what the lambda reads, so that it is made once
-    both = F.transform(F.array(F.struct(base.alias("base"), extra.alias("extra"))), lambda x: F.concat(x["base"], F.filter(x["extra"], lambda e: ~F.exists(x["base"], lambda b: meet(b, e)) & ~F.exists(x["extra"], lambda o: beats(o, e)))))
+    kinds = {**{k: (p, NEEDS[k]) for k, p in BASE_PATTERNS.items()}, **{k: (v[0], v[0]) for k, v in EXTRA.items()}}
+    place = {k: i for i, k in enumerate(EXTRA)}
+
+    def stronger(k: str, kind: str, e: Column):
+        earlier = F.lit(place[k] < place[kind])
+        return lambda o: (o["score"] > e["score"]) | ((o["score"] == e["score"]) & earlier)
+
+    def kept(x: Column) -> Column:
+        def free(kind: str, e: Column) -> Column:
+            """No base span, and no stronger extra one, overlaps e."""
+            ok = F.lit(True)
+            for k in kinds:
+                if k in BASE_PATTERNS:
+                    ok = ok & (F.size(_overlapping(x[k], e)) == 0)
+                elif k != kind:
+                    ok = ok & ~F.exists(_overlapping(x[k], e), stronger(k, kind, e))
+            return ok
+
+        alone = lambda k: F.when(F.size(x[k]) > 0, F.filter(x[k], lambda e: free(k, e))).otherwise(x[k])
+        extra = [alone(k) for k in EXTRA]
+        return F.concat(*(x[k] for k in BASE_PATTERNS), *extra)
+
+    both = _bound(F.struct(*(_kind(text, k, *of).alias(k) for k, of in kinds.items())), kept)
     # only texts with a digit, an @ or what keys begin with are looked at further
-    return docs.withColumn(into, F.when(text.rlike("[0-9@]|-----BEGIN |AKIA|gh[pousr]_|xox|sk-|eyJ"), F.element_at(both, 1)).otherwise(F.array().cast(SPAN)))
+    return docs.withColumn(into, F.when(text.rlike("[0-9@]|-----BEGIN |AKIA|gh[pousr]_|xox|sk-|eyJ"), both).otherwise(F.array().cast(SPAN)))
 
 
 def mask(docs: DataFrame, text_col: str = "text", into: str = "masked") -> DataFrame:
     """docs with a column into: the text with each span replaced by its kind in square brackets (of overlapping spans, the first)."""
-    found = find(docs, text_col, "__pii")
-    order = F.array_sort(F.transform("__pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    own = "__pii"
+    while own in docs.columns:
+        own += "_"
+    found = find(docs, text_col, own)
+    order = F.array_sort(F.transform(own, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.element_at(F.transform(F.array(F.struct(text.alias("t"), order.alias("o"))), lambda x: F.aggregate(x["o"], start, lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(x["t"], a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))), lambda a: F.concat(a["out"], F.substring(x["t"], a["at"] + 1, F.length(x["t"]))))), 1)
-    return found.withColumn(into, F.when(F.col(text_col).isNotNull(), whole)).drop("__pii")
+    return found.withColumn(into, F.when(F.col(text_col).isNotNull(), whole)).drop(own)
 
 
 def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
