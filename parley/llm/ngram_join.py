@@ -4,8 +4,8 @@ Documents with the same shingles are one node. Nodes are partitioned into groups
 the same least shingles under two hashes are compared, in blocks of about BLOCK, and all that links connect, over the rounds, become one
 group. A group is thus a connected set, and a family of n near copies costs about n * BLOCK comparisons.
 
-Each group stores the union of its members' tokens: the token-group matrix has one row for a token and a group, however many
-members hold it. Two groups can only hold a further link if they share enough of the tokens that come first in a global order, so
+Each group stores the union of its members' prefix tokens, those that come first in a global order and of which two linked documents must share some: the token-group
+matrix has one row for such a token and a group, however many members hold it. Whole unions are made for the groups that are opened, not stored. Two groups can only hold a further link if they share enough of the tokens that come first in a global order, so
 group pairs are found by joining the matrix with itself on tokens, bounded by what they share, and only pairs that pass are
 opened: first their tops are compared, then, where that does not connect them, the members of one against those of the other that
 the other's whole token union lets qualify.

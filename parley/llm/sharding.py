@@ -93,12 +93,12 @@ def directory(placed: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", **options) -> DataFrame:
-    """Write docs under path, one folder for each shard (named b and its bits; each row goes to its own), and return the directory, which
+    """Write docs under path, one folder and file for each shard (named b and its bits; each row goes to its own, a shard is one task's and within the limit), and return the directory, which
     is written to path too, as _directory (a name that readers of the folder pass over)."""
     # written once, so that a row has the same place whenever it is read
     rows = materialise(docs.withColumn("__place", F.monotonically_increasing_id()), "shards-docs")
     got = materialise(shards(rows, id_col, carry=True, **options), "shards-done")
     where = got.select("__place", F.concat(F.lit("b"), "shard").alias("shard"))
-    rows.join(where, "__place").drop("__place").write.partitionBy("shard").parquet(path)
+    rows.join(where, "__place").drop("__place").repartition("shard").write.partitionBy("shard").parquet(path)
     directory(got).coalesce(1).write.parquet(f"{path}/_directory")
     return docs.sparkSession.read.parquet(f"{path}/_directory")
