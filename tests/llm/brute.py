@@ -216,3 +216,20 @@ def op13_base(docs: list[tuple]) -> list[tuple]:
     c = Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in t)
     n, v = sum(c.values()), len(c)
     return [(i, h, len(t), sum(c[x] > 0 for x in t), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t)) for (i, _), t, h in zip(docs, tokens, held, strict=True)]
+
+
+def op8_figures(text: str | None) -> tuple:
+    """All figures that quality rules read, in the order of quality.FIGURES."""
+    text = text or ""
+    words = WORD.findall(text)
+    lines, dup, seen = [x for x in text.split("\n") if WORD.search(x)], 0, set()
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    repeated = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    letters = re.findall("[A-Za-z]", text)
+    return (
+        len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeated), len(re.findall("[A-Z]", text)), len(letters), len(lines),
+        sum(len(w.encode()) <= 3 for w in words), sum(bool(re.search(r"[A-Za-z\u0080-\U0010ffff]", w)) for w in words), sum(len(re.findall(r"[\x00-\x7f]", re.sub("[A-Za-z0-9]", "", w))) for w in words),
+    )

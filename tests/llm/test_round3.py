@@ -7,10 +7,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from parley.llm import conversations, line_dedup, merkle, pii, pitman_yor, token_files
+from parley.llm import conversations, line_dedup, merkle, pii, pitman_yor, quality, token_files
 from parley.llm.queries import tokenizer_path
 from tests.conftest import SF
 from tests.llm import brute
+from tests.llm.test_pipeline import quality_kept
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -218,3 +219,14 @@ def test_columns_of_the_same_name_stay(spark):
     docs = spark.createDataFrame([(1, "a@b.de", "own", "mine")], "doc_id long, text string, __pii string, masked string")
     row = pii.mask(docs, into="hidden").first()
     assert row["__pii"] == "own" and row.masked == "mine" and row.hidden == "[email]"
+
+
+def test_all_figures_and_verdicts_of_quality(spark):
+    r = random.Random(2)
+    bits = ["Word ", "a ", "é-b ", "## ", "12,5 ", "\n", "\n\n", "same line here\n", "ALLCAPS ", "the of and to in on at by ", "x\x0by\x00 ", "𝄞 ", "one two three four five six seven eight nine "]
+    texts = [None, "", "\n", " \x0b"] + ["".join(r.choice(bits) for _ in range(r.randrange(1, 60))) for _ in range(300)] + [d[4] for d in docs_of(spark)]
+    got = quality._figures(pa.array(texts, pa.string()))
+    assert [tuple(x) for x in got.T.tolist()] == [brute.op8_figures(t) for t in texts]
+    rows = list(enumerate(texts))
+    kept = {x.doc_id for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).where("quality_kept").collect()}
+    assert kept == {x[0] for x in quality_kept(rows)}
