@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.operators.numbering import kept, numbered
+
 UNKNOWN = "UNKNOWN"
 # How numbered and unidentified speakers are shown.
 NUMBERED, UNIDENTIFIED = "사용자", "미식별"
@@ -167,3 +170,85 @@ def chunk_utterances(utterances: DataFrame, chunk_ms: int = 900_000, context: in
     line = F.length(F.concat(F.lit("[00:00] "), F.coalesce("speaker", F.lit("?")), F.lit(": "), F.col("text")))
     sized = said.select("meeting_id", "seq", "start_ms", "end_ms", line.cast("long").alias("size"))
     return sized.repartition("meeting_id").sortWithinPartitions("meeting_id", "seq").mapInPandas(fold, CHUNKS)
+
+
+#: Rows of a meeting in one block, where jumps are followed by many tasks.
+BLOCK_ROWS = 20_000
+
+
+def _jumps(start: np.ndarray, end: np.ndarray, size: np.ndarray, chunk_ms: int, limit: int) -> np.ndarray:
+    """For each row the first later one that a chunk which begins with it cannot take, or the number of rows. The budget's cut is found by halving on the running
+    sums of sizes, the time's by halving on maxima of the ends over windows of 1, 2, 4, ... rows, as ends need not rise."""
+    n, rows = len(start), np.arange(len(start))
+    upto = np.cumsum(size) + rows
+    by_size = np.searchsorted(upto, np.concatenate([[0], np.cumsum(size)[:-1]]) + rows + limit, "left")
+    out = np.maximum(by_size, rows + 1)
+    if chunk_ms > 0:
+        wanted, levels = start + chunk_ms, [np.where(np.isnan(end), -np.inf, end)]
+        while 1 << len(levels) <= n:
+            last, half = levels[-1], 1 << (len(levels) - 1)
+            levels.append(np.maximum(last[:-half], last[half:]))
+        at = rows + 1
+        for k in range(len(levels) - 1, -1, -1):
+            inside = at + (1 << k) <= n
+            low = np.zeros(n, bool)
+            low[inside] = ~(levels[k][at[inside]] >= wanted[inside])
+            at = np.where(low, at + (1 << k), at)
+        out = np.minimum(out, at)
+    return np.minimum(out, n)
+
+
+def chunk_by_jumps(utterances: DataFrame, chunk_ms: int = 900_000, context: int = 32_768, block: int = BLOCK_ROWS) -> DataFrame:
+    """The same as chunk_utterances, for meetings of any length: no task folds a meeting.
+
+    A meeting's rows are numbered and cut into blocks. As the budget bounds a chunk's rows, where a chunk ends is known from a block and the first rows of
+    the next. Each block tells, for each row that a chunk could first begin with in it, where in the next block the chunks from there lead to, and how many they are;
+    one task for each meeting follows these jumps from block to block, a few numbers each, and then all blocks number their chunks.
+    """
+    budget = max_chunk_tokens(context)
+    limit = 2 * (budget - 2047)
+    reach = limit // 12 + 2  # rows of a chunk at most: a line has eleven characters or more, and its end
+    block = max(block, reach)
+    said = utterances.where(F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) > 0)
+    line = F.length(F.concat(F.lit("[00:00] "), F.coalesce("speaker", F.lit("?")), F.lit(": "), F.col("text")))
+    rows = numbered(said.select("meeting_id", "seq", "start_ms", "end_ms", line.cast("long").alias("size")), ["meeting_id", "seq"], "k")
+    first = rows.groupBy("meeting_id").agg(F.min("k").alias("k0"))
+    rows = rows.join(first, "meeting_id").withColumn("r", F.col("k") - F.col("k0")).withColumn("block", F.floor(F.col("r") / block)).drop("k", "k0")
+    # the first rows of a block are read with the one before it too
+    also = rows.where((F.col("r") % block < reach) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
+    dealt = kept(rows.unionByName(also))
+
+    def ways(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
+        rows = rows.sort_values("r")
+        number = lambda c: rows[c].to_numpy(dtype=float)
+        own = int((rows.r < (rows.block.iloc[0] + 1) * block).sum())
+        return rows, _jumps(number("start_ms"), number("end_ms"), rows["size"].to_numpy(), chunk_ms, limit), own
+
+    def told(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, to, own = ways(rows)
+        leads, count = np.zeros(own, np.int64), np.zeros(own, np.int64)
+        for i in range(own - 1, -1, -1):
+            j = int(to[i])
+            leads[i], count[i] = (j - own, 1) if j >= own else (leads[j], count[j] + 1)
+        return pd.DataFrame({"meeting_id": rows.meeting_id.iloc[:1], "block": rows.block.iloc[:1], "leads": [leads[:reach].tolist()], "count": [count[:reach].tolist()]})
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        at, base, out = 0, 0, []
+        for r in rows.sort_values("block").itertuples(index=False):
+            out.append((r.meeting_id, r.block, at, base))
+            if at < len(r.leads):  # else a chunk ends with the meeting
+                at, base = int(r.leads[at]), base + int(r.count[at])
+        return pd.DataFrame(out, columns=["meeting_id", "block", "entry", "base"])
+
+    entries = dealt.groupBy("meeting_id", "block").applyInPandas(told, "meeting_id long, block long, leads array<long>, count array<long>")
+    entries = entries.groupBy("meeting_id").applyInPandas(follow, "meeting_id long, block long, entry long, base long")
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, to, own = ways(rows)
+        begins, i = np.zeros(own, np.int64), int(rows.entry.iloc[0])
+        while i < own:
+            begins[i] = 1
+            i = int(to[i])
+        return pd.DataFrame({"meeting_id": rows.meeting_id.iloc[:own], "seq": rows.seq.iloc[:own], "chunk": rows.base.iloc[0] - 1 + np.cumsum(begins)})
+
+    return dealt.join(entries, ["meeting_id", "block"]).groupBy("meeting_id", "block").applyInPandas(number, CHUNKS)

@@ -61,6 +61,10 @@ def overlap_sweep(spark: SparkSession, d: str) -> DataFrame:
     return intervals.assign_by_sweep(s, turns, 16).select("meeting_id", "seq", "assigned", "overlap_ms")
 
 
+def chunk_jumps(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.chunk_by_jumps(t.spoken_utterances(spark, d), 30_000)
+
+
 def context_fit(spark: SparkSession, d: str) -> DataFrame:
     """Each document, forty times over, as a transcript."""
     fit = sequence.context_fit(F.repeat(F.col("text"), F.lit(40)), 65_536)
@@ -83,11 +87,12 @@ def reply_titles(spark: SparkSession, d: str) -> DataFrame:
     return t.read(spark, d, "part").select("p_partkey", text.title_of_reply(raw).alias("title"))
 
 
-QUERIES = {f.__name__: f for f in (overlap_sweep, context_fit, correction_replies, reply_titles, posting_phrases, rules_all, nearest_reference, markdown_blocks)}
+QUERIES = {f.__name__: f for f in (overlap_sweep, chunk_jumps, context_fit, correction_replies, reply_titles, posting_phrases, rules_all, nearest_reference, markdown_blocks)}
 
 _NL = "chr(10)"
 ORACLE_SQL = {
     "overlap_sweep": talk.ORACLE_SQL["overlap_assign"],
+    "chunk_jumps": talk.ORACLE_SQL["chunk_utterances"],
     "context_fit": "SELECT doc_id, t AS tokens, t <= 65536 AS fits, least(131072, greatest(4096, (t // 1024 + 1) * 1024)) AS recommended FROM (SELECT doc_id, coalesce(length(text), 0)::BIGINT * 40 // 2 + 2048 AS t FROM documents)",
     "correction_replies": """
 SELECT conv_id AS meeting_id, turn AS seq, md5(CASE WHEN conv_id % 5 = 0 THEN text WHEN length(text) < 200 AND trim(text) <> '' THEN trim(reverse(text), ' ' || chr(9) || chr(10) || chr(13)) WHEN 3 * length(text) > greatest(2 * length(text) + 20, 40) THEN text ELSE repeat(text, 3) END) AS digest FROM conversations""",

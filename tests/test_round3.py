@@ -300,3 +300,21 @@ def test_small_parity(spark):
     u = spark.createDataFrame([(1, i, None if i == 4 else f"t{i}" if i < 5 else " ") for i in range(9)], "meeting_id long, seq long, text string")
     got = sorted((x.batch, x.seqs, x.texts, x.request) for x in dictionary.correction_batches(u, 3).collect())
     assert got == [(0, [0, 1, 2], ["t0", "t1", "t2"], '{"items":[{"i":0,"text":"t0"},{"i":1,"text":"t1"},{"i":2,"text":"t2"}]}'), (1, [3, 4, 5], ["t3", "", " "], '{"items":[{"i":0,"text":"t3"},{"i":1,"text":""},{"i":2,"text":" "}]}')]
+
+
+def test_chunks_by_jumps(spark):
+    from parley.operators import sequence
+
+    r = random.Random(12)
+    rows = []
+    for m, n in ((1, 6000), (2, 300), (3, 1)):
+        at = 0
+        for i in range(n):
+            at += r.randrange(0, 4000)
+            rows.append((m, i, r.choice(["A", None, ""]), at, None if r.random() < 0.01 else at + r.choice([100, 2000, 60_000]), r.choice(["x", " ", "word " * r.randrange(1, 200), None])))
+    u = spark.createDataFrame(rows, "meeting_id long, seq long, speaker string, start_ms long, end_ms long, text string").repartition(3)
+    for ms in (900_000, 45_000, 0):
+        want = sorted(tuple(x) for x in sequence.chunk_utterances(u, ms).collect())
+        got = sorted(tuple(x) for x in sequence.chunk_by_jumps(u, ms, block=1).collect())  # blocks as short as a chunk may be long
+        assert got == want and want[-1][0] == (3 if any(x[0] == 3 and (x[5] or "").strip() for x in rows) else 2)
+    assert sequence.chunk_by_jumps(u.limit(0)).collect() == []
