@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import conversations, decontaminate, line_dedup, merkle, mixing, ngram_join, pii, pitman_yor, quality, sharding, suffix_dedup, token_files, tree_sql, urls
+from parley.llm import conversations, decontaminate, line_dedup, merkle, mixing, ngram_join, pii, pitman_yor, quality, quality_sql, sharding, suffix_dedup, token_files, tree_sql, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -81,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_quality": quality_sql.OP8,
     "op11_merkle_manifest": tree_sql.OP11,
     "op12_conversation_repair": tree_sql.OP12,
     "op3_sharding": f"""
