@@ -33,7 +33,7 @@ END = mix(np.full(1, 0xE0D, U64))[0]
 #: Bytes of text that a task takes together.
 TAKEN = 1 << 23
 #: Tokens in one part, about, and the least share of all tokens that a context or pair needs to be dealt otherwise.
-PART_TOKENS, SHARES = 2_000_000, 100_000
+PART_TOKENS, SHARES = 2_500_000, 100_000
 #: Words among which those are that are written as slots, and pairs that are scored together.
 COMMON, TOGETHER = 1 << 16, 100_000
 #: Logarithms of the parent's probabilities are moved as multiples of this, two in 64 bits.
