@@ -101,7 +101,7 @@ class Pages(WriterCommitMessage):
 
 class _PageWriter(DataSourceWriter):
     """Tasks write into folders of their own under one of the job; commit moves the files of those that succeeded into place and drops the rest, so a task that
-    runs twice, or a job that fails, leaves no page and no half of one."""
+    runs twice, or a job that fails, leaves no page and no half of one; a task that outlives its failed job may leave its folder, under a name that readers pass over."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, f"_pages-{uuid.uuid4().hex}"
