@@ -21,6 +21,9 @@ from parley.operators.vectors import LEAST_DISTANCE, LEAST_MEMBERS, LEAST_SHARE,
 
 #: Clusters that one task ends, and clusters in one block.
 LOCAL, BLOCK = 2_000, 2_000
+#: A round that merges under one in FEW of a meeting's clusters is the last one, if one task can end the meeting in time: with up to PATIENCE times the clusters. (Where large clusters take in
+#: single rows one by one, few pairs are nearest to each other.)
+FEW, PATIENCE = 20, 20
 MERGE = "meeting_id long, d double, i long, j long"
 
 
@@ -68,17 +71,21 @@ def nearest(clusters: DataFrame, block: int = BLOCK) -> DataFrame:
 def merges(vectors: DataFrame, local: int = LOCAL, block: int = BLOCK) -> DataFrame:
     """vectors: meeting_id, idx, embedding (of length 1). All merges of all meetings: meeting_id, d (the distance), i, j (the smallest idx of either cluster),
     one fewer than the meeting has rows."""
-    made = None
+    made, slow = None, None
     now = kept(vectors.select("meeting_id", F.col("idx").alias("c"), F.lit(1).cast("long").alias("n"), F.transform("embedding", lambda x: x.cast("double")).alias("s")))
     while True:
         sizes = now.groupBy("meeting_id").agg(F.count("*").alias("size"))
-        large = sizes.where(F.col("size") > local).select("meeting_id")
+        large = sizes.where(F.col("size") > local)
+        if slow is not None:
+            large = large.join(slow, "meeting_id", "left").where(F.col("slow").isNull() | (F.col("size") > PATIENCE * local))
+        large = kept(large.select("meeting_id", "size"))
         if large.isEmpty():
             break
-        near = kept(nearest(now.join(large, "meeting_id", "left_semi"), block))
+        near = kept(nearest(now.join(large.select("meeting_id"), "meeting_id", "left_semi"), block))
         back = near.select("meeting_id", F.col("c").alias("other"), F.col("other").alias("c"))
         pairs = kept(near.join(back, ["meeting_id", "c", "other"]).where("c < other").select("meeting_id", "d", F.col("c").alias("i"), F.col("other").alias("j")))
         made = pairs if made is None else made.unionByName(pairs)
+        slow = large.join(pairs.groupBy("meeting_id").agg(F.count("*").alias("n")), "meeting_id").where(F.col("n") * FEW < F.col("size")).select("meeting_id", F.lit(True).alias("slow"))
         to = pairs.select("meeting_id", F.col("j").alias("c"), F.col("i").alias("into"))
         moved = now.join(to, ["meeting_id", "c"], "left").withColumn("c", F.coalesce("into", "c"))
         # two rows at most come together
