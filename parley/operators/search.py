@@ -169,8 +169,8 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _occurrences(text: Column, p: Phrase, mode: str) -> Column:
-    """How often a phrase occurs, overlapping itself included."""
+def _occurrences(text: Column, p: Phrase, mode: str, overlaps: bool = True) -> Column:
+    """How often a phrase occurs, overlapping itself included, or from left to right without overlaps."""
     if mode == "word":
         said = [w.lower() for w in _WORD.findall(p.text)]
         if len(said) == 1 and not p.first:
@@ -180,7 +180,7 @@ def _occurrences(text: Column, p: Phrase, mode: str) -> Column:
         low, term = F.lower(text), p.text.lower()
     if p.first:
         return F.startswith(low, F.lit(term)).cast("long")
-    if any(term.startswith(term[i:]) for i in range(1, len(term))):
+    if overlaps and any(term.startswith(term[i:]) for i in range(1, len(term))):
         return F.regexp_count(low, F.lit("(?=\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E)"))
     return F.floor((F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / F.lit(len(term)))
 
@@ -302,11 +302,13 @@ def _snippets(shown: Column, live: Column, nears: list[Near], mode: str) -> Colu
     return cut(shown, live)
 
 
-def search(rows: DataFrame, query: str, columns: list[str], shown: str, mode: str = "trigram", advanced: bool = False, limit: int | None = 20, where: Column | None = None, snippets: bool = True) -> DataFrame:
+def search(rows: DataFrame, query: str, columns: list[str], shown: str, mode: str = "trigram", advanced: bool = False, limit: int | None = 20, where: Column | None = None, snippets: bool = True, overlaps: bool = True) -> DataFrame:
     """The best limit rows (None: all that match): id, score, hits (occurrences of all terms), snippet of the column shown.
 
     rows: id and columns. where: a filter on the hits; the statistics are those of all rows. No terms: no rows. Of equal scores the lower id
     comes first. Scores of mode word count whole words; a prefix counts words that begin with it. Snippets are cut from the rows returned only.
+    Occurrences of a term that overlap each other count, as in SQLite; without overlaps they are taken from left to right, as SQL's replace takes
+    them (the terms of a NEAR group count by their places either way).
     """
     if advanced:
         tree = parse_advanced(query, columns, mode)
@@ -322,7 +324,7 @@ def search(rows: DataFrame, query: str, columns: list[str], shown: str, mode: st
     total = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0))
     size = total([F.size(_words(t)) if mode == "word" else F.greatest(F.length(t) - 2, F.lit(0)) for t in texts.values()])
     names = {key: f"tf{i}" for i, key in enumerate(dict.fromkeys((p, n.columns) for n in nears for p in n.phrases))}
-    counted = rows.select("*", size.cast("long").alias("d"), *(total([_occurrences(t, p, mode) for t in of(Near((p,), columns=cols))]).cast("long").alias(n) for (p, cols), n in names.items()))
+    counted = rows.select("*", size.cast("long").alias("d"), *(total([_occurrences(t, p, mode, overlaps) for t in of(Near((p,), columns=cols))]).cast("long").alias(n) for (p, cols), n in names.items()))
     whole = counted.agg(F.count("*").alias("all_rows"), F.sum("d").alias("all_sizes"), *(F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names.values()))
     groups = {n: f"near{i}" for i, n in enumerate(dict.fromkeys(n for n in nears if len(n.phrases) > 1 and of(n)))}
     for near, name in groups.items():  # only rows that hold every phrase are looked at
