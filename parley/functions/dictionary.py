@@ -6,13 +6,15 @@ import re
 import re._parser as pattern_parser
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators.numbering import numbered
+from parley.operators.numbering import kept, numbered
 
 
 def active(rules: DataFrame, scope: str = "global") -> DataFrame:
@@ -123,14 +125,217 @@ class Rules:
         return text
 
 
-def corrected(rows: DataFrame, column: str, rules: DataFrame, scope: str = "global", block: int = 50_000) -> DataFrame:
-    """rows with all active rules applied to the text column, in order of id, however many there are. A null text stays null; rules that are no
-    regular expressions are skipped.
-
-    Rules are sent to the tasks in blocks of at most block, which follow one another; on a row only those run whose needed text it holds.
+#: Lengths of the keys by which rules are looked up: a key is the begin of a needed text, in the greatest of these lengths that it has.
+KEY_LENGTHS = (*range(1, 17), 20, 24, 32, 48, 64)
+#: Characters that are hashed at once; bits of the filter of keys for each rule, and the power of two that they stay under (16 MB).
+SLICE, FILTER_BITS, FILTER_MOST = 1 << 20, 16, 27
+#: Rounds of look-ups, after which rows that go on changing are given all rules, block by block; blocks that one job goes through.
+ROUNDS, BLOCKS_AT_ONCE = 4, 4
+_ODD, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _mixed(h: np.ndarray, length: int) -> np.ndarray:
+    h = h + np.uint64(length)
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(by)
+    return h ^ (h >> np.uint64(33))
+
+
+class _Keys:
+    """Hashes of all stretches of texts that have a key's length, from sums over running powers, so that a stretch's is a difference of two."""
+
+    def __init__(self, lengths: list[int], known: np.ndarray | None = None):
+        self.lengths, self.known = lengths, known
+        self._powers(1024)
+
+    def _powers(self, n: int) -> None:
+        self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (_ODD, _BACK))
+
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        u = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        if len(u) >= len(self.up):
+            self._powers(2 * len(u))
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum((u + np.uint64(1)) * self.up[: len(u)])]), np.cumsum([0] + [len(t) for t in texts])
+
+    def of_begins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text, none of them empty, its key and the key's length."""
+        sums, at = self._sums(texts)
+        size, all_lengths = np.diff(at), np.array(KEY_LENGTHS)
+        length = all_lengths[np.searchsorted(all_lengths, size, "right") - 1]
+        h = (sums[at[:-1] + length] - sums[at[:-1]]) * self.down[at[:-1]]
+        out = np.zeros(len(texts), np.uint64)
+        for n in np.unique(length):
+            out[length == n] = _mixed(h[length == n], int(n))
+        return out, length
+
+    def within(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """text (its place in the list), key: all that may be known, each once."""
+        sums, at = self._sums(texts)
+        row = np.repeat(np.arange(len(texts)), np.diff(at))
+        room = at[1:][row] - np.arange(len(row))
+        bits = np.uint64(64 - (len(self.known) * 8).bit_length() + 1)
+        rows, keys = [], []
+        for n in self.lengths:
+            if n > len(row):
+                break
+            h = _mixed((sums[n:] - sums[:-n]) * self.down[: len(row) - n + 1], n)
+            slot = (h >> bits).astype(np.int64)
+            hit = np.flatnonzero((self.known[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0) & (room[: len(h)] >= n))
+            order = hit[np.lexsort((h[hit], row[hit]))]
+            r, k = row[order], h[order]
+            first = np.ones(len(r), bool)
+            first[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+            rows.append(r[first])
+            keys.append(k[first])
+        return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(keys or [np.zeros(0, np.uint64)])
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > SLICE:
+            yield at, texts[at:i]
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+def _prepared(wanted: DataFrame) -> DataFrame:
+    """wanted (k, pattern, to) without what is no regular expression: k, need (the needed text), pattern (null where the need is all that it matches, and the replacement stands for itself),
+    to, key and length (null without a need), chars (those of the needs of some rows, on one of them)."""
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = _Keys([])
+        for batch in batches:
+            out = []
+            for k, pattern, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    re.compile(pattern)
+                    parsed = pattern_parser.parse(pattern)
+                except re.error:
+                    continue
+                need, to = needed_text(pattern), to or ""
+                whole = need and "\\" not in to and all(op is pattern_parser.LITERAL for op, _ in parsed)
+                out.append((k, need, None if whole else pattern, to))
+            if not out:
+                continue
+            key, length = (np.zeros(len(out), x) for x in (np.uint64, np.int64))
+            needs = [r[1] for r in out]
+            some = np.array([bool(x) for x in needs])
+            if some.any():
+                key[some], length[some] = keys.of_begins([x for x in needs if x])
+            chars = ["".join(sorted(set("".join(needs)))), *[""] * (len(out) - 1)]
+            names = ["k", "need", "pattern", "to", "key", "length", "chars"]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)), pa.array(key.view(np.int64), mask=~some), pa.array(length, mask=~some), pa.array(chars)], names=names)
+
+    return wanted.select("k", "pattern", "to").mapInArrow(prepare, "k long, need string, pattern string, to string, key long, length long, chars string")
+
+
+def _filter(keys: DataFrame, n: int) -> np.ndarray:
+    """A bit for each slot of the keys, of which there are at most 2 ** FILTER_MOST; a slot of bits in which many keys meet lets more through."""
+    bits = min(FILTER_MOST, max(10, (n * FILTER_BITS).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    got = keys.select(F.shiftright(slot, 3).alias("byte"), F.pow(F.lit(2), slot.bitwiseAND(F.lit(7))).cast("int").alias("v")).groupBy("byte").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    out[got.column("byte").to_numpy()] = got.column("v").to_numpy().astype(np.uint8)
+    return out
+
+
+def _by_key(texts: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """texts (rid, text) with the rules, prepared, that any text's stretches ask for: rid, text of those that are done; rid, text (as it was) of those that after
+    all rounds are not.
+
+    Of each text the keys are looked up by a join, and the rules found are run in their order. Where a change makes a stretch of needed characters that was not there before, its
+    keys are looked up too, and the row is run again with all it then has, so that no rule is missed that a change lets fire.
     """
-    wanted = numbered(active(rules, scope).where("pattern is not null and pattern <> ''").select("id", "pattern", F.coalesce(F.when(F.col("replacement") != "", F.col("replacement")), "term").alias("to")), ["id"], "k")
-    spark, at = rows.sparkSession, rows.columns.index(column)
+    spark = texts.sparkSession
+    chars = frozenset().union(*(r["chars"] for r in rules.where("chars <> ''").select("chars").distinct().collect()))  # characters alone
+    told = rules.agg(F.count("key").alias("n"), F.collect_set("length").alias("lengths")).first()
+    lengths = sorted(told["lengths"])
+    always = [(r["k"], "", r["pattern"], r["to"]) for r in rules.where("key is null").orderBy("k").collect()]
+    sent = spark.sparkContext.broadcast((_filter(rules.where("key is not null").select("key"), told["n"]), always, chars))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = _Keys(lengths, sent.value[0])
+        for batch in batches:
+            for at, some in _slices(batch.column(1).to_pylist()):
+                row, key = keys.within(some)
+                for lo in range(0, len(row), 200_000):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[lo : lo + 200_000] + at)), pa.array(key[lo : lo + 200_000].view(np.int64))], names=["rid", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, always, chars = sent.value
+        # a text is cut where no rule needs a character
+        apart = re.compile("[^" + "".join(map(re.escape, sorted(chars))) + "]+" if chars else r"(?s:.+)")
+        keys, compiled = _Keys(lengths, known), {}
+
+        def one(text: str, able: list) -> tuple[str, list[str]]:
+            fresh = set()
+            for _, need, pattern, to in sorted({r[0]: r for r in (*able, *always)}.values()):  # a rule that several keys or rounds found runs once
+                at = text.find(need)
+                if at < 0:
+                    continue
+                if pattern is None:
+                    new = text.replace(need, to)
+                    # what differs, up to the characters around it that no rule needs
+                    end = len(new) - (len(text) - text.rfind(need) - len(need))
+                    while at and new[at - 1] in chars:
+                        at -= 1
+                    stop = apart.search(new, end)
+                    piece = new[at : stop.start() if stop else len(new)]
+                else:
+                    if pattern not in compiled:
+                        if len(compiled) > 20_000:
+                            compiled.clear()
+                        compiled[pattern] = re.compile(pattern)
+                    try:
+                        piece = new = compiled[pattern].sub(to, text)
+                    except (re.error, IndexError):  # a replacement that names a group the pattern lacks
+                        continue
+                if new != text:
+                    fresh.update(x for x in apart.split(piece) if x not in text)
+                    text = new
+            return text, sorted(fresh)
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                texts, asked = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+                able = batch.column(2)
+                upto = np.cumsum([0, *(n or 0 for n in pc.list_value_length(able).to_pylist())])
+                found = list(zip(*(x.to_pylist() for x in able.flatten().flatten()), strict=True))
+                got = [one(t, found[a:b]) for t, a, b in zip(texts, upto[:-1], upto[1:], strict=True)]
+                more: list[list[int]] = [[] for _ in got]
+                owner = [i for i, (_, fresh) in enumerate(got) for _ in fresh]
+                for at, some in _slices([x for _, fresh in got for x in fresh]):
+                    for row, key in zip(*(x.tolist() for x in (lambda r, k: (r, k.view(np.int64)))(*keys.within(some))), strict=True):
+                        more[owner[at + row]].append(key)
+                more = [sorted(set(m) - set(a)) for m, a in zip(more, asked, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in got], pa.string()), pa.array(more, pa.list_(pa.int64()))], names=["rid", "text", "new", "more"])
+
+    pairs = texts.mapInArrow(first, "rid long, key long")
+    rows = texts.withColumn("asked", F.array().cast("array<long>"))
+    rule = F.struct("k", "need", "pattern", "to").alias("rule")
+    done, found = None, None
+    for _ in range(ROUNDS):
+        new = pairs.join(rules.select("key", rule), "key").select("rid", "rule")
+        found = kept(new if found is None else found.join(rows.select("rid"), "rid", "left_semi").unionByName(new))
+        able = found.groupBy("rid").agg(F.collect_list("rule").alias("able"))  # as many as a text has stretches that rules ask for
+        ran = rows.join(able, "rid", "left").select("rid", "text", "able", "asked").mapInArrow(run, "rid long, text string, new string, more array<long>")
+        ran = kept(ran)
+        ended = ran.where(F.size("more") == 0).select("rid", F.col("new").alias("text"))
+        done = ended if done is None else done.unionByName(ended)
+        going = ran.where(F.size("more") > 0)
+        pairs = going.select("rid", F.explode("more").alias("key"))
+        rows = going.select("rid", "text", F.col("more").alias("again")).join(rows.select("rid", "asked"), "rid").select("rid", "text", F.concat("asked", "again").alias("asked"))
+        if going.isEmpty():
+            break
+    return done, rows.select("rid", "text")
+
+
+def _in_blocks(rows: DataFrame, at: int, wanted: DataFrame, n: int, block: int) -> DataFrame:
+    """rows with the n rules of wanted (k, pattern, to) applied to the column at the place at: blocks of rules are sent to all tasks and follow one another."""
 
     def step(rows: DataFrame, sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +346,38 @@ def corrected(rows: DataFrame, column: str, rules: DataFrame, scope: str = "glob
 
         return rows.mapInArrow(run, rows.schema)
 
-    for k in range(-(-wanted.count() // block)):
+    for k in range(-(-n // block)):
         part = wanted.where((F.col("k") > k * block) & (F.col("k") <= (k + 1) * block)).orderBy("k").select("pattern", "to").collect()  # at most block
-        rows = step(rows, spark.sparkContext.broadcast([(r["pattern"], r["to"] or "") for r in part]))
+        rows = step(rows, rows.sparkSession.sparkContext.broadcast([(r["pattern"], r["to"] or "") for r in part]))
+        if (k + 1) % BLOCKS_AT_ONCE == 0 and (k + 1) * block < n:  # each step is a Python process of the task
+            rows = kept(rows)
     return rows
 
 
+def corrected(rows: DataFrame, column: str, rules: DataFrame, scope: str = "global", block: int = 50_000) -> DataFrame:
+    """rows with all active rules applied to the text column, in order of id, however many there are. A null text stays null; rules that are no
+    regular expressions are skipped.
+
+    Up to block rules are sent to all tasks, where an automaton tells which can fire on a row. Of more, rules are looked up by the texts that they need, so a row meets only
+    those that its own text asks for. Rules that need no text meet every row; if these alone are more than block, or if a row goes on changing so that others could fire,
+    blocks of all rules follow one another.
+    """
+    wanted = numbered(active(rules, scope).where("pattern is not null and pattern <> ''").select("id", "pattern", F.coalesce(F.when(F.col("replacement") != "", F.col("replacement")), "term").alias("to")), ["id"], "k")
+    n, at = wanted.count(), rows.columns.index(column)
+    if n <= block:
+        return _in_blocks(rows, at, wanted, n, block)
+    wanted = kept(wanted)
+    ready = kept(_prepared(wanted))
+    if ready.where("key is null").count() > block:
+        return _in_blocks(rows, at, wanted, n, block)
+    whole = kept(rows.withColumn("__rid", F.monotonically_increasing_id()))
+    done, left = _by_key(whole.where(F.col(column).isNotNull()).select(F.col("__rid").alias("rid"), F.col(column).alias("text")), ready)
+    if not left.isEmpty():
+        done = done.unionByName(_in_blocks(left, 1, wanted, n, block))
+    got = whole.join(done.select(F.col("rid").alias("__rid"), F.col("text").alias("__new")), "__rid", "left")
+    return got.select(*(F.col("__new").alias(c) if c == column else F.col(f"`{c}`") for c in rows.columns))
+
+
 def inline_rules(raw: str) -> list[tuple[str, str]]:
     """'wrong=>right;...' as literal rules; parts without an arrow or a left side are skipped."""
     parts = (p.partition("=>") for p in raw.replace("\n", ";").split(";"))
