@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "id long, field string, gram string, places array<int>"
 BUCKETS = 64
+#: Characters of text whose postings one task makes or sorts (some 70 bytes for each), and places of grams that one task puts together.
+TASK_CHARS, TASK_PLACES = 8_000_000, 2_000_000
 
 
 def postings(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,15 +38,32 @@ def postings(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.col("id").cast("long"), *(F.lower(c).alias(c) for c in columns)).mapInArrow(cut, SCHEMA)
 
 
-def store(made: DataFrame, table: str, buckets: int = BUCKETS) -> None:
+def store(made: DataFrame, table: str, buckets: int = BUCKETS, tasks: int = BUCKETS) -> None:
     """Adds postings to the table, made if it is not there: bucketed by gram and sorted, so that a look-up reads the buckets of its grams alone. A batch of rows is
-    added once; later batches are new files of the same buckets. A very frequent gram is a part of each file of its bucket, which is read in splits."""
-    made.repartition(buckets, "gram").write.mode("append").bucketBy(buckets, "gram").sortBy("gram", "id").saveAsTable(table)
+    added once; later batches are new files of the same buckets. With more tasks than buckets a bucket is several tasks' and files, by the row's id."""
+    parts = -(-tasks // buckets)
+    if parts > 1:
+        # the bucket that bucketBy puts a gram into
+        dealt = made.repartitionById(buckets * parts, (F.pmod(F.hash("gram"), F.lit(buckets)) * parts + F.pmod(F.xxhash64("id"), F.lit(parts))).cast("int"))
+    else:
+        dealt = made.repartition(buckets, "gram")
+    dealt.write.mode("append").bucketBy(buckets, "gram").sortBy("gram", "id").saveAsTable(table)
 
 
-def phrase_hits(spark: SparkSession, table: str, phrase: str) -> DataFrame:
+def add(rows: DataFrame, columns: list[str], table: str, buckets: int = BUCKETS, task_chars: int = TASK_CHARS) -> None:
+    """Stores the postings of rows, in as many tasks as the texts' length asks for, so that what a task holds does not grow with them."""
+    length = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(0))
+    tasks = -(-(rows.agg(F.sum(length).alias("n")).first()["n"] or 0) // task_chars)
+    if tasks > rows.sparkSession.sparkContext.defaultParallelism:
+        rows = rows.repartition(tasks, "id")
+    store(postings(rows, columns), table, buckets, tasks)
+
+
+def phrase_hits(spark: SparkSession, table: str, phrase: str, task_places: int = TASK_PLACES) -> DataFrame:
     """id, hits: the rows that hold the phrase, whatever its case, and how often over all columns, overlapping ones too. Verified by places: the phrase stands where all its
-    grams stand at their distances; no text is read. A phrase of under three characters has no hits."""
+    grams stand at their distances; no text is read. A phrase of under three characters has no hits.
+
+    A bucket is read by one task, which holds nothing of it; rows are put together by id in as many tasks as their places ask for."""
     low = spark.range(1).select(F.lower(F.lit(phrase)).alias("x")).first()["x"]
     at: dict[str, list[int]] = {}
     for i in range(len(low) - 2):
@@ -52,8 +71,10 @@ def phrase_hits(spark: SparkSession, table: str, phrase: str) -> DataFrame:
     if not at:
         return spark.createDataFrame([], "id long, hits long")
     found = spark.table(table).where(F.col("gram").isin(sorted(at)))
-    # where the phrase would begin, by each place of each of its grams
     shift = F.create_map(*(x for g, of in at.items() for x in (F.lit(g), F.array(*(F.lit(o) for o in of)))))
+    places = found.agg(F.sum(F.size("places") * F.size(F.element_at(shift, F.col("gram")))).alias("n")).first()["n"] or 0
+    found = found.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places // task_places)), "id", "field")
+    # where the phrase would begin, by each place of each of its grams
     every = found.select("id", "field", "places", F.explode(F.element_at(shift, F.col("gram"))).alias("o")).select("id", "field", "o", F.explode("places").alias("p")).select("id", "field", (F.col("p") - F.col("o")).alias("start"))
     whole = every.groupBy("id", "field", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(low) - 2)
     return whole.groupBy("id").agg(F.count("*").alias("hits"))

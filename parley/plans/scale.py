@@ -24,7 +24,7 @@ def posting_phrases(spark: SparkSession, d: str) -> DataFrame:
     table = f"parley_postings_{uuid.uuid4().hex}"
     try:
         for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
-            postings.store(postings.postings(rows.where(part), ["title", "body"]), table)
+            postings.add(rows.where(part), ["title", "body"], table)
         return kept(postings.phrase_hits(spark, table, PHRASE))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
