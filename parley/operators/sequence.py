@@ -203,7 +203,7 @@ def chunk_by_jumps(utterances: DataFrame, chunk_ms: int = 900_000, context: int
 
     A meeting's rows are numbered and cut into blocks. As the budget bounds a chunk's rows, where a chunk ends is known from a block and the first rows of
     the next. Each block tells, for each row that a chunk could first begin with in it, where in the next block the chunks from there lead to, and how many they are;
-    one task for each meeting follows these jumps from block to block, a few numbers each, and then all blocks number their chunks.
+    one task for each meeting follows these jumps from block to block, a few numbers each, and then all blocks number their chunks. Short meetings' blocks are dealt together.
     """
     budget = max_chunk_tokens(context)
     limit = 2 * (budget - 2047)
@@ -217,38 +217,53 @@ def chunk_by_jumps(utterances: DataFrame, chunk_ms: int = 900_000, context: int
     # the first rows of a block are read with the one before it too
     also = rows.where((F.col("r") % block < reach) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
     dealt = kept(rows.unionByName(also))
-
-    def ways(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
-        rows = rows.sort_values("r")
-        number = lambda c: rows[c].to_numpy(dtype=float)
-        own = int((rows.r < (rows.block.iloc[0] + 1) * block).sum())
-        return rows, _jumps(number("start_ms"), number("end_ms"), rows["size"].to_numpy(), chunk_ms, limit), own
+    # blocks of short meetings share a group, of as many rows as a long one's block, as a group costs more than a block
+    groups = F.lit(max(1, -(-dealt.count() // BLOCK_ROWS)))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("meeting_id", "block"), groups))
+
+    def ways(rows: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Of each block of rows, which are in order, the first row's place, the number of its own rows, and where each of its rows leads."""
+        meeting, of, r, size = (rows[c].to_numpy() for c in ("meeting_id", "block", "r", "size"))
+        start, end = (rows[c].to_numpy(dtype=float) for c in ("start_ms", "end_ms"))
+        cuts = np.flatnonzero((meeting[1:] != meeting[:-1]) | (of[1:] != of[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(r)], strict=True):
+            yield lo, int((r[lo:hi] < (of[lo] + 1) * block).sum()), _jumps(start[lo:hi], end[lo:hi], size[lo:hi], chunk_ms, limit)
 
     def told(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, to, own = ways(rows)
-        leads, count = np.zeros(own, np.int64), np.zeros(own, np.int64)
-        for i in range(own - 1, -1, -1):
-            j = int(to[i])
-            leads[i], count[i] = (j - own, 1) if j >= own else (leads[j], count[j] + 1)
-        return pd.DataFrame({"meeting_id": rows.meeting_id.iloc[:1], "block": rows.block.iloc[:1], "leads": [leads[:reach].tolist()], "count": [count[:reach].tolist()]})
+        rows, at, out = rows.sort_values(["meeting_id", "block", "r"]), [], []
+        for lo, own, to in ways(rows):
+            leads, count = np.zeros(own, np.int64), np.zeros(own, np.int64)
+            for i in range(own - 1, -1, -1):
+                j = int(to[i])
+                leads[i], count[i] = (j - own, 1) if j >= own else (leads[j], count[j] + 1)
+            at.append(lo)
+            out.append((leads[:reach].tolist(), count[:reach].tolist()))
+        return pd.DataFrame({"meeting_id": rows.meeting_id.to_numpy()[at], "block": rows.block.to_numpy()[at], "leads": [x for x, _ in out], "count": [x for _, x in out]})
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        at, base, out = 0, 0, []
-        for r in rows.sort_values("block").itertuples(index=False):
+        meeting, at, base, out = None, 0, 0, []
+        for r in rows.sort_values(["meeting_id", "block"]).itertuples(index=False):
+            if r.meeting_id != meeting:
+                meeting, at, base = r.meeting_id, 0, 0
             out.append((r.meeting_id, r.block, at, base))
             if at < len(r.leads):  # else a chunk ends with the meeting
                 at, base = int(r.leads[at]), base + int(r.count[at])
         return pd.DataFrame(out, columns=["meeting_id", "block", "entry", "base"])
 
-    entries = dealt.groupBy("meeting_id", "block").applyInPandas(told, "meeting_id long, block long, leads array<long>, count array<long>")
-    entries = entries.groupBy("meeting_id").applyInPandas(follow, "meeting_id long, block long, entry long, base long")
+    entries = dealt.groupBy("group").applyInPandas(told, "meeting_id long, block long, leads array<long>, count array<long>")
+    entries = entries.groupBy(F.pmod(F.xxhash64("meeting_id"), groups)).applyInPandas(follow, "meeting_id long, block long, entry long, base long")
 
     def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, to, own = ways(rows)
-        begins, i = np.zeros(own, np.int64), int(rows.entry.iloc[0])
-        while i < own:
-            begins[i] = 1
-            i = int(to[i])
-        return pd.DataFrame({"meeting_id": rows.meeting_id.iloc[:own], "seq": rows.seq.iloc[:own], "chunk": rows.base.iloc[0] - 1 + np.cumsum(begins)})
-
-    return dealt.join(entries, ["meeting_id", "block"]).groupBy("meeting_id", "block").applyInPandas(number, CHUNKS)
+        rows = rows.sort_values(["meeting_id", "block", "r"])
+        entry, base, mine, chunk = rows.entry.to_numpy(), rows.base.to_numpy(), [], []
+        for lo, own, to in ways(rows):
+            begins, i = np.zeros(own, np.int64), int(entry[lo])
+            while i < own:
+                begins[i] = 1
+                i = int(to[i])
+            mine.append(np.arange(lo, lo + own))
+            chunk.append(base[lo] - 1 + np.cumsum(begins))
+        at = np.concatenate(mine)
+        return pd.DataFrame({"meeting_id": rows.meeting_id.to_numpy()[at], "seq": rows.seq.to_numpy()[at], "chunk": np.concatenate(chunk)})
+
+    return dealt.join(entries, ["meeting_id", "block"]).groupBy("group").applyInPandas(number, CHUNKS)
