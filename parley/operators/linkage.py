@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.numbering import kept
+from parley.operators.numbering import dropped, kept, new_folder, stored
 from parley.operators.vectors import LEAST_DISTANCE, LEAST_MEMBERS, LEAST_SHARE, LEAST_SILHOUETTE, NEAR_BEST, NEAR_BEST_MANY, chained_linkage, cut, matrix
 
 #: Clusters that one task ends, and clusters in one block.
@@ -34,10 +34,10 @@ def nearest(clusters: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = clusters.join(F.broadcast(sizes), "meeting_id") if sizes.count() < 100_000 else clusters.join(sizes, "meeting_id")
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("c"), blocks).cast("int")
-    dealt = kept(dealt.select("meeting_id", "c", "n", "s", own.alias("own"), blocks.alias("blocks")))
+    dealt = dealt.select("meeting_id", "c", "n", "s", own.alias("own"), blocks.alias("blocks"))
     # each pair of blocks has a group: the smaller of the two on the left
     left = dealt.select(F.col("meeting_id").alias("m"), "c", "n", "s", F.col("own").alias("a"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("b"))
-    right = dealt.select(F.col("meeting_id").alias("m"), F.col("c").alias("c"), "n", "s", F.explode(F.sequence(F.lit(0), "own")).alias("a"), F.col("own").alias("b"))
+    right = dealt.select(F.col("meeting_id").alias("m"), *(F.col(x).alias(x) for x in "cns"), F.explode(F.sequence(F.lit(0), "own")).alias("a"), F.col("own").alias("b"))
 
     def pair(x: pa.Table, y: pa.Table) -> pa.Table:
         kinds = {"meeting_id": pa.int64(), "c": pa.int64(), "d": pa.float64(), "low": pa.int64(), "high": pa.int64()}
@@ -71,27 +71,32 @@ def nearest(clusters: DataFrame, block: int = BLOCK) -> DataFrame:
 def merges(vectors: DataFrame, local: int = LOCAL, block: int = BLOCK) -> DataFrame:
     """vectors: meeting_id, idx, embedding (of length 1). All merges of all meetings: meeting_id, d (the distance), i, j (the smallest idx of either cluster),
     one fewer than the meeting has rows."""
-    made, slow = None, None
-    now = kept(vectors.select("meeting_id", F.col("idx").alias("c"), F.lit(1).cast("long").alias("n"), F.transform("embedding", lambda x: x.cast("double")).alias("s")))
+    spark, slow, round_ = vectors.sparkSession, None, 0
+    # each round's tables are made from those of the round before, and go with it; its merges stay, in a folder of their own
+    folder = new_folder(spark)
+    now = stored(vectors.select("meeting_id", F.col("idx").alias("c"), F.lit(1).cast("long").alias("n"), F.transform("embedding", lambda x: x.cast("double")).alias("s")))
     while True:
         sizes = now.groupBy("meeting_id").agg(F.count("*").alias("size"))
         large = sizes.where(F.col("size") > local)
         if slow is not None:
             large = large.join(slow, "meeting_id", "left").where(F.col("slow").isNull() | (F.col("size") > PATIENCE * local))
-        large = kept(large.select("meeting_id", "size"))
+        large = stored(large.select("meeting_id", "size"))
         if large.isEmpty():
+            dropped(large)
             break
-        near = kept(nearest(now.join(large.select("meeting_id"), "meeting_id", "left_semi"), block))
+        near = stored(nearest(now.join(large.select("meeting_id"), "meeting_id", "left_semi"), block))
         back = near.select("meeting_id", F.col("c").alias("other"), F.col("other").alias("c"))
-        pairs = kept(near.join(back, ["meeting_id", "c", "other"]).where("c < other").select("meeting_id", "d", F.col("c").alias("i"), F.col("other").alias("j")))
-        made = pairs if made is None else made.unionByName(pairs)
-        slow = large.join(pairs.groupBy("meeting_id").agg(F.count("*").alias("n")), "meeting_id").where(F.col("n") * FEW < F.col("size")).select("meeting_id", F.lit(True).alias("slow"))
+        pairs = stored(near.join(back, ["meeting_id", "c", "other"]).where("c < other").select("meeting_id", "d", F.col("c").alias("i"), F.col("other").alias("j")), f"{folder}/round={round_}")
+        if slow is not None:
+            dropped(slow)
+        slow = stored(large.join(pairs.groupBy("meeting_id").agg(F.count("*").alias("n")), "meeting_id").where(F.col("n") * FEW < F.col("size")).select("meeting_id", F.lit(True).alias("slow")))
         to = pairs.select("meeting_id", F.col("j").alias("c"), F.col("i").alias("into"))
         moved = now.join(to, ["meeting_id", "c"], "left").withColumn("c", F.coalesce("into", "c"))
         # two rows at most come together
         both = moved.groupBy("meeting_id", "c").agg(F.sum("n").alias("n"), F.collect_list("s").alias("ss"))
         add = F.aggregate(F.slice("ss", 2, 1), F.get("ss", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-        now = kept(both.select("meeting_id", "c", "n", add.alias("s")))
+        before, now, round_ = now, stored(both.select("meeting_id", "c", "n", add.alias("s"))), round_ + 1
+        dropped(before, large, near)
 
     def end(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("c")
@@ -100,7 +105,7 @@ def merges(vectors: DataFrame, local: int = LOCAL, block: int = BLOCK) -> DataFr
         return pd.DataFrame({"meeting_id": rows.meeting_id.iloc[0], "d": [m[0] for m in got], "i": [c[m[1]] for m in got], "j": [c[m[2]] for m in got]})
 
     rest = now.groupBy("meeting_id").applyInPandas(end, MERGE)
-    return rest if made is None else made.unionByName(rest)
+    return rest if not round_ else spark.read.schema(MERGE).parquet(folder).select(rest.columns).unionByName(rest)
 
 
 def labels(vectors: DataFrame, made: DataFrame, most: int) -> DataFrame:

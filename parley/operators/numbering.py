@@ -3,24 +3,50 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written once to the checkpoint folder that the session names: what is computed from it agrees, also after executors are lost. On one machine
-    without a setting, a temporary folder; on a cluster that raises."""
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         at, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
         if not at and (not master.startswith("local") or master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(at or f"{tempfile.gettempdir()}/parley-checkpoints")
+    return spark.sparkContext.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once to the checkpoint folder that the session names: what is computed from it agrees, also after executors are lost. On one machine
+    without a setting, a temporary folder; on a cluster that raises.
+
+    A checkpoint carries on the plan's estimate of its size, which a join multiplies; what is made again from itself in rounds needs stored."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{_checkpoint_dir(spark)}/parley-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, written once as a table in the checkpoint folder and read back: its size is that of its files, however it was made."""
+    path = path or new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Drop the files of stored tables that are no longer read."""
+    for df in tables:
+        for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(rows: DataFrame, order: list[str | Column], to: str = "number", after: Column | None = None, parts: int | None = None) -> DataFrame:
     """rows with the column to: 1, 2, ... in ascending order, nulls first, counted on from after (one value for all rows) if it is given.
 
