@@ -96,10 +96,39 @@ def pair_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(ctx * PLACE[0] + word * PLACE[1])
 
 
+def placed(h: np.ndarray) -> np.ndarray:
+    """The places of hashes in order of their leading bits; those of equal ones stay in order. Each hash is sorted as a number that has its place in place of its
+    last bits: numbers are sorted several times faster than places by numbers."""
+    low = U64((1 << max(1, len(h) - 1).bit_length()) - 1)
+    both = h & ~low
+    both |= np.arange(len(h), dtype=U64)
+    both.sort()
+    both &= low
+    return both.view(np.int64)
+
+
+def in_order(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(np.argsort of hashes, stable; the hashes in that order)."""
+    order = placed(h)
+    got = h[order]
+    wrong = np.flatnonzero(got[1:] < got[:-1])
+    if len(wrong) > 1000:
+        order = np.argsort(h, kind="stable")
+        return order, h[order]
+    if len(wrong):  # different hashes with the same leading bits
+        low = U64((1 << max(1, len(h) - 1).bit_length()) - 1)
+        lead = got & ~low
+        for x in np.unique(lead[wrong]):
+            lo, hi = np.searchsorted(lead, x), np.searchsorted(lead, x, "right")
+            order[lo:hi] = order[lo:hi][np.argsort(got[lo:hi], kind="stable")]
+        got = h[order]
+    return order, got
+
+
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(an order of key, the places in it where a new value begins)."""
-    order = np.argsort(key)
-    return order, np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]])) if len(key) else order
+    order, got = in_order(key)
+    return order, np.flatnonzero(np.diff(got, prepend=~got[:1])) if len(key) else order
 
 
 def sums(x: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -189,7 +218,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, hold_out: tuple[int, int
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """w, n (its tokens), c (of those, in training), materialised."""
+    """w, n (its tokens), c (of those, in training), materialised. Words are moved by ranges of their hashes, those of a run of texts packed."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,10 +228,21 @@ def count_words(texts: DataFrame) -> DataFrame:
                 order, first = grouped(tokens)
                 n = np.diff(first, append=len(order))
                 c = sums((~held[lo + text]).astype(np.int64), order, first)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[order[first]].view(np.int64)), pa.array(n), pa.array(c)], names=["w", "n", "c"])
+                w = tokens[order[first]]
+                part = ((w >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+                edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+                yield messages([(COUNTS, int(part[a]), int(b - a), 0, 0, packed(w[a:b]), packed_small(n[a:b]), packed_small(c[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+    def merge(group: pa.Table) -> pa.Table:
+        rows = [(unpacked(r["a"], U64, r["key"]), unpacked_small(r["b"], r["key"]), unpacked_small(r["c"], r["key"])) for r in group.select(["key", *"abc"]).to_pylist()]
+        w, n, c = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order, first = grouped(w)
+        out = pa.table({"w": w[order[first]].view(np.int64), "n": sums(n, order, first), "c": sums(c, order, first)})
+        give_back()
+        return out
 
-    got = texts.select("held", "text").mapInArrow(count, "w long, n long, c long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    return materialise(got, "lm-words")
+    dealt = texts.select("held", "text").mapInArrow(count, _MESSAGE)
+    return materialise(dealt.repartition(parts, "part").groupBy("part").applyInArrow(merge, "w long, n long, c long"), "lm-words")
 
 
 class Deal:
@@ -216,9 +257,12 @@ class Deal:
     def dealt(self, ctx: np.ndarray, key: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(part, its places) of the pairs at of, in an order that brings the pairs of a context together, and equal ones (or nearly all:
         what is dealt may hold a pair twice). Parts are ranges of hashes, so one sort does all."""
+        own = key[of]
+        if (own[1:] < own[:-1]).any():
+            of = of[in_order(own)[0]]
         hot = self.is_hot(ctx[of])
-        for at, h in ((of[~hot], (mix(ctx[of[~hot]]) & ~U64(0xFFFFFF)) | (key[of[~hot]] >> U64(40))), (of[hot], key[of[hot]])):
-            order = np.argsort(h)
+        for at, h in ((of[~hot], mix(ctx[of[~hot]])), (of[hot], key[of[hot]])):
+            order = placed(h)  # the pairs of a context stay in order of their keys
             part = ((h[order] >> U64(32)) * U64(self.parts) >> U64(32)).astype(np.int64)
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -233,6 +277,25 @@ def among(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == x
 
 
+class Known:
+    """among, for many looks into the same array of hashes: those that begin alike are a few, one after another."""
+
+    def __init__(self, known: np.ndarray):
+        bits = min(24, max(1, len(known).bit_length()))
+        self.known, self.shift = known, U64(64 - bits)
+        self.start = np.minimum(np.searchsorted(known, np.arange(1 << bits, dtype=U64) << self.shift), max(0, len(known) - 1))
+
+    def among(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.known):
+            return among(self.known, x)
+        at = self.start[x >> self.shift]
+        left = np.flatnonzero((self.known[at] < x) & (at < len(self.known) - 1))
+        while len(left):
+            at[left] += 1
+            left = left[(self.known[at[left]] < x[left]) & (at[left] < len(self.known) - 1)]
+        return at, self.known[at] == x
+
+
 def build(texts: DataFrame, deal: Deal) -> DataFrame:
     """The restaurants of each part, materialised: messages of the kinds RESTAURANT (contexts, dishes, customers of the pairs kept), CONTEXTS (all contexts with
     the pairs not kept), DISH (each word of the part, its pairs not kept, its pairs kept), HOT_PAIR, HOT_TABLES, COUNTS (pairs of one and of two customers)."""
@@ -317,7 +380,7 @@ def sweep(restaurants: DataFrame, seatings: DataFrame | None, parent: DataFrame,
         many = np.flatnonzero(x.c >= 2)
         total = x.all_tables(t, hot, hot_tables)
         key = pair_key(x.ctx, x.word)
-        t[many] = tables(x.c[many], total[x.own[many]] - t[many], p[among(words, x.word[many])[0]], key[many], number, d, strength)
+        t[many] = tables(x.c[many], total[x.own[many]] - t[many], p[Known(words).among(x.word[many])[0]], key[many], number, d, strength)
         order, first = grouped(x.word)
         common = np.flatnonzero(deal.is_hot(x.names))
         frequent = np.flatnonzero(among(hot_pairs, key)[1])
@@ -546,6 +609,7 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
         key = pair_key(x.ctx, x.word)
         order = np.argsort(key)
         key, c_pair, t = key[order], x.c[order], t[:, order]
+        words, names, key = Known(words), Known(x.names), Known(key)
         out, held_rows, size = [], [], 0
         for i in range(left.num_rows):
             r = {k: left.column(k)[i].as_py() for k in ("kind", "key", "n", "m", "a", "b", "c", "d")}
@@ -555,14 +619,14 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
                 held_rows.append(r)
                 size += r["n"]
             if held_rows and (size >= TOGETHER or i == left.num_rows - 1):
-                out += score_rows(held_rows, x, words, c_word, p, key, c_pair, t, total, customers)
+                out += score_rows(held_rows, names, words, c_word, p, key, c_pair, t, total, customers)
                 held_rows, size = [], 0
         if held_rows:
-            out += score_rows(held_rows, x, words, c_word, p, key, c_pair, t, total, customers)
+            out += score_rows(held_rows, names, words, c_word, p, key, c_pair, t, total, customers)
         give_back()
         return pa.Table.from_batches([messages(out)])
 
-    def score_rows(rows: list[dict], x: Part, words, c_word, p, key, c_pair, t, total, customers) -> list[tuple]:
+    def score_rows(rows: list[dict], names: Known, words: Known, c_word, p, key: Known, c_pair, t, total, customers) -> list[tuple]:
         """The sums of some rows' texts, a row each."""
         parts = [(deal.code.unpacked(r["a"], r["n"]), deal.code.unpacked(r["b"], r["n"]), unpacked_small(r["c"], r["n"]), unpacked_small(r["d"], r["m"])) for r in rows]
         ctx, word, many, body = (np.concatenate(v) for v in zip(*parts, strict=True))
@@ -570,15 +634,15 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
         first = np.cumsum([0, *sizes])
         text = body.astype(np.int64) // 2 + np.repeat(first[:-1], [len(b) for *_, b in parts])
         is_held = body % 2 == 1
-        at, there = among(words, word)
-        pw = np.where(there, p[:, at], scorer.rest[:, None]) if len(words) else np.repeat(scorer.rest[:, None], len(word), 1)
-        cw = np.where(there, c_word[at], 0) if len(words) else np.zeros(len(word), np.int64)
-        at, there = among(x.names, ctx)
-        tables = np.where(there, total[:, at], 0) if len(x.names) else np.zeros((n_samples, len(ctx)))
-        guests = np.where(there, customers[at], 0) if len(x.names) else np.zeros(len(ctx))
-        at, there = among(key, pair_key(ctx, word))
-        c = np.where(there, c_pair[at], 0) if len(key) else np.zeros(len(ctx), np.int64)
-        ts = np.where(there, t[:, at], 0) if len(key) else np.zeros((n_samples, len(ctx)), np.int64)
+        at, there = words.among(word)
+        pw = np.where(there, p[:, at], scorer.rest[:, None]) if len(c_word) else np.repeat(scorer.rest[:, None], len(word), 1)
+        cw = np.where(there, c_word[at], 0) if len(c_word) else np.zeros(len(word), np.int64)
+        at, there = names.among(ctx)
+        tables = np.where(there, total[:, at], 0) if len(customers) else np.zeros((n_samples, len(ctx)))
+        guests = np.where(there, customers[at], 0) if len(customers) else np.zeros(len(ctx))
+        at, there = key.among(pair_key(ctx, word))
+        c = np.where(there, c_pair[at], 0) if len(c_pair) else np.zeros(len(ctx), np.int64)
+        ts = np.where(there, t[:, at], 0) if len(c_pair) else np.zeros((n_samples, len(ctx)), np.int64)
         of = np.repeat(np.arange(len(ctx)), many)
         # a pair of a text in training has a customer; one that is not kept has no other
         train = np.log10(scorer.probability(np.maximum(c, 1), np.maximum(ts, 1), tables, guests, pw)) if not is_held.all() else np.zeros(len(ctx))
@@ -590,9 +654,9 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
         flat, seen = np.bincount(text, scorer.base(cw)[of], first[-1]), np.bincount(text, (cw > 0)[of], first[-1])
         out = []
         for r, lo, hi in zip(rows, first[:-1], first[1:], strict=True):
-            names = np.flatnonzero(n[lo:hi])
-            both = np.round(np.stack([score[lo:hi][names], flat[lo:hi][names]]) / UNIT).astype(np.int64)
-            out.append((RESTAURANT, 0, r["key"], len(names), 0, packed(names.astype(np.uint32)), packed(both), packed(seen[lo:hi][names].astype(np.uint32)), None))
+            there = np.flatnonzero(n[lo:hi])
+            both = np.round(np.stack([score[lo:hi][there], flat[lo:hi][there]]) / UNIT).astype(np.int64)
+            out.append((RESTAURANT, 0, r["key"], len(there), 0, packed(there.astype(np.uint32)), packed(both), packed(seen[lo:hi][there].astype(np.uint32)), None))
         return out
 
     def total(group: pa.Table) -> pa.Table:
@@ -620,7 +684,8 @@ def _scored(texts: DataFrame, restaurants: DataFrame, seatings: list[DataFrame],
 
         def told() -> pa.RecordBatch:
             cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3 + len(pairs))]
-            order = np.lexsort((cols[1], cols[0]))
+            order = in_order(cols[1].view(U64))[0]
+            order = order[placed(cols[0][order].astype(U64) << U64(32))]
             cols = [c[order] for c in cols]
             edges = np.flatnonzero(np.diff(cols[0], prepend=-1, append=-1))
             rows = []
