@@ -247,7 +247,8 @@ def _by_key(texts: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     all rounds are not.
 
     Of each text the keys are looked up by a join, and the rules found are run in their order. Where a change makes a stretch of needed characters that was not there before, its
-    keys are looked up too, and the row is run again with all it then has, so that no rule is missed that a change lets fire.
+    keys are looked up too, and the row is run again with all it then has, so that no rule is missed that a change lets fire. All joins shuffle both sides: the planner takes the
+    keys for no more than the texts that they are made from, of which there are hundreds for each, and would send them through the driver.
     """
     spark = texts.sparkSession
     chars = frozenset().union(*(r["chars"] for r in rules.where("chars <> ''").select("chars").distinct().collect()))  # characters alone
@@ -319,16 +320,16 @@ def _by_key(texts: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     rule = F.struct("k", "need", "pattern", "to").alias("rule")
     done, found = None, None
     for _ in range(ROUNDS):
-        new = pairs.join(rules.select("key", rule), "key").select("rid", "rule")
-        found = kept(new if found is None else found.join(rows.select("rid"), "rid", "left_semi").unionByName(new))
+        new = pairs.join(rules.select("key", rule).hint("merge"), "key").select("rid", "rule")
+        found = kept(new if found is None else found.join(rows.select("rid").hint("merge"), "rid", "left_semi").unionByName(new))
         able = found.groupBy("rid").agg(F.collect_list("rule").alias("able"))  # as many as a text has stretches that rules ask for
-        ran = rows.join(able, "rid", "left").select("rid", "text", "able", "asked").mapInArrow(run, "rid long, text string, new string, more array<long>")
+        ran = rows.join(able.hint("merge"), "rid", "left").select("rid", "text", "able", "asked").mapInArrow(run, "rid long, text string, new string, more array<long>")
         ran = kept(ran)
         ended = ran.where(F.size("more") == 0).select("rid", F.col("new").alias("text"))
         done = ended if done is None else done.unionByName(ended)
         going = ran.where(F.size("more") > 0)
         pairs = going.select("rid", F.explode("more").alias("key"))
-        rows = going.select("rid", "text", F.col("more").alias("again")).join(rows.select("rid", "asked"), "rid").select("rid", "text", F.concat("asked", "again").alias("asked"))
+        rows = going.select("rid", "text", F.col("more").alias("again")).join(rows.select("rid", "asked").hint("merge"), "rid").select("rid", "text", F.concat("asked", "again").alias("asked"))
         if going.isEmpty():
             break
     return done, rows.select("rid", "text")
@@ -374,7 +375,7 @@ def corrected(rows: DataFrame, column: str, rules: DataFrame, scope: str = "glob
     done, left = _by_key(whole.where(F.col(column).isNotNull()).select(F.col("__rid").alias("rid"), F.col(column).alias("text")), ready)
     if not left.isEmpty():
         done = done.unionByName(_in_blocks(left, 1, wanted, n, block))
-    got = whole.join(done.select(F.col("rid").alias("__rid"), F.col("text").alias("__new")), "__rid", "left")
+    got = whole.join(done.select(F.col("rid").alias("__rid"), F.col("text").alias("__new")).hint("merge"), "__rid", "left")
     return got.select(*(F.col("__new").alias(c) if c == column else F.col(f"`{c}`") for c in rows.columns))
 
 
