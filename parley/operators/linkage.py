@@ -3,7 +3,7 @@
 A large meeting's clusters are merged in rounds of reciprocal nearest neighbours, which average linkage allows to be merged in any order: each round deals
 the clusters into blocks, multiplies every pair of blocks once, in a group of its own, and merges the pairs that are nearest to each other. Of a cluster its
 size and the sum of its vectors are kept, as the mean distance of two clusters is 1 less the product of their sums over their sizes. Once few
-clusters are left, one task ends the meeting by a chain of nearest neighbours. What it gets is the list of merges, from which every number of clusters is cut.
+clusters are left, or rounds merge few of them, one task ends the meeting by lists of near clusters. What it gets is the list of merges, from which every number of clusters is cut.
 """
 
 from __future__ import annotations
@@ -17,22 +17,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.numbering import dropped, kept, new_folder, stored
-from parley.operators.vectors import LEAST_DISTANCE, LEAST_MEMBERS, LEAST_SHARE, LEAST_SILHOUETTE, NEAR_BEST, NEAR_BEST_MANY, chained_linkage, cut, matrix
+from parley.operators.vectors import LEAST_DISTANCE, LEAST_MEMBERS, LEAST_SHARE, LEAST_SILHOUETTE, NEAR_BEST, NEAR_BEST_MANY, chained_linkage, cut, listed_linkage, matrix
 
 #: Clusters that one task ends, and clusters in one block.
 LOCAL, BLOCK = 2_000, 2_000
+#: Blocks of a meeting, as long as a block has at most WIDEST clusters; distances that a task holds at once.
+BLOCKS, WIDEST, STRIP = 16, 20_000, 4_000_000
 #: A round that merges under one in FEW of a meeting's clusters is the last one, if one task can end the meeting in time: with up to PATIENCE times the clusters. (Where large clusters take in
-#: single rows one by one, few pairs are nearest to each other.)
-FEW, PATIENCE = 20, 20
+#: single rows one by one, few pairs are nearest to each other.) Up to CHAINED clusters a chain is faster than lists.
+FEW, PATIENCE, CHAINED = 10, 100, 5_000
+#: Rows that are judged at once.
+PIECE = 20_000
 MERGE = "meeting_id long, d double, i long, j long"
 
 
+def _nearest(mx: np.ndarray, my: np.ndarray, cx: np.ndarray, cy: np.ndarray, same: bool, strip: int = STRIP) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """For the clusters cx (ascending) with means mx the distance and the id of the nearest of cy with means my, and the other way round; the smaller id of equals. same: cx are cy, and a pair is looked
+    at once, from its smaller id. strip distances are held at once; as strips of smaller ids come first, only what is less counts in a later one."""
+    cols = np.full(len(cy), np.inf), np.zeros(len(cy), np.int64)
+    rows = cols if same else (np.full(len(cx), np.inf), np.zeros(len(cx), np.int64))
+    step = max(1, strip // len(cy))
+    for lo in range(0, len(cx), step):
+        x, from_ = cx[lo : lo + step], lo if same else 0
+        d = mx[lo : lo + step] @ my[from_:].T
+        np.subtract(1, d, out=d)
+        if same:
+            d[:, : len(d)][np.tri(len(d), dtype=bool)] = np.inf
+        best, at = (c[from_:] for c in cols)
+        least = d.min(0)
+        less = np.flatnonzero(least < best)
+        best[less], at[less] = least[less], x[np.ascontiguousarray(d[:, less].T).argmin(1)]
+        best, at = (r[lo : lo + step] for r in rows)
+        least, where = d.min(1), d.argmin(1)
+        less = np.flatnonzero(least < best)
+        best[less], at[less] = least[less], cy[from_ + where[less]]
+    return rows, cols
+
+
 def nearest(clusters: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each cluster (meeting_id, c, n, s) the nearest other of its meeting: meeting_id, c, d, other. Of equal distances the pair with the smaller ids
     comes first, for both of its clusters alike."""
     sizes = clusters.groupBy("meeting_id").agg(F.count("*").alias("size"))
     dealt = clusters.join(F.broadcast(sizes), "meeting_id") if sizes.count() < 100_000 else clusters.join(sizes, "meeting_id")
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    width = F.least(F.lit(max(WIDEST, block)), F.greatest(F.lit(block), F.ceil(F.col("size") / BLOCKS)))
+    blocks = F.ceil(F.col("size") / width).cast("int")
     own = F.pmod(F.xxhash64("c"), blocks).cast("int")
     dealt = dealt.select("meeting_id", "c", "n", "s", own.alias("own"), blocks.alias("blocks"))
     # each pair of blocks has a group: the smaller of the two on the left
@@ -46,21 +74,12 @@ def nearest(clusters: DataFrame, block: int = BLOCK) -> DataFrame:
         meeting, same = x.column("m")[0].as_py(), x.column("a")[0].as_py() == x.column("b")[0].as_py()
         x, y = x.sort_by("c"), y.sort_by("c")
         cx, cy = x.column("c").to_numpy(), y.column("c").to_numpy()
-        d = 1 - (matrix(x.column("s")) / x.column("n").to_numpy()[:, None]) @ (matrix(y.column("s")) / y.column("n").to_numpy()[:, None]).T
-        if same:  # one number for a pair, whichever way it is looked at
-            d = np.triu(d, 1) + np.triu(d, 1).T
-            np.fill_diagonal(d, np.inf)
+        mx, my = (matrix(t.column("s")) / t.column("n").to_numpy()[:, None] for t in (x, y))
+        rows, cols = _nearest(mx, my, cx, cy, same)
         out = []
-        for own, other, m in ((cx, cy, d),) if same else ((cx, cy, d), (cy, cx, d.T)):
-            best = m.min(1, keepdims=True)
-            low, high = np.minimum(own[:, None], other[None]), np.maximum(own[:, None], other[None])
-            # of the nearest, the pair that comes first by its ids
-            key = np.where(m == best, low, np.iinfo(np.int64).max)
-            first = key == key.min(1, keepdims=True)
-            at = np.where(first, high, np.iinfo(np.int64).max).argmin(1)
-            ok = np.isfinite(best[:, 0])
-            r = np.arange(len(own))
-            out.append(pa.table({"meeting_id": pa.array(np.full(ok.sum(), meeting)), "c": own[ok], "d": best[ok, 0], "low": low[r, at][ok], "high": high[r, at][ok]}))
+        for own, (best, other) in ((cy, cols),) if same else ((cx, rows), (cy, cols)):
+            ok = np.isfinite(best)
+            out.append(pa.table({"meeting_id": pa.array(np.full(ok.sum(), meeting)), "c": own[ok], "d": best[ok], "low": np.minimum(own, other)[ok], "high": np.maximum(own, other)[ok]}))
         return pa.concat_tables(out)
 
     met = left.groupBy("m", "a", "b").cogroup(right.groupBy("m", "a", "b")).applyInArrow(pair, "meeting_id long, c long, d double, low long, high long")
@@ -101,7 +120,7 @@ def merges(vectors: DataFrame, local: int = LOCAL, block: int = BLOCK) -> DataFr
     def end(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("c")
         c = rows.c.to_numpy()
-        got = chained_linkage(np.stack(rows.s.to_numpy()), rows.n.to_numpy())
+        got = (chained_linkage if len(c) <= CHAINED else listed_linkage)(np.stack(rows.s.to_numpy()), rows.n.to_numpy())
         return pd.DataFrame({"meeting_id": rows.meeting_id.iloc[0], "d": [m[0] for m in got], "i": [c[m[1]] for m in got], "j": [c[m[2]] for m in got]})
 
     rest = now.groupBy("meeting_id").applyInPandas(end, MERGE)
@@ -151,28 +170,30 @@ def sums(labelled: DataFrame) -> DataFrame:
 def chosen(labelled: DataFrame) -> DataFrame:
     """meeting_id, k: which of the cuts is taken (0 stands for two clusters, and so on), -1 for one speaker. The largest that scores near the best, of those that
     are clean; the silhouette of each row needs its products with the sums of the labels alone."""
-    told = sums(labelled)
-    side = told.groupBy("meeting_id").agg(F.collect_list(F.struct("k", "label", "n", "s")).alias("told"))  # a few dozen vectors for each meeting
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for meeting, x in rows.groupby("meeting_id"):
-                told = x.told.iloc[0]
-                v, ls = np.stack(x.embedding.to_numpy()).astype(float), np.stack(x.labels.to_numpy())
-                for k in range(ls.shape[1]):
-                    of = sorted((t for t in told if t["k"] == k), key=lambda t: t["label"])
-                    n, own = np.array([t["n"] for t in of]), ls[:, k]
-                    total = n - v @ np.stack([t["s"] for t in of]).T
-                    at = np.arange(len(v))
-                    a = total[at, own] / np.maximum(n[own] - 1, 1)
-                    other = total / n
-                    other[at, own] = np.inf
-                    b = other.min(1)
-                    out.append((meeting, k, float(np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).sum()), len(v)))
-            yield pd.DataFrame(out, columns=["meeting_id", "k", "s", "n"])
-
-    scored = labelled.select("meeting_id", "embedding", "labels").join(side, "meeting_id").mapInPandas(judge, "meeting_id long, k int, s double, n long")
+    told = kept(sums(labelled))
+    pieces = told.where("k = 0").groupBy("meeting_id").agg(F.ceil(F.sum("n") / PIECE).cast("int").alias("pieces"))
+    pieces = F.broadcast(pieces) if pieces.count() < 100_000 else pieces
+    # a meeting's rows are dealt into pieces, and each piece gets the few dozen vectors of the meeting once
+    dealt = labelled.join(pieces, "meeting_id").select("meeting_id", F.pmod(F.xxhash64("idx"), "pieces").alias("piece"), "embedding", "labels")
+    side = told.join(pieces, "meeting_id").select(F.col("meeting_id").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces").cast("long") - 1)).alias("p"), "k", "label", "n", "s")
+
+    def judge(x: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x):
+            v, ls = np.stack(x.embedding.to_numpy()).astype(float), np.stack(x.labels.to_numpy())
+            for k in range(ls.shape[1]):
+                of = told[told.k == k].sort_values("label")
+                n, own = of.n.to_numpy(), ls[:, k]
+                total = n - v @ np.stack(of.s.to_numpy()).T
+                at = np.arange(len(v))
+                a = total[at, own] / np.maximum(n[own] - 1, 1)
+                other = total / n
+                other[at, own] = np.inf
+                b = other.min(1)
+                out.append((x.meeting_id.iloc[0], k, float(np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).sum()), len(v)))
+        return pd.DataFrame(out, columns=["meeting_id", "k", "s", "n"])
+
+    scored = dealt.groupBy("meeting_id", "piece").cogroup(side.groupBy("m", "p")).applyInPandas(judge, "meeting_id long, k int, s double, n long")
     scores = scored.groupBy("meeting_id", "k").agg((F.sum("s") / F.sum("n")).alias("score"), F.sum("n").alias("rows"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:

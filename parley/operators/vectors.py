@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """a of length 1, or as it is without a length; the length is taken once, not for each number."""
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
+    return F.get(scaled, F.lit(0))
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
@@ -228,6 +230,117 @@ def chained_linkage(u: np.ndarray, sizes: np.ndarray | None = None) -> list[tupl
     return sorted(merges, key=lambda m: m[0])
 
 
+#: Near clusters in a list, and lists that are made at once.
+LISTED, LISTS = 24, 64
+
+
+def listed_linkage(u: np.ndarray, sizes: np.ndarray | None = None) -> list[tuple[float, int, int]]:
+    """As chained_linkage, of many rows, lowest merge first.
+
+    Each cluster has a list of the clusters that were nearest to it, and a bound that all others are no nearer than. Under average linkage a merged cluster is no nearer to a third one than the
+    nearer of its two parts was, so a bound holds on, and that of a merged cluster is the mean of its parts' bounds by size. So distances to all clusters are taken only for those whose list has none
+    within the bound any more, of which there are about as many as rows: after the first lists, time is hardly more than linear. Memory grows with the vectors and lists.
+    """
+    n = len(u)
+    total, size = u.astype(float).copy(), np.ones(n) if sizes is None else sizes.astype(float)
+    mean = total / size[:, None]
+    top, made, told = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)  # the cluster that took a row in; the merge that made a cluster; the merges that its list knows of
+    none = np.zeros(0, np.int64), np.zeros(0)
+    lists = [none] * n
+    bound, key = np.zeros(n), np.zeros(n)
+    alive, near = np.arange(n), mean.copy()  # clusters, and some that are no more; their means
+    merges: list[tuple[float, int, int]] = []
+
+    def put(r: int, x: np.ndarray, y: np.ndarray, most: int) -> None:
+        """x at distances y is r's list, without what is beyond its bound or most entries."""
+        order = np.argsort(y, kind="stable")
+        order = order[: np.searchsorted(y[order], bound[r], "right")]
+        if len(order) > most:
+            bound[r] = y[order[most]]
+            order = order[:most]
+        lists[r], told[r] = (x[order], y[order]), len(merges)
+
+    def fill(rows: np.ndarray) -> None:
+        d = 1 - mean[rows] @ near.T
+        d[:, top[alive] != alive] = np.inf
+        d[np.arange(len(rows)), np.searchsorted(alive, rows)] = np.inf
+        if LISTED + 1 < len(alive):
+            some = np.argpartition(d, LISTED, axis=1)[:, : LISTED + 1]
+            for r, x, y in zip(rows.tolist(), some, np.take_along_axis(d, some, 1), strict=True):
+                bound[r] = y.max()  # of the last one in a list and all that are in none
+                put(r, alive[x[y < np.inf]], y[y < np.inf], LISTED)
+        else:
+            for r, y in zip(rows.tolist(), d, strict=True):
+                bound[r] = np.inf
+                put(r, alive[y < np.inf], y[y < np.inf], n)
+
+    def renewed(r: int) -> tuple[np.ndarray, np.ndarray]:
+        """r's list with what has been merged since."""
+        x = now = lists[r][0]
+        while (top[now] != now).any():
+            now = top[now]
+        if (now != x).any() or (made[now] > told[r]).any():
+            now = np.unique(now)
+            put(r, now, 1 - mean[now] @ mean[r], n)
+        told[r] = len(merges)
+        return lists[r]
+
+    def sure(r: int) -> bool:
+        x, y = renewed(r)
+        return len(y) > 0 and y[0] <= bound[r]
+
+    def push(r: int) -> None:
+        """In order of what its nearest cluster is at least away."""
+        key[r] = min([bound[r], *lists[r][1][:1].tolist()])
+        heapq.heappush(heap, (key[r], r))
+
+    def pop() -> tuple[float, int] | None:
+        while heap:
+            d, r = heapq.heappop(heap)
+            if top[r] == r and key[r] == d:
+                return d, r
+        return None
+
+    heap: list[tuple[float, int]] = []
+    for lo in range(0, n, LISTS):
+        fill(np.arange(lo, min(n, lo + LISTS)))
+    for r in range(n):
+        push(r)
+    while len(merges) < n - 1:
+        d, r = pop()
+        if not sure(r):
+            if bound[r] > d:
+                push(r)
+                continue
+            # others that will soon need a list
+            rows, back = [r], []
+            while len(rows) < LISTS and len(back) < 4 * LISTS and (found := pop()):
+                (back if sure(found[1]) else rows).append(found[1])
+            if 4 * (n - len(merges)) < 3 * len(alive):
+                alive = np.flatnonzero(top == np.arange(n))
+                near = mean[alive]
+            fill(np.sort(rows))
+            for x in (*rows, *back):
+                push(x)
+            continue
+        x, y = lists[r]
+        if y[0] > d:
+            push(r)
+            continue
+        i, j = sorted((r, int(x[0])))
+        merges.append((float(y[0]), i, j))
+        both = np.union1d(renewed(i)[0], renewed(j)[0])
+        bound[i] = (size[i] * bound[i] + size[j] * bound[j]) / (size[i] + size[j])
+        total[i] += total[j]
+        size[i] += size[j]
+        mean[i] = near[np.searchsorted(alive, i)] = total[i] / size[i]
+        top[j], made[i], lists[j] = i, len(merges), none
+        both = both[(both != i) & (both != j)]
+        put(i, both, 1 - mean[both] @ mean[i], 2 * LISTED)
+        push(i)
+    return sorted(merges, key=lambda m: m[0])
+
+
 def cut(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
     """Labels of k clusters after the lowest merges."""
     up = np.arange(n)
